@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from hazardframe.llm import pii
+from hazardframe.llm import linededup, pii
 
 QUERIES = {
     "op7_pii": pii.op7_pii,
+    "op10_line_dedup": linededup.op10_line_dedup,
 }
 
 ORACLE_SQL = {
     "op7_pii": pii.OP7_SQL,
+    "op10_line_dedup": linededup.OP10_SQL,
 }
