@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from hazardframe.llm import linededup, pii
+from hazardframe.llm import decontaminate, linededup, pii
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op7_pii": pii.op7_pii,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
     "op7_pii": pii.OP7_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
 }
