@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hazardframe.llm import decontaminate, linededup, pii
+from hazardframe.llm import decontaminate, linededup, packing, pii
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op6_packing": packing.op6_packing,
     "op7_pii": pii.op7_pii,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
