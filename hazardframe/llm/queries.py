@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hazardframe.llm import decontaminate, linededup, packing, pii
+from hazardframe.llm import decontaminate, exactdedup, linededup, packing, pii
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op5_exact_dedup": exactdedup.op5_exact_dedup,
     "op6_packing": packing.op6_packing,
     "op7_pii": pii.op7_pii,
     "op10_line_dedup": linededup.op10_line_dedup,
@@ -13,6 +14,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op5_exact_dedup": exactdedup.OP5_SQL,
     "op7_pii": pii.OP7_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
 }
