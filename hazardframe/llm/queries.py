@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from hazardframe.llm import decontaminate, exactdedup, linededup, packing, pii
+from hazardframe.llm import decontaminate, exactdedup, linededup, packing, pii, tokencount
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op5_exact_dedup": exactdedup.op5_exact_dedup,
     "op6_packing": packing.op6_packing,
     "op7_pii": pii.op7_pii,
+    "op9_token_counts": tokencount.op9_token_counts,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 
