@@ -12,7 +12,7 @@ Lines of at least ``min_length`` code points (stripped, lower-cased) that stand
    line which a third of all documents hold brings, is dealt over as many copies of its arrays as
    keep each group under ``PART_ROWS`` probes or so. Every probed hash is in the index, so an answer
    is exact up to collisions of 128 bits.
-5. Hits return to their documents, which drop the lines; documents without hits stay as they are.
+5. Hits return to their documents by a merge join, and documents drop those lines.
 """
 
 from __future__ import annotations
@@ -231,7 +231,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1) -> Dat
     hits = space.save(hits.groupBy("doc_id").agg(F.collect_list("h1").alias("hits")), "hits")
     fields = [*docs.columns, "n_lines", "n_dropped"]
     schema = docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
-    return docs.join(hits, "doc_id", "left").select(*docs.columns, "hits").mapInArrow(_rewrite(min_length, fields), schema)
+    # one plan at every size: hits grow with the documents, so they are never broadcast
+    return docs.join(hits.hint("merge"), "doc_id", "left").select(*docs.columns, "hits").mapInArrow(_rewrite(min_length, fields), schema)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
