@@ -186,30 +186,34 @@ def best(words: Words, table: PieceTable, log_probs: np.ndarray) -> tuple[np.nda
 
 def expected_counts(words: Words, weights: np.ndarray, table: PieceTable, probs: np.ndarray) -> np.ndarray:
     """Expected uses of each piece (forward-backward) over words with weights, for one column of probabilities."""
-    n, width = words.matrix.shape
-    out = np.zeros(len(table) + 1)
-    if not n:
-        return out
-    piece = np.full((n, width, width), len(table), np.int32) if n * width * width < 4_000_000 else None
-    if piece is None:  # in parts, to bound the memory
-        step = max(1, 4_000_000 // (width * width) - 1)
-        for k in range(0, n, step):
-            part = Words(words.matrix[k : k + step], words.lengths[k : k + step], words.token_word[:0], words.token_text[:0])
-            out += expected_counts(part, weights[k : k + step], table, probs)
-        return out
+    out, at = np.zeros(len(table) + 1), 0
+    order = np.argsort(words.lengths, kind="stable")  # words of like length together, in parts of bounded size
+    while at < len(order):
+        width = int(words.lengths[order[at]]) + 3
+        step = max(1, 2_000_000 // (width * width))
+        part = order[at : at + step]
+        part = part[words.lengths[part] <= width]
+        out += _expected_counts(words.matrix[part, :width], words.lengths[part], weights[part], table, probs)
+        at += len(part)
+    return out
+
+
+def _expected_counts(matrix: np.ndarray, lengths: np.ndarray, weights: np.ndarray, table: PieceTable, probs: np.ndarray) -> np.ndarray:
+    n, width = matrix.shape
+    piece = np.full((n, width, width), len(table), np.int32)
     alpha, beta = np.zeros((n, width + 1)), np.zeros((n, width + 1))
     alpha[:, 0] = 1
-    beta[np.arange(n), words.lengths] = 1
+    beta[np.arange(n), lengths] = 1
     for s in range(width):
         h = np.zeros(n, np.uint64)
         for e in range(s, width):
-            h = h * _BASE + words.matrix[:, e]
-            piece[:, s, e] = np.where(words.lengths > e, table.find(h), len(table))
+            h = h * _BASE + matrix[:, e]
+            piece[:, s, e] = np.where(lengths > e, table.find(h), len(table))
     p = probs[piece]
     for e in range(width):
         alpha[:, e + 1] = (alpha[:, : e + 1] * p[:, : e + 1, e]).sum(1)
     for s in range(width - 1, -1, -1):
         beta[:, s] += (beta[:, s + 1 :] * p[:, s, s:]).sum(1)
     use = alpha[:, :-1, None] * p * beta[:, None, 1:]
-    use *= (weights / np.maximum(alpha[np.arange(n), words.lengths], 1e-300))[:, None, None]
-    return out + np.bincount(piece.ravel(), weights=use.ravel(), minlength=len(table) + 1)
+    use *= (weights / np.maximum(alpha[np.arange(n), lengths], 1e-300))[:, None, None]
+    return np.bincount(piece.ravel(), weights=use.ravel(), minlength=len(table) + 1)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from hazardframe.llm import decontaminate, exactdedup, linededup, packing, pii, tokencount
+from hazardframe.llm import decontaminate, exactdedup, langid, linededup, packing, pii, quality, tokencount
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op3_language_id": langid.op3_language_id,
+    "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exactdedup.op5_exact_dedup,
     "op6_packing": packing.op6_packing,
     "op7_pii": pii.op7_pii,
