@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hazardframe.llm import decontaminate, exactdedup, langid, linededup, packing, pii, quality, tokencount
+from hazardframe.llm import decontaminate, exactdedup, langid, linededup, neardedup, packing, pii, quality, tokencount
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_near_dedup": neardedup.op2_near_dedup,
     "op3_language_id": langid.op3_language_id,
     "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exactdedup.op5_exact_dedup,
