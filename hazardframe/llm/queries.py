@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hazardframe.llm import decontaminate, exactdedup, langid, linededup, neardedup, packing, pii, quality, tokencount
+from hazardframe.llm import decontaminate, exactdedup, langid, linededup, neardedup, packing, pii, quality, suffixdedup, tokencount
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_exact_dedup": exactdedup.op5_exact_dedup,
     "op6_packing": packing.op6_packing,
     "op7_pii": pii.op7_pii,
+    "op8_suffix_dedup": suffixdedup.op8_suffix_dedup,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
