@@ -1,20 +1,62 @@
-"""Corpus preparation: stages that each take and return the documents left by the one before."""
+"""Corpus preparation: stages that each take the documents left by the one before.
+
+Every stage but the last returns the columns of ``documents``; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hazardframe.llm import decontaminate, langid, linededup, neardedup, packing
+from hazardframe.llm.store import Workspace, crc32_mod, read_table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language: null texts and those without a letter go."""
+    model = langid.train_languages(docs.where(crc32_mod("doc_id", 5) != 0))
+    found = langid.identify_languages(docs, model)
+    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more of them share; n_chars follows the text."""
+    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the least doc_id."""
+    return neardedup.dedup_near(docs).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    found = decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    clean = found.where("n_hit = 0").select("doc_id")
+    return docs.join(clean.hint("merge"), "doc_id", "left_semi").select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids and their places in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs)
 
-from hazardframe.llm.store import read_table
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
-#: SQL cannot express the learned stages; tests/llm holds a brute-force version instead.
+#: SQL cannot express the learned stage nor the packing; tests/llm holds a brute-force version instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``."""
+    """Applies the stages to ``documents``, each one's result written to the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    space = Workspace(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = space.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
