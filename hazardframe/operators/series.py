@@ -27,9 +27,9 @@ def annual_maxima(df: DataFrame, keys: list[str], year: Column, value: str) -> D
     return df.groupBy(*keys, year.alias("year")).agg(F.max(value).alias("maximum"))
 
 
-def plotting_positions(maxima: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds return_period (n + 1) / k of the k-th largest."""
-    down = Window.partitionBy(*keys).orderBy(F.desc("maximum"))
+def plotting_positions(maxima: DataFrame, keys: list[str], tie: str) -> DataFrame:
+    """Adds return_period (n + 1) / k of the k-th largest, equal ones by ``tie``."""
+    down = Window.partitionBy(*keys).orderBy(F.desc("maximum"), tie)
     n = F.count("*").over(Window.partitionBy(*keys))
     return maxima.withColumn("return_period", (n + 1) / F.row_number().over(down))
 
@@ -57,15 +57,15 @@ def gumbel_fit(moments: DataFrame) -> DataFrame:
 
 
 def gev_fit(moments: DataFrame) -> DataFrame:
-    """Adds k, alpha and xi of a generalised extreme value distribution (Hosking); null if n < 4 or l2 <= 0."""
+    """Adds shape, alpha and xi of a generalised extreme value distribution (Hosking); null if n < 4 or l2 <= 0."""
     ok = (F.col("n") >= 4) & (F.col("l2") > 0)
     c = 2 / (3 + F.col("l3") / F.col("l2")) - F.ln(F.lit(2.0)) / F.ln(F.lit(3.0))
-    fit = moments.withColumn("k", F.when(ok, 7.8590 * c + 2.9554 * c * c))
-    near = F.abs(F.col("k")) < 1e-6
-    g = gamma(1 + F.col("k"))
-    alpha = F.when(near, F.col("l2") / F.ln(F.lit(2.0))).otherwise(F.try_divide(F.col("l2") * F.col("k"), (1 - F.pow(F.lit(2.0), -F.col("k"))) * g))
+    fit = moments.withColumn("shape", F.when(ok, 7.8590 * c + 2.9554 * c * c))
+    near = F.abs(F.col("shape")) < 1e-6
+    g = gamma(1 + F.col("shape"))
+    alpha = F.when(near, F.col("l2") / F.ln(F.lit(2.0))).otherwise(F.try_divide(F.col("l2") * F.col("shape"), (1 - F.pow(F.lit(2.0), -F.col("shape"))) * g))
     fit = fit.withColumn("alpha", F.when(ok, alpha))
-    xi = F.when(near, F.col("l1") - 0.5772156649015329 * F.col("alpha")).otherwise(F.col("l1") - F.col("alpha") * F.try_divide(1 - g, F.col("k")))
+    xi = F.when(near, F.col("l1") - 0.5772156649015329 * F.col("alpha")).otherwise(F.col("l1") - F.col("alpha") * F.try_divide(1 - g, F.col("shape")))
     return fit.withColumn("xi", F.when(ok, xi))
 
 
@@ -78,9 +78,9 @@ def gev_probability(x: Column, xi: Column, alpha: Column, k: Column) -> Column:
 
 
 def standardized_index(df: DataFrame, keys: list[str], value: str, limit: float = 3.0) -> DataFrame:
-    """Adds xi, alpha, k, probability and index (its normal quantile, clipped) of each value within its keys."""
-    fit = gev_fit(l_moments(df, keys, value)).select(*keys, "xi", "alpha", "k")
-    rows = df.join(fit, keys).withColumn("probability", gev_probability(F.col(value), F.col("xi"), F.col("alpha"), F.col("k")))
+    """Adds xi, alpha, shape, probability and index (its normal quantile, clipped) of each value within its keys."""
+    fit = gev_fit(l_moments(df, keys, value)).select(*keys, "xi", "alpha", "shape")
+    rows = df.join(fit, keys).withColumn("probability", gev_probability(F.col(value), F.col("xi"), F.col("alpha"), F.col("shape")))
     z = F.when(F.col("probability") <= 0, -limit).when(F.col("probability") >= 1, limit).otherwise(normal_quantile(F.col("probability")))
     return rows.withColumn("index", F.greatest(F.least(z, F.lit(limit)), F.lit(-limit)))
 

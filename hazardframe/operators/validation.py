@@ -16,8 +16,8 @@ def spearman(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """(keys, n, rho); rho is null for fewer than 3 pairs or a constant side."""
     known = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = known.withColumn("_a", average_rank(a, keys)).withColumn("_b", average_rank(b, keys))
-    constant = (F.min("_a") == F.max("_a")) | (F.min("_b") == F.max("_b"))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & ~constant, F.corr("_a", "_b")).alias("rho"))
+    rho = F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b"))
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, rho).alias("rho"))
 
 
 def compare_years(model: DataFrame, observed: DataFrame) -> DataFrame:
