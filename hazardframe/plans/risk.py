@@ -18,10 +18,14 @@ from hazardframe.plans.registry import query
 from hazardframe.sources.tables import table
 
 XS, YS = (0.0, 10.0, 20.0, 35.0, 50.0), (0.0, 0.05, 0.2, 0.5, 1.0)
-DAMAGE = C.lerp("intensity", XS, YS)
 NET = "l_quantity * (1 - l_discount)"
 
 
+def damage():
+    """Share of value lost at a cell's intensity."""
+    return C.lerp("intensity", XS, YS)
+
+
 def grid(spark: SparkSession, sf: str, intensity: str = "l_quantity", years: tuple[int, int] | None = None) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cell_id"), F.year("l_shipdate").alias("year"), F.expr(intensity).alias("x"))
     if years:
@@ -40,7 +44,7 @@ def result_rows(spark: SparkSession, sf: str) -> DataFrame:
     parts = []
     for hazard, years in (("all_years", None), ("late_years", (1999, 2100))):
         for model, intensity in (("gross", "l_quantity"), ("net", NET)):
-            rows = I.price(facilities(spark, sf), H.grid_to_events(grid(spark, sf, intensity, years)), DAMAGE)
+            rows = I.price(facilities(spark, sf), H.grid_to_events(grid(spark, sf, intensity, years)), damage())
             parts.append(rows.select(F.lit(hazard).alias("hazard"), F.lit(model).alias("model"), "facility_id", "nation", "region", "value", "eal", "eal_percent", "risk_level", "status"))
     out = parts[0]
     for p in parts[1:]:
@@ -87,7 +91,7 @@ SQL_HIGHEST = "CASE max(CASE risk_level WHEN 'High' THEN 3 WHEN 'Medium' THEN 2
 
 @query("eal_by_facility", f"WITH {SQL_ROWS} SELECT facility_id, status, round(eal, 6) AS eal, round(pct, 6) AS eal_percent, risk_level FROM res WHERE hazard = 'all_years' AND model = 'gross'")
 def eal_by_facility(spark, sf):
-    rows = I.price(facilities(spark, sf), H.grid_to_events(grid(spark, sf)), DAMAGE)
+    rows = I.price(facilities(spark, sf), H.grid_to_events(grid(spark, sf)), damage())
     return rows.select("facility_id", "status", _r("eal"), _r("eal_percent"), "risk_level")
 
 
@@ -103,13 +107,13 @@ PERIODS = (*I.RETURN_PERIODS, 3.0, 5.0, 7.0)
 
 @query("portfolio_loss_curve", f"WITH {SQL_FACILITIES}, {sql_grid()}, ev AS (SELECT yr AS event_id, 1.0 / (SELECT count(DISTINCT yr) FROM grid) AS f, sum(value * ({sql_lerp('intensity')})) AS loss FROM grid JOIN fac ON cell_id = facility_id WHERE value > 0 GROUP BY 1), {_SQL_CURVE.format(k='', p='1')}")
 def portfolio_loss_curve(spark, sf):
-    losses = I.event_losses(facilities(spark, sf), H.grid_to_events(grid(spark, sf)), DAMAGE, [])
+    losses = I.event_losses(facilities(spark, sf), H.grid_to_events(grid(spark, sf)), damage(), [])
     return I.loss_curve(losses, [], PERIODS).withColumn("loss", F.round("loss", 4))
 
 
 @query("group_loss_curves", f"WITH {SQL_FACILITIES}, {sql_grid()}, e0 AS (SELECT region, nation, yr AS event_id, value * ({sql_lerp('intensity')}) AS loss FROM grid JOIN fac ON cell_id = facility_id WHERE value > 0), ev AS (SELECT scope, member, event_id, 1.0 / (SELECT count(DISTINCT yr) FROM grid) AS f, sum(loss) AS loss FROM (SELECT 'portfolio' AS scope, 'all' AS member, event_id, loss FROM e0 UNION ALL SELECT 'region', region, event_id, loss FROM e0 UNION ALL SELECT 'nation', nation, event_id, loss FROM e0) GROUP BY 1, 2, 3), {_SQL_CURVE.format(k='scope, member,', p='scope, member')}")
 def group_loss_curves(spark, sf):
-    losses = I.event_losses(facilities(spark, sf), H.grid_to_events(grid(spark, sf)), DAMAGE, ["region", "nation"])
+    losses = I.event_losses(facilities(spark, sf), H.grid_to_events(grid(spark, sf)), damage(), ["region", "nation"])
     grouped = I.grouped_event_losses(losses, ["region", "nation"])
     return I.loss_curve(grouped, ["scope", "member"], PERIODS).withColumn("loss", F.round("loss", 4))
 
@@ -162,7 +166,7 @@ def model_comparison(spark, sf):
 
 @query("climate_multiplier", f"WITH {SQL_FACILITIES}, {sql_grid('g1', where='year(l_shipdate) <= 1997')}, {sql_grid('g2', where='year(l_shipdate) >= 1999')}, {sql_unit('g1', 'u1')}, {sql_unit('g2', 'u2')}, p AS ({sql_price('u1')}), f AS ({sql_price('u2')}), r AS (SELECT f.facility_id, f.eal AS fe, p.eal AS pe, CASE WHEN f.status <> 'FULL' THEN 'FUTURE_NOT_PRICED' WHEN p.status <> 'FULL' THEN 'BASELINE_NOT_PRICED' WHEN p.eal = 0 THEN 'ZERO_BASELINE' ELSE 'OK' END AS reason FROM f JOIN p USING (facility_id)) SELECT facility_id, 'flood' AS hazard, reason, round(CASE WHEN reason = 'OK' THEN fe / pe END, 9) AS multiplier FROM r")
 def climate_multiplier(spark, sf):
-    at = lambda years: I.price(facilities(spark, sf), H.grid_to_events(grid(spark, sf, years=years)), DAMAGE).withColumn("hazard", F.lit("flood"))
+    at = lambda years: I.price(facilities(spark, sf), H.grid_to_events(grid(spark, sf, years=years)), damage()).withColumn("hazard", F.lit("flood"))
     return T.climate_multiplier(at((1999, 2100)), at((0, 1997))).withColumn("multiplier", F.round("multiplier", 9))
 
 
@@ -188,7 +192,7 @@ def top_concentration(spark, sf):
 
 @query("change_kinds", f"WITH {SQL_FACILITIES}, {sql_grid('g1', where='year(l_shipdate) <= 1997')}, {sql_grid('g2', where='year(l_shipdate) >= 1999')}, {sql_unit('g1', 'u1')}, {sql_unit('g2', 'u2')}, p AS ({sql_price('u1')}), f AS ({sql_price('u2')}) SELECT f.facility_id, CASE WHEN f.eal IS NULL THEN 'unknown' WHEN p.eal IS NULL THEN 'no_baseline' WHEN abs(f.eal) < 0.005 AND abs(p.eal) < 0.005 THEN 'none' WHEN abs(p.eal) < 0.005 THEN 'new' WHEN (f.eal / p.eal - 1) * 100 >= 50 THEN 'up' WHEN (f.eal / p.eal - 1) * 100 <= -10 THEN 'down' ELSE 'flat' END AS kind FROM f JOIN p USING (facility_id)")
 def change_kinds(spark, sf):
-    at = lambda years, name: I.price(facilities(spark, sf), H.grid_to_events(grid(spark, sf, years=years)), DAMAGE).select("facility_id", F.col("eal").alias(name))
+    at = lambda years, name: I.price(facilities(spark, sf), H.grid_to_events(grid(spark, sf, years=years)), damage()).select("facility_id", F.col("eal").alias(name))
     both = at((1999, 2100), "now").join(at((0, 1997), "base"), "facility_id")
     return both.select("facility_id", M.change_kind("now", "base").alias("kind"))
 
