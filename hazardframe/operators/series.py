@@ -104,3 +104,28 @@ def first_at_or_after(states: DataFrame, keys: list[str], ts: str, value: str, a
 def latest_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The n first rows of each key by order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def running_median_excess(df: DataFrame, keys: list[str], order: str, value: str, width: int) -> DataFrame:
+    """Adds excess: the value over the median of the ``width`` (odd) rows around it, fewer at the ends."""
+    half = width // 2
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-half, half)
+    return df.withColumn("excess", F.col(value) - F.percentile(value, F.lit(0.5)).over(w))
+
+
+def first_crossing(df: DataFrame, keys: list[str], at: str, value: str, level: float) -> DataFrame:
+    """(keys, crossing): where the value first rises above the level, linear between samples; keys without one are left out."""
+    w = Window.partitionBy(*keys).orderBy(at)
+    rows = df.select(*keys, F.col(at).cast("double").alias("t1"), F.col(value).alias("v1"), F.lag(F.col(at).cast("double")).over(w).alias("t0"), F.lag(value).over(w).alias("v0"))
+    over = rows.where((F.col("v0") <= level) & (F.col("v1") > level))
+    cross = F.col("t0") + (level - F.col("v0")) / (F.col("v1") - F.col("v0")) * (F.col("t1") - F.col("t0"))
+    return over.groupBy(*keys).agg(F.min(cross).alias("crossing"))
+
+
+def loss_from_periods(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, eal): trapezoids of loss over frequency 1 / return_period, and the rarest loss over its own frequency."""
+    w = Window.partitionBy(*keys).orderBy("return_period")
+    f = 1 / F.col("return_period")
+    rarer_f, rarer = F.lead(f).over(w), F.lead("loss").over(w)
+    part = F.when(rarer.isNull(), f * F.col("loss")).otherwise((f - rarer_f) * (F.col("loss") + rarer) / 2)
+    return df.select(*keys, part.alias("part")).groupBy(*keys).agg(F.sum("part").alias("eal"))

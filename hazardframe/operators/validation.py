@@ -67,3 +67,24 @@ def binned_stats(df: DataFrame, x: str, y: str, edges: list[float]) -> DataFrame
         index = F.when(inside, k) if index is None else index.when(inside, k)
     q = lambda p, name: F.percentile(y, F.lit(p)).alias(name)
     return df.withColumn("bin", index).where("bin IS NOT NULL").groupBy("bin").agg(F.count(y).alias("n"), q(0.5, "median"), q(0.25, "p25"), q(0.75, "p75"))
+
+
+def compare_events(model: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ratio, error) of events that both sides have; the ratio is null over a zero observation."""
+    both = model.select(*keys, F.col("value").alias("m")).join(observed.select(*keys, F.col("value").alias("o")), keys)
+    return both.select(*keys, F.try_divide(F.col("m"), F.when(F.col("o") != 0, F.col("o"))).alias("ratio"), (F.col("m") - F.col("o")).alias("error"))
+
+
+def same_ranking(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
+    """One row: whether the n largest years of two series are the same set, and in the same order (ties by year)."""
+    top = lambda df: df.orderBy(F.desc("value"), "year").limit(n).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), "year"))), lambda p: p["year"]).alias("years"))  # noqa: E731, E501
+    both = top(a).select(F.col("years").alias("x")).crossJoin(F.broadcast(top(b).select(F.col("years").alias("y"))))  # one row each
+    return both.select((F.array_sort("x") == F.array_sort("y")).alias("same_set"), (F.col("x") == F.col("y")).alias("same_order"))
+
+
+def class_medians_rise(df: DataFrame, cls: str, value: str, least: int) -> DataFrame:
+    """One row: classes with enough values, and whether their medians rise with the class; null for fewer than 3."""
+    per = df.groupBy(F.col(cls).alias("c")).agg(F.count(value).alias("n"), F.percentile(value, F.lit(0.5)).alias("m")).where(F.col("n") >= least)
+    listed = per.agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "m"))), lambda p: p["m"]).alias("m"))
+    steps = F.zip_with(F.slice("m", F.lit(2), F.size("m")), F.slice("m", F.lit(1), F.size("m") - 1), lambda b, a: b >= a)
+    return listed.select(F.size("m").alias("classes"), F.when(F.size("m") >= 3, F.forall(steps, lambda x: x)).alias("rising"))
