@@ -1,0 +1 @@
+"""Risk analytics and training-data operators on Spark."""

@@ -1,0 +1 @@
+"""Operators: tables in, tables out."""

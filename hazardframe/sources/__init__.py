@@ -1,0 +1 @@
+"""Readers, validation, catalogs and sinks."""
