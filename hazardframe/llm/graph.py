@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardframe.llm.store import Workspace
 
+#: Distinct edges that one task joins by itself (16 bytes each); more take rounds over the cluster.
+TASK_EDGES = 400_000
+
+
+def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges of a partition."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    vertices = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(vertices, pa.int64()), pa.array([find(v) for v in vertices], pa.int64())], ["v", "root"])
+
 
-def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
+def components(edges: DataFrame, space: Workspace, name: str, task_edges: int = TASK_EDGES) -> DataFrame:
     """(v, root) for every vertex of edges (a, b); root is the least vertex reachable.
 
-    Each round maps every vertex to the least of itself and its neighbours, twice over, and the edges
+    Up to ``task_edges`` distinct edges are joined in one task. Beyond that, each round maps every vertex to the least of itself and its neighbours, twice over, and the edges
     to edges between those; rounds end when no edge is left. Stars take one round, a chain as many
     as its length can be halved. Repeated edges and loops are allowed. Tables are written to the
     shared folder each round and dropped when they are used up.
     """
     edges = space.save(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), f"{name}-edges-0")
+    if edges.count() <= task_edges:
+        return space.save(edges.coalesce(1).mapInArrow(_join_all, "v long, root long"), f"{name}-roots")
     roots, k = None, 0
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

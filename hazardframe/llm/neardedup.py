@@ -7,12 +7,18 @@
 2. Documents with the same set are one class, found by a 128-bit digest of the set; a class goes on as
    its least doc_id. Groups of copies, however large, are counted before they are shuffled.
 3. Classes that share a band meet in a bucket. No pairs within a bucket are listed: each member is
-   compared with the bucket's least member only (a star).
-4. Pairs are confirmed on full shingle sets, and confirmed links joined into components.
-5. In buckets that still hold members of more than one component, members outside the least
-   member's component become pivots in turn, a few at first and four times as many in each round, and
-   are compared with the members of other components. When no pivot is left, every pair of a bucket
-   was compared or lies in one component, so no link between candidates is lost.
+   tied to the bucket's least member only (a star), and stars make candidate clusters.
+4. Within a cluster, shingles that at most two classes hold are rare, others common. The number of
+   rare ones that two classes share, plus the lesser of their numbers of common ones, bounds their
+   intersection from above. So two classes can be similar enough only if they share rare shingles
+   (these pairs come from the shingles' counts, least and greatest holders: no lists of holders), or
+   if both have ``percent`` of common ones. A passage that many documents share makes none of these.
+5. The latter, alone, are compared within buckets: all members with the one that has the largest
+   share of common shingles; then, where a bucket still holds more than one component, members outside
+   that one's component in turn, a few at first and four times as many in each round, with the members
+   of other components that the bound allows. When no member is left, every pair of a bucket was
+   compared, excluded by the bound or lies in one component: no link between candidates is lost.
+6. Pairs are confirmed on full shingle sets, and confirmed links joined into components.
 
 A pair at the threshold of 0.75 misses all 32 bands of 4 rows with a chance of 5 in a million.
 """
@@ -36,7 +42,7 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 UNIVERSE = 1 << 20
 SEED = 20240607
-#: Pivots of a bucket in the second round; each later round takes four times as many.
+#: Members of a bucket that are heads in the second round; each later round takes four times as many.
 FIRST_PIVOTS = 4
 
 
@@ -116,6 +122,25 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _postings(k: int):
+    """(cluster, rep, s): every shingle of every class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.slices(batches):
+            sets = shingle_sets(*tb.texts(batch.column("text")), k)
+            at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            shingles = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("cluster").take(at), batch.column("doc_id").take(at), pa.array(tb.signed(shingles))], ["cluster", "rep", "s"])
+
+    return run
+
+
+def _allowed(n: str, f: str, other_n: str, other_f: str, percent: int, shared=0):
+    """Whether the bound on the intersection reaches percent of the union."""
+    most = F.least(f, other_f) + shared
+    return most * (100 + percent) >= (F.col(n) + F.col(other_n)) * percent
+
+
 def _fits(x: str, y: str, percent: int):
     """Sizes that allow the similarity: exact, as an intersection is no larger than either set."""
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
@@ -151,35 +176,59 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b")
         return space.save(both.mapInArrow(_confirm(shingle, percent), "a long, b long"), name)
 
-    pairs = members.where((F.col("rep") != F.col("pivot")) & _fits("n", "pivot_n", percent))
-    pairs = space.save(pairs.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs-1")
+    stars = members.where((F.col("rep") != F.col("pivot")) & _fits("n", "pivot_n", percent))
+    clusters = components(stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), space, "clusters")
+
+    # shingles held by one or two classes of a cluster, counted by their holders
+    inside = texts.join(clusters.select(F.col("v").alias("doc_id"), F.col("root").alias("cluster")).hint("merge"), "doc_id")
+    postings = inside.mapInArrow(_postings(shingle), "cluster long, rep long, s long")
+    holders = postings.groupBy("cluster", "s").agg(F.count("*").alias("held"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    shared = space.save(holders.where("held <= 2").groupBy("lo", "hi").agg(F.count("*").alias("shared")), "shared")
+    rare = shared.select(F.col("lo").alias("rep"), "shared").union(shared.where("lo <> hi").select("hi", "shared")).groupBy("rep").agg(F.sum("shared").alias("rare"))
+    sizes = classes.select("rep", "n").join(clusters.select(F.col("v").alias("rep")).hint("merge"), "rep", "left_semi")
+    profile = space.save(sizes.join(rare.hint("merge"), "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("common")), "profile")
+
+    side = lambda x, end: profile.select(F.col("rep").alias(x), F.col("n").alias(f"n_{end}"), F.col("common").alias(f"common_{end}"))
+    few = shared.where("lo <> hi").join(side("lo", "a").hint("merge"), "lo").join(side("hi", "b").hint("merge"), "hi")
+    few = few.where(_allowed("n_a", "common_a", "n_b", "common_b", percent, F.col("shared")) & _fits("n_a", "n_b", percent))
+
+    core = members.select("h", "rep").join(profile.where(F.col("common") * 100 >= F.col("n") * percent).hint("merge"), "rep")
+    core = space.save(core.withColumn("rank", F.struct((1 - F.col("common") / F.col("n")).alias("off"), "rep")), "core")
+    heads = core.groupBy("h").agg(F.count("*").alias("size"), F.min_by(F.struct("rep", "n", "common"), "rank").alias("head")).where("size > 1")
+    headed = core.join(heads.hint("merge"), "h").select("h", "rep", "n", "common", "rank", "size", F.col("head.rep").alias("p"), F.col("head.n").alias("p_n"), F.col("head.common").alias("p_common"))
+    headed = space.save(headed, "headed")
+    first = headed.where((F.col("rep") != F.col("p")) & _allowed("n", "common", "p_n", "p_common", percent) & _fits("n", "p_n", percent))
+    first = first.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
+    pairs = space.save(first.union(few.select("lo", "hi")).distinct(), "pairs-1")
     links = confirm(pairs, "links-1")
     roots = components(links, space, "round-1")
 
     # pairs that share a bucket of more than two, and neither a component nor a confirmed comparison
     compared, k, pivots = pairs, 1, first_pivots
-    rest = members.where("size > 2").select("h", "rep", "n")
+    rest = headed.where("size > 2").select("h", "rep", "n", "common", "rank").join(classes.select("rep", "bands").hint("merge"), "rep")
     done = None
     while True:
         k += 1
         now = rest.join(roots.withColumnRenamed("v", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed = now.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("rep", "root"))["root"].alias("main")).where("lo <> hi")
-        rest = space.save(now.join(mixed.hint("merge"), "h").select("h", "rep", "n", "root", "main"), f"rest-{k}")
+        mixed = now.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", "rank").alias("main")).where("lo <> hi")
+        rest = space.save(now.join(mixed.hint("merge"), "h").select("h", "rep", "n", "common", "rank", "bands", "root", "main"), f"rest-{k}")
         outside = rest.where("root <> main")
         if done is not None:
             outside = outside.join(done, ["h", "rep"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("h").orderBy("rep"))
-        chosen = space.save(outside.withColumn("turn", turn).where(F.col("turn") <= pivots).select("h", F.col("rep").alias("p"), F.col("n").alias("p_n"), F.col("root").alias("p_root")), f"chosen-{k}")
+        turn = F.row_number().over(Window.partitionBy("h").orderBy("rank"))
+        chosen = space.save(outside.withColumn("turn", turn).where(F.col("turn") <= pivots).select("h", F.col("rep").alias("p"), F.col("n").alias("p_n"), F.col("common").alias("p_common"), F.col("bands").alias("p_bands"), F.col("root").alias("p_root")), f"chosen-{k}")
         if chosen.isEmpty():
             break
-        found = rest.join(chosen, "h").where((F.col("root") != F.col("p_root")) & _fits("n", "p_n", percent))
+        allowed = _allowed("n", "common", "p_n", "p_common", percent) & _fits("n", "p_n", percent)
+        once = F.array_min(F.array_intersect("bands", "p_bands")) == rest.h  # a pair counts in its least bucket only
+        found = rest.join(chosen.hint("merge"), "h").where((F.col("root") != F.col("p_root")) & allowed & once)
         found = found.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
         pairs = space.save(found.join(compared.hint("merge"), ["a", "b"], "left_anti"), f"pairs-{k}")
         compared = compared.union(pairs)
         links = confirm(pairs, f"links-{k}")
         newly = chosen.select("h", F.col("p").alias("rep"))
         done = newly if done is None else done.union(newly)
-        rest = rest.select("h", "rep", "n")
+        rest = rest.select("h", "rep", "n", "common", "rank", "bands")
         pivots *= 4
         if links.isEmpty():
             continue

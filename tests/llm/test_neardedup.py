@@ -70,6 +70,18 @@ def test_against_brute_force(spark):
     compare(spark, rows[:40], first_pivots=1)
 
 
+def test_hot_group_of_uneven_copies(spark):
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(w))
+    compare(spark, list(enumerate(texts)), first_pivots=2)
+
+
 def test_whole_small_table(spark):
     compare(spark, [(r.doc_id, r.text) for r in read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()])
 
@@ -80,5 +92,7 @@ def test_empty_table(spark):
 
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b")).union(spark.createDataFrame([(100, 101), (101, 100), (7, 7)], "a long, b long"))
-    got = {r.v: r.root for r in components(edges, Workspace(spark, "test"), "chain").collect()}
-    assert got == {**{v: 0 for v in range(60)}, 100: 100, 101: 100}
+    want = {**{v: 0 for v in range(60)}, 100: 100, 101: 100}
+    for task_edges in (1000, 5):
+        got = {r.v: r.root for r in components(edges, Workspace(spark, "test"), "chain", task_edges).collect()}
+        assert got == want
