@@ -33,7 +33,7 @@ from hazardframe.llm.store import Workspace, read_table
 
 CAPACITY, END_ID = 2048, 0
 #: Documents in a block, about, and chunks of text whose ids a worker remembers.
-BLOCK_DOCS, CACHE = 50_000, 300_000
+BLOCK_DOCS, CACHE = 50_000, 700_000
 
 
 class ChunkTokenizer:
@@ -54,6 +54,7 @@ class ChunkTokenizer:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.dtype = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
         self.known: dict[bytes, bytes] = {}
+        self.marks = {x[0]: self._each([x.decode()])[0] for x in (b".", b",")}
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -67,34 +68,32 @@ class ChunkTokenizer:
         return [body[a * width : b * width] for a, b in zip(at, at[1:], strict=False)]
 
     def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.known) + len(chunks) > CACHE:
-            self.known.clear()
-        stems: dict[str, list[tuple[bytes, bytes]]] = {}
-        other = []
+        """Remembers the ids of chunks; a comma or full stop after letters is a token of its own."""
+        known, stems, marked, other = self.known, set(), [], []
         for chunk in chunks:
-            end = chunk[-1:] if chunk[-1:] in b".," and len(chunk) > 1 else b""
-            word = chunk[: len(chunk) - len(end)].decode()
-            if word.isalpha():
-                stems.setdefault(word.lower() if word.isascii() else word, []).append((chunk, end))
-            else:
+            stem = chunk[:-1] if chunk[-1] in self.marks and len(chunk) > 1 else chunk
+            if not (stem.isalpha() or not stem.isascii() and stem.decode().isalpha()):
                 other.append(chunk)
-        marks = {b"": b"", b".": self._each(["."])[0], b",": self._each([","])[0]}
+                continue
+            if stem not in known:
+                stems.add(stem)
+            if stem is not chunk:
+                marked.append((chunk, stem))
         words = list(stems)
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
-            for word, ids in zip(part, self._letters(part), strict=True):
-                for chunk, end in stems[word]:
-                    self.known[chunk] = ids + marks[end]
-        self.known.update(zip(other, self._each([x.decode() for x in other]), strict=True))
+            known.update(zip(part, self._letters([x.decode() for x in part]), strict=True))
+        for chunk, stem in marked:
+            known[chunk] = known[stem] + self.marks[chunk[-1]]
+        known.update(zip(other, self._each([x.decode() for x in other]), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [x.split() for x in texts]
+        # ASCII texts are lower-cased at once; elsewhere case may decide what composes with an accent
+        split = [(x.lower() if x.isascii() else x).split() for x in texts]
         chunks = set().union(*split)
-        new = chunks - self.known.keys()
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                new = chunks
-            self._learn(new)
+        if len(self.known) + len(chunks) > CACHE:
+            self.known.clear()
+        self._learn(chunks - self.known.keys())
         known = self.known
         return [np.frombuffer(b"".join([known[c] for c in x]), self.dtype) for x in split]
 

@@ -7,9 +7,10 @@ earlier in the same document) goes. Strings are judged on the input and never cr
    Equal strings have equal anchors at equal places, so only strings whose anchor's hash occurs
    twice anywhere can repeat. Consecutive strings mostly share an anchor: about one anchor stands for
    40 bytes of text.
-2. For each anchor that repeats, the block of bytes that its strings cover goes to the shard that
-   owns the anchor's hash. Slices of documents first combine equal blocks, so a passage that most
-   documents hold arrives once a slice; the later copies are repeats already.
+2. An anchor's block is the bytes that its strings cover. Where all blocks of a repeating anchor are
+   equal (by digest), the later ones are repeats as they stand. Other blocks go to the shard that owns
+   the anchor's hash. Slices of documents first combine equal blocks, and shards do so again, so a
+   passage that most documents hold arrives once a slice and is sorted once.
 3. A shard cuts its blocks into runs of bounded size. A run's suffix array comes from
    Larsson-Sadakane refinement (only groups that are not yet sorted are sorted again, by the rank
    that many bytes on), its common prefixes from Kasai's algorithm, all blocks in step. Neighbours
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ from hazardframe.llm.store import Workspace, read_table
 
 WIDTH, GRAM = 100, 20
 #: Occurrences from which an anchor's blocks stay with their slices; bytes of blocks in a shard and in a run.
-HOT, SHARD_BYTES, RUN_BYTES = 50_000, 6_000_000, 1_000_000
+HOT, SHARD_BYTES, RUN_BYTES = 200_000, 6_000_000, 1_000_000
 U64, LOW32 = np.uint64, np.uint64(0xFFFFFFFF)
 
 
@@ -87,10 +89,15 @@ def _emit_anchors(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches):
             data, bounds = tb.texts(batch.column("text"))
-            h, place, _, _ = anchors(data, bounds, width, gram)
-            owner = tb.owner_of(bounds, place)
+            h, place, lo, hi = anchors(data, bounds, width, gram)
+            owner = tb.owner_of(bounds, lo)
+            words = _words4(data)
+            # the first and the last string cover a block
+            shape = (hi - lo).astype(np.uint64) << U64(32) | (place - lo).astype(np.uint64)
+            digest = tb.mix(_hash_at(words, lo, width, 37) + _hash_at(words, hi, width, 41) * U64(3) + shape)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tb.signed(h)), batch.column("doc_id").take(pa.array(owner)), pa.array(place - bounds[owner])], ["h", "doc_id", "place"]
+                [pa.array(tb.signed(h)), batch.column("doc_id").take(pa.array(owner)), pa.array(lo - bounds[owner]), pa.array((hi - lo).astype(np.int32)), pa.array(tb.signed(digest))],
+                ["h", "doc_id", "s", "more", "digest"],
             )
 
     return run
@@ -234,55 +241,43 @@ def _ranges(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
 
 
 _RANGES = "doc_id long, s long, e long"
-_BLOCKS = "h long, doc_id long, s long, body binary"
+_BLOCKS = "h long, doc_id long, s long, e long, body binary"
 
 
 def _blocks_of(batch: pa.RecordBatch, width: int, gram: int, hot: bool):
-    """Blocks of the anchors listed for each document, different ones first: (hash, doc, first start, body), and repeats."""
+    """Blocks at the starts listed for each document: different ones (hash, doc, first and last start, body), and repeats."""
     data, bounds = tb.texts(batch.column("text"))
-    h, place, lo, hi = anchors(data, bounds, width, gram)
-    owner = tb.owner_of(bounds, place)
+    h, _, lo, hi = anchors(data, bounds, width, gram)
+    owner = tb.owner_of(bounds, lo)
     listed = batch.column("hot" if hot else "places")
-    values = listed.flatten().to_numpy(zero_copy_only=False)
     at = listed.offsets.to_numpy() - listed.offsets[0].as_py()
-    wanted = np.sort(np.repeat(bounds[:-1], np.diff(at)) + values)
-    keep = np.isin(place, wanted)
+    wanted = np.repeat(bounds[:-1], np.diff(at)) + listed.flatten().to_numpy(zero_copy_only=False)
     ids = batch.column("doc_id").to_numpy()
-    by = np.flatnonzero(keep)
+    by = np.flatnonzero(np.isin(lo, wanted))
     by = by[np.lexsort((lo[by] - bounds[owner[by]], ids[owner[by]]))]  # earliest first
     body = memoryview(data)
-    seen: dict[tuple[int, bytes], None] = {}
+    seen: set[tuple[int, bytes]] = set()
     blocks, late = [], []
     for hash_, doc, a, b, start in zip(h[by].view(np.int64).tolist(), owner[by].tolist(), lo[by].tolist(), hi[by].tolist(), bounds[owner[by]].tolist(), strict=True):
         text = bytes(body[a : b + width])
         if (hash_, text) in seen:
-            late.append((doc, a - start, b - start))
+            late.append((hash_, doc, a - start, b - start, None))
         else:
-            seen[hash_, text] = None
-            blocks.append((hash_, doc, a - start, text))
+            seen.add((hash_, text))
+            blocks.append((hash_, doc, a - start, b - start, text))
     return blocks, late, ids
 
 
 def _emit_blocks(width: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tb.slices(batches, limit=8_000_000):
-            blocks, _, ids = _blocks_of(batch, width, gram, False)
-            if blocks:
-                h, doc, s, body = zip(*blocks, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ids[list(doc)], pa.int64()), pa.array(s, pa.int64()), pa.array(body, pa.binary())], ["h", "doc_id", "s", "body"])
-
-    return run
-
-
-def _emit_local(width: int, gram: int):
-    """Repeats found inside a slice."""
+    """A slice's different blocks, and without a body the repeats found in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches, limit=8_000_000):
-            _, late, ids = _blocks_of(batch, width, gram, False)
-            if late:
-                doc, s, e = zip(*late, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[list(doc)], pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["doc_id", "s", "e"])
+            blocks, late, ids = _blocks_of(batch, width, gram, False)
+            if blocks:
+                h, doc, s, e, body = zip(*blocks, *late, strict=True)
+                columns = [pa.array(h, pa.int64()), pa.array(ids[list(doc)], pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "s", "e", "body"])
 
     return run
 
@@ -295,10 +290,22 @@ def _sorted_blocks(docs: np.ndarray, starts: np.ndarray, column: pa.Array | pa.C
 
 
 def _shard(width: int, run_bytes: int):
+    names = ["doc_id", "s", "e"]
+
     def work(table: pa.Table) -> pa.Table:
+        known = table.filter(pc.is_null(table["body"])).select(names)
+        table = table.filter(pc.is_valid(table["body"])).sort_by([("doc_id", "ascending"), ("s", "ascending")])
+        first: dict[bytes, int] = {}
+        bodies = table["body"].to_pylist()
+        for k, body in enumerate(bodies):
+            first.setdefault(body, k)
+        head = np.zeros(len(bodies), bool)
+        head[list(first.values())] = True
+        again = table.filter(pa.array(~head)).select(names)
+        table = table.filter(pa.array(head))
         data, begins, ends, base, ids = _sorted_blocks(table["doc_id"].to_numpy(), table["s"].to_numpy(), table["body"])
         late, _ = repeats(data, begins, ends, base, width, run_bytes)
-        return pa.Table.from_batches([_ranges(late, ids)])
+        return pa.concat_tables([known, again, pa.Table.from_batches([_ranges(late, ids)])])
 
     return work
 
@@ -311,11 +318,11 @@ def _hot_classes(width: int, gram: int):
             blocks, late, ids = _blocks_of(batch, width, gram, True)
             if not blocks:
                 continue
-            _, doc, s, body = zip(*blocks, strict=True)
+            _, doc, s, _, body = zip(*blocks, strict=True)
             data, begins, ends, base, known = _sorted_blocks(ids[list(doc)], np.array(s), pa.array(body, pa.binary()))
             again, (keys, d1, d2) = repeats(data, begins, ends, base, width)
             own = _ranges(again, known)
-            more = np.array(late, np.int64).reshape(-1, 3)
+            more = np.array([x[1:4] for x in late], np.int64).reshape(-1, 3)
             m = own.num_rows + len(more)
             none = pa.nulls(m, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -374,19 +381,32 @@ def dedup_substrings(
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "ranges")
     space = Workspace(spark, "suffix")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = plain.mapInArrow(_emit_anchors(width, gram), "h long, doc_id long, place long")
-    counts = space.save(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    again = found.join(counts.hint("merge"), "h").groupBy("doc_id")
-    listed = again.agg(
-        F.collect_list(F.when(F.col("n") <= hot, F.col("place"))).alias("places"), F.collect_list(F.when(F.col("n") > hot, F.col("place"))).alias("hot")
+    found = plain.mapInArrow(_emit_anchors(width, gram), "h long, doc_id long, s long, more int, digest long")
+    # longs only, so that the aggregation stays hashed; starts within the first document are told apart below
+    counts = found.groupBy("h").agg(F.count("*").alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.min("doc_id").alias("first"))
+    counts = counts.where("n > 1").select("h", "n", (F.col("d0") == F.col("d1")).alias("alike"), "first")
+    counts = space.save(counts, "counts")
+    again = found.join(counts.hint("merge"), "h").withColumn("e", F.col("s") + F.col("more"))
+    starts = lambda cond: F.collect_list(F.when(~F.col("alike") & cond, F.col("s")))
+    own = F.col("doc_id") == F.col("first")
+    listed = again.groupBy("doc_id").agg(
+        starts(F.col("n") <= hot).alias("places"),
+        starts(F.col("n") > hot).alias("hot"),
+        F.collect_list(F.when(F.col("alike") & ~own, F.struct("s", "e"))).alias("known"),
+        F.array_sort(F.collect_list(F.when(F.col("alike") & own, F.struct("h", "s", "e")))).alias("own"),
     )
+    after = F.zip_with(F.slice("own", F.lit(2), F.size("own")), F.slice("own", F.lit(1), F.size("own") - 1), lambda y, x: F.when(y["h"] == x["h"], F.struct(y["s"].alias("s"), y["e"].alias("e"))))
+    later = F.when(F.size("own") > 1, F.filter(after, lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
+    listed = listed.select("doc_id", "places", "hot", F.concat("known", later).alias("known")).where("size(places) + size(hot) + size(known) > 0")
     listed = space.save(listed, "listed")
     totals = listed.agg(F.sum(F.size("places")).alias("n"), F.sum(F.size("hot")).alias("hot")).first()
 
-    held = plain.join(listed.hint("merge"), "doc_id")
+    held = plain.join(listed.where("size(places) + size(hot) > 0").select("doc_id", "places", "hot").hint("merge"), "doc_id")
     shards = max(1, math.ceil((totals.n or 0) * 1.4 * width / shard_bytes))
-    blocks = held.mapInArrow(_emit_blocks(width, gram), _BLOCKS).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    ranges = blocks.groupBy("shard").applyInArrow(_shard(width, run_bytes), _RANGES).union(held.mapInArrow(_emit_local(width, gram), _RANGES))
+    owner = F.when(F.col("body").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("h"))
+    blocks = held.mapInArrow(_emit_blocks(width, gram), _BLOCKS).withColumn("shard", F.pmod(owner, F.lit(shards)))
+    ranges = blocks.groupBy("shard").applyInArrow(_shard(width, run_bytes), _RANGES)
+    ranges = ranges.union(listed.select("doc_id", F.inline("known")))
     if totals.hot:
         classes = held.mapInArrow(_hot_classes(width, gram), f"{_RANGES}, d1 long, d2 long")
         classes = space.save(classes, "hot")
