@@ -41,14 +41,18 @@ class ChunkTokenizer:
 
     No token of such a vocabulary spans white space, so a text's ids are those of its chunks. Chunks
     of letters only end with exactly one end-of-word token, so new ones are encoded together, joined
-    by spaces, and cut apart after those tokens.
+    by spaces, and cut apart after those tokens. Lower-case ASCII letters need none of the vocabulary's
+    normalisation nor its splitting pattern: its merges alone give their ids.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -59,8 +63,9 @@ class ChunkTokenizer:
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+    def _letters(self, words: list[str], plain: bool) -> list[bytes]:
+        tokenizer = self.merges if plain else self.tokenizer
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words):  # a word whose lower-cased form is no longer all letters
             return self._each(words)
@@ -79,10 +84,11 @@ class ChunkTokenizer:
                 stems.add(stem)
             if stem is not chunk:
                 marked.append((chunk, stem))
-        words = list(stems)
-        for k in range(0, len(words), 2000):
-            part = words[k : k + 2000]
-            known.update(zip(part, self._letters([x.decode() for x in part]), strict=True))
+        plain = [x for x in stems if x.isascii() and x.islower()]
+        for words in (plain, list(stems.difference(plain))):
+            for k in range(0, len(words), 2000):
+                part = words[k : k + 2000]
+                known.update(zip(part, self._letters([x.decode() for x in part], words is plain), strict=True))
         for chunk, stem in marked:
             known[chunk] = known[stem] + self.marks[chunk[-1]]
         known.update(zip(other, self._each([x.decode() for x in other]), strict=True))
@@ -93,9 +99,9 @@ class ChunkTokenizer:
         chunks = set().union(*split)
         if len(self.known) + len(chunks) > CACHE:
             self.known.clear()
-        self._learn(chunks - self.known.keys())
-        known = self.known
-        return [np.frombuffer(b"".join([known[c] for c in x]), self.dtype) for x in split]
+        self._learn(chunks.difference(self.known))
+        ids = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(ids, x)), self.dtype) for x in split]
 
 
 @lru_cache(maxsize=2)
