@@ -38,63 +38,76 @@ from hazardframe.llm.store import Workspace, read_table
 WIDTH, GRAM = 100, 20
 #: Occurrences from which an anchor's blocks stay with their slices; bytes of blocks in a shard and in a run.
 HOT, SHARD_BYTES, RUN_BYTES = 200_000, 6_000_000, 1_000_000
+#: Bytes of text whose anchors are found at a time, unless a single text is longer.
+NEAR_BYTES = 64_000
 U64, LOW32 = np.uint64, np.uint64(0xFFFFFFFF)
 
 
-def _words4(data: np.ndarray) -> np.ndarray:
-    """The 4 bytes from each position as a number; shorter by 3 than the data."""
-    m = max(len(data) - 3, 0)
-    wide = data.astype(np.uint64)
-    pairs = wide[: m + 2] | wide[1 : m + 3] << U64(8) if m else wide[:0]
-    return pairs[:m] | pairs[2 : m + 2] << U64(16) if m else wide[:0]
-
-
-def _hash_at(words: np.ndarray, at: np.ndarray | slice, length: int, seed: int) -> np.ndarray:
-    """Hash of the ``length`` bytes (at least 4) from each position."""
-    steps = [*range(0, length - 3, 4)] + ([length - 4] if length % 4 else [])
-    factors = tb.randoms(len(steps), seed)
-    if isinstance(at, slice):
-        total = np.zeros(at.stop, np.uint64)
-        for step, factor in zip(steps, factors, strict=True):
-            total += words[step : step + at.stop] * factor
-    else:
-        total = np.zeros(len(at), np.uint64)
-        for step, factor in zip(steps, factors, strict=True):
-            total += words[at + step] * factor
+def _gram_hashes(data: np.ndarray, gram: int, seed: int = 23) -> np.ndarray:
+    """Hash of the ``gram`` bytes (at least 4) from each position, taken 4 at a time."""
+    n = len(data) - gram + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    data = np.ascontiguousarray(data)
+    words = np.ndarray(len(data) - 3, "<u4", data, strides=(1,)).astype(np.uint64)  # the 4 bytes from each position
+    steps = [*range(0, gram - 3, 4)] + ([gram - 4] if gram % 4 else [])
+    total = np.zeros(n, np.uint64)
+    for step, factor in zip(steps, tb.randoms(len(steps), seed), strict=True):
+        total += words[step : step + n] * factor
     return tb.mix(total)
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, width: int, gram: int):
-    """(hash, place of the anchor, first string, last string) of each anchor, places in the data, in order."""
-    n = len(data) - width + 1
-    empty = np.empty(0, np.int64)
-    if n <= 0:
-        return empty.astype(np.uint64), empty, empty, empty
-    hashes = _hash_at(_words4(data), slice(0, len(data) - gram + 1), gram, 23)
-    key = hashes & ~LOW32 | np.arange(len(hashes), dtype=np.uint64)
-    least = tb.sliding_min(key, width - gram + 1)
-    starts = np.arange(n)
-    owner = tb.owner_of(bounds, starts)
-    valid = starts + width <= bounds[owner + 1]
-    starts, place = starts[valid], (least[:n][valid] & LOW32).astype(np.int64)
+def _string_hashes(grams: np.ndarray, at: np.ndarray, width: int, gram: int, seed: int) -> np.ndarray:
+    """Hash of the ``width`` bytes from each of the places, by the hashes of the grams that make them up."""
+    steps = [*range(0, width - gram + 1, gram)] + ([width - gram] if width % gram else [])
+    total = np.zeros(len(at), np.uint64)
+    for step, factor in zip(steps, tb.randoms(len(steps), seed), strict=True):
+        total += grams[at + step] * factor
+    return tb.mix(total)
+
+
+def _anchors_near(data: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    n = max(len(data) - width + 1, 0)
+    hashes = _gram_hashes(data, gram)
+    starts = np.flatnonzero(np.arange(n) + width <= np.repeat(bounds[1:], np.diff(bounds))[:n])
     if not len(starts):
-        return empty.astype(np.uint64), empty, empty, empty
+        empty = np.empty(0, np.int64)
+        return empty.astype(np.uint64), empty, empty, empty, empty.astype(np.uint64)
+    key = hashes & ~LOW32 | np.arange(len(hashes), dtype=np.uint64)
+    place = (tb.sliding_min(key, width - gram + 1)[starts] & LOW32).astype(np.int64)
     new = np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(starts)]]) - 1
-    return hashes[place[first]], place[first], starts[first], starts[last]
+    place, lo, hi = place[first], starts[first], starts[last]
+    # the first and the last string cover a block
+    shape = (hi - lo).astype(np.uint64) << U64(32) | (place - lo).astype(np.uint64)
+    ends = _string_hashes(hashes, lo, width, gram, 37) + _string_hashes(hashes, hi, width, gram, 41) * U64(3)
+    return hashes[place], place, lo, hi, tb.mix(ends + shape)
+
+
+def anchors(data: np.ndarray, bounds: np.ndarray, width: int, gram: int):
+    """(hash, place of the anchor, first string, last string, digest of the block) of each anchor, in order.
+
+    Places are in the data. Texts are taken a few at a time, so that the arrays stay in the processor's cache.
+    """
+    parts, at = [], 0
+    while True:
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + NEAR_BYTES, "right")) - 1)
+        end = min(end, len(bounds) - 1)
+        begin = bounds[at]
+        h, place, lo, hi, digest = _anchors_near(data[begin : bounds[end]], bounds[at : end + 1] - begin, width, gram)
+        parts.append((h, place + begin, lo + begin, hi + begin, digest))
+        at = end
+        if at >= len(bounds) - 1:
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _emit_anchors(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches):
             data, bounds = tb.texts(batch.column("text"))
-            h, place, lo, hi = anchors(data, bounds, width, gram)
+            h, _, lo, hi, digest = anchors(data, bounds, width, gram)
             owner = tb.owner_of(bounds, lo)
-            words = _words4(data)
-            # the first and the last string cover a block
-            shape = (hi - lo).astype(np.uint64) << U64(32) | (place - lo).astype(np.uint64)
-            digest = tb.mix(_hash_at(words, lo, width, 37) + _hash_at(words, hi, width, 41) * U64(3) + shape)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(tb.signed(h)), batch.column("doc_id").take(pa.array(owner)), pa.array(lo - bounds[owner]), pa.array((hi - lo).astype(np.int32)), pa.array(tb.signed(digest))],
                 ["h", "doc_id", "s", "more", "digest"],
@@ -114,7 +127,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = key << U64(8) | wide[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     head = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
@@ -127,7 +140,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         members = order[open_]
         group = rank[members]
         on = rank[np.minimum(members + done, n)]
-        sub = np.argsort(group << 32 | (on + 1), kind="stable")
+        sub = np.argsort(group << 32 | (on + 1))
         members, group, on = members[sub], group[sub], on[sub]
         order[open_] = members
         head = np.concatenate([[True], (group[1:] != group[:-1]) | (on[1:] != on[:-1])])
@@ -194,9 +207,9 @@ def _classes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, base: np.nd
     by = np.lexsort((keys, number))
     strings, number, keys = strings[by], number[by], keys[by]
     head = np.concatenate([[True], number[1:] != number[:-1]]) if len(number) else np.empty(0, bool)
-    words = _words4(apart)
-    reps = strings[head]
-    return keys[head], _hash_at(words, reps, width, 29), _hash_at(words, reps, width, 31), keys[~head]
+    reps, gram = strings[head], min(GRAM, width)
+    d1, d2 = (_string_hashes(_gram_hashes(apart, gram, seed), reps, width, gram, seed) for seed in (29, 31))
+    return keys[head], d1, d2, keys[~head]
 
 
 def repeats(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, base: np.ndarray, width: int, run_bytes: int = RUN_BYTES):
@@ -247,7 +260,7 @@ _BLOCKS = "h long, doc_id long, s long, e long, body binary"
 def _blocks_of(batch: pa.RecordBatch, width: int, gram: int, hot: bool):
     """Blocks at the starts listed for each document: different ones (hash, doc, first and last start, body), and repeats."""
     data, bounds = tb.texts(batch.column("text"))
-    h, _, lo, hi = anchors(data, bounds, width, gram)
+    h, _, lo, hi, _ = anchors(data, bounds, width, gram)
     owner = tb.owner_of(bounds, lo)
     listed = batch.column("hot" if hot else "places")
     at = listed.offsets.to_numpy() - listed.offsets[0].as_py()
