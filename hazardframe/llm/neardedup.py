@@ -7,7 +7,9 @@
 2. Documents with the same set are one class, found by a 128-bit digest of the set; a class goes on as
    its least doc_id. Groups of copies, however large, are counted before they are shuffled.
 3. Classes that share a band meet in a bucket. No pairs within a bucket are listed: each member is
-   tied to the bucket's least member only (a star), and stars make candidate clusters.
+   tied to the bucket's least member only (a star), and stars make candidate clusters. A star holds
+   members of every size, as two that fit each other need not fit the least one; sizes are compared
+   for pairs only.
 4. Within a cluster, shingles that at most two classes hold are rare, others common. The number of
    rare ones that two classes share, plus the lesser of their numbers of common ones, bounds their
    intersection from above. So two classes can be similar enough only if they share rare shingles
@@ -163,8 +165,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     classes = space.save(classes, "classes")
 
     banded = classes.select("rep", "n", F.explode("bands").alias("h"))
-    buckets = banded.groupBy("h").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("least")).where("size > 1")
-    buckets = buckets.select("h", "size", F.col("least.rep").alias("pivot"), F.col("least.n").alias("pivot_n"))
+    buckets = banded.groupBy("h").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
     members = space.save(banded.join(buckets.hint("merge"), "h"), "members")
 
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
@@ -176,7 +177,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b")
         return space.save(both.mapInArrow(_confirm(shingle, percent), "a long, b long"), name)
 
-    stars = members.where((F.col("rep") != F.col("pivot")) & _fits("n", "pivot_n", percent))
+    stars = members.where("rep <> pivot")
     clusters = components(stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), space, "clusters")
 
     # shingles held by one or two classes of a cluster, counted by their holders

@@ -82,6 +82,13 @@ def test_hot_group_of_uneven_copies(spark):
     compare(spark, list(enumerate(texts)), first_pivots=2)
 
 
+def test_near_copies_behind_longer_documents(spark):
+    passage = [f"p{i}" for i in range(100)]
+    texts = [" ".join(passage + [f"x{k}-{i}" for i in range(36)]) for k in range(100)]  # of lower id, too long for the two below
+    texts += [" ".join(passage), " ".join("other" if i in (30, 70) else w for i, w in enumerate(passage))]
+    compare(spark, list(enumerate(texts)))
+
+
 def test_whole_small_table(spark):
     compare(spark, [(r.doc_id, r.text) for r in read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()])
 
