@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazardframe.operators import series as S
+
 SCALE = 1 << 52
 
 
@@ -13,36 +15,75 @@ def uniform(seed: int, *keys: Column | str) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(SCALE)) + 0.5) / SCALE
 
 
-def bootstrap_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: list[float], replicates: int = 200, seed: int = 42) -> DataFrame:
-    """(keys, quantile, lo, hi): 5 and 95 % bounds of quantiles over resamples.
+def resamples(df: DataFrame, keys: list[str], value: str, replicates: int, seed: int) -> DataFrame:
+    """(keys, replicate, x): each replicate draws as many rows of a key as it has values, with replacement.
+
+    Rows are numbered by value within their keys, so that equal values are drawn apart and draws do not
+    depend on partitions. Null values are left out.
+    """
+    w = Window.partitionBy(*keys)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x"))
+    rows = rows.withColumn("row", F.row_number().over(w.orderBy("x"))).withColumn("n", F.count("*").over(w))
+    draws = rows.select(*keys, "row", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    picked = F.least(F.floor(uniform(seed, *keys, "row", "replicate") * F.col("n")) + 1, F.col("n")).cast("int")
+    same = F.lit(True)
+    for k in [*keys, "row"]:
+        same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"r.{k}"))
+    drawn = draws.select(*keys, picked.alias("row"), "replicate").alias("d").join(rows.alias("r"), same)
+    return drawn.select(*[F.col(f"d.{k}") for k in keys], "replicate", "x")
+
+
+def bootstrap_quantiles(
+    df: DataFrame, keys: list[str], value: str, periods: list[float], dist: str = "gumbel", quantiles: tuple[float, ...] = (0.05, 0.95), replicates: int = 200, seed: int = 42
+) -> DataFrame:
+    """(keys, return_period, quantile, level): quantiles of return levels fitted to resamples.
 
-    Each value enters each resample as often as a Poisson(1) draw says, so no resample is gathered.
+    ``dist`` is gumbel or gev, by L-moments of each resample. A resample without a fit (fewer than 3
+    values, for gev fewer than 4 or all alike) gives no level.
     """
-    draws = df.select(*keys, F.col(value).alias("x"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), F.monotonically_increasing_id().alias("_id"))
-    u = uniform(seed, *keys, "x", "replicate")
-    times = sum((F.when(u > c, 1).otherwise(0) for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015)), F.lit(0))
-    drawn = draws.withColumn("times", times).where("times > 0")
-    per = drawn.groupBy(*keys, "replicate").agg(F.percentile("x", F.array(*[F.lit(q) for q in quantiles]), F.col("times")).alias("q"))
-    long = per.select(*keys, F.posexplode("q").alias("i", "q"))
-    bounds = long.groupBy(*keys, "i").agg(F.percentile("q", F.lit(0.05)).alias("lo"), F.percentile("q", F.lit(0.95)).alias("hi"))
+    if dist not in ("gumbel", "gev"):
+        raise ValueError(f"unknown distribution {dist!r}")
+    moments = S.l_moments(resamples(df, keys, value, replicates, seed), [*keys, "replicate"], "x").where("n >= 3")
+    fit = S.gumbel_fit(moments).withColumn("shape", F.lit(0.0)) if dist == "gumbel" else S.gev_fit(moments)
+    rows = fit.withColumn("return_period", F.explode(F.array(*[F.lit(float(t)) for t in periods])))
+    y = F.ln(-F.log1p(-1 / F.col("return_period")))
+    k = F.col("shape")
+    level = F.col("xi") - F.col("alpha") * F.when(F.abs(k) < 1e-6, y).otherwise(F.try_divide(F.expm1(k * y), k))
+    found = rows.withColumn("level", level).groupBy(*keys, "return_period").agg(F.percentile("level", F.array(*[F.lit(q) for q in quantiles])).alias("levels"))
     names = F.array(*[F.lit(q) for q in quantiles])
-    return bounds.select(*keys, F.element_at(names, F.col("i") + 1).alias("quantile"), "lo", "hi")
+    long = found.select(*keys, "return_period", F.posexplode("levels").alias("i", "level"))
+    return long.select(*keys, "return_period", F.element_at(names, F.col("i") + 1).alias("quantile"), "level")
+
 
+def poisson(u: Column, rate: Column) -> Column:
+    """The Poisson quantile of a draw from (0, 1), summed in logs to where no double is left beyond it."""
+    most = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
+    start = F.struct(F.lit(0).alias("times"), (-rate).alias("log_mass"), F.exp(-rate).alias("below"))
 
-def yearsets(events: DataFrame, years: int, seed: int = 1789, most: int = 20) -> DataFrame:
+    def step(at: Column, k: Column) -> Column:
+        log_mass = at["log_mass"] + F.ln(rate) - F.ln(k)
+        return F.struct((at["times"] + F.when(u > at["below"], 1).otherwise(0)).alias("times"), log_mass.alias("log_mass"), (at["below"] + F.exp(log_mass)).alias("below"))
+
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), most), start, step, lambda at: at["times"])).otherwise(0)
+
+
+def yearsets(events: DataFrame, years: int, seed: int = 1789) -> DataFrame:
     """(year, loss): sampled years, each event happening a Poisson(frequency) number of times.
 
-    ``events``: event_id, frequency, loss; one row a pair of event and year is drawn, and only years
-    with an event are left.
+    ``events``: event_id, frequency, loss; one row a pair of event and year is drawn. A year without an
+    event has a loss of 0.
     """
     drawn = events.withColumn("year", F.explode(F.sequence(F.lit(1), F.lit(years))))
-    u, rate = uniform(seed, "event_id", "year"), F.col("frequency")
-    times, mass, below = F.lit(0), F.exp(-rate), F.exp(-rate)
-    for k in range(1, most + 1):
-        times = times + F.when(u > below, 1).otherwise(0)
-        mass = mass * rate / k
-        below = below + mass
-    return drawn.withColumn("times", times).where("times > 0").groupBy("year").agg(F.sum(F.col("times") * F.col("loss")).alias("loss"))
+    drawn = drawn.withColumn("times", poisson(uniform(seed, "event_id", "year"), F.col("frequency").cast("double"))).where("times > 0")
+    losses = drawn.groupBy("year").agg(F.sum(F.col("times") * F.col("loss")).alias("loss"))
+    every = events.sparkSession.range(1, years + 1).select(F.col("id").cast("int").alias("year"))
+    return every.join(losses, "year", "left").select("year", F.coalesce(F.col("loss").cast("double"), F.lit(0.0)).alias("loss"))
+
+
+def yearset_summary(years: DataFrame) -> DataFrame:
+    """One row over the years: n_years, mean, p50, p90, p95, p99, max."""
+    percentiles = [F.percentile("loss", F.lit(q / 100)).alias(f"p{q}") for q in (50, 90, 95, 99)]
+    return years.agg(F.count("*").alias("n_years"), F.avg("loss").alias("mean"), *percentiles, F.max("loss").alias("max"))
 
 
 def sobol_indices(outputs: DataFrame, inputs: list[str]) -> DataFrame:

@@ -310,7 +310,7 @@ def drainage_outlets(spark, sf):
 
 @query("bootstrap_quantiles")
 def bootstrap_quantiles(spark, sf):
-    return simulate.bootstrap_quantiles(table(spark, sf, "supplier"), ["s_nationkey"], "s_acctbal", [0.5, 0.9])
+    return simulate.bootstrap_quantiles(table(spark, sf, "supplier"), ["s_nationkey"], "s_acctbal", [2.0, 10.0, 100.0])
 
 
 @query("runoff", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity > 0.2 * (25400 / 80.0 - 254) THEN pow(l_quantity - 0.2 * (25400 / 80.0 - 254), 2) / (l_quantity + 0.8 * (25400 / 80.0 - 254)) ELSE 0 END, 9) AS runoff, round(6.112 * exp(17.62 * l_quantity / (243.12 + l_quantity)), 6) AS vapour FROM lineitem")

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,44 @@ def test_simulation(spark):
     assert abs(u[0] - 0.5) < 0.02 and 0 < u[1] < u[2] < 1
 
 
+def test_bootstrap_draws_rows_and_fits(spark):
+    xs = [5.0] * 10 + [float(k) for k in range(20)]
+    df = spark.createDataFrame([("a", x) for x in xs] + [("a", None)], "k string, x double")
+    drawn = simulate.resamples(df, ["k"], "x", 300, 7).groupBy("replicate").agg(F.count("*").alias("n"), F.count_if(F.col("x") == 5).alias("hot")).collect()
+    assert len(drawn) == 300 and {r.n for r in drawn} == {30} and min(r.hot for r in drawn) > 0  # a value of a third of the rows never vanishes
+    assert sum(r.hot for r in drawn) / 300 == pytest.approx(11, rel=0.1)
+    rng = np.random.default_rng(1)
+    for dist in ("gumbel", "gev"):
+        levels = []
+        for _ in range(2000):
+            s = np.sort(rng.choice(xs, 30))
+            i = np.arange(30)
+            b0, b1, b2 = s.mean(), (i / 29 * s).mean(), (i * (i - 1) / (29 * 28) * s).mean()
+            l2, t3 = 2 * b1 - b0, (6 * b2 - 6 * b1 + b0) / (2 * b1 - b0)
+            y = -np.log(1 - 1 / np.array([10.0, 100.0]))
+            if dist == "gumbel":
+                levels.append(b0 - 0.5772156649 * l2 / np.log(2) - l2 / np.log(2) * np.log(y))
+            else:
+                c = 2 / (3 + t3) - np.log(2) / np.log(3)
+                k = 7.8590 * c + 2.9554 * c * c
+                g = math.gamma(1 + k)
+                a = l2 * k / ((1 - 2**-k) * g)
+                levels.append(b0 - a * (1 - g) / k - a * np.expm1(k * np.log(y)) / k)
+        want = np.quantile(levels, [0.05, 0.95], axis=0)
+        got = {(r.return_period, r.quantile): r.level for r in simulate.bootstrap_quantiles(df, ["k"], "x", [10.0, 100.0], dist, replicates=1000).collect()}
+        assert len(got) == 4
+        for (t, q), level in got.items():
+            assert level == pytest.approx(want[[0.05, 0.95].index(q), [10.0, 100.0].index(t)], rel=0.06)
+
+
+def test_yearsets_keep_every_year_and_count(spark):
+    rare = spark.createDataFrame([(1, 0.01, 10.0), (2, 60.0, 0.0)], "event_id long, frequency double, loss double")
+    assert simulate.yearsets(rare, 50).count() == 50
+    often = simulate.yearsets(spark.createDataFrame([(1, 60.0, 1.0)], rare.schema), 2000)
+    total = simulate.yearset_summary(often).first()
+    assert total.n_years == 2000 and total.mean == pytest.approx(60, rel=0.02) and total.p50 == pytest.approx(60, abs=2) and total.max > 75
+
+
 def test_nearest_cell_matches_full_search(spark):
     cells = spark.createDataFrame([(k, (k * 37 % 100) / 10, (k * 61 % 100) / 10) for k in range(30)], "cell_id long, lat double, lon double")
     points = spark.createDataFrame([(k, (k * 13 % 100) / 10, (k * 29 % 100) / 10) for k in range(100)], "id long, lat double, lon double")
