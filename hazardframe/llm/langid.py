@@ -60,11 +60,10 @@ def _expect(model, vocabulary: str, langs: list[str]):
             lang = np.array([number[x] for x in batch.column("lang").to_pylist()])
             for k in np.unique(lang):
                 mine = lang[words.token_text] == k
-                weights = np.bincount(words.token_word[mine], minlength=len(words.lengths)).astype(float)
+                weights = np.bincount(words.token_word[mine], minlength=len(words)).astype(float)
                 used = np.flatnonzero(weights)
-                part = P.Words(words.matrix[used], words.lengths[used], words.token_word[:0], words.token_text[:0])
                 probs = model.value[:, k if model.value.shape[1] > 1 else 0]
-                totals[k] += P.expected_counts(part, weights[used], table, probs)
+                totals[k] += P.expected_counts(words.only(used), weights[used], table, probs)
         lang, piece = np.nonzero(totals[:, :-1])
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(piece, pa.int32()), pa.array(totals[lang, piece])], ["lang", "piece", "n"])
 
@@ -106,7 +105,7 @@ def _predict(model):
         for batch in tb.slices(batches, limit=4_000_000):
             words, data, bounds = _words(batch)
             n = batch.num_rows
-            logs = P.forward(words, table, m.probs) if m.langs else np.zeros((len(words.lengths), 0))
+            logs = P.forward(words, table, m.probs) if m.langs else np.zeros((len(words), 0))
             total = np.zeros((n, len(m.langs)))
             for k in range(len(m.langs)):
                 total[:, k] = np.bincount(words.token_text, weights=logs[words.token_word, k], minlength=n)

@@ -2,21 +2,27 @@
 
 Words are put in a trie, and a prefix that several words share is scored once: level by level, a
 node's forward score is the sum over the pieces that end there of the piece's probability times the
-score of the node where it begins. All nodes of a level are computed together in numpy.
+score of the node where it begins. All nodes of a level are computed together in numpy. Long words are
+not put in the trie: each is scored by itself, whole, in logs, over the pieces that occur in it.
 """
 
 from __future__ import annotations
 
 import base64
-from dataclasses import dataclass
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 
 from hazardframe.llm import textbytes as tb
 
-#: Longest word; longer ones are cut into words of this many bytes.
+#: Longest word of the trie; longer ones are scored by themselves.
 WORD_BYTES = 32
+#: Bytes of long words that are scored together, unless a single word is longer.
+LONG_BYTES = 100_000
+_PREFIX_BITS = 22
 _BASE = tb.U64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -40,6 +46,14 @@ class PieceTable:
                 n += 1
             self.keys[slot], self.numbers[slot] = key, number
             self.probes = max(self.probes, n)
+        self.sizes = {len(p) for p in pieces}
+        self.prefixes = np.zeros(1 << _PREFIX_BITS, bool)  # of pieces, by hash
+        prefixes = {p[:n] for p in pieces for n in range(1, len(p))}
+        self.prefixes[self._prefix(np.array([self.hash_of(x) for x in prefixes], np.uint64))] = True
+
+    @staticmethod
+    def _prefix(h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> tb.U64(29))) * tb.U64(0xBF58476D1CE4E5B9) >> tb.U64(64 - _PREFIX_BITS)).astype(np.int64)
 
     def __len__(self) -> int:
         return len(self.pieces)
@@ -72,10 +86,10 @@ class PieceTable:
 
 
 @lru_cache(maxsize=4)
-def byte_pieces(name: str = "byte_bpe_50k.tiktoken", fold: bool = False, longest: int = WORD_BYTES) -> PieceTable:
+def byte_pieces(name: str = "byte_bpe_50k.tiktoken", fold: bool = False) -> PieceTable:
     """Pieces of a public rank file, in rank order and without a leading blank.
 
-    ``fold`` lower-cases ASCII letters. Pieces with other white space or over ``longest`` bytes are left out.
+    ``fold`` lower-cases ASCII letters. Pieces with other white space are left out.
     """
     import public_tokenizers
 
@@ -85,7 +99,7 @@ def byte_pieces(name: str = "byte_bpe_50k.tiktoken", fold: bool = False, longest
             piece = base64.b64decode(line.split()[0])
             piece = piece[1:] if len(piece) > 1 and piece[:1] == b" " else piece
             piece = piece.lower() if fold else piece
-            if 0 < len(piece) <= longest and (len(piece) == 1 or not set(piece) & set(b" \t\n\r\x0b\x0c")):
+            if piece and (len(piece) == 1 or not set(piece) & set(b" \t\n\r\x0b\x0c")):
                 seen.setdefault(piece)
     for b in range(256):
         seen.setdefault(bytes([b]))
@@ -94,34 +108,111 @@ def byte_pieces(name: str = "byte_bpe_50k.tiktoken", fold: bool = False, longest
 
 @dataclass
 class Words:
-    """Distinct words of some texts, in byte order, and which of them each text's tokens are."""
+    """Distinct words of some texts, in byte order, then the long ones, and which of them each text's tokens are."""
 
     matrix: np.ndarray  # bytes plus one, 0 beyond the end
     lengths: np.ndarray
     token_word: np.ndarray  # word of each token
     token_text: np.ndarray  # text of each token
+    long: list[np.ndarray] = field(default_factory=list)  # bytes of words over WORD_BYTES
+
+    def __len__(self) -> int:
+        return len(self.lengths) + len(self.long)
+
+    def only(self, used: np.ndarray) -> Words:
+        """The words of these numbers (ascending), without tokens."""
+        short, n = used[used < len(self.lengths)], len(self.lengths)
+        return Words(self.matrix[short], self.lengths[short], self.token_word[:0], self.token_text[:0], [self.long[k - n] for k in used[len(short) :].tolist()])
 
 
 def distinct_words(data: np.ndarray, bounds: np.ndarray, member: np.ndarray) -> Words:
-    """The words (runs of member bytes, cut to WORD_BYTES) of a slice of texts."""
+    """The words (runs of member bytes) of a slice of texts."""
     starts, ends = tb.runs(data, bounds, member)
-    if len(starts) and (long := ends - starts > WORD_BYTES).any():
-        parts = np.where(long, -(-(ends - starts) // WORD_BYTES), 1)
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        whole_end = np.repeat(ends, parts)
-        starts = np.repeat(starts, parts) + nth * WORD_BYTES
-        ends = np.minimum(starts + WORD_BYTES, whole_end)
     text = tb.owner_of(bounds, starts)
     _, first, word = np.unique(tb.span_hashes(data, starts, ends, 5), return_index=True, return_inverse=True)
     at, lengths = starts[first], (ends - starts)[first]
+    short, over = np.flatnonzero(lengths <= WORD_BYTES), np.flatnonzero(lengths > WORD_BYTES)
+    long = [data[a : a + n] for a, n in zip(at[over].tolist(), lengths[over].tolist(), strict=True)]
+    at, lengths = at[short], lengths[short]
     width = int(lengths.max(initial=1))
     cell = at[:, None] + np.arange(width)
     inside = np.arange(width) < lengths[:, None]
     matrix = np.where(inside, data[np.minimum(cell, max(len(data) - 1, 0))] + np.uint8(1), np.uint8(0)) if len(data) else np.zeros((0, width), np.uint8)
     order = np.argsort(np.ascontiguousarray(matrix).view(f"S{width}").ravel(), kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return Words(matrix[order], lengths[order], place[word.ravel()], text)
+    place = np.empty(len(first), np.int64)
+    place[short[order]] = np.arange(len(order))
+    place[over] = len(order) + np.arange(len(over))
+    return Words(matrix[order], lengths[order], place[word.ravel()], text, long)
+
+
+@dataclass
+class Lattice:
+    """The pieces in some long words, by where they end: nodes are the places between bytes, word after word."""
+
+    words: np.ndarray  # numbers of the words among the long ones
+    last: np.ndarray  # last node of each word
+    source: np.ndarray
+    target: np.ndarray
+    piece: np.ndarray
+    word: np.ndarray  # which of the words each piece is in
+
+    def sums(self, weights: np.ndarray, backward: bool = False) -> np.ndarray:
+        """Log of the summed products of weights (logs) over the ways from its word's begin (or end) to each node."""
+        source, target, top = self.source, self.target, int(self.last[-1])
+        if backward:
+            source, target = top - target, top - source
+            order = np.argsort(target, kind="stable")
+            source, target, weights = source[order], target[order], weights[order]
+        ends = np.searchsorted(target, np.arange(top + 2)).tolist()
+        source, weights, out = source.tolist(), weights.tolist(), [0.0] * (top + 1)
+        for e in range(top + 1):
+            lo, hi = ends[e], ends[e + 1]
+            if hi - lo == 1:
+                out[e] = out[source[lo]] + weights[lo]
+            elif hi > lo:
+                ways = [out[source[i]] + weights[i] for i in range(lo, hi)]
+                most = max(ways)
+                out[e] = most + math.log(sum(math.exp(w - most) for w in ways)) if most > -math.inf else most
+        return np.array(out[::-1] if backward else out)
+
+    def tops(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest sum of weights to each node, and the fewest pieces of such a way."""
+        n = int(self.last[-1]) + 1
+        ends = np.searchsorted(self.target, np.arange(n + 1)).tolist()
+        source, weights, out, count = self.source.tolist(), weights.tolist(), [0.0] * n, [0] * n
+        for e in range(n):
+            lo, hi = ends[e], ends[e + 1]
+            if hi > lo:
+                ways = [out[source[i]] + weights[i] for i in range(lo, hi)]
+                out[e] = most = max(ways)
+                count[e] = 1 + min(count[source[lo + i]] for i, w in enumerate(ways) if w >= most - 1e-12)
+        return np.array(out), np.array(count, np.int64)
+
+
+def lattices(long: list[np.ndarray], table: PieceTable) -> Iterator[Lattice]:
+    """Lattices of long words, some words at a time."""
+    sizes, at = np.array([len(w) for w in long], np.int64), 0
+    total = np.cumsum(sizes)
+    while at < len(long):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - sizes[at] + LONG_BYTES, "right")))
+        data = np.concatenate(long[at:to]).astype(np.uint64) + tb.U64(1)
+        n = sizes[at:to]
+        owner, stop = np.repeat(np.arange(to - at), n), np.repeat(np.cumsum(n), n)
+        place, h, found = np.arange(len(data)), np.zeros(len(data), np.uint64), []
+        for size in range(1, max(table.sizes) + 1):
+            h = h * _BASE + data[place + size - 1]
+            if size in table.sizes:
+                piece = table.find(h)
+                hit = piece < len(table)
+                found.append((place[hit], place[hit] + size, piece[hit]))
+            on = table.prefixes[table._prefix(h)] & (place + size < stop[place])
+            place, h = place[on], h[on]
+        begin, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((begin, end))
+        begin, end, piece = begin[order], end[order], piece[order]
+        word = owner[begin]
+        yield Lattice(np.arange(at, to), np.cumsum(n) + np.arange(to - at), begin + word, end + word, piece, word)
+        at = to
 
 
 class Trie:
@@ -164,7 +255,12 @@ def forward(words: Words, table: PieceTable, probs: np.ndarray) -> np.ndarray:
         out[ended] = now[node[ended]]
         scores = np.concatenate([scores, now[:, None, :]], 1)
     with np.errstate(divide="ignore"):
-        return np.log(out)
+        out, logs = np.log(out), np.log(probs)
+    long = np.zeros((len(words.long), probs.shape[1]))
+    for part in lattices(words.long, table):
+        for k in range(probs.shape[1]):
+            long[part.words, k] = part.sums(logs[part.piece, k])[part.last]
+    return np.concatenate([out, long])
 
 
 def best(words: Words, table: PieceTable, log_probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +277,11 @@ def best(words: Words, table: PieceTable, log_probs: np.ndarray) -> tuple[np.nda
         fewest = np.where(reach >= top[:, None] - 1e-12, counts, np.int64(1 << 40)).min(1) + 1
         score[ended], count[ended] = top[node[ended]], fewest[node[ended]]
         scores, counts = np.concatenate([scores, top[:, None]], 1), np.concatenate([counts, fewest[:, None]], 1)
-    return score, count
+    long_score, long_count = np.zeros(len(words.long)), np.zeros(len(words.long), np.int64)
+    for part in lattices(words.long, table):
+        top, fewest = part.tops(log_probs[part.piece])
+        long_score[part.words], long_count[part.words] = top[part.last], fewest[part.last]
+    return np.concatenate([score, long_score]), np.concatenate([count, long_count])
 
 
 def expected_counts(words: Words, weights: np.ndarray, table: PieceTable, probs: np.ndarray) -> np.ndarray:
@@ -195,6 +295,13 @@ def expected_counts(words: Words, weights: np.ndarray, table: PieceTable, probs:
         part = part[words.lengths[part] <= width]
         out += _expected_counts(words.matrix[part, :width], words.lengths[part], weights[part], table, probs)
         at += len(part)
+    with np.errstate(divide="ignore"):
+        logs = np.log(probs)
+    for part in lattices(words.long, table):
+        weight = logs[part.piece]
+        to, onward = part.sums(weight), part.sums(weight, backward=True)
+        use = np.exp(to[part.source] + weight + onward[part.target] - to[part.last][part.word])
+        out += np.bincount(part.piece, weights=use * weights[len(words.lengths) + part.words[part.word]], minlength=len(out))
     return out
 
 

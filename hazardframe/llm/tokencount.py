@@ -56,8 +56,8 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row a document: doc_id, n_pretokens, n_tokens, log_prob, best_log_prob.
 
     n_tokens is the number of pieces of the best segmentation of each pre-token (of equally good
-    ones the shortest), summed; log_prob sums all segmentations. Pre-tokens over 32 bytes are cut
-    into such of 32, which count as one each. A null, empty or blank text has zeros. Only doc_id
+    ones the shortest), summed; log_prob sums all segmentations. Long pre-tokens are
+    taken whole. A null, empty or blank text has zeros. Only doc_id
     and text are read; repeated rows are counted each.
     """
     schema = "doc_id long, n_pretokens long, n_tokens long, log_prob double, best_log_prob double"
