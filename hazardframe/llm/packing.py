@@ -4,7 +4,8 @@ Lengths are small integers, so the whole packing problem is its histogram: one c
 up to the capacity, however many documents there are. The driver packs that histogram, not rows:
 
 * large items, above a third of the capacity, pair at most twice per bin: from the longest on, each
-  is matched with the longest large item that still fits;
+  is matched with the longest large item that still fits (and, in other tries, leaves a gap for
+  smaller ones; the try with the fewest bins counts);
 * smaller items, from the longest on, go where the gap left is least among those that hold them
   (best fit), and open a bin where none does.
 
@@ -34,15 +35,18 @@ from hazardframe.llm.store import Workspace, read_table
 CAPACITY, END_ID = 2048, 0
 #: Documents in a block, about, and chunks of text whose ids a worker remembers.
 BLOCK_DOCS, CACHE = 50_000, 700_000
+#: Sizes of gaps that the matching of large items tries to leave.
+TRIES = 24
 
 
 class ChunkTokenizer:
     """Ids of texts by a word-level vocabulary file, remembering the ids of white-space separated chunks.
 
-    No token of such a vocabulary spans white space, so a text's ids are those of its chunks. Chunks
-    of letters only end with exactly one end-of-word token, so new ones are encoded together, joined
-    by spaces, and cut apart after those tokens. Lower-case ASCII letters need none of the vocabulary's
-    normalisation nor its splitting pattern: its merges alone give their ids.
+    No token of such a vocabulary spans white space, so a text's ids are those of its chunks, case and
+    all: special tokens are told apart by it. Chunks of letters only end with exactly one end-of-word
+    token, so new ones are encoded together, joined by spaces, and cut apart after those tokens. ASCII
+    letters need of the vocabulary's normalisation only lower case, and not its splitting pattern: its
+    merges alone give their ids, and a comma or full stop after them is a token of its own.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,39 +67,40 @@ class ChunkTokenizer:
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _letters(self, words: list[str], plain: bool) -> list[bytes]:
-        tokenizer = self.merges if plain else self.tokenizer
+    def _letters(self, words: list[str], ascii_only: bool) -> list[bytes]:
+        tokenizer = self.merges if ascii_only else self.tokenizer
         ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):  # a word whose lower-cased form is no longer all letters
+        if len(ends) != len(words):  # a word whose normal form is no longer all letters
             return self._each(words)
         at, body, width = [0, *ends.tolist()], ids.tobytes(), ids.itemsize
         return [body[a * width : b * width] for a, b in zip(at, at[1:], strict=False)]
 
     def _learn(self, chunks: set[bytes]) -> None:
-        """Remembers the ids of chunks; a comma or full stop after letters is a token of its own."""
-        known, stems, marked, other = self.known, set(), [], []
+        """Remembers the ids of chunks."""
+        known, stems, marked, letters, other = self.known, {}, [], [], []
         for chunk in chunks:
             stem = chunk[:-1] if chunk[-1] in self.marks and len(chunk) > 1 else chunk
-            if not (stem.isalpha() or not stem.isascii() and stem.decode().isalpha()):
+            if stem.isascii() and stem.isalpha():
+                stems[stem] = stem.lower()
+                if stem is not chunk:
+                    marked.append((chunk, stem))
+            elif chunk.isascii() or not chunk.decode().isalpha():
                 other.append(chunk)
-                continue
-            if stem not in known:
-                stems.add(stem)
-            if stem is not chunk:
-                marked.append((chunk, stem))
-        plain = [x for x in stems if x.isascii() and x.islower()]
-        for words in (plain, list(stems.difference(plain))):
+            else:
+                letters.append(chunk)
+        plain = list(set(stems.values()))
+        found: dict[bytes, bytes] = {}
+        for words, into, ascii_only in ((plain, found, True), (letters, known, False)):
             for k in range(0, len(words), 2000):
                 part = words[k : k + 2000]
-                known.update(zip(part, self._letters([x.decode() for x in part], words is plain), strict=True))
-        for chunk, stem in marked:
-            known[chunk] = known[stem] + self.marks[chunk[-1]]
+                into.update(zip(part, self._letters([x.decode() for x in part], ascii_only), strict=True))
+        known.update((stem, found[low]) for stem, low in stems.items())
+        known.update((chunk, known[stem] + self.marks[chunk[-1]]) for chunk, stem in marked)
         known.update(zip(other, self._each([x.decode() for x in other]), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        # ASCII texts are lower-cased at once; elsewhere case may decide what composes with an accent
-        split = [(x.lower() if x.isascii() else x).split() for x in texts]
+        split = [x.split() for x in texts]
         chunks = set().union(*split)
         if len(self.known) + len(chunks) > CACHE:
             self.known.clear()
@@ -135,21 +140,12 @@ def _cut(path: str | None, capacity: int, end_id: int):
     return run
 
 
-def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Patterns (copies of each length, number of bins) that hold counts[l] items of each length l.
-
-    Large items first, longest first, each matched with the longest large one that fits; then small
-    items, longest first, by best fit. Items of length 0 are not allowed.
-    """
-    left = {int(n): int(c) for n, c in enumerate(counts) if c}
-    if left and (min(left) < 1 or max(left) > capacity):
-        raise ValueError("lengths are from 1 to the capacity")
-    large = sorted(n for n in left if 3 * n > capacity)
-    bins: list[tuple[dict[int, int], int]] = []
-    available = list(large)
+def _pairs(left: dict[int, int], capacity: int, reserve: int) -> list[tuple[dict[int, int], int]]:
+    """Takes items out of ``left``, from the longest on, each with the longest that leaves ``reserve`` free, or alone."""
+    available, bins = sorted(n for n in left if left[n]), []
     while available:
         a = available[-1]
-        k = bisect_left(available, capacity - a + 1) - 1
+        k = bisect_left(available, capacity - reserve - a + 1) - 1
         b = available[k] if k >= 0 else 0
         if b == a and left[a] == 1:
             b = available[k - 1] if k >= 1 else 0
@@ -165,6 +161,29 @@ def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[d
             left[a] -= m
             left[b] -= m
         available = [n for n in available if left[n]]
+    return bins
+
+
+def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY, tries: int = TRIES) -> list[tuple[dict[int, int], int]]:
+    """Patterns (copies of each length, number of bins) that hold counts[l] items of each length l.
+
+    Large items first, longest first, each matched with the longest large one that fits; then small
+    items, longest first, by best fit. Where pairs would leave gaps too small for any small item, it
+    can be better to match so that a gap of some size stays: ``tries`` such sizes, quantiles of the
+    small lengths, are tried too, and the fewest bins win. Items of length 0 are not allowed.
+    """
+    small = np.asarray(counts)[: capacity // 3 + 1]
+    total = np.cumsum(small)
+    at = np.unique(np.searchsorted(total, np.linspace(1, max(1, total[-1]), tries)))
+    reserves = [0, *at.tolist()] if total[-1] else [0]
+    return min((_pack(counts, capacity, r) for r in reserves), key=lambda bins: sum(m for _, m in bins))
+
+
+def _pack(counts: np.ndarray, capacity: int, reserve: int) -> list[tuple[dict[int, int], int]]:
+    left = {int(n): int(c) for n, c in enumerate(counts) if c}
+    if left and (min(left) < 1 or max(left) > capacity):
+        raise ValueError("lengths are from 1 to the capacity")
+    bins = _pairs(large := {n: c for n, c in left.items() if 3 * n > capacity}, capacity, reserve)
     by_gap: dict[int, list[tuple[dict[int, int], int]]] = {}
     for pattern, m in bins:
         by_gap.setdefault(capacity - sum(n * c for n, c in pattern.items()), []).append((pattern, m))
@@ -202,7 +221,14 @@ def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[d
                 put(pattern | {n: rest}, 1, gap - rest * n)
                 left[n] = 0
             put(pattern, m - full - (rest > 0), gap)
-    return [(p, m) for p, m in done + [x for g in by_gap.values() for x in g] if p]
+    # large items left alone in their bins pair after all
+    alone, rest = dict.fromkeys(large, 0), done
+    for pattern, m in (x for g in by_gap.values() for x in g):
+        if sum(pattern.values()) == 1 and (n := next(iter(pattern))) in alone:
+            alone[n] += m
+        elif pattern:
+            rest.append((pattern, m))
+    return rest + _pairs(alone, capacity, 0)
 
 
 def _slots(patterns: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
