@@ -10,40 +10,51 @@ from pyspark.sql import functions as F
 
 from hazardframe.llm.store import Workspace
 
-#: Distinct edges that one task joins by itself (16 bytes each); more take rounds over the cluster.
-TASK_EDGES = 400_000
+#: Vertices whose edges a task combines at a time.
+FOREST_VERTICES = 500_000
+_EDGES = "a long, b long"
 
 
-def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over all edges of a partition."""
-    up: dict[int, int] = {}
+def _forest(limit: int):
+    """Stars (vertex, least vertex) with the same components as a part's edges: never more edges than vertices."""
 
-    def find(x: int) -> int:
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = up[y]
-            x = y
-        return x
+    def stars(up: dict[int, int], find) -> pa.RecordBatch:
+        pairs = [(v, r) for v in up if (r := find(v)) != v]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            x, y = find(a), find(b)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-    vertices = list(up)
-    yield pa.RecordBatch.from_arrays([pa.array(vertices, pa.int64()), pa.array([find(v) for v in vertices], pa.int64())], ["v", "root"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
 
+        def find(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = y
+            return x
 
-def components(edges: DataFrame, space: Workspace, name: str, task_edges: int = TASK_EDGES) -> DataFrame:
-    """(v, root) for every vertex of edges (a, b); root is the least vertex reachable.
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = find(a), find(b)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) > limit:
+                yield stars(up, find)
+                up.clear()
+        yield stars(up, find)
 
-    Up to ``task_edges`` distinct edges are joined in one task. Beyond that, each round maps every vertex to the least of itself and its neighbours, twice over, and the edges
-    to edges between those; rounds end when no edge is left. Stars take one round, a chain as many
-    as its length can be halved. Repeated edges and loops are allowed. Tables are written to the
-    shared folder each round and dropped when they are used up.
+    return run
+
+
+def components(edges: DataFrame, space: Workspace, name: str, limit: int = FOREST_VERTICES) -> DataFrame:
+    """(v, root) for every vertex that has an edge (a, b) to another; root is the least vertex reachable.
+
+    Tasks first reduce the edges they hold to stars. Then, in rounds, every vertex is mapped to the
+    least of itself and its neighbours, twice over, and the edges to edges between those, until no
+    edge is left. Stars take one round, a chain as many as its length can be halved. Repeated edges
+    and loops are allowed. Tables are written to the shared folder each round and dropped when they
+    are used up; only the result stays.
     """
-    edges = space.save(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), f"{name}-edges-0")
-    if edges.count() <= task_edges:
-        return space.save(edges.coalesce(1).mapInArrow(_join_all, "v long, root long"), f"{name}-roots")
+    edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    edges = space.save(edges.mapInArrow(_forest(limit), _EDGES), f"{name}-edges-0")
     roots, k = None, 0
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -56,10 +67,10 @@ def components(edges: DataFrame, space: Workspace, name: str, task_edges: int =
             now = roots.join(step.withColumnRenamed("v", "root"), "root", "left").select(F.col("v"), F.coalesce("to", "root").alias("root"))
         roots = space.save(now, f"{name}-roots-{k}")
         a, b = (step.select(F.col("v").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab")
-        left = edges.join(a, "a").join(b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct()
-        edges = space.save(left, f"{name}-edges-{k + 1}")
-        for used in (f"{name}-edges-{k}", f"{name}-least-{k}", f"{name}-step-{k}", *([f"{name}-roots-{k - 1}"] if k else [])):
-            space.drop(used)
+        left = edges.join(a, "a").join(b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b")
+        edges = space.save(left.mapInArrow(_forest(limit), _EDGES), f"{name}-edges-{k + 1}")
+        space.drop(f"{name}-edges-{k}", f"{name}-least-{k}", f"{name}-step-{k}", *([f"{name}-roots-{k - 1}"] if k else []))
         k += 1
         if edges.isEmpty():
+            space.drop(f"{name}-edges-{k}")
             return roots

@@ -20,7 +20,8 @@
    that one's component in turn, a few at first and four times as many in each round, with the members
    of other components that the bound allows. When no member is left, every pair of a bucket was
    compared, excluded by the bound or lies in one component: no link between candidates is lost.
-6. Pairs are confirmed on full shingle sets, and confirmed links joined into components.
+6. Pairs are confirmed on full shingle sets, by hashes first and then on the words themselves, and
+   confirmed links joined into components, always by rounds over the cluster.
 
 A pair at the threshold of 0.75 misses all 32 bands of 4 rows with a chance of 5 in a million.
 """
@@ -46,6 +47,8 @@ UNIVERSE = 1 << 20
 SEED = 20240607
 #: Members of a bucket that are heads in the second round; each later round takes four times as many.
 FIRST_PIVOTS = 4
+#: Members that are compared with one copy of their head's text, about.
+GROUP_PAIRS = 1000
 
 
 @lru_cache(maxsize=1)
@@ -105,21 +108,35 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _word_shingles(text: bytes, k: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves, for a text of at least one word."""
+    words = text.translate(tb.LOWER.tobytes()).split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
 def _confirm(k: int, percent: int):
-    """Keeps pairs (a, b) whose shingle sets are similar enough."""
+    """Links (a, b) among the pairs of heads (rows without m) and the members (m) that follow them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tb.slices(batches, "text_b"):
-            right = shingle_sets(*tb.texts(batch.column("text_b")), k)
-            ids = batch.column("a").to_pylist()
-            new = {a: i for i, a in reversed(list(enumerate(ids)))}
-            left = dict(zip(new, shingle_sets(*tb.texts(batch.column("text_a").take(pa.array(list(new.values())))), k), strict=True))
-            linked = []
-            for a, y in zip(ids, right, strict=True):
-                x = left[a]
-                both = np.count_nonzero(y[np.searchsorted(y, x[x <= y[-1]])] == x[x <= y[-1]]) if len(x) and len(y) else 0
-                linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(linked))
+        p, head, x, words = None, b"", None, None
+        for batch in tb.slices(batches):
+            data, bounds = tb.texts(batch.column("text"))
+            sets, links = shingle_sets(data, bounds, k), []
+            for i, (now, m) in enumerate(zip(batch.column("p").to_pylist(), batch.column("m").to_pylist(), strict=True)):
+                text = data[bounds[i] : bounds[i + 1]].tobytes()
+                if m is None:
+                    p, head, x, words = now, text, sets[i], None
+                    continue
+                y = sets[i]
+                near = x[x <= y[-1]] if len(y) else x[:0]
+                both = np.count_nonzero(y[np.searchsorted(y, near)] == near)
+                if both and 100 * both >= percent * (len(x) + len(y) - both):
+                    words = words or _word_shingles(head, k)
+                    other = _word_shingles(text, k)
+                    both = len(words & other)
+                    if 100 * both >= percent * (len(words) + len(other) - both):
+                        links.append((min(p, m), max(p, m)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], ["a", "b"])
 
     return run
 
@@ -172,10 +189,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     texts = space.save(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b")
-        return space.save(both.mapInArrow(_confirm(shingle, percent), "a long, b long"), name)
+        # a head's text goes once to each group of its members; a head of many members has many groups
+        groups = pairs.groupBy("p").agg(F.ceil(F.count("*") / GROUP_PAIRS).alias("parts"))
+        dealt = pairs.join(groups.hint("merge"), "p").select("p", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("m"), "parts")
+        dealt = dealt.select("p", F.pmod(F.xxhash64("m"), "parts").alias("part"), "m").join(texts.withColumnRenamed("doc_id", "m").hint("merge"), "m")
+        heads = groups.select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        heads = heads.join(texts.withColumnRenamed("doc_id", "p").hint("merge"), "p").select("p", "part", F.lit(None).cast("long").alias("m"), "text")
+        rows = heads.union(dealt.select("p", "part", "m", "text")).repartition("p", "part").sortWithinPartitions("p", "part", F.col("m").asc_nulls_first())
+        return space.save(rows.mapInArrow(_confirm(shingle, percent), "a long, b long"), name)
 
     stars = members.where("rep <> pivot")
     clusters = components(stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), space, "clusters")
@@ -199,8 +220,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     headed = core.join(heads.hint("merge"), "h").select("h", "rep", "n", "common", "rank", "size", F.col("head.rep").alias("p"), F.col("head.n").alias("p_n"), F.col("head.common").alias("p_common"))
     headed = space.save(headed, "headed")
     first = headed.where((F.col("rep") != F.col("p")) & _allowed("n", "common", "p_n", "p_common", percent) & _fits("n", "p_n", percent))
-    first = first.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
-    pairs = space.save(first.union(few.select("lo", "hi")).distinct(), "pairs-1")
+    first = first.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"), "p")
+    pairs = space.save(first.union(few.select("lo", "hi", F.col("lo").alias("p"))).groupBy("a", "b").agg(F.min("p").alias("p")), "pairs-1")
     links = confirm(pairs, "links-1")
     roots = components(links, space, "round-1")
 
@@ -223,7 +244,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         allowed = _allowed("n", "common", "p_n", "p_common", percent) & _fits("n", "p_n", percent)
         once = F.array_min(F.array_intersect("bands", "p_bands")) == rest.h  # a pair counts in its least bucket only
         found = rest.join(chosen.hint("merge"), "h").where((F.col("root") != F.col("p_root")) & allowed & once)
-        found = found.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+        found = found.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"), "p").groupBy("a", "b").agg(F.min("p").alias("p"))
         pairs = space.save(found.join(compared.hint("merge"), ["a", "b"], "left_anti"), f"pairs-{k}")
         compared = compared.union(pairs)
         links = confirm(pairs, f"links-{k}")
@@ -240,8 +261,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         moved = roots.join(up.select(F.col("v").alias("root"), F.col("root").alias("to")), "root", "left").select("v", F.coalesce("to", "root").alias("root"))
         roots = space.save(moved.union(up.join(roots.select("v"), "v", "left_anti").select("v", "root")), f"roots-{k}")
 
-    for used in ("texts", "members"):
-        space.drop(used)
+    space.drop("texts", "members", "shared", "profile", "core", "headed")
+    space.drop(*(f"{x}-{i}" for x in ("pairs", "links", "rest", "chosen") for i in range(1, k + 1)))
     ids = classes.select("n", "s1", "s2", "rep").join(roots.withColumnRenamed("v", "rep"), "rep", "left")
     ids = ids.select("n", "s1", "s2", F.coalesce("root", "rep").alias("component_id"))
     found = signed.select("doc_id", "n", "s1", "s2").join(ids.hint("merge"), ["n", "s1", "s2"], "left")

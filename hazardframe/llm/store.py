@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,8 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); one of our own only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The cluster's shared folder (``spark.checkpoint.dir``); unset, one of our own in local mode and an error elsewhere."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if spark.sparkContext.master.startswith("local"):
+        return f"{tempfile.gettempdir()}/checkpoints"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 class Workspace:
@@ -28,10 +33,11 @@ class Workspace:
         df.write.mode("overwrite").parquet(f"{self.path}/{table}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{table}")
 
-    def drop(self, table: str) -> None:
+    def drop(self, *tables: str) -> None:
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

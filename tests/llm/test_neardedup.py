@@ -100,6 +100,6 @@ def test_empty_table(spark):
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b")).union(spark.createDataFrame([(100, 101), (101, 100), (7, 7)], "a long, b long"))
     want = {**{v: 0 for v in range(60)}, 100: 100, 101: 100}
-    for task_edges in (1000, 5):
-        got = {r.v: r.root for r in components(edges, Workspace(spark, "test"), "chain", task_edges).collect()}
+    for limit in (1000, 5):
+        got = {r.v: r.root for r in components(edges, Workspace(spark, "test"), "chain", limit).collect()}
         assert got == want
