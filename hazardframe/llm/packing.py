@@ -78,25 +78,27 @@ class ChunkTokenizer:
 
     def _learn(self, chunks: set[bytes]) -> None:
         """Remembers the ids of chunks."""
-        known, stems, marked, letters, other = self.known, {}, [], [], []
+        known, plain, cased, marked, letters, other = self.known, set(), [], [], [], []
         for chunk in chunks:
             stem = chunk[:-1] if chunk[-1] in self.marks and len(chunk) > 1 else chunk
-            if stem.isascii() and stem.isalpha():
-                stems[stem] = stem.lower()
+            if stem.isalpha() and stem.isascii():
+                low = stem.lower()
+                if low not in known:
+                    plain.add(low)
                 if stem is not chunk:
-                    marked.append((chunk, stem))
+                    marked.append((chunk, low))
+                elif low != stem:
+                    cased.append((chunk, low))
             elif chunk.isascii() or not chunk.decode().isalpha():
                 other.append(chunk)
             else:
                 letters.append(chunk)
-        plain = list(set(stems.values()))
-        found: dict[bytes, bytes] = {}
-        for words, into, ascii_only in ((plain, found, True), (letters, known, False)):
+        for words, ascii_only in ((list(plain), True), (letters, False)):
             for k in range(0, len(words), 2000):
                 part = words[k : k + 2000]
-                into.update(zip(part, self._letters([x.decode() for x in part], ascii_only), strict=True))
-        known.update((stem, found[low]) for stem, low in stems.items())
-        known.update((chunk, known[stem] + self.marks[chunk[-1]]) for chunk, stem in marked)
+                known.update(zip(part, self._letters([x.decode() for x in part], ascii_only), strict=True))
+        known.update((chunk, known[low]) for chunk, low in cased)
+        known.update((chunk, known[low] + self.marks[chunk[-1]]) for chunk, low in marked)
         known.update(zip(other, self._each([x.decode() for x in other]), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
