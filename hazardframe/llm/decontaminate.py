@@ -2,35 +2,37 @@
 
 A document word inside any occurrence of a window of ``window`` consecutive benchmark words is hit.
 
-Winnowing keeps, of every ``window - gram + 1`` consecutive k-grams (``gram`` words), the one of least
-hash. Equal windows keep equal grams, so each shared span of ``window`` words holds a gram that both
-sides kept. Kept grams (fingerprints) of documents and benchmark are joined; around each joined
-gram the windows that hold it are looked up among the benchmark's windows, which extends a hit to
-everything shared, and each found window is compared word by word. Items with fewer words than a
-window are one window of their own length; there the gram is the whole window and every gram is kept.
-
-The benchmark's index (fingerprints, windows, words) is broadcast in blocks of items of at most
-``BLOCK_BYTES`` of text. A benchmark larger than a block takes several passes over the documents,
-one for each block, so that what is broadcast at once stays bounded.
+1. Winnowing keeps, of every ``window - gram + 1`` consecutive k-grams (``gram`` words), the one of
+   least hash, its fingerprint. Equal windows keep equal grams, so each shared span of ``window``
+   words holds a gram that both sides kept. Items with fewer words than a window are one window of
+   their own length; there the gram is the whole window and every gram is kept.
+2. Tasks read the benchmark and write its index to the shared folder: one row for each different
+   window, with its fingerprint and its items.
+3. Two bit filters of bounded size, one of fingerprints and one of window hashes, are broadcast. In
+   one pass over the documents, fingerprints that the first one may hold are extended to the windows
+   around them, and windows that the second one may hold go on. Filters only save work: with a
+   benchmark so large that they fill up, more windows go on and the result is the same.
+4. Those windows are joined with the index on their hash by a shuffle, and compared word by word, so
+   different windows of one hash are told apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazardframe.llm import textbytes as tb
 from hazardframe.llm.store import Workspace, read_table
 
 WINDOW, GRAM = 10, 5
-#: Text of the benchmark that one broadcast holds at most (or one item).
-BLOCK_BYTES = 16_000_000
+#: Bits of a filter for each different window, and their logarithm at most (32 MB; 3 at least).
+FILTER_RATE, FILTER_BITS = 16, 28
+_BLOCK = 16  # a block of a filter has 2^16 bits
 
 
 def _words(data: np.ndarray, bounds: np.ndarray):
@@ -64,215 +66,170 @@ def winnow(grams: np.ndarray, inside: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(least)
 
 
-@dataclass
-class BlockIndex:
-    """Windows of one length: fingerprints, and windows with their items and where their words are."""
-
-    size: int
-    gram: int
-    prints: np.ndarray
-    windows: np.ndarray  # sorted hashes, one for each different window
-    item_from: np.ndarray  # CSR over items
-    items: np.ndarray
-    words: list = field(repr=False)  # the words of each window, as one bytes each
-
-    @property
-    def width(self) -> int:
-        return self.size - self.gram + 1
-
-
-def build_index(item_ids: list[int], texts: list[str | None], window: int = WINDOW, gram: int = GRAM) -> list[BlockIndex]:
-    """An index for each length of window that the items bring."""
-    data, bounds = tb.texts(pa.array(texts, pa.string()))
-    low, starts, ends, hashes, owner = _words(data, bounds)
-    n_words = np.bincount(owner, minlength=len(texts))
-    out = []
-    for size in sorted({min(int(n), window) for n in n_words if n}):
-        mine = np.minimum(n_words, window) == size
-        k = gram if size == window else size
-        grams, inside = tb.gram_hashes(hashes, k), _same_text(owner, k)
-        inside &= mine[owner[: len(inside)]]
-        prints = np.unique(grams[winnow(grams, inside, size - k + 1)])
-        whole = _same_text(owner, size)
-        at = np.flatnonzero(whole & mine[owner[: len(whole)]])
-        by_hash: dict[int, tuple[bytes, set[int]]] = {}
-        for h, i in zip(tb.gram_hashes(hashes, size, 11)[at].tolist(), at.tolist(), strict=True):
-            body = b" ".join(low[starts[j] : ends[j]].tobytes() for j in range(i, i + size))
-            held = by_hash.setdefault(h, (body, set()))
-            if held[0] != body:
-                raise ValueError("two different windows of the benchmark have one 64-bit hash")
-            held[1].add(item_ids[owner[i]])
-        order = sorted(by_hash)
-        counts = [len(by_hash[h][1]) for h in order]
-        out.append(
-            BlockIndex(
-                size,
-                k,
-                prints,
-                np.array(order, np.uint64),
-                np.cumsum([0, *counts]),
-                np.array([x for h in order for x in sorted(by_hash[h][1])], np.int64),
-                [by_hash[h][0] for h in order],
-            )
-        )
-    return out
-
-
-def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Index of each x among sorted values, -1 where absent."""
-    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
-    return np.where(sorted_values[at] == x, at, -1)
-
-
-def _hits(index: BlockIndex, low, starts, ends, hashes, owner) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the texts' windows that are windows of the index, and which windows they are."""
-    grams, inside = tb.gram_hashes(hashes, index.gram), _same_text(owner, index.gram)
-    kept = winnow(grams, inside, index.width)
-    kept = kept[_member(index.prints, grams[kept]) >= 0]
-    # extend: the windows around each joined gram
-    around = np.unique((kept[:, None] - np.arange(index.width)[None, :]).ravel())
-    whole = _same_text(owner, index.size)
-    around = around[(around >= 0) & (around < len(whole))]
-    around = around[whole[around]]
-    if not len(around):
-        return around, around
-    factors = tb.randoms(index.size, 11)
-    total = np.zeros(len(around), np.uint64)
-    for k in range(index.size):
-        total += hashes[around + k] * factors[k]
-    which = _member(index.windows, tb.mix(total))
-    around, which = around[which >= 0], which[which >= 0]
-    equal = np.fromiter(
-        (
-            b" ".join(low[starts[j] : ends[j]].tobytes() for j in range(i, i + index.size)) == index.words[w]
-            for i, w in zip(around.tolist(), which.tolist(), strict=True)
-        ),
-        bool,
-        len(around),
-    )
-    return around[equal], which[equal]
+def _bodies(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, size: int) -> pa.Array:
+    """The words of the windows that begin at the given words, joined by blanks."""
+    return pa.array([b" ".join(low[starts[j] : ends[j]].tobytes() for j in range(i, i + size)) for i in at.tolist()], pa.binary())
 
 
-def _scan(indexes):
-    """(doc_id, n_words, hit word ranges, items) of each document, against one broadcast block."""
+def _windows(window: int, gram: int):
+    """(size, h, print, item, body) of every window of benchmark items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches):
-            data, bounds = tb.texts(batch.column("text"))
-            tokens = _words(data, bounds)
-            owner, n = tokens[4], batch.num_rows
-            n_words = np.bincount(owner, minlength=n)
-            first = np.cumsum(n_words) - n_words
-            edge = np.zeros(len(owner) + 1, np.int64)
-            pairs = []
-            for index in indexes.value:
-                at, which = _hits(index, *tokens)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + index.size, -1)
-                per = index.item_from[which + 1] - index.item_from[which]
-                doc = np.repeat(owner[at], per)
-                into = np.repeat(index.item_from[which], per) + np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-                pairs.append(np.stack([doc, index.items[into]]))
-            covered = np.cumsum(edge)[:-1] > 0
-            # maximal runs of hit words, as [from, to) within the document
-            begin = covered & ~np.concatenate([[False], covered[:-1] & (owner[1:] == owner[:-1])]) if len(covered) else covered
-            stop = covered & ~np.concatenate([covered[1:] & (owner[1:] == owner[:-1]), [False]]) if len(covered) else covered
-            b, e = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-            doc = owner[b]
-            ranges = np.stack([b - first[doc], e - first[doc]], 1).ravel()
-            range_at = np.concatenate([[0], np.cumsum(2 * np.bincount(doc, minlength=n))])
-            pairs = np.unique(np.concatenate(pairs, 1), axis=1) if pairs else np.empty((2, 0), np.int64)
-            item_at = np.concatenate([[0], np.cumsum(np.bincount(pairs[0].astype(np.int64), minlength=n))])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(n_words),
-                    pa.ListArray.from_arrays(pa.array(range_at, pa.int32()), pa.array(ranges, pa.int64())),
-                    pa.ListArray.from_arrays(pa.array(item_at, pa.int32()), pa.array(pairs[1], pa.int64())),
-                ],
-                ["doc_id", "n_words", "hit_ranges", "items"],
-            )
+            low, starts, ends, hashes, owner = _words(*tb.texts(batch.column("text")))
+            n_words = np.bincount(owner, minlength=batch.num_rows)
+            for size in np.unique(np.minimum(n_words[n_words > 0], window)).tolist():
+                k = gram if size == window else size
+                whole = _same_text(owner, size)
+                at = np.flatnonzero(whole & (np.minimum(n_words, window) == size)[owner[: len(whole)]])
+                h = tb.gram_hashes(hashes, size, 11)[at]
+                prints = tb.sliding_min(tb.gram_hashes(hashes, k), size - k + 1)[at]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(at), size, np.int32)),
+                        pa.array(tb.signed(h)),
+                        pa.array(tb.signed(prints)),
+                        batch.column("item").take(pa.array(owner[at])),
+                        _bodies(low, starts, ends, at, size),
+                    ],
+                    ["size", "h", "print", "item", "body"],
+                )
 
     return run
 
 
-_SCHEMA = "doc_id long, n_words long, hit_ranges array<long>, items array<long>"
+class BitFilter:
+    """A set of hashes as bits: may hold others too, never lacks one of its own."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.cells = bits, np.zeros(1 << max(bits - 3, 0), np.uint8)
+
+    @staticmethod
+    def place(h: np.ndarray, bits: int) -> np.ndarray:
+        return (tb.mix(h ^ tb.U64(0x2545F4914F6CDD1D)) >> tb.U64(64 - bits)).astype(np.int64)
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        at = self.place(h, self.bits)
+        return (self.cells[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _filter_of(hashes: DataFrame, bits: int) -> BitFilter:
+    """The filter of a column ``h``; tasks make its blocks, so the driver gets at most 2^bits bits."""
+    step = min(_BLOCK, bits)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(BitFilter.place(batch.column("h").to_numpy().view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> step), pa.array(at & (1 << step) - 1)], ["block", "bit"])
 
+    def fill(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block = np.zeros(1 << step, bool)
+        block[table["bit"].to_numpy()] = True
+        return pa.table({"block": [key[0].as_py()], "cells": [np.packbits(block, bitorder="little").tobytes()]})
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[int], list[str | None]]]:
-    """The items in blocks of bounded text, streamed one partition at a time."""
-    ids, texts, held = [], [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        size = len((row.text or "").encode())
-        if ids and held + size > block_bytes:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-        ids.append(row.item_id)
-        texts.append(row.text)
-        held += size
-    if ids:
-        yield ids, texts
+    found = BitFilter(bits)
+    blocks = hashes.mapInArrow(places, "block long, bit long").distinct().groupBy("block").applyInArrow(fill, "block long, cells binary")
+    width = 1 << step - 3
+    for row in blocks.collect():
+        found.cells[row.block * width : (row.block + 1) * width] = np.frombuffer(row.cells, np.uint8)
+    return found
 
 
-def _n_hit(ranges):
-    """Words in flat [from, to) pairs: the ends less the starts."""
-    return F.aggregate(F.transform(ranges, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
+def _scan(index, gram: int, window: int):
+    """(row, doc_id, n_words, found) of each document: found lists the windows that the filters let through."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints, windows, sizes = index.value
+        row = TaskContext.get().partitionId() << 40  # numbers rows, as a doc_id may come twice
+        for batch in tb.slices(batches):
+            low, starts, ends, hashes, owner = _words(*tb.texts(batch.column("text")))
+            n = batch.num_rows
+            n_words = np.bincount(owner, minlength=n)
+            found: list[tuple] = []
+            for size in sizes:
+                k = gram if size == window else size
+                grams, inside = tb.gram_hashes(hashes, k), _same_text(owner, k)
+                kept = winnow(grams, inside, size - k + 1)
+                kept = kept[prints.holds(grams[kept])]
+                # extend: the windows around each fingerprint
+                around = np.unique((kept[:, None] - np.arange(size - k + 1)[None, :]).ravel())
+                whole = _same_text(owner, size)
+                around = around[(around >= 0) & (around < len(whole))]
+                around = around[whole[around]]
+                total, factors = np.zeros(len(around), np.uint64), tb.randoms(size, 11)
+                for j in range(size):
+                    total += hashes[around + j] * factors[j]
+                total = tb.mix(total)
+                ok = windows.holds(total)
+                found.append((around[ok], np.full(np.count_nonzero(ok), size, np.int32), total[ok], _bodies(low, starts, ends, around[ok], size)))
+            at = np.concatenate([x[0] for x in found]) if found else np.empty(0, np.int64)
+            order = np.argsort(owner[at], kind="stable")
+            first = np.cumsum(n_words) - n_words
+            fields = [
+                pa.array((at - first[owner[at]])[order]),
+                pa.concat_arrays([pa.array(x[1]) for x in found]).take(pa.array(order)) if found else pa.array([], pa.int32()),
+                pa.concat_arrays([pa.array(tb.signed(x[2])) for x in found]).take(pa.array(order)) if found else pa.array([], pa.int64()),
+                pa.concat_arrays([x[3] for x in found]).take(pa.array(order)) if found else pa.array([], pa.binary()),
+            ]
+            listed = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=n))]), pa.int32()),
+                pa.StructArray.from_arrays(fields, ["pos", "size", "h", "body"]),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column("doc_id"), pa.array(n_words), listed], ["row", "doc_id", "n_words", "found"])
+            row += n
 
-def _merge_ranges(ranges):
-    """Union of sorted [from, to) structs, as flat pairs."""
-    zero = F.struct(F.array().cast("array<long>").alias("out"), F.lit(-1).cast("long").alias("s"), F.lit(-1).cast("long").alias("e"))
-    return F.aggregate(
-        F.array_sort(ranges),
-        zero,
-        lambda a, r: F.when(r["s"] > a["e"], F.struct(F.when(a["e"] < 0, a["out"]).otherwise(F.concat(a["out"], F.array(a["s"], a["e"]))).alias("out"), r["s"].alias("s"), r["e"].alias("e")))
-        .otherwise(F.struct(a["out"].alias("out"), a["s"].alias("s"), F.greatest(a["e"], r["e"]).alias("e"))),
-        lambda a: F.when(a["e"] < 0, a["out"]).otherwise(F.concat(a["out"], F.array(a["s"], a["e"]))),
-    )
+    return run
 
 
-def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
-    """One row a document: doc_id, n_words, hit_ranges (flat [from, to) word numbers), n_hit, items.
+_FOUND = "row long, doc_id long, n_words long, found array<struct<pos:long,size:int,h:long,body:binary>>"
 
-    ``docs`` has doc_id (unique) and text, ``benchmark`` item_id and text; other columns are not read.
-    A null or wordless text has no words, hits nothing and, as an item, has no window. Repeated items
-    are told apart by item_id only. An empty benchmark hits nothing.
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """One row a document: doc_id, n_words, hit_ranges (structs [s, e) of word numbers), n_hit, items (as strings, sorted).
+
+    ``docs`` has doc_id and text, ``benchmark`` item_id (of any type) and text; other columns are not
+    read. A null or wordless text has no words, hits nothing and, as an item, has no window. Rows that
+    repeat a doc_id are documents of their own; items of one item_id are one item. An empty benchmark
+    hits nothing; no documents give no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    parts = []
-    for ids, texts in _blocks(benchmark, block_bytes):
-        index = spark.sparkContext.broadcast(build_index(ids, texts, window, gram))
-        parts.append(docs.mapInArrow(_scan(index), _SCHEMA))
-    if not parts:
-        parts.append(docs.mapInArrow(_scan(spark.sparkContext.broadcast([])), _SCHEMA))
-    if len(parts) == 1:
-        found = parts[0]
-    else:
-        space = Workspace(spark, "decontaminate")
-        parts = [space.save(x, str(k)) for k, x in enumerate(parts)]
-        as_structs = F.expr("transform(sequence(1, size(hit_ranges) div 2), i -> struct(hit_ranges[2 * i - 2] AS s, hit_ranges[2 * i - 1] AS e))")
-        found = (
-            reduce(DataFrame.union, parts)
-            .withColumn("hit_ranges", F.when(F.size("hit_ranges") > 0, as_structs).otherwise(F.array().cast("array<struct<s:long,e:long>>")))
-            .groupBy("doc_id")
-            .agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit_ranges")).alias("r"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-            .select("doc_id", "n_words", _merge_ranges(F.col("r")).alias("hit_ranges"), F.array_sort("items").alias("items"))
-        )
-    return found.select("doc_id", "n_words", "hit_ranges", _n_hit(F.col("hit_ranges")).alias("n_hit"), "items")
+    space = Workspace(spark, "decontaminate")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    rows = items.mapInArrow(_windows(window, gram), "size int, h long, print long, item string, body binary")
+    index = rows.groupBy("size", "h", "body").agg(F.first("print").alias("print"), F.array_sort(F.collect_set("item")).alias("items"))
+    index = space.save(index, "index")
+    bits = min(filter_bits, max(_BLOCK, (FILTER_RATE * index.count()).bit_length()))
+    sizes = sorted(r.size for r in index.select("size").distinct().collect())  # at most ``window`` rows
+    filters = spark.sparkContext.broadcast((_filter_of(index.select(F.col("print").alias("h")), bits), _filter_of(index.select("h"), bits), sizes))
+    scanned = space.save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(filters, gram, window), _FOUND), "scanned")
+
+    asked = scanned.select("row", F.inline("found"))
+    hits = asked.join(index.drop("print").hint("merge"), ["size", "h", "body"]).select("row", "pos", (F.col("pos") + F.col("size")).alias("end"), "items")
+    in_row = Window.partitionBy("row").orderBy("pos", "end")
+    reach = F.max("end").over(in_row.rowsBetween(Window.unboundedPreceding, -1))
+    runs = hits.select("row", "pos", "end", (F.col("pos") > F.coalesce(reach, F.lit(-1))).cast("int").alias("new"))
+    runs = runs.withColumn("run", F.sum("new").over(in_row)).groupBy("row", "run").agg(F.min("pos").alias("s"), F.max("end").alias("e"))
+    spans = runs.groupBy("row").agg(F.sum(F.col("e") - F.col("s")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("s", "e"))).alias("hit_ranges"))
+    named = hits.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = scanned.select("row", "doc_id", "n_words").join(spans.hint("merge"), "row", "left").join(named.hint("merge"), "row", "left")
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.coalesce("hit_ranges", none).alias("hit_ranges"),
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    )
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return found.select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
 

@@ -38,13 +38,21 @@ def test_against_brute_force(spark):
     docs += [(200, None), (201, ""), (202, "a " * 3000), (203, "A" * 20000), (204, items[92 - 90 + 25][1])]
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, items int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = brute(docs, items)
-    for limit in (D.BLOCK_BYTES, 60):
-        rows = D.find_contamination(df, bench, block_bytes=limit).collect()
+    want = {d: (n, hit, sorted(map(str, found))) for d, (n, hit, found) in brute(docs, items).items()}
+    for bits in (D.FILTER_BITS, 3):  # a filter of eight bits lets nearly everything through
+        rows = D.find_contamination(df, bench, filter_bits=bits).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in rows} == want
+        assert all(r.n_hit == sum(x.e - x.s for x in r.hit_ranges) for r in rows)
         assert len(rows) == len(docs)
 
 
+def test_repeated_ids_and_named_items(spark):
+    docs = spark.createDataFrame([(1, "x a b c"), (1, "q"), (1, "a b c a b c"), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([("i10", "A b, c"), ("i9", "a B C"), ("i9", "zz")], "item_id string, text string")
+    rows = D.find_contamination(docs.repartition(3), bench).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in rows) == [(1, 1, 0, []), (1, 4, 3, ["i10", "i9"]), (1, 6, 6, ["i10", "i9"]), (2, 0, 0, [])]
+
+
 def test_empty_tables(spark):
     none_d, none_b = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
