@@ -9,9 +9,13 @@
    are chained, and an entry joins a link of the chain only if all bytes are equal.
 3. The buckets are written to the shared folder: bucket prefix, depth, key, place in the chain,
    digest, size of the group and the doc_id that stays.
-4. Documents find their entry by key and digest.
+4. Documents send key and digest, not their text, to the owner of the key, where the written buckets
+   make up the directory again: the key's low bits lead to a bucket, the key to its chain, the digest
+   to the link. An owner with many probes, as one of a hot text, is read by as many tasks as keep each
+   under ``PROBE_ROWS`` or so.
 
-The number of owners follows the bytes of text, so that each holds about ``OWNER_BYTES``.
+The number of owners follows the bytes of text, so that each holds about ``OWNER_BYTES``; a shuffle
+partition takes many owners, one after the other.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from hazardframe.llm import textbytes as tb
 from hazardframe.llm.store import Workspace, read_table, shuffle_width
 
 OWNER_BYTES = 24_000_000
+PROBE_ROWS = 1 << 17
 BUCKET_ENTRIES = 256
 #: A directory has at most 2^MAX_DEPTH slots; keys that agree in so many bits overflow their bucket.
 MAX_DEPTH = 18
@@ -80,7 +85,8 @@ class ExtendibleHash:
 
 
 _ENTRY = "owner int, key long, text binary, n long, max_id long"
-_INDEX = "owner int, bucket long, depth int, key long, chain int, sha256 string, group_size long, keep_id long"
+_INDEX = "owner int, bucket long, depth int, key long, chain int, sha256 binary, group_size long, keep_id long"
+_GROUPS = "doc_id long, keep_id long, group_size long, sha256 binary"
 
 
 def _combine(bits: int):
@@ -114,52 +120,97 @@ def _combine(bits: int):
 
 
 def _own(capacity: int):
-    """The index of one owner's key range, bucket by bucket."""
+    """The index of each owner's key range, bucket by bucket; the rows of an owner stand together."""
     names = [x.split()[0] for x in _INDEX.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+
+    def written(owner: int, table: ExtendibleHash) -> Iterator[pa.RecordBatch]:
+        for bucket in table.buckets():
+            rows = [
+                (owner, bucket.prefix, bucket.depth, key - (1 << 64) * (key >> 63), place, hashlib.sha256(text).digest(), n, keep)
+                for key, chain in bucket.chains.items()
+                for place, (text, n, keep) in enumerate(chain)
+            ]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, ExtendibleHash] = {}
+        now, table = None, ExtendibleHash(capacity)
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("owner", "key", "text", "n", "max_id")]
             for owner, key, text, n, max_id in zip(*columns, strict=True):
-                tables.setdefault(owner, ExtendibleHash(capacity)).add(key & (1 << 64) - 1, text, n, max_id)
-        for owner, table in tables.items():
-            for bucket in table.buckets():
-                rows = [
-                    (owner, bucket.prefix, bucket.depth, key - (1 << 64) * (key >> 63), place, hashlib.sha256(text).hexdigest(), n, keep)
-                    for key, chain in bucket.chains.items()
-                    for place, (text, n, keep) in enumerate(chain)
-                ]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                if owner != now:
+                    yield from written(now, table)
+                    now, table = owner, ExtendibleHash(capacity)
+                table.add(key & (1 << 64) - 1, text, n, max_id)
+        yield from written(now, table)
 
     return run
 
 
-def dedup_exact(docs: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
-    """Adds keep_id, group_size, kept and text_sha256 to every document, dropped ones too.
+class WrittenIndex:
+    """An owner's directory, read back from its buckets."""
 
-    Of equal texts the row with the largest doc_id stays. Null counts as empty. Texts differ by any
-    byte. doc_id is unique; columns named as the added ones are replaced, others stay.
+    def __init__(self, table: pa.Table) -> None:
+        depths = table["depth"].to_pylist()
+        self.mask = (1 << max(depths, default=0)) - 1
+        self.directory: list[dict[int, list]] = [{}] * (self.mask + 1)
+        buckets: dict[int, dict[int, list]] = {}
+        columns = [table[c].to_pylist() for c in ("bucket", "key", "sha256", "keep_id", "group_size")]
+        for depth, prefix, key, sha, keep, size in zip(depths, *columns, strict=True):
+            if prefix not in buckets:
+                buckets[prefix] = {}
+                for slot in range(prefix, self.mask + 1, 1 << depth):
+                    self.directory[slot] = buckets[prefix]
+            buckets[prefix].setdefault(key, []).append((sha, keep, size))
+
+    def find(self, key: int, sha: bytes) -> tuple[int, int]:
+        """(keep_id, group_size) of a text that the index holds."""
+        return next((keep, size) for at, keep, size in self.directory[key & self.mask][key] if at == sha)
+
+
+def _probe(probes: pa.Table, buckets: pa.Table) -> pa.Table:
+    index = WrittenIndex(buckets)
+    found = [index.find(key, sha) for key, sha in zip(probes["key"].to_pylist(), probes["sha256"].to_pylist(), strict=True)]
+    return pa.table({"doc_id": probes["doc_id"], "keep_id": pa.array([x[0] for x in found], pa.int64()), "group_size": pa.array([x[1] for x in found], pa.int64()), "sha256": probes["sha256"]})
+
+
+def exact_groups(docs: DataFrame, capacity: int = BUCKET_ENTRIES, probe_rows: int = PROBE_ROWS) -> DataFrame:
+    """One row a document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Of equal texts the row with the largest doc_id stays. Null counts as empty; texts differ by any
+    byte. Only doc_id and text are read. Rows that repeat a doc_id are documents of their own: each
+    counts in its group, and with equal texts each of them is kept. No documents give no rows.
     """
     spark = docs.sparkSession
-    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256", "key__")
+    space = Workspace(spark, "exact")
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(whole))).first()[0] or 0
     bits = max(size // OWNER_BYTES, min(shuffle_width(spark), 64)).bit_length()
     keyed = docs.select(F.col("doc_id").cast("long"), whole.alias("text"), F.xxhash64(whole).alias("key"))
-    entries = keyed.mapInArrow(_combine(bits), _ENTRY).repartitionById(1 << bits, F.col("owner"))
-    index = Workspace(spark, "exact").save(entries.mapInArrow(_own(capacity), _INDEX), "index")
-    held = docs.withColumns({"key__": F.xxhash64(whole), "text_sha256": F.sha2(whole.cast("binary"), 256)})
-    entry = index.select(F.col("key").alias("key__"), F.col("sha256").alias("text_sha256"), "keep_id", "group_size")
-    found = held.join(entry.hint("merge"), ["key__", "text_sha256"])
-    return found.select(*docs.columns, "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    entries = keyed.mapInArrow(_combine(bits), _ENTRY).repartition("owner").sortWithinPartitions("owner")
+    index = space.save(entries.mapInArrow(_own(capacity), _INDEX), "index")
+    parts = index.groupBy("owner").agg((1 + F.floor(F.sum("group_size") / probe_rows)).cast("int").alias("parts"))
+    owner = F.shiftrightunsigned("key", 64 - bits).cast("int")  # the top bits, as owners have them
+    probes = keyed.select("doc_id", "key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha256"), owner.alias("owner"))
+    probes = probes.join(parts, "owner").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("parts")
+    copies = index.join(parts, "owner").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    found = probes.groupBy("owner", "part").cogroup(copies.groupBy("owner", "part")).applyInArrow(_probe, _GROUPS)
+    kept = (F.col("doc_id") == F.col("keep_id")).alias("kept")
+    return found.select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("sha256")).alias("text_sha256"))
+
+
+def dedup_exact(docs: DataFrame, capacity: int = BUCKET_ENTRIES, probe_rows: int = PROBE_ROWS) -> DataFrame:
+    """Adds the columns of ``exact_groups`` to every document, dropped ones too.
+
+    doc_id is unique here; columns named as the added ones are replaced, others stay.
+    """
+    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
+    return docs.join(exact_groups(docs, capacity, probe_rows).hint("merge"), "doc_id").select(*docs.columns, "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_exact(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
 OP5_SQL = """

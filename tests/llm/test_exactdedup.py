@@ -14,8 +14,11 @@ def test_against_brute_force(spark):
     groups = {}
     for i, t in rows:
         groups.setdefault(t or "", []).append(i)
-    got = {r.doc_id: r for r in E.dedup_exact(docs, capacity=2).collect()}
-    assert len(got) == len(rows)
+    found = E.dedup_exact(docs, capacity=2)
+    split = E.exact_groups(docs, capacity=2, probe_rows=7).collect()  # hot owners read by many tasks
+    got = {r.doc_id: r for r in found.collect()}
+    assert len(got) == len(split) == len(rows)
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in split} == {(r.doc_id, r.keep_id, r.group_size) for r in got.values()}
     for i, t in rows:
         g, r = groups[t or ""], got[i]
         assert (r.keep_id, r.group_size, r.kept, r.key) == (max(g), len(g), i == max(g), 2)
@@ -26,6 +29,12 @@ def test_empty_table(spark):
     assert E.dedup_exact(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeated_ids_are_documents_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b"), (3, None)], "doc_id long, text string").repartition(3)
+    rows = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in E.exact_groups(docs).collect())
+    assert rows == [(1, 1, 2, True), (1, 1, 2, True), (1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
+
+
 def test_directory_doubles_and_chains():
     table = E.ExtendibleHash(capacity=3)
     rng = random.Random(0)
@@ -41,6 +50,12 @@ def test_directory_doubles_and_chains():
             seen[k] = sorted((t, n) for t, n, _ in chain)
     assert seen == {k: [(b"one", 2), (b"two", 1)] for k in keys}
     assert len(table.directory) == 1 << table.depth
+    names = [x.split()[0] for x in E._INDEX.split(", ")]
+    rows = [(0, b.prefix, b.depth, k - (1 << 64) * (k >> 63), i, t, n, keep) for b in table.buckets() for k, c in b.chains.items() for i, (t, n, keep) in enumerate(c)]
+    read = E.WrittenIndex(E.pa.table(dict(zip(names, zip(*rows, strict=True), strict=True))))
+    assert len(read.directory) == len(table.directory)
+    signed = {k: k - (1 << 64) * (k >> 63) for k in keys}
+    assert all(read.find(s, b"two") == (k % 97, 1) and read.find(s, b"one") == (k % 97, 2) for k, s in signed.items())
 
 
 def test_same_key_different_text_is_told_apart(spark):
