@@ -130,7 +130,23 @@ def distinct_words(data: np.ndarray, bounds: np.ndarray, member: np.ndarray) ->
     starts, ends = tb.runs(data, bounds, member)
     text = tb.owner_of(bounds, starts)
     _, first, word = np.unique(tb.span_hashes(data, starts, ends, 5), return_index=True, return_inverse=True)
-    at, lengths = starts[first], (ends - starts)[first]
+    words, place = _words_at(data, starts[first], ends[first])
+    words.token_word, words.token_text = place[word.ravel()], text
+    return words
+
+
+def words_of(column, counts: np.ndarray) -> tuple[Words, np.ndarray]:
+    """Different words (a binary column) and their counts, as one float each."""
+    data, bounds = tb.texts(column)
+    words, place = _words_at(data, bounds[:-1], bounds[1:])
+    moved = np.empty(len(counts))
+    moved[place] = counts
+    return words, moved
+
+
+def _words_at(data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[Words, np.ndarray]:
+    """Words at some places, and each one's number among them."""
+    count, lengths = len(at), ends - at
     short, over = np.flatnonzero(lengths <= WORD_BYTES), np.flatnonzero(lengths > WORD_BYTES)
     long = [data[a : a + n] for a, n in zip(at[over].tolist(), lengths[over].tolist(), strict=True)]
     at, lengths = at[short], lengths[short]
@@ -139,10 +155,11 @@ def distinct_words(data: np.ndarray, bounds: np.ndarray, member: np.ndarray) ->
     inside = np.arange(width) < lengths[:, None]
     matrix = np.where(inside, data[np.minimum(cell, max(len(data) - 1, 0))] + np.uint8(1), np.uint8(0)) if len(data) else np.zeros((0, width), np.uint8)
     order = np.argsort(np.ascontiguousarray(matrix).view(f"S{width}").ravel(), kind="stable")
-    place = np.empty(len(first), np.int64)
+    place = np.empty(count, np.int64)
     place[short[order]] = np.arange(len(order))
     place[over] = len(order) + np.arange(len(over))
-    return Words(matrix[order], lengths[order], place[word.ravel()], text, long)
+    none = np.empty(0, np.int64)
+    return Words(matrix[order], lengths[order], none, none, long), place
 
 
 @dataclass

@@ -14,8 +14,7 @@ def brute(text, logp):
     n_words = n_tokens = 0
     forward = best = 0.0
     for run in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
-        for at in range(0, len(run), 32):
-            w = run[at : at + 32]
+        for w in [run]:
             f, v = [1.0] + [0.0] * len(w), [(0.0, 0)] + [(-math.inf, 0)] * len(w)
             for e in range(1, len(w) + 1):
                 for s in range(e):
@@ -35,7 +34,7 @@ def test_against_brute_force(spark):
     rng = random.Random(4)
     texts = TEXTS + [" ".join("".join(rng.choice("theaion é") for _ in range(rng.randint(1, 20))) for _ in range(30)) for _ in range(20)]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int").repartition(2)
-    rows = T.count_tokens(docs).collect()
+    rows = T.count_tokens(docs, probs=T.zipf(len(table))).collect()
     assert len(rows) == len(texts)
     for r in rows:
         words, tokens, forward, best = brute(texts[r.doc_id], logp)
@@ -59,3 +58,30 @@ def test_expected_counts_sum_all_segmentations():
         for x in path:
             want[x] += 2 * p / 0.31
     assert np.allclose(got[:5], list(want.values()))
+
+
+def test_probabilities_learned_from_all_texts(spark):
+    texts = [None, "", "abab the the", "the cat abab", "x" * 40]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    table = P.byte_pieces(T.VOCABULARY)
+    p = T.zipf(len(table))
+    counts = {}
+    for t in texts:
+        for w in (t or "").encode().split():
+            counts[w] = counts.get(w, 0) + 1
+    number = {x: k for k, x in enumerate(table.pieces)}
+    for _ in range(T.PASSES):
+        got = np.full(len(table), T.SMOOTHING)
+        for w, c in counts.items():
+            ways = [(s, e, number[w[s:e]]) for e in range(1, len(w) + 1) for s in range(e) if w[s:e] in number]
+            f, b = [1.0] + [0.0] * len(w), [0.0] * len(w) + [1.0]
+            for s, e, k in ways:
+                f[e] += f[s] * p[k]
+            for s, e, k in sorted(ways, key=lambda x: -x[0]):
+                b[s] += p[k] * b[e]
+            for s, e, k in ways:
+                got[k] += c * f[s] * p[k] * b[e] / f[-1]
+        p = got / got.sum()
+    assert np.allclose(T.learn_pieces(docs), p, rtol=1e-4, atol=1e-9)
+    assert T.count_tokens(docs).count() == len(texts)
+    assert np.allclose(T.learn_pieces(docs.limit(0)), T.zipf(len(table)))
