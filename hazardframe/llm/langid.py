@@ -84,7 +84,7 @@ def train_languages(labelled: DataFrame, per_lang: int = PER_LANG, passes: int =
     if not langs:
         return LanguageModel([], np.zeros((len(table) + 1, 0)), vocabulary)
     chance: Column = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, per_lang / counts[lang])))])[F.col("lang")]
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(42)), 11) / float(1 << 53)
     sample = Workspace(spark, "langid").save(labelled.where(draw < chance), "sample")
     probs = np.append(zipf(len(table)), 0.0)[:, None]
     for _ in range(passes):

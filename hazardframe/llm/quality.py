@@ -1,8 +1,7 @@
 """Quality scores from supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed units: words, pairs of neighbouring words
-(and one unit for a word that repeats the one before), and byte n-grams over the whole text. A linear
-softmax layer reads the average. Vectors and layer are trained together by stochastic gradient
+A document is the average of learned vectors of its hashed units: words, pairs of neighbouring words,
+and character (code point) n-grams over the whole text. A linear softmax layer reads the average. Vectors and layer are trained together by stochastic gradient
 descent in numpy, on a bounded sample of labelled rows inside one task.
 
 As the output is linear in the average, a trained model folds into one number for each bucket, and a
@@ -26,7 +25,6 @@ BITS, DIM, NGRAMS = 16, 16, (3, 4)
 #: Labelled documents to learn from, about (the bound of the sample), passes over them, and their first rate.
 SAMPLE, EPOCHS, RATE = 4000, 8, 0.6
 SEED = 7
-_REPEAT = 1
 
 
 @dataclass
@@ -39,6 +37,22 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> tb.U64(64 - BITS)).astype(np.int32)
 
 
+def _code_points(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts, and where each text's begin."""
+    heads = (data & 0xC0) != 0x80
+    first = np.concatenate([[0], np.cumsum(heads)])[bounds]
+    at = np.flatnonzero(heads)
+    if len(at) == len(data):
+        return data.astype(np.uint64), first
+    head = data[at].astype(np.uint64)
+    extra = (head >= 0xC0).astype(np.int8) + (head >= 0xE0) + (head >= 0xF0)
+    point = head & np.array([0x7F, 0x1F, 0x0F, 0x07], np.uint64)[extra]
+    for k in range(1, 4):
+        more = np.flatnonzero(extra >= k)
+        point[more] = point[more] << tb.U64(6) | (data[at[more] + k] & 0x3F)
+    return point, first
+
+
 def _units(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Kinds of units, each as buckets and the text of each unit (texts in order)."""
     starts, ends = tb.runs(data, bounds, tb.NOT_SPACE)
@@ -48,19 +62,15 @@ def _units(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, n
     if len(words) > 1:
         near = owner[1:] == owner[:-1]
         pairs = tb.mix(words[:-1] * tb.U64(3) + words[1:] * tb.U64(0x9E3779B97F4A7C15))
-        yield np.where(words[1:] == words[:-1], np.int32(_REPEAT), _bucket(pairs))[near], owner[1:][near]
-    wide = data.astype(np.uint64)
+        yield _bucket(pairs)[near], owner[1:][near]
+    points, first = _code_points(data, bounds)
     for n in NGRAMS:
-        m = len(data) - n + 1
-        if m <= 0:
-            continue
-        h = wide[:m].copy()
-        for k in range(1, n):
-            h |= wide[k : k + m] << tb.U64(8 * k)
-        grams = np.maximum(0, np.diff(bounds) - n + 1)
+        grams = np.maximum(0, np.diff(first) - n + 1)
         text = np.repeat(np.arange(len(grams)), grams)
-        at = np.arange(len(text)) + np.repeat(bounds[:-1] - np.cumsum(grams) + grams, grams)
-        yield _bucket((h[at] + tb.U64(n)) * tb.U64(0x9E3779B97F4A7C15)), text
+        at = np.arange(len(text)) + np.repeat(first[:-1] - np.cumsum(grams) + grams, grams)
+        h = tb.gram_hashes(points, n, 43)
+        if len(h):
+            yield _bucket(h[at]), text
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +128,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Q
     spark = docs.sparkSession
     labels = labels.where("quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label"))
     share = min(1.0, sample / max(1, labels.count()))
-    drawn = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    drawn = labels.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 11) / float(1 << 53) < share)
     rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # bounded by ``sample``
     rows = rows.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(_features, "doc_id long, label int, ids array<int>, shares array<float>")
     rows = Workspace(spark, "quality").save(rows, "features")
