@@ -13,31 +13,50 @@ from hazardframe.llm.store import Workspace, crc32_mod, read_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: null texts and those without a letter go."""
+    """Documents whose text has a language: null texts and those without a letter go, any other stays.
+
+    With no labelled row to learn from, a letter is enough. Rows that repeat a doc_id are judged each;
+    other columns stay as they are. An empty table stays empty.
+    """
     model = langid.train_languages(docs.where(crc32_mod("doc_id", 5) != 0))
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(docs.columns)
     found = langid.identify_languages(docs, model)
     return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them share; n_chars follows the text."""
+    """Documents without the lines that ten or more of them share; n_chars follows the text.
+
+    A null text stays null and an empty one empty; a document all of whose lines go has an empty text.
+    A line that a document repeats counts once for it. No row goes.
+    """
     return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the least doc_id."""
+    """One document of each group of near-duplicates, that of the least doc_id (unique).
+
+    Documents without words, null texts among them, are like no other and stay.
+    """
     return neardedup.dedup_near(docs).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage: ten words in a row, or a whole shorter item.
+
+    Null and wordless texts hit nothing and stay; an empty benchmark leaves every document.
+    """
     found = decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
     clean = found.where("n_hit = 0").select("doc_id")
     return docs.join(clean.hint("merge"), "doc_id", "left_semi").select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids and their places in sequences of at most 2048 tokens."""
+    """Pieces of the documents' ids and their places in sequences of at most 2048 tokens.
+
+    A null or empty text is its end token alone. An empty table gives no sequence.
+    """
     return packing.pack_documents(docs)
 
 
@@ -56,7 +75,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``, each one's result written to the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    space = Workspace(spark, "pipeline")
+    space, before = Workspace(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
         docs = space.save(stage(spark, docs, sf_dir), name)
+        if before:
+            space.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
