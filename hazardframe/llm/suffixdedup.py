@@ -8,22 +8,24 @@ earlier in the same document) goes. Strings are judged on the input and never cr
    twice anywhere can repeat. Consecutive strings mostly share an anchor: about one anchor stands for
    40 bytes of text.
 2. An anchor's block is the bytes that its strings cover. Where all blocks of a repeating anchor are
-   equal (by digest), the later ones are repeats as they stand. Other blocks go to the shard that owns
-   the anchor's hash. Slices of documents first combine equal blocks, and shards do so again, so a
-   passage that most documents hold arrives once a slice and is sorted once.
+   equal (by a 64-bit digest beside the anchor's hash), the later ones are repeats as they stand. Other
+   blocks go to the shard that owns the anchor's hash. Slices of documents first combine equal blocks,
+   and shards do so again, so a passage that most documents hold arrives once a slice and is sorted
+   once. An anchor of many occurrences is dealt to several shards by the bytes of its blocks, one for
+   each ``PART_ROWS`` occurrences.
 3. A shard cuts its blocks into runs of bounded size. A run's suffix array comes from
    Larsson-Sadakane refinement (only groups that are not yet sorted are sorted again, by the rank
    that many bytes on), its common prefixes from Kasai's algorithm, all blocks in step. Neighbours
    that share ``WIDTH`` bytes are one class, whose earliest start stays.
-4. Runs are merged into the shard's sorted classes by binary search.
-5. Anchors with more than ``HOT`` occurrences may have as many different blocks. Those stay with
-   their slices: each sorts its own as above, and only the classes, not the blocks, are merged over
-   slices, by 128-bit digest.
+4. Runs are merged into the shard's sorted classes by binary search, and what is found compared byte by
+   byte. Classes of anchors that several shards share are merged over the shards by binary search, by
+   128-bit digests.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +38,10 @@ from hazardframe.llm import textbytes as tb
 from hazardframe.llm.store import Workspace, read_table
 
 WIDTH, GRAM = 100, 20
-#: Occurrences from which an anchor's blocks stay with their slices; bytes of blocks in a shard and in a run.
-HOT, SHARD_BYTES, RUN_BYTES = 200_000, 6_000_000, 1_000_000
+#: Occurrences of an anchor for each shard that it is dealt to; bytes of blocks in a shard and in a run.
+PART_ROWS, SHARD_BYTES, RUN_BYTES = 200_000, 6_000_000, 1_000_000
+#: Classes that a task merges over shards, about.
+MERGE_ROWS = 500_000
 #: Bytes of text whose anchors are found at a time, unless a single text is longer.
 NEAR_BYTES = 64_000
 U64, LOW32 = np.uint64, np.uint64(0xFFFFFFFF)
@@ -185,7 +189,7 @@ def common_prefixes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, orde
 
 
 def _classes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, base: np.ndarray, width: int):
-    """Classes of equal strings of blocks: earliest start and digest of each class, and all later starts.
+    """Classes of equal strings of blocks: earliest start, digests and a place of each class, and all later starts.
 
     ``base``: the sort key of each block's first byte; a string's key is its block's plus its offset.
     """
@@ -209,38 +213,52 @@ def _classes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, base: np.nd
     head = np.concatenate([[True], number[1:] != number[:-1]]) if len(number) else np.empty(0, bool)
     reps, gram = strings[head], min(GRAM, width)
     d1, d2 = (_string_hashes(_gram_hashes(apart, gram, seed), reps, width, gram, seed) for seed in (29, 31))
-    return keys[head], d1, d2, keys[~head]
+    return keys[head], d1, d2, reps - block[reps], keys[~head]
+
+
+def _merge_run(have: tuple[np.ndarray, ...], run: tuple[np.ndarray, ...], equal=None):
+    """Merges classes (key, two digests, more) into others, sorted by digests: late keys, and all classes.
+
+    Binary search finds where a class's digests begin; ``equal`` says of pairs (place in ``have``, place
+    in ``run``) of one digest whether they are one class.
+    """
+    by = np.lexsort((run[2], run[1]))
+    run = tuple(x[by] for x in run)
+    at = np.searchsorted(have[1], run[1], "left")
+    match, left = np.full(len(by), -1, np.int64), np.arange(len(by))
+    while len(left):
+        left = left[at[left] < len(have[1])]
+        left = left[have[1][at[left]] == run[1][left]]
+        same = have[2][at[left]] == run[2][left]
+        if equal is not None:
+            same[same] = equal(at[left[same]], by[left[same]])
+        match[left[same]] = at[left[same]]
+        left = left[~same]
+        at[left] += 1
+    found = match >= 0
+    old, new = have[0][match[found]], run[0][found]
+    have[0][match[found]] = np.minimum(old, new)
+    joined = tuple(np.concatenate([x, y[~found]]) for x, y in zip(have, run, strict=True))
+    by = np.lexsort((joined[2], joined[1]))
+    return np.maximum(old, new), tuple(x[by] for x in joined)
 
 
 def repeats(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, base: np.ndarray, width: int, run_bytes: int = RUN_BYTES):
     """Keys of repeated starts of all blocks, and the surviving classes (key, two digests), run by run."""
     late = []
-    have = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
+    none = np.empty(0, np.int64)
+    have = (none, none.astype(np.uint64), none.astype(np.uint64), none)
+    strings = np.lib.stride_tricks.sliding_window_view(data, width) if len(data) >= width else None
     cut = np.searchsorted(ends, np.arange(0, ends[-1] + run_bytes, run_bytes), "left") if len(ends) else []
     cut = np.unique(np.append(cut, len(ends)))
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         part = data[begins[a] : ends[b - 1]]
-        keys, d1, d2, again = _classes(part, begins[a:b] - begins[a], ends[a:b] - begins[a], base[a:b], width)
-        late.append(again)
-        by = np.lexsort((d2, d1))
-        keys, d1, d2 = keys[by], d1[by], d2[by]
-        # binary search in the classes so far; d1 repeats there only for different d2, which d2 tells apart
-        at = np.searchsorted(have[1], d1, "left")
-        match = np.full(len(d1), -1, np.int64)
-        for _ in range(4):
-            inside = at < len(have[1])
-            same = inside.copy()
-            same[inside] = (have[1][at[inside]] == d1[inside]) & (have[2][at[inside]] == d2[inside])
-            match[same] = at[same]
-            at = at + 1
-        found = match >= 0
-        old = have[0][match[found]]
-        late.append(np.maximum(old, keys[found]))
-        have[0][match[found]] = np.minimum(old, keys[found])
-        joined = [np.concatenate([x, y[~found]]) for x, y in zip(have, (keys, d1, d2), strict=True)]
-        by = np.lexsort((joined[2], joined[1]))
-        have = tuple(x[by] for x in joined)
-    return (np.concatenate(late) if late else have[0]), have
+        keys, d1, d2, place, again = _classes(part, begins[a:b] - begins[a], ends[a:b] - begins[a], base[a:b], width)
+        place = place + begins[a]
+        equal = lambda old, new, x=have[3], y=place: (strings[x[old]] == strings[y[new]]).all(1)
+        more, have = _merge_run(have, (keys, d1, d2, place), equal)
+        late += [again, more]
+    return (np.concatenate(late) if late else none), have[:3]
 
 
 def _ranges(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
@@ -254,43 +272,41 @@ def _ranges(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
 
 
 _RANGES = "doc_id long, s long, e long"
-_BLOCKS = "h long, doc_id long, s long, e long, body binary"
-
-
-def _blocks_of(batch: pa.RecordBatch, width: int, gram: int, hot: bool):
-    """Blocks at the starts listed for each document: different ones (hash, doc, first and last start, body), and repeats."""
-    data, bounds = tb.texts(batch.column("text"))
-    h, _, lo, hi, _ = anchors(data, bounds, width, gram)
-    owner = tb.owner_of(bounds, lo)
-    listed = batch.column("hot" if hot else "places")
-    at = listed.offsets.to_numpy() - listed.offsets[0].as_py()
-    wanted = np.repeat(bounds[:-1], np.diff(at)) + listed.flatten().to_numpy(zero_copy_only=False)
-    ids = batch.column("doc_id").to_numpy()
-    by = np.flatnonzero(np.isin(lo, wanted))
-    by = by[np.lexsort((lo[by] - bounds[owner[by]], ids[owner[by]]))]  # earliest first
-    body = memoryview(data)
-    seen: set[tuple[int, bytes]] = set()
-    blocks, late = [], []
-    for hash_, doc, a, b, start in zip(h[by].view(np.int64).tolist(), owner[by].tolist(), lo[by].tolist(), hi[by].tolist(), bounds[owner[by]].tolist(), strict=True):
-        text = bytes(body[a : b + width])
-        if (hash_, text) in seen:
-            late.append((hash_, doc, a - start, b - start, None))
-        else:
-            seen.add((hash_, text))
-            blocks.append((hash_, doc, a - start, b - start, text))
-    return blocks, late, ids
+_BLOCKS = "h long, part int, parts int, doc_id long, s long, e long, body binary"
+_MARKED = f"{_RANGES}, part int, d1 long, d2 long"
 
 
 def _emit_blocks(width: int, gram: int):
-    """A slice's different blocks, and without a body the repeats found in it."""
+    """A slice's different blocks at the starts listed for each document, and without a body the repeats in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches, limit=8_000_000):
-            blocks, late, ids = _blocks_of(batch, width, gram, False)
+            data, bounds = tb.texts(batch.column("text"))
+            h, _, lo, hi, _ = anchors(data, bounds, width, gram)
+            owner = tb.owner_of(bounds, lo)
+            listed = batch.column("places")
+            at = listed.offsets.to_numpy() - listed.offsets[0].as_py()
+            wanted = np.repeat(bounds[:-1], np.diff(at)) + listed.flatten().to_numpy(zero_copy_only=False)
+            dealt = {bounds[i] + x["s"]: x["parts"] for i, hot in enumerate(batch.column("hot").to_pylist()) for x in hot}
+            ids = batch.column("doc_id").to_numpy()
+            by = np.flatnonzero(np.isin(lo, wanted))
+            by = by[np.lexsort((lo[by] - bounds[owner[by]], ids[owner[by]]))]  # earliest first
+            body = memoryview(data)
+            seen: set[tuple[int, bytes]] = set()
+            blocks, late = [], []
+            for hash_, doc, a, b, start in zip(h[by].view(np.int64).tolist(), owner[by].tolist(), lo[by].tolist(), hi[by].tolist(), bounds[owner[by]].tolist(), strict=True):
+                text = bytes(body[a : b + width])
+                if (hash_, text) in seen:
+                    late.append((hash_, 0, 1, doc, a - start, b - start, None))
+                else:
+                    seen.add((hash_, text))
+                    parts = dealt.get(a, 1)
+                    blocks.append((hash_, zlib.crc32(text) % parts, parts, doc, a - start, b - start, text))
             if blocks:
-                h, doc, s, e, body = zip(*blocks, *late, strict=True)
-                columns = [pa.array(h, pa.int64()), pa.array(ids[list(doc)], pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(body, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "s", "e", "body"])
+                h, part, parts, doc, s, e, body = zip(*blocks, *late, strict=True)
+                columns = [h, part, parts, ids[list(doc)], s, e, body]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _BLOCKS.split(", ")])
 
     return run
 
@@ -302,11 +318,18 @@ def _sorted_blocks(docs: np.ndarray, starts: np.ndarray, column: pa.Array | pa.C
     return data, bounds[:-1], bounds[1:], place.astype(np.int64) << 32 | starts, ids
 
 
+def _marked(ranges: pa.Table | pa.RecordBatch, part: np.ndarray | None = None, d1: np.ndarray | None = None, d2: np.ndarray | None = None) -> pa.Table:
+    """Ranges to remove (without digests), or classes whose earliest start they are."""
+    none = pa.nulls(ranges.num_rows, pa.int64())
+    more = [none.cast(pa.int32()), none, none] if d1 is None else [pa.array(part, pa.int32()), pa.array(tb.signed(d1)), pa.array(tb.signed(d2))]
+    return pa.Table.from_arrays([*(ranges.column(c) for c in ("doc_id", "s", "e")), *more], ["doc_id", "s", "e", "part", "d1", "d2"])
+
+
 def _shard(width: int, run_bytes: int):
     names = ["doc_id", "s", "e"]
 
     def work(table: pa.Table) -> pa.Table:
-        known = table.filter(pc.is_null(table["body"])).select(names)
+        out = [_marked(table.filter(pc.is_null(table["body"])).select(names))]
         table = table.filter(pc.is_valid(table["body"])).sort_by([("doc_id", "ascending"), ("s", "ascending")])
         first: dict[bytes, int] = {}
         bodies = table["body"].to_pylist()
@@ -314,42 +337,35 @@ def _shard(width: int, run_bytes: int):
             first.setdefault(body, k)
         head = np.zeros(len(bodies), bool)
         head[list(first.values())] = True
-        again = table.filter(pa.array(~head)).select(names)
+        out.append(_marked(table.filter(pa.array(~head)).select(names)))
         table = table.filter(pa.array(head))
-        data, begins, ends, base, ids = _sorted_blocks(table["doc_id"].to_numpy(), table["s"].to_numpy(), table["body"])
-        late, _ = repeats(data, begins, ends, base, width, run_bytes)
-        return pa.concat_tables([known, again, pa.Table.from_batches([_ranges(late, ids)])])
+        # parts of one anchor are told apart: each is a sorted run of the merge over shards
+        part, parts = table["part"].to_numpy(), table["parts"].to_numpy()
+        for k in np.unique(np.where(parts > 1, part, -1)):
+            mine = table.filter(pa.array(np.where(parts > 1, part, -1) == k))
+            data, begins, ends, base, ids = _sorted_blocks(mine["doc_id"].to_numpy(), mine["s"].to_numpy(), mine["body"])
+            late, (keys, d1, d2) = repeats(data, begins, ends, base, width, run_bytes)
+            out.append(_marked(_ranges(late, ids)))
+            if k >= 0:
+                start = pa.array(keys & 0xFFFFFFFF)
+                classes = pa.table({"doc_id": pa.array(ids[keys >> 32], pa.int64()), "s": start, "e": start})
+                out.append(_marked(classes, np.full(len(keys), k), d1, d2))
+        return pa.concat_tables(out)
 
     return work
 
 
-def _hot_classes(width: int, gram: int):
-    """Classes of a slice's blocks of hot anchors: digest, earliest start; and its own repeats (no digest)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tb.slices(batches, limit=8_000_000):
-            blocks, late, ids = _blocks_of(batch, width, gram, True)
-            if not blocks:
-                continue
-            _, doc, s, _, body = zip(*blocks, strict=True)
-            data, begins, ends, base, known = _sorted_blocks(ids[list(doc)], np.array(s), pa.array(body, pa.binary()))
-            again, (keys, d1, d2) = repeats(data, begins, ends, base, width)
-            own = _ranges(again, known)
-            more = np.array([x[1:4] for x in late], np.int64).reshape(-1, 3)
-            m = own.num_rows + len(more)
-            none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([pa.array(known[keys >> 32], pa.int64()), own.column("doc_id"), pa.array(ids[more[:, 0]], pa.int64())]),
-                    pa.concat_arrays([pa.array(keys & 0xFFFFFFFF), own.column("s"), pa.array(more[:, 1])]),
-                    pa.concat_arrays([pa.array(keys & 0xFFFFFFFF), own.column("e"), pa.array(more[:, 2])]),
-                    pa.concat_arrays([pa.array(tb.signed(d1), pa.int64()), none]),
-                    pa.concat_arrays([pa.array(tb.signed(d2), pa.int64()), none]),
-                ],
-                ["doc_id", "s", "e", "d1", "d2"],
-            )
-
-    return run
+def _merge_shards(table: pa.Table) -> pa.Table:
+    """Later starts of the classes of one range of digests, run after run."""
+    ids, place = np.unique(table["doc_id"].to_numpy(), return_inverse=True)
+    keys = place.astype(np.int64) << 32 | table["s"].to_numpy()
+    d1, d2, part = table["d1"].to_numpy().view(np.uint64), table["d2"].to_numpy().view(np.uint64), table["part"].to_numpy()
+    have, late = (keys[:0], d1[:0], d2[:0]), []
+    for k in np.unique(part):
+        mine = part == k
+        more, have = _merge_run(have, (keys[mine], d1[mine], d2[mine]))
+        late.append(more)
+    return pa.Table.from_batches([_ranges(np.concatenate(late), ids)])
 
 
 def _cut(width: int, fields: list[str]):
@@ -382,13 +398,13 @@ def _cut(width: int, fields: list[str]):
 
 
 def dedup_substrings(
-    docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES, run_bytes: int = RUN_BYTES
+    docs: DataFrame, width: int = WIDTH, gram: int = GRAM, part_rows: int = PART_ROWS, shard_bytes: int = SHARD_BYTES, run_bytes: int = RUN_BYTES
 ) -> DataFrame:
     """Adds kept (the remaining bytes), n_bytes, n_removed and n_spans (maximal removed runs) to documents.
 
     ``docs`` has doc_id (unique) and text; columns named as the added ones are replaced, others stay. A
     null or empty text has no bytes; one shorter than ``width`` keeps all. ``kept`` is binary, as a
-    removed run may end inside a character. A text up to 4 GB, ``gram`` from 4 and at most ``width``.
+    removed run may end inside a character. ``gram`` is from 4 and at most ``width``.
     """
     spark = docs.sparkSession
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "ranges")
@@ -400,33 +416,30 @@ def dedup_substrings(
     counts = counts.where("n > 1").select("h", "n", (F.col("d0") == F.col("d1")).alias("alike"), "first")
     counts = space.save(counts, "counts")
     again = found.join(counts.hint("merge"), "h").withColumn("e", F.col("s") + F.col("more"))
-    starts = lambda cond: F.collect_list(F.when(~F.col("alike") & cond, F.col("s")))
     own = F.col("doc_id") == F.col("first")
+    parts = (1 + F.floor(F.col("n") / part_rows)).cast("int")
     listed = again.groupBy("doc_id").agg(
-        starts(F.col("n") <= hot).alias("places"),
-        starts(F.col("n") > hot).alias("hot"),
+        F.collect_list(F.when(~F.col("alike"), F.col("s"))).alias("places"),
+        F.collect_list(F.when(~F.col("alike") & (parts > 1), F.struct("s", parts.alias("parts")))).alias("hot"),
         F.collect_list(F.when(F.col("alike") & ~own, F.struct("s", "e"))).alias("known"),
         F.array_sort(F.collect_list(F.when(F.col("alike") & own, F.struct("h", "s", "e")))).alias("own"),
     )
     after = F.zip_with(F.slice("own", F.lit(2), F.size("own")), F.slice("own", F.lit(1), F.size("own") - 1), lambda y, x: F.when(y["h"] == x["h"], F.struct(y["s"].alias("s"), y["e"].alias("e"))))
     later = F.when(F.size("own") > 1, F.filter(after, lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
-    listed = listed.select("doc_id", "places", "hot", F.concat("known", later).alias("known")).where("size(places) + size(hot) + size(known) > 0")
+    listed = listed.select("doc_id", "places", "hot", F.concat("known", later).alias("known")).where("size(places) + size(known) > 0")
     listed = space.save(listed, "listed")
+    space.drop("counts")
     totals = listed.agg(F.sum(F.size("places")).alias("n"), F.sum(F.size("hot")).alias("hot")).first()
 
-    held = plain.join(listed.where("size(places) + size(hot) > 0").select("doc_id", "places", "hot").hint("merge"), "doc_id")
+    held = plain.join(listed.where("size(places) > 0").select("doc_id", "places", "hot").hint("merge"), "doc_id")
     shards = max(1, math.ceil((totals.n or 0) * 1.4 * width / shard_bytes))
-    owner = F.when(F.col("body").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("h"))
+    owner = F.when(F.col("body").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("h", "part"))
     blocks = held.mapInArrow(_emit_blocks(width, gram), _BLOCKS).withColumn("shard", F.pmod(owner, F.lit(shards)))
-    ranges = blocks.groupBy("shard").applyInArrow(_shard(width, run_bytes), _RANGES)
-    ranges = ranges.union(listed.select("doc_id", F.inline("known")))
-    if totals.hot:
-        classes = held.mapInArrow(_hot_classes(width, gram), f"{_RANGES}, d1 long, d2 long")
-        classes = space.save(classes, "hot")
-        strings = classes.where("d1 IS NOT NULL")
-        first = strings.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "s")).alias("first"))
-        later = strings.join(first.hint("merge"), ["d1", "d2"]).where(F.struct("doc_id", "s") != F.col("first"))
-        ranges = ranges.union(later.select("doc_id", "s", "e")).union(classes.where("d1 IS NULL").select("doc_id", "s", "e"))
+    marked = space.save(blocks.groupBy("shard").applyInArrow(_shard(width, run_bytes), _MARKED), "marked")
+    groups = max(1, math.ceil((totals.hot or 0) * width / MERGE_ROWS))
+    shared = marked.where("d1 IS NOT NULL").withColumn("group", F.pmod(F.shiftright("d1", 20), F.lit(groups)))
+    ranges = marked.where("d1 IS NULL").select("doc_id", "s", "e")
+    ranges = ranges.union(shared.groupBy("group").applyInArrow(_merge_shards, _RANGES)).union(listed.select("doc_id", F.inline("known")))
     by_doc = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     fields = [*docs.columns, "kept", "n_bytes", "n_removed", "n_spans"]
     added = [F.lit(b"").alias("kept"), *[F.lit(0).cast("long").alias(c) for c in fields[-3:]]]

@@ -41,7 +41,7 @@ def test_against_brute_force(spark):
     rows = texts(random.Random(6))
     compare(spark, rows, 24, gram=8)
     compare(spark, rows, 25, gram=6, shard_bytes=2000, run_bytes=300)
-    compare(spark, rows, 24, gram=8, hot=5, run_bytes=500)
+    compare(spark, rows, 24, gram=8, part_rows=5, run_bytes=500)
 
 
 def test_whole_small_table(spark):
