@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a table in the shared folder (spark.checkpoint.dir)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{folder}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from hazardframe.sources.tables import written
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,14 +14,14 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
     Labels take the least of their neighbours' and then jump to their label's label, so a chain of n
     nodes takes about log n rounds.
     """
-    both = edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    both = written(edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = nodes.select(*keys, "node", F.col("node").alias("component"))
     while True:
         near = both.join(labels.select(*keys, F.col("node").alias("b"), "component"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("component").alias("near"))
         hooked = labels.join(near, [*keys, "node"], "left").select(*keys, "node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("c"))
         jump = hooked.select(*keys, F.col("node").alias("c"), F.col("c").alias("up"))
         moved = hooked.join(jump, [*keys, "c"], "left").select(*keys, "node", "was", F.least("c", F.coalesce("up", "c")).alias("component"))
-        moved = _written(moved)
+        moved = written(moved)
         labels = moved.select(*keys, "node", "component")
         if moved.where("component <> was").isEmpty():
             return labels
@@ -39,16 +30,21 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
 def cut_off(nodes: DataFrame, edges: DataFrame, failed: DataFrame, services: list[str]) -> DataFrame:
     """(event_id, node, cut_off): working nodes whose component lacks a working node of some service kind.
 
-    ``nodes``: node, kind. ``failed``: event_id, node. Each event has the network less its failed nodes.
+    ``nodes``: node, kind. ``failed``: event_id, node. An event changes only the components of the whole
+    network that hold one of its failed nodes, so only their nodes are listed for it; rows of a null
+    event_id tell of every node without failures, which holds in all other components.
     """
-    events = failed.select("event_id").distinct()
-    alive = nodes.crossJoin(events).join(failed, ["event_id", "node"], "left_anti")  # every event sees every node: the question asked
-    alive = _written(alive)
-    held = edges.join(alive.select("event_id", F.col("node").alias("a")), "a").join(alive.select("event_id", F.col("node").alias("b")), ["event_id", "b"])
-    labels = components(alive.select("event_id", "node"), held, ["event_id"])
-    kinds = labels.join(alive, ["event_id", "node"]).groupBy("event_id", "component").agg(F.collect_set("kind").alias("kinds"))
+    nodes = written(nodes.select("node", "kind"))
+    whole = components(nodes.select("node"), edges, [])
+    touched = failed.join(whole, "node").select("event_id", "component").distinct()
+    alive = touched.join(whole, "component").select("event_id", "node").join(failed.select("event_id", "node"), ["event_id", "node"], "left_anti")
+    alive = written(alive.union(nodes.select(F.lit(None).cast(failed.schema["event_id"].dataType).alias("event_id"), "node")).select(F.struct("event_id").alias("case"), "node"))
+    ends = [alive.select("case", F.col("node").alias(c)) for c in "ab"]
+    held = edges.select("a", "b").join(ends[0], "a").join(ends[1], ["case", "b"])
+    labels = components(alive, held, ["case"])
+    kinds = labels.join(nodes, "node").groupBy("case", "component").agg(F.collect_set("kind").alias("kinds"))
     served = F.forall(F.array(*[F.lit(s) for s in services]), lambda s: F.array_contains("kinds", s))
-    return labels.join(kinds, ["event_id", "component"]).select("event_id", "node", (~served).alias("cut_off"))
+    return labels.join(kinds, ["case", "component"]).select("case.event_id", "node", (~served).alias("cut_off"))
 
 
 def outlets(cells: DataFrame) -> DataFrame:
@@ -56,7 +52,7 @@ def outlets(cells: DataFrame) -> DataFrame:
     now = cells.select("cell", F.coalesce("down", "cell").alias("at"))
     while True:
         step = now.select(F.col("cell").alias("at"), F.col("at").alias("next"))
-        moved = _written(now.join(step, "at", "left").select("cell", F.col("at").alias("was"), F.coalesce("next", "at").alias("at")))
+        moved = written(now.join(step, "at", "left").select("cell", F.col("at").alias("was"), F.coalesce("next", "at").alias("at")))
         now = moved.select("cell", "at")
         if moved.where("was <> at").isEmpty():
             return now.select("cell", F.col("at").alias("outlet"))

@@ -10,15 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def grid_to_events(grid: DataFrame) -> DataFrame:
-    """Observed (cell_id, year, intensity) to events of frequency 1 / years, over all years of the grid.
+def grid_to_events(grid: DataFrame, order: str | None = None) -> DataFrame:
+    """Observed (cell_id, year, intensity) to events of frequency 1 / years.
 
-    NaN becomes null (unknown).
+    Years count that have a valid observation anywhere; a row of ``valid`` false is skipped, and NaN is
+    null (unknown). With ``order``, the last of the rows of one cell and year stands.
     """
-    years = grid.agg((1 / F.count_distinct("year")).alias("frequency"))
-    return grid.crossJoin(F.broadcast(years)).select(  # one row
-        F.col("year").alias("event_id"), "cell_id", F.nanvl("intensity", F.lit(None)).alias("intensity"), "frequency"
-    )
+    if "valid" in grid.columns:
+        grid = grid.where("valid")
+    if order:
+        grid = grid.groupBy("cell_id", "year").agg(F.max_by("intensity", order).alias("intensity"))
+    known = grid.select(F.col("year").alias("event_id"), "cell_id", F.nanvl("intensity", F.lit(None)).alias("intensity"))
+    years = known.where("intensity IS NOT NULL").agg((1 / F.count_distinct("event_id")).alias("frequency"))
+    return known.crossJoin(F.broadcast(years))  # one row
 
 
 def layered_frequencies(layers: DataFrame, by: list[str]) -> DataFrame:
@@ -53,9 +57,18 @@ def largest_resolvable(events: DataFrame) -> DataFrame:
     return events.where("frequency > 0").agg((1 / F.min("frequency")).alias("return_period"))
 
 
-def unit_loss(events: DataFrame, damage: Column) -> DataFrame:
-    """(cell_id, unit_eal, unknown): frequency-weighted damage of a unit of value in each cell."""
-    return events.groupBy("cell_id").agg(F.sum(F.col("frequency") * damage).alias("unit_eal"), F.bool_or(F.col("intensity").isNull()).alias("unknown"))
+def unit_loss(events: DataFrame, damage: Column, keys: tuple[str, ...] = (), affected: Column | None = None) -> DataFrame:
+    """(keys, cell_id, unit_eal, unknown): frequency-weighted damage of a unit of value in each cell.
+
+    ``affected`` is the share of the value that is hit at all; a column ``fraction``, where there is one, is
+    the share of the cell that an event covers.
+    """
+    part = F.col("frequency") * damage
+    if affected is not None:
+        part = part * affected
+    if "fraction" in events.columns:
+        part = part * F.col("fraction")
+    return events.groupBy(*keys, "cell_id").agg(F.sum(part).alias("unit_eal"), F.bool_or(F.col("intensity").isNull()).alias("unknown"))
 
 
 def change_factor(future: DataFrame, present: DataFrame, least_cells: int = 1) -> DataFrame:

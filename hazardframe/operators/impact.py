@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardframe.functions import metrics as M
-from hazardframe.operators import hazard as H
+from hazardframe.sources.tables import written
 
 #: Return periods of a portfolio loss curve.
 RETURN_PERIODS = (10.0, 25.0, 50.0, 100.0, 250.0)
@@ -14,33 +14,44 @@ RETURN_PERIODS = (10.0, 25.0, 50.0, 100.0, 250.0)
 SLACK = 1e-12
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, cell_degrees: float, reach: int = 1) -> DataFrame:
+def nearest_cell(points: DataFrame, cells: DataFrame, cell_degrees: float) -> DataFrame:
     """Adds cell_id: the cell of least squared degree distance, the least cell_id of equal ones.
 
-    Cells are bucketed on a grid of ``cell_degrees`` and points look in buckets up to ``reach`` away, an
-    equi-join; a point without a cell there has null.
+    Cells are bucketed on a grid of ``cell_degrees`` and points look in the buckets around theirs, an
+    equi-join. What is found counts if no cell outside those buckets can be nearer; the other points look
+    again in buckets twice as wide. Every row of points stays; cell_id is null without coordinates or cells.
     """
-    bucket = lambda c: F.floor(F.col(c) / cell_degrees)
-    around = F.array(*[F.lit(k) for k in range(-reach, reach + 1)])
-    keyed = cells.select("cell_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), bucket("lat").alias("by"), bucket("lon").alias("bx"))
-    wide = points.withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around))
-    wide = wide.withColumn("by", bucket("lat") + F.col("dy")).withColumn("bx", bucket("lon") + F.col("dx"))
+    columns = points.columns
+    rows = written(points.withColumn("_row", F.monotonically_increasing_id()), "nearest")
+    left, size, done = rows.where("lat IS NOT NULL AND lon IS NOT NULL"), cell_degrees, None
+    keyed = cells.select("cell_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon")).where("c_lat IS NOT NULL AND c_lon IS NOT NULL")
+    empty = keyed.isEmpty()
+    around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     distance = F.pow(F.col("lat") - F.col("c_lat"), 2) + F.pow(F.col("lon") - F.col("c_lon"), 2)
-    found = wide.join(keyed, ["by", "bx"], "left").withColumn("d2", distance)
-    best = F.min(F.when(F.col("cell_id").isNotNull(), F.struct("d2", "cell_id"))).alias("best")
-    return found.groupBy(*points.columns).agg(best).select(*points.columns, F.col("best.cell_id").alias("cell_id"))
-
-
-def price(facilities: DataFrame, events: DataFrame, damage: Column) -> DataFrame:
+    while not empty and not left.isEmpty():
+        bucket = lambda c, size=size: F.floor(F.col(c) / size)
+        wide = left.select("_row", "lat", "lon", F.explode(around).alias("dy")).withColumn("dx", F.explode(around))
+        wide = wide.withColumn("by", bucket("lat") + F.col("dy")).withColumn("bx", bucket("lon") + F.col("dx"))
+        found = wide.join(keyed.withColumn("by", bucket("c_lat")).withColumn("bx", bucket("c_lon")), ["by", "bx"])
+        best = found.groupBy("_row").agg(F.min(F.struct(distance.alias("d2"), "cell_id")).alias("best"))
+        tried = written(left.select("_row", "lat", "lon").join(best, "_row", "left").withColumn("sure", F.coalesce(F.col("best.d2") <= size * size, F.lit(False))), "nearest")
+        sure = tried.where("sure").select("_row", F.col("best.cell_id").alias("cell_id"))
+        done = sure if done is None else done.union(sure)
+        left, size = tried.where("NOT sure").select("_row", "lat", "lon"), size * 2
+    if done is None:
+        return rows.select(*columns, F.lit(None).cast(cells.schema["cell_id"].dataType).alias("cell_id"))
+    return rows.join(done, "_row", "left").select(*columns, "cell_id")
+
+
+def price(facilities: DataFrame, unit: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Result rows: expected annual loss of each facility with status and risk level.
 
-    ``facilities``: facility_id, cell_id, value. The cascade of statuses: no hazard in the cell or an
-    unknown intensity -> NO_HAZARD_DATA, a missing or non-positive value -> NO_EXPOSURE_DATA, else
-    FULL; only FULL carries money. Losses are priced on unit values of cells first, so events, the
-    large side, are aggregated before they meet facilities.
+    ``facilities``: (keys,) facility_id, cell_id, value; ``unit``: the unit losses of cells
+    (``hazard.unit_loss``), so that events, the large side, are aggregated before they meet facilities.
+    The cascade of statuses: no hazard in the cell or an unknown intensity -> NO_HAZARD_DATA, a missing
+    or non-positive value -> NO_EXPOSURE_DATA, else FULL; only FULL carries money.
     """
-    unit = H.unit_loss(events, damage)
-    rows = facilities.join(unit, "cell_id", "left")
+    rows = facilities.join(unit, [*keys, "cell_id"], "left")
     status = (
         F.when(F.col("unit_eal").isNull() | F.col("unknown"), "NO_HAZARD_DATA")
         .when(F.col("value").isNull() | (F.col("value") <= 0), "NO_EXPOSURE_DATA")
@@ -62,17 +73,30 @@ def loss_curve(losses: DataFrame, keys: list[str], periods: tuple[float, ...] =
     """(keys, return_period, loss, status): losses at return periods, linear in the period.
 
     The curve runs through (1 / cumulative frequency, loss) by falling loss. Outside it the loss is
-    null, with SHORTER_THAN_CURVE or RETURN_PERIOD_NOT_RESOLVABLE: never the end value. One row an event
-    in each group is gathered, which the event set bounds.
+    null, with SHORTER_THAN_CURVE or RETURN_PERIOD_NOT_RESOLVABLE: never the end value. Events are
+    range-partitioned by loss: cumulative frequencies are counted within partitions and offset by those
+    of the partitions before, so no task takes all events of a group. Each period then takes the two
+    points of the curve around it by aggregation.
     """
-    down = Window.partitionBy(*keys).orderBy(F.desc("loss"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    points = losses.withColumn("rp", 1 / F.sum("frequency").over(down))
-    curve = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rp", "loss"))).alias("curve"))
-    rows = curve.withColumn("return_period", F.explode(F.array(*[F.lit(float(t)) for t in periods])))
+    dealt = losses.select(*keys, "event_id", "frequency", "loss").repartitionByRange(*keys, F.desc("loss"), "event_id")
+    dealt = written(dealt.withColumn("part", F.spark_partition_id()), "curve")
+    before = F.sum("f").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = dealt.groupBy(*keys, "part").agg(F.sum("frequency").alias("f"))  # one row a group and partition
+    offsets = offsets.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("part").alias("_part"), F.coalesce(before, F.lit(0.0)).alias("offset"))
+    same = F.col("part") == F.col("_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    down = Window.partitionBy(*keys, "part").orderBy(F.desc("loss"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    points = dealt.withColumn("within", F.sum("frequency").over(down)).join(offsets, same)
+    points = points.select(*keys, (1 / (F.col("offset") + F.col("within"))).alias("rp"), "loss")
+    point = F.struct("rp", "loss")
+    ends = []
+    for k, t in enumerate(periods):
+        ends.append(F.max(F.when(F.col("rp") <= t * (1 + SLACK), point)).alias(f"lo_{k}"))
+        ends.append(F.min(F.when(F.col("rp") >= t * (1 - SLACK), point)).alias(f"hi_{k}"))
+    each = F.array(*[F.struct(F.lit(float(t)).alias("return_period"), F.col(f"lo_{k}").alias("lo"), F.col(f"hi_{k}").alias("hi")) for k, t in enumerate(periods)])
+    rows = points.groupBy(*keys).agg(*ends).select(*keys, F.inline(each))
     t = F.col("return_period")
-    lo = F.try_element_at(F.filter("curve", lambda p: p["rp"] <= t * (1 + SLACK)), F.lit(-1))
-    hi = F.try_element_at(F.filter("curve", lambda p: p["rp"] >= t * (1 - SLACK)), F.lit(1))
-    rows = rows.select(*keys, "return_period", lo.alias("lo"), hi.alias("hi"))
     status = F.when(F.col("lo").isNull(), "SHORTER_THAN_CURVE").when(F.col("hi").isNull(), "RETURN_PERIOD_NOT_RESOLVABLE").otherwise("FULL")
     between = F.col("lo.loss") + (F.col("hi.loss") - F.col("lo.loss")) * F.coalesce(F.try_divide(t - F.col("lo.rp"), F.col("hi.rp") - F.col("lo.rp")), F.lit(0.0))
     return rows.select(*keys, "return_period", F.when(status == "FULL", between).alias("loss"), status.alias("status"))
@@ -83,10 +107,44 @@ def grouped_event_losses(losses: DataFrame, groups: list[str]) -> DataFrame:
 
     Adds scope ('portfolio' or the grouping's name) and member.
     """
-    sets = ", ".join(["(event_id, frequency)", *[f"(event_id, frequency, {g})" for g in groups]])
-    losses.createOrReplaceTempView("_event_losses")
-    scope = "CASE " + " ".join(f"WHEN grouping({g}) = 0 THEN '{g}'" for g in groups) + " ELSE 'portfolio' END"
-    member = "coalesce(" + ", ".join(groups) + ", 'all')"
-    return losses.sparkSession.sql(
-        f"SELECT {scope} AS scope, {member} AS member, event_id, frequency, sum(loss) AS loss FROM _event_losses GROUP BY GROUPING SETS ({sets})"
-    )
+    base = [F.col("event_id"), F.col("frequency")]
+    sets = [base, *[[*base, F.col(g)] for g in groups]]
+    flags = [F.grouping(g).alias(f"_{g}") for g in groups]
+    summed = losses.groupingSets(sets, *base, *[F.col(g) for g in groups]).agg(F.sum("loss").alias("loss"), *flags)
+    scope = F.lit("portfolio")
+    for g in groups:
+        scope = F.when(F.col(f"_{g}") == 0, F.lit(g)).otherwise(scope)
+    return summed.select(scope.alias("scope"), F.coalesce(*groups, F.lit("all")).alias("member"), "event_id", "frequency", "loss")
+
+
+def portfolio_curve(losses: DataFrame, points: DataFrame, keys: list[str], periods: tuple[float, ...] = RETURN_PERIODS) -> DataFrame:
+    """The loss curve of each group beside the losses its points would have alone.
+
+    ``losses``: keys, facility_id, event_id, frequency, loss; ``points``: keys, facility_id, value, currency
+    (null is USD) of the priced points. One row a group and period: status, currency, points_priced,
+    priced_value, eal, loss, cell_status, sum_of_standalone_losses (null unless every point resolves the
+    period) and diversification_pct. A group of several currencies is MIXED_CURRENCY and has no period;
+    one without a loss row is NO_PRICED_POINTS.
+    """
+    key = [F.col(k) for k in keys]
+    heads = points.groupBy(*keys).agg(
+        F.count_distinct("facility_id").alias("points_priced"), F.sum("value").alias("priced_value"), F.count_distinct(F.coalesce("currency", F.lit("USD"))).alias("units"),
+        F.max(F.coalesce("currency", F.lit("USD"))).alias("currency"),
+    )
+    whole = losses.groupBy(*keys, "event_id").agg(F.max("frequency").alias("frequency"), F.sum("loss").alias("loss"))
+    eal = whole.groupBy(*keys).agg(F.sum(F.col("frequency") * F.col("loss")).alias("eal"))
+    curve = loss_curve(whole, keys, periods).withColumnRenamed("status", "cell_status")
+    alone = loss_curve(losses, [*keys, "facility_id"], periods).groupBy(*keys, "return_period").agg(
+        F.when(F.count("loss") == F.count("*"), F.sum("loss")).alias("sum_of_standalone_losses")
+    )
+    on = keys or None
+    glue = lambda a, b, how: a.join(b, on, how) if on else a.crossJoin(b)  # noqa: E731  one row without keys
+    cells = curve.join(alone, [*keys, "return_period"], "left")
+    rows = glue(glue(heads, eal, "left"), cells.where(F.lit(True)), "left")
+    status = F.when(F.col("units") > 1, "MIXED_CURRENCY").when(F.col("eal").isNull(), "NO_PRICED_POINTS").otherwise("OK")
+    rows = rows.withColumn("status", status)
+    one = F.col("status") == "OK"
+    pct = F.when(F.col("sum_of_standalone_losses") > 0, (1 - F.col("loss") / F.col("sum_of_standalone_losses")) * 100)
+    money = {c: F.when(one, F.col(c)) for c in ("currency", "eal", "return_period", "loss", "cell_status", "sum_of_standalone_losses")}
+    rows = rows.withColumn("diversification_pct", F.when(one, pct)).withColumns(money)
+    return rows.select(*key, "status", "currency", "points_priced", "priced_value", "eal", "return_period", "loss", "cell_status", "sum_of_standalone_losses", "diversification_pct").distinct()

@@ -39,17 +39,27 @@ def facilities(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(F.col("s_suppkey").alias("facility_id"), F.col("s_suppkey").alias("cell_id"), F.col("s_acctbal").alias("value"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
 
 
+#: Two hazards (all years, late years) by two models (gross, net).
+CASES = [("all_years", "gross"), ("all_years", "net"), ("late_years", "gross"), ("late_years", "net")]
+
+
+def hazard_units(spark: SparkSession, sf: str) -> DataFrame:
+    """(hazard, model, cell_id, unit_eal, unknown) of the four cases, from one pass over the events."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cell_id"), F.year("l_shipdate").alias("year"), "l_quantity", F.expr(NET).alias("net"))
+    grid = lines.groupBy("cell_id", "year").agg(F.max("l_quantity").alias("gross"), F.max("net").alias("net"))
+    late = F.col("year") >= 1999
+    each = [F.struct(F.lit(h).alias("hazard"), F.lit(m).alias("model"), F.when(late | F.lit(h != "late_years"), F.col(m)).alias("intensity")) for h, m in CASES]
+    wide = grid.select("cell_id", "year", F.inline(F.array(*each))).where("intensity IS NOT NULL")
+    years = table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("year")).distinct()
+    years = years.select(F.explode(F.array(F.lit("all_years"), F.when(late, F.lit("late_years")))).alias("hazard")).where("hazard IS NOT NULL").groupBy("hazard").agg((1 / F.count("*")).alias("frequency"))
+    return H.unit_loss(wide.join(F.broadcast(years), "hazard"), damage(), ("hazard", "model"))  # two rows
+
+
 def result_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Two hazards (all years, late years) by two models (gross, net)."""
-    parts = []
-    for hazard, years in (("all_years", None), ("late_years", (1999, 2100))):
-        for model, intensity in (("gross", "l_quantity"), ("net", NET)):
-            rows = I.price(facilities(spark, sf), H.grid_to_events(grid(spark, sf, intensity, years)), damage())
-            parts.append(rows.select(F.lit(hazard).alias("hazard"), F.lit(model).alias("model"), "facility_id", "nation", "region", "value", "eal", "eal_percent", "risk_level", "status"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    cases = F.array(*[F.struct(F.lit(h).alias("hazard"), F.lit(m).alias("model")) for h, m in CASES])
+    asked = facilities(spark, sf).select("*", F.inline(cases))
+    rows = I.price(asked, hazard_units(spark, sf), ("hazard", "model"))
+    return rows.select("hazard", "model", "facility_id", "nation", "region", "value", "eal", "eal_percent", "risk_level", "status")
 
 
 def _r(name: str, digits: int = 6):
@@ -91,7 +101,7 @@ SQL_HIGHEST = "CASE max(CASE risk_level WHEN 'High' THEN 3 WHEN 'Medium' THEN 2
 
 @query("eal_by_facility", f"WITH {SQL_ROWS} SELECT facility_id, status, round(eal, 6) AS eal, round(pct, 6) AS eal_percent, risk_level FROM res WHERE hazard = 'all_years' AND model = 'gross'")
 def eal_by_facility(spark, sf):
-    rows = I.price(facilities(spark, sf), H.grid_to_events(grid(spark, sf)), damage())
+    rows = I.price(facilities(spark, sf), H.unit_loss(H.grid_to_events(grid(spark, sf)), damage()))
     return rows.select("facility_id", "status", _r("eal"), _r("eal_percent"), "risk_level")
 
 
@@ -166,7 +176,7 @@ def model_comparison(spark, sf):
 
 @query("climate_multiplier", f"WITH {SQL_FACILITIES}, {sql_grid('g1', where='year(l_shipdate) <= 1997')}, {sql_grid('g2', where='year(l_shipdate) >= 1999')}, {sql_unit('g1', 'u1')}, {sql_unit('g2', 'u2')}, p AS ({sql_price('u1')}), f AS ({sql_price('u2')}), r AS (SELECT f.facility_id, f.eal AS fe, p.eal AS pe, CASE WHEN f.status <> 'FULL' THEN 'FUTURE_NOT_PRICED' WHEN p.status <> 'FULL' THEN 'BASELINE_NOT_PRICED' WHEN p.eal = 0 THEN 'ZERO_BASELINE' ELSE 'OK' END AS reason FROM f JOIN p USING (facility_id)) SELECT facility_id, 'flood' AS hazard, reason, round(CASE WHEN reason = 'OK' THEN fe / pe END, 9) AS multiplier FROM r")
 def climate_multiplier(spark, sf):
-    at = lambda years: I.price(facilities(spark, sf), H.grid_to_events(grid(spark, sf, years=years)), damage()).withColumn("hazard", F.lit("flood"))
+    at = lambda years: I.price(facilities(spark, sf), H.unit_loss(H.grid_to_events(grid(spark, sf, years=years)), damage())).withColumn("hazard", F.lit("flood"))
     return T.climate_multiplier(at((1999, 2100)), at((0, 1997))).withColumn("multiplier", F.round("multiplier", 9))
 
 
@@ -192,7 +202,7 @@ def top_concentration(spark, sf):
 
 @query("change_kinds", f"WITH {SQL_FACILITIES}, {sql_grid('g1', where='year(l_shipdate) <= 1997')}, {sql_grid('g2', where='year(l_shipdate) >= 1999')}, {sql_unit('g1', 'u1')}, {sql_unit('g2', 'u2')}, p AS ({sql_price('u1')}), f AS ({sql_price('u2')}) SELECT f.facility_id, CASE WHEN f.eal IS NULL THEN 'unknown' WHEN p.eal IS NULL THEN 'no_baseline' WHEN abs(f.eal) < 0.005 AND abs(p.eal) < 0.005 THEN 'none' WHEN abs(p.eal) < 0.005 THEN 'new' WHEN (f.eal / p.eal - 1) * 100 >= 50 THEN 'up' WHEN (f.eal / p.eal - 1) * 100 <= -10 THEN 'down' ELSE 'flat' END AS kind FROM f JOIN p USING (facility_id)")
 def change_kinds(spark, sf):
-    at = lambda years, name: I.price(facilities(spark, sf), H.grid_to_events(grid(spark, sf, years=years)), damage()).select("facility_id", F.col("eal").alias(name))
+    at = lambda years, name: I.price(facilities(spark, sf), H.unit_loss(H.grid_to_events(grid(spark, sf, years=years)), damage())).select("facility_id", F.col("eal").alias(name))
     both = at((1999, 2100), "now").join(at((0, 1997), "base"), "facility_id")
     return both.select("facility_id", M.change_kind("now", "base").alias("kind"))
 

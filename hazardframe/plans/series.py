@@ -20,72 +20,6 @@ from hazardframe.sources import tables as X
 from hazardframe.sources.tables import table
 from hazardframe.streaming import rolling as R
 
-#: Carbon prices by year of two scenarios (USD a tonne), linear between, held outside.
-PRICES = {"low": ((2025, 2030, 2040, 2050), (10.0, 15.0, 25.0, 40.0)), "high": ((2025, 2030, 2040, 2050), (100.0, 150.0, 300.0, 500.0))}
-#: Tonnes of CO2 a million of value, by customer segment.
-INTENSITY = {"AUTOMOBILE": 300.0, "BUILDING": 150.0, "FURNITURE": 80.0, "HOUSEHOLD": 60.0, "MACHINERY": 400.0}
-_EMISSIONS = "CASE c_mktsegment " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in INTENSITY.items()) + " ELSE 0 END"
-
-
-def _sql_price(scenario: str) -> str:
-    years, prices = PRICES[scenario]
-    parts = [f"WHEN year <= {years[0]} THEN {prices[0]}"]
-    parts += [f"WHEN year <= {b} THEN {p} + (year - {a}) * ({q} - {p}) / ({b} - {a})" for a, b, p, q in zip(years, years[1:], prices, prices[1:])]
-    return f"CASE {' '.join(parts)} ELSE {prices[-1]} END"
-
-
-def carbon_costs(spark, sf):
-    tonnes = F.greatest(F.col("c_acctbal"), F.lit(0.0)) / 1e6 * F.expr(f"CAST({_EMISSIONS} AS DOUBLE)")
-    emitters = table(spark, sf, "customer").select("c_custkey", tonnes.alias("tonnes"))
-    years = emitters.withColumn("year", F.explode(F.sequence(F.lit(2025), F.lit(2055), F.lit(5))))
-    price = F.array(*[F.struct(F.lit(s).alias("scenario"), lerp(F.col("year"), *p).alias("price")) for s, p in sorted(PRICES.items())])
-    return years.select("c_custkey", "tonnes", "year", F.inline(price)).withColumn("cost", F.col("tonnes") * F.col("price"))
-
-
-_SQL_CARBON = f"cc AS (SELECT c_custkey, year, scenario, greatest(c_acctbal, 0) / 1e6 * ({_EMISSIONS}) * CASE scenario WHEN 'low' THEN {_sql_price('low')} ELSE {_sql_price('high')} END AS cost FROM customer, (SELECT unnest(range(2025, 2056, 5)) AS year), (SELECT unnest(['low', 'high']) AS scenario))"
-
-
-@query("carbon_cost_by_year", f"WITH {_SQL_CARBON} SELECT scenario, year::INTEGER AS year, round(sum(cost), 4) AS cost FROM cc GROUP BY 1, 2")
-def carbon_cost_by_year(spark, sf):
-    return carbon_costs(spark, sf).groupBy("scenario", "year").agg(F.round(F.sum("cost"), 4).alias("cost"))
-
-
-@query("carbon_npv", f"WITH {_SQL_CARBON} SELECT scenario, c_custkey, round(sum(cost / pow(1.05, year - 2025)), 6) AS npv FROM cc GROUP BY 1, 2")
-def carbon_npv(spark, sf):
-    discounted = F.col("cost") / F.pow(F.lit(1.05), F.col("year") - 2025)
-    return carbon_costs(spark, sf).groupBy("scenario", "c_custkey").agg(F.round(F.sum(discounted), 6).alias("npv"))
-
-
-def projects(spark, sf):
-    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"), F.count("*").cast("double").alias("n"))
-    return o.select("o_custkey", (F.col("total") * 2).alias("capex"), (F.col("total") / F.col("n")).alias("ebitda"), (F.col("n") % 20 + 1).alias("years"))
-
-
-_SQL_PROJECTS = "pr AS (SELECT o_custkey, sum(o_totalprice) * 2 AS capex, sum(o_totalprice) / count(*) AS ebitda, count(*) % 20 + 1 AS years FROM orders GROUP BY 1)"
-_SQL_RATING = "CASE " + " ".join(f"WHEN dscr >= {b} THEN '{n}'" for n, b in N.RATING_BANDS) + " ELSE 'CCC' END"
-_SQL_SPREAD = "CASE rating " + " ".join(f"WHEN '{n}' THEN {b}" for n, b in N.SPREADS.items()) + f" ELSE {N.DEFAULT_SPREAD} END"
-
-
-@query("dscr_rating", f"WITH {_SQL_PROJECTS}, d AS (SELECT o_custkey, ebitda / (capex * 0.6 * 0.06 / (1 - pow(1.06, -15.0))) AS dscr FROM pr), r AS (SELECT *, {_SQL_RATING} AS rating FROM d) SELECT o_custkey, round(dscr, 6) AS dscr, rating, ({_SQL_SPREAD})::INTEGER AS spread_bps FROM r")
-def dscr_rating(spark, sf):
-    p = projects(spark, sf).withColumn("dscr", F.try_divide(F.col("ebitda"), N.annuity(F.col("capex") * 0.6, F.lit(0.06), F.lit(15.0))))
-    return p.withColumn("rating", N.rating(F.col("dscr"))).select("o_custkey", _r("dscr"), "rating", N.spread_bps(F.col("rating")).alias("spread_bps"))
-
-
-@query("npv_projects", f"WITH {_SQL_PROJECTS} SELECT o_custkey, round(-capex + coalesce(list_sum(list_transform(range(1, 41), lambda t: ebitda / pow(1.04, t))), 0), 4) AS npv FROM pr")
-def npv_projects(spark, sf):
-    p = projects(spark, sf)
-    flows = F.concat(F.array(-F.col("capex")), F.array_repeat("ebitda", 40))
-    return p.select("o_custkey", F.round(N.npv(flows, F.lit(0.04)), 4).alias("npv"))
-
-
-@query("irr_projects")
-def irr_projects(spark, sf):
-    p = projects(spark, sf)
-    flows = F.concat(F.array(-F.col("capex")), F.array_repeat("ebitda", 40))
-    return p.select("o_custkey", F.round(N.irr(flows), 6).alias("irr"))
-
-
 @query("capacity_factor", "SELECT p_partkey, round(0.8 * (1 - least(greatest(p_size / 100.0, 0), 1)) * (1 - least(greatest((p_retailprice - 1000) / 1000, 0), 1)), 9) AS factor FROM part")
 def capacity_factor(spark, sf):
     p = table(spark, sf, "part")
@@ -274,7 +208,7 @@ def _points(df, key):
 @query("nearest_centroid", "WITH c AS (SELECT s_suppkey AS cell_id, (s_suppkey * 7919) % 1000 / 100.0 AS lat, (s_suppkey * 104729) % 1000 / 100.0 AS lon FROM supplier), p AS (SELECT c_custkey AS id, (c_custkey * 7919) % 1000 / 100.0 AS lat, (c_custkey * 104729) % 1000 / 100.0 AS lon FROM customer) SELECT id, cell_id FROM p, c QUALIFY row_number() OVER (PARTITION BY id ORDER BY (p.lat - c.lat) * (p.lat - c.lat) + (p.lon - c.lon) * (p.lon - c.lon), cell_id) = 1")
 def nearest_centroid(spark, sf):
     cells = _points(table(spark, sf, "supplier"), "s_suppkey").withColumnRenamed("id", "cell_id")
-    return I.nearest_cell(_points(table(spark, sf, "customer"), "c_custkey"), cells, 2.5, 4).select("id", "cell_id")
+    return I.nearest_cell(_points(table(spark, sf, "customer"), "c_custkey"), cells, 0.1).select("id", "cell_id")
 
 
 @query("radius_semi_join", f"WITH c AS (SELECT s_suppkey AS id, (s_suppkey * 7919) % 1000 / 100.0 AS lat, (s_suppkey * 104729) % 1000 / 100.0 AS lon FROM supplier), p AS (SELECT c_custkey AS id, (c_custkey * 7919) % 1000 / 100.0 AS lat, (c_custkey * 104729) % 1000 / 100.0 AS lon FROM customer) SELECT p.id FROM p WHERE EXISTS (SELECT 1 FROM c WHERE 2 * {G.EARTH_KM} * asin(sqrt(least(pow(sin(radians(c.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - p.lon) / 2), 2), 1))) <= 30)")

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Accepted spellings of asset columns.
 ALIASES = {
     "facility_id": ("facility_id", "id", "asset_id"),
-    "facility_name": ("facility_name", "name"),
-    "latitude": ("latitude", "lat", "y"),
-    "longitude": ("longitude", "lon", "lng", "x"),
-    "asset_value_usd": ("asset_value_usd", "value", "asset_value"),
+    "facility_name": ("facility_name", "name", "asset_name"),
+    "latitude": ("latitude", "lat"),
+    "longitude": ("longitude", "lon", "lng"),
+    "asset_value_usd": ("asset_value_usd", "value", "asset_value", "value_usd"),
     "asset_value_currency": ("asset_value_currency", "currency"),
     "property_type": ("property_type", "type", "sector"),
+    "headcount": ("headcount", "people", "employees"),
+    "municipality_id": ("municipality_id", "sgis_id", "admin_id"),
+    "municipality_name": ("municipality_name", "municipality", "sigungu", "시군구", "sido", "시도"),
+    "province_name": ("province_name", "province", "시도명"),
 }
 REQUIRED = ("facility_id", "latitude", "longitude", "asset_value_usd")
 
@@ -22,6 +29,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Writes a table to the folder that all executors share and reads it back, which cuts its lineage.
+
+    The folder is spark.checkpoint.dir; where it is unset, one of our own in local mode and an error elsewhere.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_asset_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as trimmed strings, under their canonical names."""
     raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)

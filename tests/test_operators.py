@@ -45,7 +45,7 @@ def test_frequencies_intensity_and_protection(spark):
 def test_statuses_keep_missing_apart_from_zero(spark):
     facilities = spark.createDataFrame([(1, 1, 100.0), (2, 2, 100.0), (3, 1, None), (4, 1, -1.0), (5, 9, 100.0), (6, 3, 100.0)], "facility_id long, cell_id long, value double")
     events = spark.createDataFrame([(1, 1, 10.0, 0.1), (1, 2, None, 0.1), (1, 3, 0.0, 0.1)], "event_id long, cell_id long, intensity double, frequency double")
-    got = {r.facility_id: (r.status, r.eal, r.risk_level) for r in I.price(facilities, events, C.lerp("intensity", [0, 20], [0, 1])).collect()}
+    got = {r.facility_id: (r.status, r.eal, r.risk_level) for r in I.price(facilities, H.unit_loss(events, C.lerp("intensity", [0, 20], [0, 1]))).collect()}
     assert got[1][0] == "FULL" and got[1][1] == pytest.approx(5) and got[1][2] == "High"
     assert got[2] == ("NO_HAZARD_DATA", None, None) == got[5]
     assert got[3] == ("NO_EXPOSURE_DATA", None, None) == got[4]
@@ -122,7 +122,8 @@ def test_graphs(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
     failed = spark.createDataFrame([(7, 2), (8, 4)], "event_id long, node long")
     got = {(r.event_id, r.node): r.cut_off for r in graph.cut_off(nodes, edges, failed, ["hospital", "substation"]).collect()}
-    assert got == {(7, 1): True, (7, 3): True, (7, 4): True, (8, 1): False, (8, 2): False, (8, 3): False}
+    whole = {(None, k): False for k in (1, 2, 3, 4)}
+    assert got == whole | {(7, 1): True, (7, 3): True, (7, 4): True, (8, 1): False, (8, 2): False, (8, 3): False}
     drains = graph.outlets(spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 4), (5, 3)], "cell long, down long"))
     assert {r.cell: r.outlet for r in drains.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1}
     z = [[1, 1, 9], [9, 1, 9], [9, 9, 1], [1, 9, 9]]
@@ -180,11 +181,31 @@ def test_nearest_cell_matches_full_search(spark):
     cells = spark.createDataFrame([(k, (k * 37 % 100) / 10, (k * 61 % 100) / 10) for k in range(30)], "cell_id long, lat double, lon double")
     points = spark.createDataFrame([(k, (k * 13 % 100) / 10, (k * 29 % 100) / 10) for k in range(100)], "id long, lat double, lon double")
     held = [(r.cell_id, r.lat, r.lon) for r in cells.collect()]
-    got = {r.id: r for r in I.nearest_cell(points, cells, 2.5, 4).collect()}
+    got = {r.id: r for r in I.nearest_cell(points, cells, 0.25).collect()}
+    assert len(got) == 100
     for r in got.values():
         assert r.cell_id == min(((r.lat - a) ** 2 + (r.lon - b) ** 2, c) for c, a, b in held)[1]
 
 
+def test_nearest_cell_looks_beyond_the_corner_bucket(spark):
+    cells = spark.createDataFrame([(1, 1.99, 1.99), (2, 0.5, -1.01)], "cell_id long, lat double, lon double")
+    points = spark.createDataFrame([(0.5, 0.01), (0.5, 0.01), (90.0, 170.0), (None, 1.0)], "lat double, lon double")
+    got = sorted(((r.lat, r.cell_id) for r in I.nearest_cell(points, cells, 1.0).collect()), key=str)
+    assert got == [(0.5, 2), (0.5, 2), (90.0, 1), (None, None)]
+    assert {r.cell_id for r in I.nearest_cell(points, cells.limit(0), 1.0).collect()} == {None}
+
+
+def test_diversification_and_mixed_currency(spark):
+    losses = [(g, f, e, 0.01, x) for g in ("a", "b") for f, xs in (("p", (100.0, 10.0, 0.0, 0.0)), ("q", (0.0, 70.0, 10.0, 0.0))) for e, x in enumerate(xs)]
+    losses = spark.createDataFrame(losses, "g string, facility_id string, event_id long, frequency double, loss double")
+    points = spark.createDataFrame([("a", "p", 1.0, None), ("a", "q", 2.0, "USD"), ("b", "p", 1.0, "USD"), ("b", "q", 1.0, "KRW"), ("c", "z", 1.0, None)], "g string, facility_id string, value double, currency string")
+    rows = {(r.g, r.return_period): r for r in I.portfolio_curve(losses, points, ["g"], (25.0, 50.0, 100.0, 200.0)).collect()}
+    assert {t: rows["a", t].loss for t in (25.0, 50.0, 100.0, 200.0)} == {25.0: 0.0, 50.0: 80.0, 100.0: 100.0, 200.0: None}
+    assert rows["a", 100.0].sum_of_standalone_losses == 170 and rows["a", 100.0].diversification_pct == pytest.approx((1 - 100 / 170) * 100)
+    assert rows["a", 50.0].eal == pytest.approx(1.9) and rows["a", 200.0].cell_status == "RETURN_PERIOD_NOT_RESOLVABLE"
+    assert (rows["b", None].status, rows["b", None].loss, rows["c", None].status) == ("MIXED_CURRENCY", None, "NO_PRICED_POINTS")
+
+
 def test_stream_gives_the_batch_result(spark, tmp_path):
     rows = [(i, f"2024-01-01 0{i % 5}:00:00", "a" if i % 2 else "b", 1.0) for i in range(20)]
     df = spark.createDataFrame(rows, "id int, at string, event_type string, value double").select(F.to_timestamp("at").alias("ts"), "event_type", "value")
