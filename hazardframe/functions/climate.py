@@ -67,3 +67,57 @@ def heatwave_dose(t: Column, threshold: float, beta: float) -> Column:
 
 def degree_days(t: Column, threshold: float) -> Column:
     return F.greatest(t - threshold, F.lit(0.0))
+
+
+#: Stefan-Boltzmann constant; sine of the least elevation that counts as day.
+SIGMA, MIN_SIN_ELEVATION = 5.670374419e-8, 0.05
+
+
+def clipped_wind(v: Column, low: float, high: float) -> Column:
+    """struct(wind, clipped): wind held within limits, and whether that changed it."""
+    return F.struct(F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(low)), F.lit(high))).alias("wind"), ((v < low) | (v > high)).alias("clipped"))
+
+
+def split_irradiance(ghi: Column, sin_beta: Column, i0: Column, min_sin: float = MIN_SIN_ELEVATION) -> Column:
+    """struct(diffuse, beam) of global irradiance (Erbs); under a low sun all is diffuse."""
+    g = F.greatest(ghi, F.lit(0.0))
+    low = sin_beta <= min_sin
+    safe = F.when(low, F.lit(1.0)).otherwise(sin_beta)
+    diffuse = F.when(low, g).otherwise(diffuse_fraction(F.least(F.greatest(g / (i0 * safe), F.lit(0.0)), F.lit(1.0))) * g)
+    return F.struct(diffuse.alias("diffuse"), F.when(low, F.lit(0.0)).otherwise(F.least((g - diffuse) / safe, i0)).alias("beam"))
+
+
+def daytime_cloud(ghi: Column, clear: Column, sin_beta: Column, min_sin: float = MIN_SIN_ELEVATION) -> Column:
+    """Cloud fraction 1 - ghi / clear-sky ghi within [0, 1]; null by night."""
+    return F.when(sin_beta > min_sin, F.least(F.greatest(1 - ghi / F.when(clear > 0, clear).otherwise(F.lit(1.0)), F.lit(0.0)), F.lit(1.0)))
+
+
+def projected_area(elevation: Column) -> Column:
+    """Projected-area factor of a standing person; elevation in degrees."""
+    return 0.308 * F.cos(F.radians(elevation * (0.998 - elevation * elevation / 50000)))
+
+
+def mean_radiant_temperature(
+    t: Column, vapour: Column, ghi: Column, sin_beta: Column, diffuse: Column, beam: Column, cloud: Column, intercept: Column, slope: Column,
+    albedo: float = 0.2, ground: float = 0.95, absorptivity: float = 0.7, person: float = 0.97, view: float = 0.5,
+) -> Column:
+    """Mean radiant temperature in the open from six fluxes; the ground is warmer than the air by intercept + slope * ghi."""
+    fourth = lambda x: F.pow(x + 273.15, F.lit(4.0))
+    down = sky_emissivity(vapour, t, cloud) * SIGMA * fourth(t)
+    up = ground * SIGMA * fourth(t + intercept + slope * ghi) + (1 - ground) * down
+    elevation = F.degrees(F.asin(F.least(F.greatest(sin_beta, F.lit(0.0)), F.lit(1.0))))
+    light = view * diffuse + view * albedo * ghi + projected_area(elevation) * beam
+    return F.pow((view * down + view * up + absorptivity / person * light) / SIGMA, F.lit(0.25)) - 273.15
+
+
+def sunlit_fraction(height_over_width: Column, elevation: Column) -> Column:
+    return F.least(F.greatest(1 - height_over_width / F.tan(F.radians(elevation)), F.lit(0.0)), F.lit(1.0))
+
+
+def street_radiant_temperature(t: Column, height_over_width: Column, elevation: Column, sun: float, sky: float) -> Column:
+    """Canyon proxy: air temperature, more by the sunlit fraction and by the sky view."""
+    return t + sun * sunlit_fraction(height_over_width, elevation) + sky * F.cos(F.atan(2 * height_over_width))
+
+
+def feels_like(t: Column, radiant: Column, weight: float) -> Column:
+    return t + weight * (radiant - t)

@@ -70,11 +70,11 @@ def gev_fit(moments: DataFrame) -> DataFrame:
 
 
 def gev_probability(x: Column, xi: Column, alpha: Column, k: Column) -> Column:
-    """Distribution function; 0 or 1 beyond the support."""
+    """Distribution function; 0 or 1 beyond the support, null for an unknown value."""
     y = 1 - k * (x - xi) / alpha
     inside = F.exp(-F.pow(F.greatest(y, F.lit(1e-300)), F.try_divide(F.lit(1.0), k)))
     beyond = F.when(k > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.when(F.abs(k) < 1e-6, F.exp(-F.exp(-(x - xi) / alpha))).when(y <= 0, beyond).otherwise(inside)
+    return F.when(F.abs(k) < 1e-6, F.exp(-F.exp(-(x - xi) / alpha))).when(y <= 0, beyond).when(y > 0, inside)
 
 
 def standardized_index(df: DataFrame, keys: list[str], value: str, limit: float = 3.0) -> DataFrame:
@@ -129,3 +129,123 @@ def loss_from_periods(df: DataFrame, keys: list[str]) -> DataFrame:
     rarer_f, rarer = F.lead(f).over(w), F.lead("loss").over(w)
     part = F.when(rarer.isNull(), f * F.col("loss")).otherwise((f - rarer_f) * (F.col("loss") + rarer) / 2)
     return df.select(*keys, part.alias("part")).groupBy(*keys).agg(F.sum("part").alias("eal"))
+
+
+def log_logistic_fit(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, scale, shape, origin) of a three-parameter log-logistic distribution; null if n < 4 or it has no fit."""
+    w = Window.partitionBy(*keys)
+    ranked = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x"), F.row_number().over(w.orderBy(value)).cast("double").alias("i"), F.count("*").over(w).cast("double").alias("n"))
+    i, n, x = F.col("i"), F.col("n"), F.col("x")
+    b = ranked.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.avg("x").alias("w0"), F.avg(x * F.try_divide(n - i, n - 1)).alias("w1"), F.avg(x * F.try_divide((n - i) * (n - i - 1), (n - 1) * (n - 2))).alias("w2")
+    )
+    shape = F.try_divide(2 * F.col("w1") - F.col("w0"), 6 * F.col("w1") - F.col("w0") - 6 * F.col("w2"))
+    b = b.withColumn("shape", F.when((F.col("n") >= 4) & (shape > 1), shape))
+    part = F.try_divide(F.pi(), F.col("shape"))  # gamma(1 + 1 / b) gamma(1 - 1 / b) = (pi / b) / sin(pi / b)
+    b = b.withColumn("g", F.try_divide(part, F.sin(part))).withColumn("scale", F.try_divide((F.col("w0") - 2 * F.col("w1")) * F.col("shape"), F.col("g")))
+    ok = F.col("scale") > 0
+    return b.select(*keys, "n", F.when(ok, F.col("scale")).alias("scale"), F.when(ok, F.col("shape")).alias("shape"), F.when(ok, F.col("w0") - F.col("scale") * F.col("g")).alias("origin"))
+
+
+def log_logistic_probability(x: Column, scale: Column, shape: Column, origin: Column) -> Column:
+    return F.when(x > origin, 1 / (1 + F.pow(scale / (x - origin), shape))).when(x.isNotNull() & shape.isNotNull(), F.lit(0.0))
+
+
+def monthly_index(df: DataFrame, keys: list[str], order: str, month: str, value: str, scale: int = 1, reference: Column | None = None, distribution: str = "gev", limit: float = 3.0) -> DataFrame:
+    """Drought index: sums of ``scale`` months, fitted for each calendar month, as normal quantiles clipped to ``limit``.
+
+    The fit takes rows where ``reference`` holds (all by default) and applies to every row, so a future can be
+    measured against a past. Adds total, probability and index; all null without enough months or a fit.
+    """
+    rows = rolling_sum(df, keys, order, value, scale).withColumnRenamed("rolling", "total")
+    fitted = rows if reference is None else rows.where(reference)
+    by = [*keys, month]
+    if distribution == "gev":
+        fit = gev_fit(l_moments(fitted, by, "total")).select(*by, "xi", "alpha", F.col("shape").alias("k"))
+        rows = rows.join(fit, by, "left").withColumn("probability", F.when(F.col("k").isNotNull(), gev_probability(F.col("total"), F.col("xi"), F.col("alpha"), F.col("k")))).drop("xi", "alpha", "k")
+    else:
+        fit = log_logistic_fit(fitted, by, "total").select(*by, "scale", "shape", "origin")
+        rows = rows.join(fit, by, "left").withColumn("probability", log_logistic_probability(F.col("total"), F.col("scale"), F.col("shape"), F.col("origin"))).drop("scale", "shape", "origin")
+    p = F.col("probability")
+    z = F.when(p <= 0, -limit).when(p >= 1, limit).otherwise(normal_quantile(p))
+    return rows.withColumn("index", F.when(p.isNotNull(), F.greatest(F.least(z, F.lit(limit)), F.lit(-limit))))
+
+
+def return_level(period: Column, xi: Column, alpha: Column, k: Column | None = None) -> Column:
+    """Value of a return period under Gumbel, or with a shape ``k`` under the extreme value distribution."""
+    y = -F.ln(1 - 1 / period)
+    gumbel = xi - alpha * F.ln(y)
+    return gumbel if k is None else F.when(F.abs(k) < 1e-6, gumbel).otherwise(xi - alpha * F.expm1(k * F.ln(y)) / k)
+
+
+def delta_change(observed: DataFrame, base: DataFrame, future: DataFrame, cell: str, month: str, value: str) -> DataFrame:
+    """Observed days with the model's change of the monthly mean added, as shifted; null where the model has no day."""
+    mean = lambda df, name: df.groupBy(cell, month).agg(F.avg(value).alias(name))
+    delta = mean(base, "_base").join(mean(future, "_future"), [cell, month]).select(cell, month, (F.col("_future") - F.col("_base")).alias("_delta"))
+    return observed.join(delta, [cell, month], "left").withColumn("shifted", F.col(value) + F.col("_delta")).drop("_delta")
+
+
+def climate_bias(model: DataFrame, observed: DataFrame, cell: str, month: str, value: str) -> DataFrame:
+    """(month, mean_offset, spread_ratio): mean difference, and the ratio of mean standard deviations of cells."""
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        means = df.groupBy(month).agg(F.avg(value).alias(f"{p}_mean"))
+        spreads = df.groupBy(month, cell).agg(F.stddev_pop(value).alias("s")).groupBy(month).agg(F.avg("s").alias(f"{p}_spread"))
+        return means.join(spreads, month)
+
+    both = side(model, "m").join(side(observed, "o"), month)
+    return both.select(month, (F.col("m_mean") - F.col("o_mean")).alias("mean_offset"), F.try_divide(F.col("m_spread"), F.col("o_spread")).alias("spread_ratio"))
+
+
+def annual_metrics(days: DataFrame, keys: list[str], year: Column, stress: str, heat: str, fraction: float, stress_at: float = 38.0, heat_at: float = 33.0) -> DataFrame:
+    """(keys, year, d38, t95, heat_days) of daily maxima; all null in a year with too few known days of ``stress``."""
+    known = F.count(stress)
+    per = days.groupBy(*keys, year.alias("year")).agg(
+        (known < fraction * F.count("*")).alias("thin"), F.count_if(F.col(stress) >= stress_at).alias("d38"), F.percentile(heat, F.lit(0.95)).alias("t95"),
+        F.when(F.count(heat) > 0, F.count_if(F.col(heat) >= heat_at)).alias("heat_days"),
+    )
+    return per.select(*keys, "year", *[F.when(~F.col("thin"), F.col(c)).alias(c) for c in ("d38", "t95", "heat_days")])
+
+
+def hourly_metrics(hours: DataFrame, keys: list[str], ts: str, value: str, expected: int, fraction: float, threshold: float, least_years: int = 1) -> DataFrame:
+    """(keys, n_valid_years, days, hours, annual_max): means over valid years; null below ``least_years`` of them.
+
+    A year is valid if its known hours are at least ``fraction`` of those expected. Days count by their maximum.
+    """
+    by_day = hours.where(F.col(value).isNotNull()).groupBy(*keys, F.year(ts).alias("_y"), F.to_date(ts).alias("_d")).agg(
+        F.count("*").alias("n"), F.max(value).alias("top"), F.count_if(F.col(value) >= threshold).alias("hot")
+    )
+    by_year = by_day.groupBy(*keys, "_y").agg(F.sum("n").alias("n"), F.count_if(F.col("top") >= threshold).alias("days"), F.sum("hot").alias("hours"), F.max("top").alias("top"))
+    valid = by_year.where(F.col("n") / expected >= fraction).groupBy(*keys).agg(F.count("*").alias("n_valid_years"), F.avg("days").alias("days"), F.avg("hours").alias("hours"), F.avg("top").alias("annual_max"))
+    enough = F.col("n_valid_years") >= least_years
+    return valid.select(*keys, "n_valid_years", *[F.when(enough, F.col(c)).alias(c) for c in ("days", "hours", "annual_max")])
+
+
+def cells_with_days(days: DataFrame, cell: str, value: str, missing: float) -> DataFrame:
+    """Rows of cells of whose days at most a share ``missing`` is unknown."""
+    kept = days.groupBy(cell).agg((F.count(value) / F.count("*")).alias("known")).where(F.col("known") >= 1 - missing)
+    return days.join(kept.select(cell), cell, "left_semi")
+
+
+def hottest_days(hours: DataFrame, ring: str, day: str, hour: str, value: str, n: int, least: int, between: tuple[int, int]) -> DataFrame:
+    """The n days of the largest hourly median over sensors, with its hour; hours with fewer than ``least`` sensors do not count."""
+    median = hours.where(F.col(ring) & F.col(hour).between(*between)).groupBy(day, hour).agg(F.percentile(value, F.lit(0.5)).alias("t"), F.count(value).alias("n"))
+    best = median.where(F.col("n") >= least).groupBy(day).agg(F.max(F.struct("t", (-F.col(hour)).alias("h"))).alias("top"))
+    return best.orderBy(F.desc("top.t"), day).limit(n).select(day, (-F.col("top.h")).alias(hour), F.col("top.t").alias("t"))
+
+
+def night_from_day(rows: DataFrame, keys: list[str], day: str, value: str) -> DataFrame:
+    """Fills unknown values with their day's mean; null on a day without any."""
+    return rows.withColumn(value, F.coalesce(F.col(value), F.avg(value).over(Window.partitionBy(*keys, day))))
+
+
+def onset_percentile(days: DataFrame, cell: str, value: str, percentile: float) -> DataFrame:
+    """(cell, onset): the percentile of each cell's own daily values, from which heat begins there."""
+    return days.groupBy(cell).agg(F.percentile(value, F.lit(percentile)).alias("onset"))
+
+
+def power_law_fit(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """(keys, a, b) of y = a x^b by least squares of the logarithms, over positive pairs."""
+    both = points.where((F.col(x) > 0) & (F.col(y) > 0))
+    fit = both.groupBy(*keys).agg(F.regr_slope(F.ln(y), F.ln(x)).alias("b"), F.regr_intercept(F.ln(y), F.ln(x)).alias("i"))
+    return fit.select(*keys, F.exp("i").alias("a"), "b")
