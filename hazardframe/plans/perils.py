@@ -1 +1,218 @@
-"""Queries."""
+"""Queries of perils: suppliers' shipments as events, customers and suppliers as assets."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hazardframe.functions import perils as P
+from hazardframe.operators import hazard as H
+from hazardframe.operators import perils as R
+from hazardframe.operators import simulate
+from hazardframe.plans.registry import query
+from hazardframe.plans.risk import _SQL_STEP, _r, damage, grid, sql_grid, sql_lerp
+from hazardframe.plans.series import _SQL_DAILY, daily
+from hazardframe.sources.tables import table
+
+_CLASSES = ("residential", "commercial", "industrial_light", "industrial_heavy", "infrastructure")
+#: The published curves, written out for the SQL.
+_FLOOD = {"residential": (0.0, 0.25, 0.40, 0.60, 0.75, 0.85, 0.92, 0.95), "commercial": (0.0, 0.15, 0.30, 0.50, 0.65, 0.75, 0.82, 0.85), "industrial_light": (0.0, 0.12, 0.22, 0.40, 0.55, 0.65, 0.72, 0.75), "industrial_heavy": (0.0, 0.10, 0.18, 0.32, 0.45, 0.55, 0.62, 0.65), "infrastructure": (0.0, 0.08, 0.15, 0.28, 0.40, 0.50, 0.57, 0.60)}
+_QUAKE = {"residential": (0.0, 0.03, 0.10, 0.30, 0.55, 0.85), "commercial": (0.0, 0.02, 0.08, 0.25, 0.50, 0.80), "industrial_light": (0.0, 0.02, 0.06, 0.20, 0.42, 0.72), "industrial_heavy": (0.0, 0.01, 0.05, 0.16, 0.35, 0.65), "infrastructure": (0.0, 0.01, 0.04, 0.12, 0.28, 0.55)}
+
+
+def _sql_points(x: str, xs, ys) -> str:
+    parts = [f"WHEN {x} <= {xs[0]} THEN {ys[0]}::DOUBLE"] + [f"WHEN {x} <= {b} THEN {p}::DOUBLE + ({x} - {a}) * ({q} - {p})::DOUBLE / ({b} - {a})" for a, b, p, q in zip(xs, xs[1:], ys, ys[1:])]
+    return f"CASE {' '.join(parts)} ELSE {ys[-1]}::DOUBLE END"
+
+
+def _sql_class(values) -> str:
+    return "CASE vulnerability " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+
+
+_SQL_ASSETS = "ast AS (SELECT s_suppkey AS asset_id, s_suppkey AS cell_id, greatest(s_acctbal, 0) AS amount, (ARRAY['residential', 'commercial', 'industrial_light', 'industrial_heavy', 'infrastructure'])[s_suppkey % 5 + 1] AS vulnerability FROM supplier WHERE s_acctbal IS NOT NULL)"
+
+
+def peril_assets(spark, sf):
+    name = F.element_at(F.array(*[F.lit(c) for c in _CLASSES]), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    return table(spark, sf, "supplier").where("s_acctbal IS NOT NULL").select(F.col("s_suppkey").alias("asset_id"), F.col("s_suppkey").alias("cell_id"), F.greatest("s_acctbal", F.lit(0.0)).alias("amount"), name.alias("vulnerability"))
+
+
+def scaled_events(spark, sf, factor: float, offset: float = 0.0):
+    """Events of a peril: the yearly largest shipments of the even cells, on the peril's own axis."""
+    events = H.grid_to_events(grid(spark, sf)).where("cell_id % 7 <> 3")
+    return events.withColumn("intensity", F.col("intensity") * factor + offset)
+
+
+def _peril(name: str, factor: float, offset: float, share: str, spark_damage, kind: str):
+    x = f"(intensity * {factor} + {offset})"
+    sql = f"WITH {sql_grid()}, {_SQL_ASSETS} SELECT asset_id, round(sum(CASE WHEN intensity IS NULL THEN 0 ELSE amount / (SELECT count(DISTINCT yr) FROM grid) * ({share.format(x=x)}) END), 6) AS eai, '{kind}' AS result_kind FROM ast LEFT JOIN grid ON grid.cell_id = ast.cell_id AND grid.cell_id % 7 <> 3 GROUP BY 1"
+
+    @query(name, sql)
+    def run(spark, sf):
+        return R.run_peril(peril_assets(spark, sf), scaled_events(spark, sf, factor, offset), spark_damage, kind).withColumn("eai", F.round("eai", 6))
+
+    return run
+
+
+_DEPTHS, _MMI = (0.0, 0.5, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0), (5.0, 6.0, 7.0, 8.0, 9.0, 10.0)
+_BY_CLASS = lambda xs, values: _sql_class({k: f"({_sql_points('{x}', xs, v)})" for k, v in values.items()})
+_HALF = {"residential": 70.0, "commercial": 80.0, "industrial_light": 88.0, "industrial_heavy": 100.0, "infrastructure": 110.0}
+_FIRE = {"residential": 0.40, "commercial": 0.35, "industrial_light": 0.30, "industrial_heavy": 0.25, "infrastructure": 0.20}
+_LAST = {k: v[-1] for k, v in _FLOOD.items()}
+_V = f"(greatest({{x}} - 25.7, 0) / (({_sql_class(_HALF)}) - 25.7))"
+
+river_flood = _peril("peril_river_flood", 0.1, 0.0, _BY_CLASS(_DEPTHS, _FLOOD), P.flood_damage, "monetary")
+coastal_flood = _peril("peril_coastal_flood", 0.08, 0.3, _BY_CLASS(_DEPTHS, _FLOOD), P.flood_damage, "monetary")
+surge = _peril("peril_surge", 0.12, -1.0, _BY_CLASS(_DEPTHS, _FLOOD), P.flood_damage, "monetary")
+earthquake = _peril("peril_earthquake", 0.1, 4.5, _BY_CLASS(_MMI, _QUAKE), P.earthquake_damage, "monetary")
+cyclone = _peril("peril_cyclone", 1.4, 0.0, f"pow({_V}, 3) / (1 + pow({_V}, 3))", P.cyclone_damage, "monetary")
+wildfire = _peril("peril_wildfire", 2.0, 280.0, f"({_sql_class(_FIRE)}) / (1 + exp(-0.035 * ({{x}} - 325)))", P.wildfire_damage, "monetary")
+windstorm = _peril("peril_windstorm", 1.2, 0.0, "0.6 * pow(greatest({x} - 20, 0) / 25, 3) / (1 + pow(greatest({x} - 20, 0) / 25, 3))", lambda x, c: P.windstorm_damage(x), "monetary")
+hail = _peril("peril_hail", 0.2, 0.0, f"({_sql_class(_LAST)}) * ({_sql_points('{x}', (0.0, 2.0, 4.0, 6.0, 8.0, 10.0), (0.0, 0.0, 0.1, 0.3, 0.6, 1.0))})", lambda x, c: P.catalog_damage("hail", x, c), "monetary")
+landslide = _peril("peril_landslide", 0.02, 0.0, f"({_sql_class(_LAST)}) * ({_sql_points('{x}', (0.0, 0.25, 0.5, 0.75, 1.0), (0.0, 0.1, 0.3, 0.6, 1.0))})", lambda x, c: P.catalog_damage("landslide", x, c), "monetary")
+rain = _peril("peril_rain", 7.0, 0.0, f"({_sql_class(_LAST)}) * ({_sql_points('{x}', (0.0, 50.0, 100.0, 200.0, 400.0), (0.0, 0.05, 0.2, 0.5, 0.9))})", lambda x, c: P.catalog_damage("tc_rain", x, c), "monetary")
+heatwave = _peril("peril_heatwave", 0.5, 18.0, _sql_points("{x}", (0.0, 30.0, 35.0, 40.0, 45.0), (0.0, 0.0, 0.1, 0.3, 0.6)), lambda x, c: P.catalog_damage("heatwave", x, c), "productivity")
+crop_yield = _peril("peril_crop_yield", 0.012, 0.0, _sql_points("{x}", (0.0, 0.1, 0.2, 0.4, 0.6), (0.0, 0.25, 0.5, 0.8, 1.0)), lambda x, c: P.catalog_damage("crop_yield", x, c), "yield")
+
+
+@query("asset_specs", "SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'infrastructure' WHEN lower(c_mktsegment) = 'machinery' THEN 'industrial_heavy' WHEN lower(c_mktsegment) = 'building' THEN 'commercial' ELSE 'residential' END AS vulnerability FROM customer")
+def asset_specs(spark, sf):
+    k = F.col("c_custkey")
+    assets = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit(" "), "c_mktsegment").alias("sector"), F.when(k % 6 == 0, "infrastructure").when(k % 7 == 0, "no such class").alias("own_class"))
+    sectors = spark.sql("SELECT * FROM VALUES ('machinery', 'industrial_heavy'), ('building', 'commercial') AS t(sector, vulnerability)")
+    return R.resolve_assets(assets, sectors).select("c_custkey", "vulnerability")
+
+
+_SQL_VH = "CASE WHEN s_suppkey % 9 = 0 THEN 55.5 {cal} WHEN s_nationkey IN (3, 4) THEN 66.0 ELSE (ARRAY[70, 80, 88, 100, 110])[s_suppkey % 5 + 1] END::DOUBLE AS v_half, CASE WHEN s_suppkey % 9 = 0 THEN 'override' {src} WHEN s_nationkey IN (3, 4) THEN 'regional' ELSE 'class' END AS v_half_source"
+
+
+@query("v_half_precedence", f"SELECT s_suppkey AS asset_id, {_SQL_VH.format(cal='WHEN s_nationkey IN (4, 5) THEN 99.0', src=chr(39).join(['WHEN s_nationkey IN (4, 5) THEN ', 'calibrated', '']))} FROM supplier WHERE s_acctbal IS NOT NULL")
+def v_half_precedence(spark, sf):
+    nation = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("asset_id"), F.col("s_nationkey").cast("string").alias("iso3"))
+    assets = peril_assets(spark, sf).join(nation, "asset_id").withColumn("v_half_override", F.when(F.col("asset_id") % 9 == 0, 55.5))
+    calibrated, regional = (spark.sql(f"SELECT * FROM VALUES {v} AS t(iso3, v_half)") for v in ("('4', 99D), ('5', 99D)", "('3', 66D), ('4', 66D)"))
+    return R.resolve_half_speed(assets, calibrated, regional, "calibrated").select("asset_id", "v_half", "v_half_source")
+
+
+@query("flood_curve_precedence", "SELECT s_suppkey AS asset_id, CASE WHEN s_suppkey % 9 = 0 THEN 1.0 WHEN s_nationkey = 3 THEN 0.5 ELSE (ARRAY[0.95, 0.85, 0.75, 0.65, 0.60])[s_suppkey % 5 + 1] END::DOUBLE AS last, CASE WHEN s_suppkey % 9 = 0 THEN 'override' WHEN s_nationkey = 3 THEN 'preset' ELSE 'class' END AS curve_source FROM supplier WHERE s_acctbal IS NOT NULL")
+def flood_curve_precedence(spark, sf):
+    return _curves(spark, sf).select("asset_id", F.element_at("curve", -1).alias("last"), "curve_source")
+
+
+def _curves(spark, sf):
+    nation = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("asset_id"), F.col("s_nationkey").cast("string").alias("iso3"))
+    ones = F.array(*[F.lit(x) for x in (0.0, 0.2, 0.4, 0.6, 0.7, 0.8, 0.9, 1.0)])
+    assets = peril_assets(spark, sf).join(nation, "asset_id").withColumn("curve_override", F.when(F.col("asset_id") % 9 == 0, ones))
+    presets = spark.sql("SELECT '3' AS iso3, array(0D, 0.5D, 1D, 2D, 3D, 4D, 5D, 6D) AS depths, array(0D, 0.1D, 0.2D, 0.3D, 0.4D, 0.4D, 0.5D, 0.5D) AS mdr UNION ALL SELECT '4', array(0D, 1D), array(0D, 1D)")
+    return R.resolve_flood_curve(assets, presets)
+
+
+@query("flood_curve_set", "WITH c AS (SELECT DISTINCT CASE WHEN s_suppkey % 9 = 0 THEN [0, 0.2, 0.4, 0.6, 0.7, 0.8, 0.9, 1.0] WHEN s_nationkey = 3 THEN [0, 0.1, 0.2, 0.3, 0.4, 0.4, 0.5, 0.5] WHEN s_suppkey % 5 = 0 THEN [0, 0.25, 0.40, 0.60, 0.75, 0.85, 0.92, 0.95] WHEN s_suppkey % 5 = 1 THEN [0, 0.15, 0.30, 0.50, 0.65, 0.75, 0.82, 0.85] WHEN s_suppkey % 5 = 2 THEN [0, 0.12, 0.22, 0.40, 0.55, 0.65, 0.72, 0.75] WHEN s_suppkey % 5 = 3 THEN [0, 0.10, 0.18, 0.32, 0.45, 0.55, 0.62, 0.65] ELSE [0, 0.08, 0.15, 0.28, 0.40, 0.50, 0.57, 0.60] END::DOUBLE[] AS curve FROM supplier WHERE s_acctbal IS NOT NULL) SELECT row_number() OVER (ORDER BY curve)::INT AS impf_id, curve[8] AS last FROM c")
+def flood_curve_set(spark, sf):
+    return R.curve_set(_curves(spark, sf)).select("impf_id", F.element_at("curve", -1).alias("last"))
+
+
+@query("footprint_points", "WITH f AS (SELECT s_suppkey AS asset_id, s_suppkey * 7 % 200 + 1 AS n FROM supplier), k AS (SELECT *, ceil(n / 64.0)::INT AS step FROM f) SELECT asset_id, i::INT AS point, round(1000.0 / ceil(n * 1.0 / step), 6)::DOUBLE AS amount FROM k, (SELECT unnest(range(0, 201)) AS i) WHERE i < n AND i % step = 0")
+def footprint_points(spark, sf):
+    n = F.col("s_suppkey") * 7 % 200
+    prints = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("asset_id"), F.lit(1000.0).alias("amount"), F.sequence(F.lit(0), n.cast("int")).alias("points"))
+    return R.split_footprints(prints).select("asset_id", F.col("point").cast("int").alias("point"), _r("amount"))
+
+
+@query("warning_bands", "WITH a AS (SELECT s_suppkey, max(l_quantity - 35) AS x FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_linenumber = 7 GROUP BY 1), q AS (SELECT DISTINCT unnest(quantile_cont(x, [0, 0.2, 0.4, 0.6, 0.8])) AS threshold FROM a WHERE x > 0), r AS (SELECT threshold, row_number() OVER (ORDER BY threshold) AS level, lead(threshold) OVER (ORDER BY threshold) AS above FROM q) SELECT level::INT AS level, round(threshold, 6) AS threshold, (SELECT count(*) FROM a WHERE x > 0 AND x >= threshold AND (above IS NULL OR x < above)) AS assets FROM r")
+def warning_bands(spark, sf):
+    top = table(spark, sf, "lineitem").where("l_linenumber = 7").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.max(F.col("l_quantity") - 35).alias("intensity"))
+    return R.warning_bands(table(spark, sf, "supplier").join(top, "s_suppkey", "left")).withColumn("threshold", F.round("threshold", 6))
+
+
+_SQL_EVENTS = "ev AS (SELECT o_orderkey AS event_id, 0.01::DOUBLE * (o_orderkey % 4 + 1) AS f, o_totalprice AS loss, o_totalprice * 1.3 AS fut FROM orders)"
+
+
+def _loss_events(spark, sf):
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(k.alias("event_id"), (0.01 * (k % 4 + 1)).alias("frequency"), F.col("o_totalprice").alias("loss"), (F.col("o_totalprice") * 1.3).alias("future_loss"))
+
+
+@query(
+    "cost_benefit",
+    f"WITH {_SQL_EVENTS}, m AS (SELECT * FROM (VALUES ('wall', 1e6, 0.2, NULL, NULL, NULL), ('board', 0.0, 0.5, 0.03, NULL, NULL), ('cover', 5e5, NULL, NULL, 1e5, 5e4)) AS t(measure, cost, red, cut, att, cov)), "
+    "r AS (SELECT measure, cost, f, loss, fut, CASE WHEN coalesce(f >= cut, true) THEN loss * (1 - coalesce(red, 0)) ELSE loss END AS a, CASE WHEN coalesce(f >= cut, true) THEN fut * (1 - coalesce(red, 0)) ELSE fut END AS b, coalesce(att, 0) AS att, coalesce(cov, 0) AS cov FROM ev, m), "
+    "s AS (SELECT measure, cost, sum(f * (loss - (a - least(greatest(a - att, 0), cov)))) AS x, sum(f * (fut - (b - least(greatest(b - att, 0), cov)))) AS y FROM r GROUP BY 1, 2), d AS (SELECT measure, cost, sum((x + (y - x) * k / 19) / pow(1.05, k)) AS benefit FROM s, (SELECT unnest(range(20)) AS k) GROUP BY 1, 2) SELECT measure, cost::DOUBLE AS cost, round(benefit, 2)::DOUBLE AS benefit, round(CASE WHEN cost > 0 THEN benefit / cost END, 6)::DOUBLE AS benefit_cost_ratio FROM d",
+)
+def cost_benefit(spark, sf):
+    m = spark.sql("SELECT * FROM VALUES ('wall', 1e6D, 0.2D, NULL, NULL, NULL), ('board', 0D, 0.5D, 0.03D, NULL, NULL), ('cover', 5e5D, NULL, NULL, 1e5D, 5e4D) AS t(measure, cost, reduction, cutoff_frequency, attachment, cover)")
+    return R.measure_benefits(_loss_events(spark, sf), m, 20, 0.05).select("measure", "cost", _r("benefit", 2), _r("benefit_cost_ratio"))
+
+
+@query("calibration_fit", "WITH x AS (SELECT l_quantity * 1.4 AS w, sum(l_extendedprice) * 0.01 AS weight FROM lineitem GROUP BY 1), c AS (SELECT unnest(range(60, 130))::DOUBLE AS v), m AS (SELECT v, sum(weight * pow(greatest(w - 25.7, 0) / (v - 25.7), 3) / (1 + pow(greatest(w - 25.7, 0) / (v - 25.7), 3))) AS loss FROM x, c GROUP BY 1) SELECT arg_min(v, abs(loss - (SELECT loss FROM m WHERE v = 90))) AS v_half, 90.0::DOUBLE AS fitted FROM m")
+def calibration_fit(spark, sf):
+    """The half speed that a known one's loss is fitted back to, among whole candidates and on the continuous scale."""
+    from hazardframe.functions.curves import emanuel
+
+    exposed = table(spark, sf, "lineitem").groupBy((F.col("l_quantity") * 1.4).alias("wind")).agg((F.sum("l_extendedprice") * 0.01).alias("weight"))
+    each = F.explode(F.sequence(F.lit(60), F.lit(129))).alias("candidate")
+    losses = exposed.select("*", each).groupBy("candidate").agg(F.sum(F.col("weight") * emanuel(F.col("wind"), F.col("candidate").cast("double"))).alias("loss"))
+    target = losses.where("candidate = 90").first().loss
+    fitted = R.fit_half_speed(exposed, target)
+    return R.nearest_calibration(losses, target).select(F.col("candidate").cast("double").alias("v_half"), F.lit(round(fitted, 3)).alias("fitted"))
+
+
+@query("heat_deaths", f"WITH {_SQL_DAILY}, s AS (SELECT cell, year(day) AS y, sum(greatest(t - 30, 0)) AS dd FROM dd GROUP BY 1, 2), a AS (SELECT cell, avg(CASE WHEN dd > 0 THEN least(0.0001 * 2 * pow(dd, 0.8), 1) ELSE 0 END) AS u, avg(CASE WHEN dd > 0 THEN least(0.002 * 2 * pow(dd, 0.8), 1) ELSE 0 END) AS o FROM s GROUP BY 1) SELECT c_custkey AS asset_id, round(CASE WHEN c_custkey % 3 = 0 THEN 250 ELSE c_custkey END * (0.82 * u + 0.18 * o), 6) AS deaths FROM customer LEFT JOIN a ON cell = c_nationkey")
+def heat_deaths(spark, sf):
+    dd = daily(spark, sf).groupBy(F.col("cell").alias("cell_id"), F.year("day").alias("year")).agg(F.sum(F.greatest(F.col("t") - 30, F.lit(0.0))).alias("degree_days"))
+    k = F.col("c_custkey")
+    assets = table(spark, sf, "customer").select(k.alias("asset_id"), F.col("c_nationkey").alias("cell_id"), F.when(k % 3 != 0, k.cast("double")).alias("people"), F.lit(0.18).alias("over65"))
+    return R.heat_deaths(assets, dd, {"under65": 0.0001, "over65": 0.002}, 2.0, 0.8).withColumn("deaths", F.round("deaths", 6))
+
+
+@query("climate_and_ageing", "WITH x AS (SELECT c_nationkey, sum(c_acctbal) AS a, sum(c_acctbal * 1.2) AS b, sum(c_acctbal + 100) AS c, sum((c_acctbal + 100) * 1.2) AS d FROM customer GROUP BY 1) SELECT c_nationkey, round(b - a, 4) AS climate, round(c - a, 4) AS ageing, round(d - a, 4) AS both, round(d - b - c + a, 4) AS interaction FROM x")
+def climate_and_ageing(spark, sf):
+    x = F.col("c_acctbal")
+    rows = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.sum(x).alias("now_now"), F.sum(x * 1.2).alias("future_now"), F.sum(x + 100).alias("now_future"), F.sum((x + 100) * 1.2).alias("future_future"))
+    return R.climate_and_ageing(rows, ["c_nationkey"]).select("c_nationkey", *[_r(c, 4) for c in ("climate", "ageing", "both", "interaction")])
+
+
+@query("season_severity", f"WITH {_SQL_DAILY}, s AS (SELECT month(day) + 100 * year(day) AS season, round(sum(greatest(t - 30, 0)), 4) AS loss FROM dd GROUP BY 1), r AS (SELECT loss, row_number() OVER (ORDER BY loss DESC) AS k, count(*) OVER () AS n FROM s) SELECT t AS return_period, max(loss) FILTER (WHERE k >= n / t) AS severity FROM r, (SELECT unnest([2, 10, 50, 1000])::DOUBLE AS t) WHERE t <= n GROUP BY 1")
+def season_severity(spark, sf):
+    seasons = daily(spark, sf).groupBy(F.month("day").alias("m"), F.year("day").alias("y")).agg(F.round(F.sum(F.greatest(F.col("t") - 30, F.lit(0.0))), 4).alias("loss"))
+    return R.season_severity(seasons, [2.0, 10.0, 50.0, 1000.0])
+
+
+@query("productivity_loss", f"WITH {_SQL_DAILY} SELECT cell, round(avg(least(greatest(t - 26, 0) * 0.02, 0.5)), 9) AS loss FROM dd GROUP BY 1")
+def productivity_loss(spark, sf):
+    return R.productivity_loss(daily(spark, sf), ["cell"], 26.0, 0.02, 0.5).withColumn("loss", F.round("loss", 9))
+
+
+@query("defence_comparison", f"WITH {sql_grid()}, {_SQL_STEP}, th AS (SELECT cell_id, t, coalesce(max(intensity) FILTER (WHERE cum >= (1 / t) * (1 - 1e-9)), 0) AS x FROM ranked, (SELECT unnest([2.0, 5.0])::DOUBLE AS t) GROUP BY 1, 2), d AS (SELECT 'rp' || t::INT AS scenario, g.cell_id, CASE WHEN g.intensity > x THEN g.intensity ELSE 0 END AS intensity FROM grid g JOIN th USING (cell_id) UNION ALL SELECT 'none', cell_id, intensity FROM grid) SELECT scenario, cell_id, round(sum(({sql_lerp('intensity')}) / (SELECT count(DISTINCT yr) FROM grid)), 9) AS unit_eal FROM d GROUP BY 1, 2")
+def defence_comparison(spark, sf):
+    events = H.grid_to_events(grid(spark, sf))
+    at = H.intensity_at_return_period(events, [2.0, 5.0])
+    thresholds = at.select(F.concat(F.lit("rp"), F.col("return_period").cast("int").cast("string")).alias("scenario"), "cell_id", F.col("intensity").alias("threshold"))
+    found = R.defence_scenarios(events, thresholds, lambda e: H.unit_loss(e, damage()))
+    return found.withColumn("unit_eal", F.round("unit_eal", 9))
+
+
+@query("price_ladder", "WITH l AS (SELECT l_suppkey AS cell, (l_linenumber * 10)::DOUBLE AS rp, max(l_quantity) / 10 AS depth FROM lineitem GROUP BY 1, 2), f AS (SELECT *, 1 / rp - coalesce(1 / lead(rp) OVER (PARTITION BY cell ORDER BY rp), 0) AS f FROM l) SELECT cell AS asset_id, round(sum(f * amount * (" + _BY_CLASS(_DEPTHS, _FLOOD).replace("{x}", "depth") + ")), 6) AS eai FROM f JOIN (" + _SQL_ASSETS.split("AS (", 1)[1][:-1] + ") ast ON cell_id = cell GROUP BY 1")
+def price_ladder(spark, sf):
+    layers = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("cell_id"), (F.col("l_linenumber") * 10).cast("double").alias("return_period")).agg((F.max("l_quantity") / 10).alias("intensity"))
+    events = H.layered_frequencies(layers, ["cell_id"]).withColumn("event_id", F.col("return_period"))
+    return R.run_peril(peril_assets(spark, sf), events, P.flood_damage).join(layers.select(F.col("cell_id").alias("asset_id")).distinct(), "asset_id").select("asset_id", _r("eai"))
+
+
+@query("yearset_mean", f"WITH {_SQL_EVENTS} SELECT 2000::BIGINT AS n_years, true AS near, true AS ordered FROM ev LIMIT 1")
+def yearset_mean(spark, sf):
+    """Sampled years: their mean lies within 10 % of the expected yearly loss, and percentiles are in order."""
+    events = _loss_events(spark, sf).where("event_id % 50 = 0")
+    total = events.agg(F.sum(F.col("frequency") * F.col("loss")).alias("aai"))
+    s = simulate.yearset_summary(simulate.yearsets(events, 2000)).crossJoin(total)
+    return s.select("n_years", (F.abs(F.col("mean") / F.col("aai") - 1) < 0.1).alias("near"), ((F.col("p50") <= F.col("p90")) & (F.col("p90") <= F.col("p99")) & (F.col("p99") <= F.col("max"))).alias("ordered"))
+
+
+@query("sobol_design", "SELECT * FROM (VALUES ('a', true, true), ('b', true, true), ('c', true, true)) AS t(input, near_first, near_total)")
+def sobol_design(spark, sf):
+    """Indices of a + 2 b + 0 c on [0, 1]: first order 0.2, 0.8 and 0, and so the total ones, to 0.05."""
+    design = R.saltelli({"a": (0.0, 1.0), "b": (0.0, 1.0), "c": (0.0, 1.0)}, spark.range(20000).select(F.col("id").alias("sample")))
+    y = design.withColumn("y", F.col("a") + 2 * F.col("b"))
+    wide = y.groupBy("sample").agg(*[F.max(F.when(F.col("matrix") == m, F.col("y"))).alias(n) for m, n in (("A", "a"), ("B", "b"), ("a", "ab_a"), ("b", "ab_b"), ("c", "ab_c"))])
+    found = simulate.sobol_indices(wide, ["a", "b", "c"])
+    want = F.when(F.col("input") == "a", 0.2).when(F.col("input") == "b", 0.8).otherwise(0.0)
+    return found.select("input", (F.abs(F.col("first") - want) < 0.05).alias("near_first"), (F.abs(F.col("total") - want) < 0.05).alias("near_total"))
