@@ -17,7 +17,7 @@
    if both have ``percent`` of common ones. A passage that many documents share makes none of these.
 5. The latter, alone, are compared within buckets: all members with the one that has the largest
    share of common shingles; then, where a bucket still holds more than one component, members outside
-   that one's component in turn, a few at first and four times as many in each round, with the members
+   that one's component in turn, a few at first and eight times as many in each round, with the members
    of other components that the bound allows. When no member is left, every pair of a bucket was
    compared, excluded by the bound or lies in one component: no link between candidates is lost.
 6. Pairs are confirmed on full shingle sets, by hashes first and then on the words themselves, and
@@ -45,8 +45,8 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 UNIVERSE = 1 << 20
 SEED = 20240607
-#: Members of a bucket that are heads in the second round; each later round takes four times as many.
-FIRST_PIVOTS = 4
+#: Members of a bucket that are heads in the second round; each later round takes eight times as many.
+FIRST_PIVOTS = 8
 #: Members that are compared with one copy of their head's text, about.
 GROUP_PAIRS = 1000
 
@@ -191,10 +191,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         # a head's text goes once to each group of its members; a head of many members has many groups
         groups = pairs.groupBy("p").agg(F.ceil(F.count("*") / GROUP_PAIRS).alias("parts"))
-        dealt = pairs.join(groups.hint("merge"), "p").select("p", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("m"), "parts")
-        dealt = dealt.select("p", F.pmod(F.xxhash64("m"), "parts").alias("part"), "m").join(texts.withColumnRenamed("doc_id", "m").hint("merge"), "m")
+        dealt = pairs.join(groups, "p").select("p", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("m"), "parts")
+        dealt = dealt.select("p", F.pmod(F.xxhash64("m"), "parts").alias("part"), "m").join(texts.withColumnRenamed("doc_id", "m"), "m")
         heads = groups.select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-        heads = heads.join(texts.withColumnRenamed("doc_id", "p").hint("merge"), "p").select("p", "part", F.lit(None).cast("long").alias("m"), "text")
+        heads = heads.join(texts.withColumnRenamed("doc_id", "p"), "p").select("p", "part", F.lit(None).cast("long").alias("m"), "text")
         rows = heads.union(dealt.select("p", "part", "m", "text")).repartition("p", "part").sortWithinPartitions("p", "part", F.col("m").asc_nulls_first())
         return space.save(rows.mapInArrow(_confirm(shingle, percent), "a long, b long"), name)
 
@@ -207,17 +207,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     holders = postings.groupBy("cluster", "s").agg(F.count("*").alias("held"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     shared = space.save(holders.where("held <= 2").groupBy("lo", "hi").agg(F.count("*").alias("shared")), "shared")
     rare = shared.select(F.col("lo").alias("rep"), "shared").union(shared.where("lo <> hi").select("hi", "shared")).groupBy("rep").agg(F.sum("shared").alias("rare"))
-    sizes = classes.select("rep", "n").join(clusters.select(F.col("v").alias("rep")).hint("merge"), "rep", "left_semi")
-    profile = space.save(sizes.join(rare.hint("merge"), "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("common")), "profile")
+    sizes = classes.select("rep", "n").join(clusters.select(F.col("v").alias("rep")), "rep", "left_semi")
+    profile = space.save(sizes.join(rare, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("common")), "profile")
 
     side = lambda x, end: profile.select(F.col("rep").alias(x), F.col("n").alias(f"n_{end}"), F.col("common").alias(f"common_{end}"))
-    few = shared.where("lo <> hi").join(side("lo", "a").hint("merge"), "lo").join(side("hi", "b").hint("merge"), "hi")
+    few = shared.where("lo <> hi").join(side("lo", "a"), "lo").join(side("hi", "b"), "hi")
     few = few.where(_allowed("n_a", "common_a", "n_b", "common_b", percent, F.col("shared")) & _fits("n_a", "n_b", percent))
 
-    core = members.select("h", "rep").join(profile.where(F.col("common") * 100 >= F.col("n") * percent).hint("merge"), "rep")
+    core = members.select("h", "rep").join(profile.where(F.col("common") * 100 >= F.col("n") * percent), "rep")
     core = space.save(core.withColumn("rank", F.struct((1 - F.col("common") / F.col("n")).alias("off"), "rep")), "core")
     heads = core.groupBy("h").agg(F.count("*").alias("size"), F.min_by(F.struct("rep", "n", "common"), "rank").alias("head")).where("size > 1")
-    headed = core.join(heads.hint("merge"), "h").select("h", "rep", "n", "common", "rank", "size", F.col("head.rep").alias("p"), F.col("head.n").alias("p_n"), F.col("head.common").alias("p_common"))
+    headed = core.join(heads, "h").select("h", "rep", "n", "common", "rank", "size", F.col("head.rep").alias("p"), F.col("head.n").alias("p_n"), F.col("head.common").alias("p_common"))
     headed = space.save(headed, "headed")
     first = headed.where((F.col("rep") != F.col("p")) & _allowed("n", "common", "p_n", "p_common", percent) & _fits("n", "p_n", percent))
     first = first.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"), "p")
@@ -227,13 +227,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
     # pairs that share a bucket of more than two, and neither a component nor a confirmed comparison
     compared, k, pivots = pairs, 1, first_pivots
-    rest = headed.where("size > 2").select("h", "rep", "n", "common", "rank").join(classes.select("rep", "bands").hint("merge"), "rep")
+    rest = headed.where("size > 2").select("h", "rep", "n", "common", "rank").join(classes.select("rep", "bands"), "rep")
     done = None
     while True:
         k += 1
         now = rest.join(roots.withColumnRenamed("v", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         mixed = now.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", "rank").alias("main")).where("lo <> hi")
-        rest = space.save(now.join(mixed.hint("merge"), "h").select("h", "rep", "n", "common", "rank", "bands", "root", "main"), f"rest-{k}")
+        rest = space.save(now.join(mixed, "h").select("h", "rep", "n", "common", "rank", "bands", "root", "main"), f"rest-{k}")
         outside = rest.where("root <> main")
         if done is not None:
             outside = outside.join(done, ["h", "rep"], "left_anti")
@@ -243,15 +243,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
             break
         allowed = _allowed("n", "common", "p_n", "p_common", percent) & _fits("n", "p_n", percent)
         once = F.array_min(F.array_intersect("bands", "p_bands")) == rest.h  # a pair counts in its least bucket only
-        found = rest.join(chosen.hint("merge"), "h").where((F.col("root") != F.col("p_root")) & allowed & once)
+        found = rest.join(chosen, "h").where((F.col("root") != F.col("p_root")) & allowed & once)
         found = found.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"), "p").groupBy("a", "b").agg(F.min("p").alias("p"))
-        pairs = space.save(found.join(compared.hint("merge"), ["a", "b"], "left_anti"), f"pairs-{k}")
+        pairs = space.save(found.join(compared, ["a", "b"], "left_anti"), f"pairs-{k}")
         compared = compared.union(pairs)
         links = confirm(pairs, f"links-{k}")
         newly = chosen.select("h", F.col("p").alias("rep"))
         done = newly if done is None else done.union(newly)
         rest = rest.select("h", "rep", "n", "common", "rank", "bands")
-        pivots *= 4
+        pivots *= 8
         if links.isEmpty():
             continue
         ends = links
