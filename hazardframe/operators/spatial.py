@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from hazardframe.functions.geo import in_ring
 from hazardframe.operators.validation import class_index
+from hazardframe.sources.tables import written
 
 
-def block_stats(cells: DataFrame, k: int, value: str) -> DataFrame:
-    """(bx, by, n, total, mean, least, most) over k x k blocks of cells (x, y); unknown values are left out of sums and means."""
+def block_stats(cells: DataFrame, k: int, value: str, size: tuple[int, int] | None = None) -> DataFrame:
+    """(bx, by, n, total, mean, least, most) over k x k blocks of cells (x, y).
+
+    Unknown values are left out of sums and means, and make least and most unknown. With the raster's ``size``
+    (columns, rows), ragged blocks at its far edges are left out.
+    """
     by = [F.floor(F.col(c) / k).alias(f"b{c}") for c in ("x", "y")]
-    return cells.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    if size is not None:
+        cells = cells.where((F.col("x") < size[0] // k * k) & (F.col("y") < size[1] // k * k))
+    known = F.count(value) == F.count("*")
+    return cells.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.when(known, F.min(value)).alias("least"), F.when(known, F.max(value)).alias("most"))
 
 
 def class_areas(cells: DataFrame, depth: str, breaks: list[float], cell_area: float) -> DataFrame:
@@ -20,18 +28,24 @@ def class_areas(cells: DataFrame, depth: str, breaks: list[float], cell_area: fl
     return cells.where(F.col(depth) > 0).groupBy(class_index(depth, breaks).alias("class")).agg((F.count("*") * cell_area).alias("area"))
 
 
-def assign_polygon(points: DataFrame, polygons: DataFrame, size: float, id_col: str = "piece") -> DataFrame:
-    """Adds the least polygon id whose ring holds each point, null if none.
+def assign_polygon(points: DataFrame, polygons: DataFrame, size: float, id_col: str = "piece", outside=None) -> DataFrame:
+    """Adds the least polygon id whose ring holds each point (and none of its holes), ``outside`` if none does.
 
-    ``polygons``: piece, ring (closed array of struct lat, lon). Boxes are bucketed on a grid of ``size``
-    degrees, so points meet only polygons whose box touches their bucket.
+    ``polygons``: id, ring (closed array of struct lat, lon) and perhaps holes (array of rings). The even-odd rule
+    gives a shared edge to one side only. Boxes are bucketed on a grid of ``size`` degrees, so points meet only
+    polygons whose box touches their bucket. Every row of points stays.
     """
     lats, lons = F.col("ring.lat"), F.col("ring.lon")
     span = lambda xs: F.sequence(F.floor(F.array_min(xs) / size), F.floor(F.array_max(xs) / size))
-    tiles = polygons.select(id_col, "ring", F.explode(span(lats)).alias("by"), span(lons).alias("bxs")).select(id_col, "ring", "by", F.explode("bxs").alias("bx"))
-    keyed = points.withColumn("by", F.floor(F.col("lat") / size)).withColumn("bx", F.floor(F.col("lon") / size))
-    hit = F.when(in_ring(F.col("lat"), F.col("lon"), F.col("ring")), F.col(id_col))
-    return keyed.join(tiles, ["by", "bx"], "left").groupBy(*points.columns).agg(F.min(hit).alias(id_col))
+    holes = F.col("holes") if "holes" in polygons.columns else F.array().cast("array<array<struct<lat:double,lon:double>>>")
+    tiles = polygons.select(id_col, "ring", holes.alias("holes"), F.explode(span(lats)).alias("by"), span(lons).alias("bxs"))
+    tiles = tiles.select(id_col, "ring", "holes", "by", F.explode("bxs").alias("bx"))
+    rows = written(points.withColumn("_row", F.monotonically_increasing_id()), "points")
+    keyed = rows.select("_row", "lat", "lon", F.floor(F.col("lat") / size).alias("by"), F.floor(F.col("lon") / size).alias("bx"))
+    here = lambda ring: in_ring(F.col("lat"), F.col("lon"), ring)
+    hit = here(F.col("ring")) & ~F.exists(F.coalesce("holes", F.array().cast("array<array<struct<lat:double,lon:double>>>")), here)
+    found = keyed.join(tiles, ["by", "bx"]).where(hit).groupBy("_row").agg(F.min(id_col).alias(id_col))
+    return rows.join(found, "_row", "left").select(*points.columns, F.coalesce(F.col(id_col), F.lit(outside)).alias(id_col))
 
 
 def weighted_mean(value: str, weight: str) -> Column:

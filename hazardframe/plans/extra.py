@@ -13,10 +13,10 @@ from hazardframe.plans.series import _SQL_HOURS, _years
 from hazardframe.sources.tables import table
 
 
-@query("block_stats", "SELECT ((p_partkey % 100) // 7)::BIGINT AS bx, ((p_partkey // 100) // 7)::BIGINT AS by, count(p_retailprice) AS n, round(sum(p_retailprice), 4) AS total, round(avg(p_retailprice), 6) AS mean, min(p_retailprice) AS least, max(p_retailprice) AS most FROM part GROUP BY 1, 2")
+@query("block_stats", "SELECT ((p_partkey % 100) // 7)::BIGINT AS bx, ((p_partkey // 100) // 7)::BIGINT AS by, count(p_retailprice) AS n, round(sum(p_retailprice), 4) AS total, round(avg(p_retailprice), 6) AS mean, CASE WHEN count(p_retailprice) = count(*) THEN min(p_retailprice) END AS least, CASE WHEN count(p_retailprice) = count(*) THEN max(p_retailprice) END AS most FROM (SELECT p_partkey, CASE WHEN p_partkey % 19 <> 0 THEN p_retailprice END AS p_retailprice FROM part WHERE p_partkey % 100 < 98) GROUP BY 1, 2")
 def block_stats(spark, sf):
-    cells = table(spark, sf, "part").select((F.col("p_partkey") % 100).alias("x"), F.floor(F.col("p_partkey") / 100).alias("y"), "p_retailprice")
-    return A.block_stats(cells, 7, "p_retailprice").select("bx", "by", "n", _r("total", 4), _r("mean"), "least", "most")
+    cells = table(spark, sf, "part").select((F.col("p_partkey") % 100).alias("x"), F.floor(F.col("p_partkey") / 100).alias("y"), F.when(F.col("p_partkey") % 19 != 0, F.col("p_retailprice")).alias("p_retailprice"))
+    return A.block_stats(cells, 7, "p_retailprice", (100, 7_000_000)).select("bx", "by", "n", _r("total", 4), _r("mean"), "least", "most")
 
 
 @query("depth_class_areas", "SELECT CASE WHEN l_quantity <= 10 THEN 0 WHEN l_quantity <= 25 THEN 1 ELSE 2 END AS class, (count(*) * 0.01)::DOUBLE AS area FROM lineitem WHERE l_quantity > 0 GROUP BY 1")

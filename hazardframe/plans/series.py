@@ -222,7 +222,14 @@ def radius_semi_join(spark, sf):
     return points.join(near, (points.by == near.by) & (points.bx == near.bx) & close, "left_semi").select("id")
 
 
-@query("components_cutoff")
+_SQL_NETWORK = """n AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 7 = 0 THEN 'hospital' WHEN s_suppkey % 5 = 0 THEN 'substation' ELSE 'home' END AS kind FROM supplier),
+e0 AS (SELECT node AS a, node + 1 + node % 3 AS b FROM n WHERE node + 1 + node % 3 IN (SELECT node FROM n)), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+w AS (SELECT node AS a, node AS r FROM n UNION SELECT w.a, e.b FROM w JOIN e ON e.a = w.r), comp AS (SELECT a AS node, min(r) AS c FROM w GROUP BY 1), f AS (SELECT node % 3 AS ev, node FROM n WHERE node % 4 = 0),
+al AS (SELECT DISTINCT f.ev, c2.node FROM f JOIN comp c1 ON c1.node = f.node JOIN comp c2 ON c2.c = c1.c WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.ev = f.ev AND g.node = c2.node) UNION ALL SELECT -1, node FROM n),
+k AS (SELECT ev, node AS a, node AS r FROM al UNION SELECT k.ev, k.a, al.node FROM k JOIN e ON e.a = k.r JOIN al ON al.ev = k.ev AND al.node = e.b)"""
+
+
+@query("components_cutoff", f"WITH RECURSIVE {_SQL_NETWORK} SELECT nullif(ev, -1) AS event_id, a AS node, NOT (bool_or(kind = 'hospital') AND bool_or(kind = 'substation')) AS cut_off FROM k JOIN n ON n.node = k.r GROUP BY ev, a")
 def components_cutoff(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"), F.when(F.col("s_suppkey") % 7 == 0, "hospital").when(F.col("s_suppkey") % 5 == 0, "substation").otherwise("home").alias("kind"))
     edges = s.select(F.col("node").alias("a"), (F.col("node") + 1 + F.col("node") % 3).alias("b"))
@@ -230,13 +237,13 @@ def components_cutoff(spark, sf):
     return graph.cut_off(s, edges, failed, ["hospital", "substation"])
 
 
-@query("flood_fill")
+@query("flood_fill", "WITH RECURSIVE low AS (SELECT p_partkey % 40 AS x, p_partkey // 40 AS y FROM part WHERE p_retailprice <= 1500), r AS (SELECT x, y FROM low WHERE x = 0 UNION SELECT low.x, low.y FROM r JOIN low ON low.x BETWEEN r.x - 1 AND r.x + 1 AND low.y BETWEEN r.y - 1 AND r.y + 1) SELECT x, y FROM r")
 def flood_fill(spark, sf):
     n = table(spark, sf, "part").select((F.col("p_partkey") % 40).alias("x"), F.floor(F.col("p_partkey") / 40).alias("y"), F.col("p_retailprice").alias("z"))
     return graph.flooded(n.withColumn("source", F.col("x") == 0), 1500.0)
 
 
-@query("drainage_outlets")
+@query("drainage_outlets", "WITH RECURSIVE r AS (SELECT p_partkey AS cell, p_partkey AS pos FROM part UNION ALL SELECT cell, pos // 2 FROM r WHERE pos > 10) SELECT cell, min(pos) AS outlet FROM r GROUP BY 1")
 def drainage_outlets(spark, sf):
     cells = table(spark, sf, "part").select(F.col("p_partkey").alias("cell"), F.when(F.col("p_partkey") > 10, F.floor(F.col("p_partkey") / 2)).alias("down"))
     return graph.outlets(cells)
