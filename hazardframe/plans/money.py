@@ -139,3 +139,17 @@ def irr_projects(spark, sf):
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("asset_id")).agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("n"))
     flows = F.concat(F.array(-F.col("total") * 2), F.array_repeat(F.col("total") / F.col("n"), 40))
     return o.select("asset_id", F.round(N.irr(flows), 6).alias("irr"))
+
+
+@query("dscr_rating", f"WITH d AS (SELECT o_custkey, sum(o_totalprice) / count(*) / (sum(o_totalprice) * 2 * 0.6 * 0.06 / (1 - pow(1.06, -15.0))) AS dscr FROM orders GROUP BY 1), r AS (SELECT *, {_sql_rating('dscr')} AS rating FROM d) SELECT o_custkey, round(dscr, 6) AS dscr, rating, ({_sql_spread('rating')})::INTEGER AS spread_bps FROM r")
+def dscr_rating(spark, sf):
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"), F.count("*").cast("double").alias("n"))
+    p = o.withColumn("dscr", F.try_divide(F.col("total") / F.col("n"), N.annuity(F.col("total") * 2 * 0.6, F.lit(0.06), F.lit(15.0))))
+    return p.withColumn("rating", N.rating(F.col("dscr"))).select("o_custkey", _r("dscr"), "rating", N.spread_bps(F.col("rating")).alias("spread_bps"))
+
+
+@query("npv_projects", "WITH p AS (SELECT o_custkey, sum(o_totalprice) * 2 AS capex, sum(o_totalprice) / count(*) AS e FROM orders GROUP BY 1) SELECT o_custkey, round(-capex + list_sum(list_transform(range(1, 41), lambda t: e / pow(1.04, t))), 4) AS npv FROM p")
+def npv_projects(spark, sf):
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("n"))
+    flows = F.concat(F.array(-F.col("total") * 2), F.array_repeat(F.col("total") / F.col("n"), 40))
+    return o.select("o_custkey", F.round(N.npv(flows, F.lit(0.04)), 4).alias("npv"))
