@@ -191,11 +191,11 @@ def defence_comparison(spark, sf):
     return found.withColumn("unit_eal", F.round("unit_eal", 9))
 
 
-@query("price_ladder", "WITH l AS (SELECT l_suppkey AS cell, (l_linenumber * 10)::DOUBLE AS rp, max(l_quantity) / 10 AS depth FROM lineitem GROUP BY 1, 2), f AS (SELECT *, 1 / rp - coalesce(1 / lead(rp) OVER (PARTITION BY cell ORDER BY rp), 0) AS f FROM l) SELECT cell AS asset_id, round(sum(f * amount * (" + _BY_CLASS(_DEPTHS, _FLOOD).replace("{x}", "depth") + ")), 6) AS eai FROM f JOIN (" + _SQL_ASSETS.split("AS (", 1)[1][:-1] + ") ast ON cell_id = cell GROUP BY 1")
+@query("price_ladder", "WITH l AS (SELECT l_suppkey AS cell, (l_linenumber * 10)::DOUBLE AS rp, max(l_quantity) / 10 AS depth FROM lineitem GROUP BY 1, 2), f AS (SELECT *, 1 / rp - coalesce(1 / lead(rp) OVER (PARTITION BY cell ORDER BY rp), 0) AS f FROM l) SELECT cell AS asset_id, round(sum(f * amount * (" + _BY_CLASS(_DEPTHS, _FLOOD).replace("{x}", "depth") + ")), 9) AS eai FROM f JOIN (" + _SQL_ASSETS.split("AS (", 1)[1][:-1] + ") ast ON cell_id = cell GROUP BY 1")
 def price_ladder(spark, sf):
     layers = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("cell_id"), (F.col("l_linenumber") * 10).cast("double").alias("return_period")).agg((F.max("l_quantity") / 10).alias("intensity"))
     events = H.layered_frequencies(layers, ["cell_id"]).withColumn("event_id", F.col("return_period"))
-    return R.run_peril(peril_assets(spark, sf), events, P.flood_damage).join(layers.select(F.col("cell_id").alias("asset_id")).distinct(), "asset_id").select("asset_id", _r("eai"))
+    return R.run_peril(peril_assets(spark, sf), events, P.flood_damage).join(layers.select(F.col("cell_id").alias("asset_id")).distinct(), "asset_id").select("asset_id", _r("eai", 9))
 
 
 @query("yearset_mean", f"WITH {_SQL_EVENTS} SELECT 2000::BIGINT AS n_years, true AS near, true AS ordered FROM ev LIMIT 1")
