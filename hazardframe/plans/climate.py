@@ -75,10 +75,10 @@ def _split(spark, sf):
     return d.where(F.year("day") == 1995), d.where(F.year("day") == 1996), d.where(F.year("day") == 1998)
 
 
-@query("delta_change", f"WITH {_SQL_DAILY}, mm AS (SELECT cell, month(day) AS m, avg(t) FILTER (WHERE year(day) = 1998) - avg(t) FILTER (WHERE year(day) = 1996) AS delta FROM dd GROUP BY 1, 2) SELECT cell, m::INT AS month, count(*) AS days, round(avg(t + delta), 5) AS shifted FROM dd LEFT JOIN mm USING (cell) WHERE year(day) = 1995 AND m = month(day) GROUP BY 1, 2")
+@query("delta_change", f"WITH {_SQL_DAILY}, mm AS (SELECT cell, month(day) AS m, avg(t) FILTER (WHERE year(day) = 1998) - avg(t) FILTER (WHERE year(day) = 1996) AS delta FROM dd GROUP BY 1, 2) SELECT cell, m::INT AS month, count(*) AS days, round(avg(t + delta) / 3, 8) AS third_shifted FROM dd LEFT JOIN mm USING (cell) WHERE year(day) = 1995 AND m = month(day) GROUP BY 1, 2")
 def delta_change(spark, sf):
     observed, base, future = _split(spark, sf)
-    return S.delta_change(observed, base, future, "cell", "month", "t").groupBy("cell", "month").agg(F.count("*").alias("days"), F.round(F.avg("shifted"), 5).alias("shifted"))
+    return S.delta_change(observed, base, future, "cell", "month", "t").groupBy("cell", "month").agg(F.count("*").alias("days"), F.round(F.avg("shifted") / 3, 8).alias("third_shifted"))
 
 
 @query("climate_bias", f"WITH {_SQL_DAILY}, s AS (SELECT month(day) AS month, cell, stddev_pop(t) FILTER (WHERE year(day) = 1996) AS a, stddev_pop(t) FILTER (WHERE year(day) = 1995) AS b FROM dd GROUP BY 1, 2), v AS (SELECT month, avg(a) / avg(b) AS spread_ratio FROM s GROUP BY 1), m AS (SELECT month(day) AS month, avg(t) FILTER (WHERE year(day) = 1996) - avg(t) FILTER (WHERE year(day) = 1995) AS mean_offset FROM dd GROUP BY 1) SELECT month::INT AS month, round(mean_offset, 6) AS mean_offset, round(spread_ratio, 6) AS spread_ratio FROM m JOIN v USING (month)")
