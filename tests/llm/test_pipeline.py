@@ -35,3 +35,16 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_on_an_empty_table_and_with_more_columns(spark):
+    docs = read_table(spark, SF, "documents").limit(0).selectExpr("*", "1 AS score", "2 AS hits", "3 AS n_lines")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, SF)
+        assert found.columns == docs.columns and found.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_without_labels_a_letter_is_enough(spark):
+    docs = spark.createDataFrame([(1, "abc", None), (2, "12 !", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == [1, 4]
