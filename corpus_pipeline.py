@@ -12,6 +12,13 @@ from hazardframe.llm import decontaminate, langid, linededup, neardedup, packing
 from hazardframe.llm.store import Workspace, crc32_mod, read_table
 
 
+def _keeping(docs: DataFrame, added: tuple[str, ...], operator) -> DataFrame:
+    """The operator's rows with the columns of ``docs`` alone, those named as the operator's own kept as they were."""
+    aside = {c: f"kept__{c}" for c in docs.columns if c in added}
+    found = operator(docs.withColumnsRenamed(aside)).drop(*added)
+    return found.withColumnsRenamed({v: k for k, v in aside.items()}).select(docs.columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language: null texts and those without a letter go, any other stays.
 
@@ -21,8 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train_languages(docs.where(crc32_mod("doc_id", 5) != 0))
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(docs.columns)
-    found = langid.identify_languages(docs, model)
-    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(docs.columns)
+    known = F.col("lang_pred") != langid.UNDETERMINED
+    return _keeping(docs, ("lang_pred", "score"), lambda d: langid.identify_languages(d, model).where(known))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +38,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text stays null and an empty one empty; a document all of whose lines go has an empty text.
     A line that a document repeats counts once for it. No row goes.
     """
-    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    kept = _keeping(docs, ("hits", "n_lines", "n_dropped"), linededup.dedup_lines)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
