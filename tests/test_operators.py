@@ -216,3 +216,15 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     query.stop()
     key = lambda frame: sorted((r.start, r.event_type, r.n, r.total) for r in frame.collect())
     assert key(spark.table("counts")) == key(R.windowed_counts(df, "ts", "event_type"))
+
+
+def test_polygons_with_holes_keep_every_row(spark):
+    from hazardframe.operators import spatial as A
+
+    square = lambda a, b: [(float(x), float(y)) for x, y in ((a, a), (a, b), (b, b), (b, a), (a, a))]
+    polygons = spark.createDataFrame([(1, square(0, 4), [square(1, 2)]), (2, square(0, 3), None)], "piece int, ring array<struct<lat:double,lon:double>>, holes array<array<struct<lat:double,lon:double>>>")
+    points = spark.createDataFrame([(1.5, 1.5), (1.5, 1.5), (3.5, 3.5), (9.0, 9.0)], "lat double, lon double")
+    assert sorted(r.piece for r in A.assign_polygon(points, polygons, 1.0, outside=-1).collect()) == [-1, 1, 2, 2]
+    cells = spark.createDataFrame([(x, y, None if (x, y) == (0, 0) else float(x)) for x in range(5) for y in range(4)], "x int, y int, v double")
+    got = {(r.bx, r.by): (r.n, r.least) for r in A.block_stats(cells, 2, "v", (5, 4)).collect()}
+    assert got == {(0, 0): (3, None), (0, 1): (4, 0.0), (1, 0): (4, 2.0), (1, 1): (4, 2.0)}
