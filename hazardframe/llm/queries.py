@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hazardframe.llm import decontaminate, exactdedup, langid, linededup, neardedup, packing, pii, quality, suffixdedup, tokencount
+from hazardframe.llm import decontaminate, exactdedup, langid, lexical, linededup, neardedup, packing, pii, quality, suffixdedup, tokencount
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffixdedup.op8_suffix_dedup,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_line_dedup": linededup.op10_line_dedup,
+    "op11_lexical_search": lexical.op11_lexical_search,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op5_exact_dedup": exactdedup.OP5_SQL,
     "op7_pii": pii.OP7_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
+    "op11_lexical_search": lexical.OP11_SQL,
 }
