@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hazardframe.llm import decontaminate, exactdedup, langid, lexical, linededup, neardedup, packing, pii, quality, suffixdedup, tokencount
+from hazardframe.llm import decontaminate, exactdedup, hostrules, langid, lexical, linededup, neardedup, packing, pii, quality, suffixdedup, tokencount
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_line_dedup": linededup.op10_line_dedup,
     "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_quality_rules": hostrules.op12_quality_rules,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op7_pii": pii.OP7_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
     "op11_lexical_search": lexical.OP11_SQL,
+    "op12_quality_rules": hostrules.OP12_SQL,
 }
