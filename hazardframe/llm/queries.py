@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hazardframe.llm import decontaminate, exactdedup, hostrules, langid, lexical, linededup, neardedup, packing, pii, quality, suffixdedup, tokencount
+from hazardframe.llm import collocations, decontaminate, exactdedup, hostrules, langid, lexical, linededup, neardedup, packing, pii, quality, suffixdedup, tokencount
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_line_dedup": linededup.op10_line_dedup,
     "op11_lexical_search": lexical.op11_lexical_search,
     "op12_quality_rules": hostrules.op12_quality_rules,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op10_line_dedup": linededup.OP10_SQL,
     "op11_lexical_search": lexical.OP11_SQL,
     "op12_quality_rules": hostrules.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
