@@ -10,6 +10,7 @@ together, once those below them are. Labels of depth 0 index ``heads``, all othe
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,16 @@ def _one_of_each(sizes: np.ndarray, first: np.ndarray, label: np.ndarray, target
     return (np.cumsum(kept) - 1)[one]
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers from 0 on as unsigned ones of the fewest bytes, after a byte that says how many."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+
+def widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+
+
 @dataclass
 class CountAutomaton:
     """``first[d]`` has where each state's arcs begin at depth d (and their end), ``label[d]`` and ``target[d]`` the arcs."""
@@ -127,13 +138,14 @@ class CountAutomaton:
         return out
 
     def pack(self) -> tuple[list, ...]:
-        blobs = [[x.astype(np.uint32).tobytes() for x in part] for part in (self.first, self.label, self.target)]
-        return self.heads, self.words.to_pylist(), *blobs, self.counts.astype(np.int64).tobytes()
+        """Languages, words (which hold no space) and arrays as bytes; of where arcs begin the sizes of states, all in as few bytes as hold them."""
+        parts = [np.diff(x) for x in self.first], self.label, self.target
+        return self.heads, b" ".join(self.words.to_pylist()), *[[narrow(x) for x in part] for part in parts], narrow(self.counts)
 
     @classmethod
-    def unpack(cls, heads: list[str], words: pa.Array, first: list[bytes], label: list[bytes], target: list[bytes], counts: bytes) -> CountAutomaton:
-        blobs = [[np.frombuffer(x, np.uint32).astype(np.int64) for x in part] for part in (first, label, target)]
-        return cls(heads, words, *blobs, np.frombuffer(counts, np.int64))
+    def unpack(cls, heads: list[str], words: bytes, first: list[bytes], label: list[bytes], target: list[bytes], counts: bytes) -> CountAutomaton:
+        begins = [np.append(0, np.cumsum(widened(x))) for x in first]
+        return cls(heads, pa.array(words.split(b" "), pa.binary()), begins, [widened(x) for x in label], [widened(x) for x in target], widened(counts))
 
 
 def union(automata: list[CountAutomaton]) -> CountAutomaton:
@@ -157,7 +169,17 @@ def summed(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Distinct rows, sorted from the first column on, with their counts added."""
     if not len(rows):
         return rows, counts
-    order = np.lexsort(rows.T[::-1])
-    rows, counts = rows[order], counts[order]
-    new = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1)))
-    return rows[new], np.add.reduceat(counts, new)
+    spans = rows.max(axis=0).astype(np.int64) + 1
+    if math.prod(int(x) for x in spans) < 2**62:  # as one number each
+        key = rows[:, 0].astype(np.int64)
+        for column, span in zip(rows.T[1:], spans[1:], strict=True):
+            key = key * span + column
+        order = np.argsort(key)
+        changed = np.diff(key[order]) != 0
+        rows = rows[order]
+    else:
+        order = np.lexsort(rows.T[::-1])
+        rows = rows[order]
+        changed = (rows[1:] != rows[:-1]).any(axis=1)
+    new = np.flatnonzero(np.append(True, changed))
+    return rows[new], np.add.reduceat(counts[order], new)

@@ -30,7 +30,7 @@ from hazardframe.llm.automata import CountAutomaton, summed, union
 from hazardframe.llm.store import Workspace, read_table, shuffle_width
 
 #: Distinct n-grams that a task holds, about, and words of text for each prefix range, at least.
-SHARD_GRAMS, RANGE_WORDS = 1_000_000, 2_000_000
+SHARD_GRAMS, RANGE_WORDS = 2_000_000, 2_000_000
 #: Bits of a filter for each frequent n-gram, and at most.
 BITS_EACH, MOST_BITS = 16, 1 << 28
 SALTS = 64
@@ -41,7 +41,7 @@ _WORD = ~_BREAK
 _WORD[[32, 9]] = False
 _SPELLED = np.ones(256, bool)
 _SPELLED[32] = False
-_AUTOMATON = "heads array<string>, words array<binary>, first array<binary>, label array<binary>, target array<binary>, counts binary"
+_AUTOMATON = "heads array<string>, words binary, first array<binary>, label array<binary>, target array<binary>, counts binary"
 _AUTOMATON_COLUMNS = ["heads", "words", "first", "label", "target", "counts"]
 
 
@@ -106,7 +106,7 @@ class Shard:
         self.words: dict[bytes, int] = {}
         self.rows: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
-        self.size = 0
+        self.size, self.full = 0, False
 
     def add(self, batch: pa.RecordBatch) -> None:
         spans, piece, lang, langs = _tokens(batch)
@@ -138,9 +138,10 @@ class Shard:
         self.rows.append(rows.astype(np.int32))
         self.counts.append(counts.astype(np.int64))
         self.size += len(rows)
-        if self.size >= SHARD_GRAMS:
+        if self.size > SHARD_GRAMS:
             self.rows, self.counts = ([x] for x in summed(np.concatenate(self.rows), np.concatenate(self.counts)))
             self.size = len(self.rows[0])
+            self.full = self.size > SHARD_GRAMS // 2
 
     def automata(self, ranges: int) -> Iterator[tuple[int, CountAutomaton]]:
         """The shard's n-grams, sorted within each prefix range, as automata."""
@@ -165,7 +166,7 @@ class Shard:
 
 
 _ARROW = pa.schema(
-    {"range": pa.int32(), "heads": pa.list_(pa.string()), "words": pa.list_(pa.binary()), "first": pa.list_(pa.binary()), "label": pa.list_(pa.binary()), "target": pa.list_(pa.binary()), "counts": pa.binary()}
+    {"range": pa.int32(), "heads": pa.list_(pa.string()), "words": pa.binary(), "first": pa.list_(pa.binary()), "label": pa.list_(pa.binary()), "target": pa.list_(pa.binary()), "counts": pa.binary()}
 )
 
 
@@ -188,7 +189,7 @@ def _count(n: int, ranges: int, frequent):
 
         for batch in tb.slices(batches):
             shard.add(batch)
-            if shard.size >= SHARD_GRAMS:
+            if shard.full:
                 yield from packed()
         yield from packed()
 
@@ -198,13 +199,12 @@ def _count(n: int, ranges: int, frequent):
 def _unpacked(table: pa.Table | pa.RecordBatch) -> Iterator[CountAutomaton]:
     columns = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (table.column(c) for c in _AUTOMATON_COLUMNS)]
     for i in range(table.num_rows):
-        heads, words, *blobs = (c[i] for c in columns)
-        yield CountAutomaton.unpack(heads.as_py(), words.values, *(b.as_py() for b in blobs))
+        yield CountAutomaton.unpack(*(c[i].as_py() for c in columns))
 
 
 def _unite(min_count: int):
     """The united automaton of a range with the paths of at least ``min_count``, and all counts by language."""
-    schema = pa.schema([*_ARROW, ("langs", pa.list_(pa.string())), ("totals", pa.list_(pa.int64()))])
+    schema = pa.schema([*_ARROW, ("paths", pa.int64()), ("langs", pa.list_(pa.string())), ("totals", pa.list_(pa.int64()))])
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         whole = union(list(_unpacked(table)))
@@ -217,8 +217,8 @@ def _unite(min_count: int):
         if len(rows):
             cells = CountAutomaton.build(whole.heads, whole.words.take(pa.array(used)), rows, whole.counts[kept]).pack()
         else:
-            cells = ([], [], [], [], [], b"")
-        row = dict(zip(schema.names, (key[0].as_py(), *cells, whole.heads, totals.tolist()), strict=True))
+            cells = ([], b"", [], [], [], b"")
+        row = dict(zip(schema.names, (key[0].as_py(), *cells, len(rows), whole.heads, totals.tolist()), strict=True))
         return pa.Table.from_pylist([row], schema)
 
     return run
@@ -242,7 +242,7 @@ def _filter_bits(size: int):
 
 def frequent_filter(level: DataFrame) -> np.ndarray:
     """The bits of a filter of a level's n-grams: at most ``MOST_BITS`` come to the driver, whatever their number."""
-    found = level.agg(F.sum(F.length("counts") / 8)).first()[0] or 0
+    found = level.agg(F.sum("paths")).first()[0] or 0
     size = min(MOST_BITS, max(1 << 10, 1 << math.ceil(math.log2(BITS_EACH * found + 1))))
     rows = level.select(*_AUTOMATON_COLUMNS).mapInArrow(_filter_bits(size), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(size // 64, np.uint64)
@@ -319,9 +319,9 @@ def mine_phrases(docs: DataFrame, min_count: int = 10, max_words: int = 3, insid
     levels, frequent = [], None
     for n in range(1, max_words + 1):
         shards = texts.mapInArrow(_count(n, ranges, frequent), f"range int, {_AUTOMATON}")
-        united = shards.groupBy("range").applyInArrow(_unite(min_count), f"range int, {_AUTOMATON}, langs array<string>, totals array<long>")
+        united = shards.groupBy("range").applyInArrow(_unite(min_count), f"range int, {_AUTOMATON}, paths long, langs array<string>, totals array<long>")
         united = space.save(united, f"level{n}")
-        levels.append(united.where(F.length("counts") > 0).select("range", *_AUTOMATON_COLUMNS))
+        levels.append(united.where("paths > 0").select("range", "paths", *_AUTOMATON_COLUMNS))
         if n == 1:
             totals = united.select(F.explode(F.arrays_zip("langs", "totals")).alias("t")).groupBy(F.col("t.langs").alias("lang")).agg(F.sum("t.totals").alias("n"))
         if n < max_words:
@@ -340,7 +340,7 @@ def mine_phrases(docs: DataFrame, min_count: int = 10, max_words: int = 3, insid
     counted = None
     for n, level in enumerate(levels[:-1], 1):
         own = parts.where(F.col("length") == n).select("lang", "part").mapInArrow(_place_parts(ranges), "range int, lang string, part string")
-        own = own.groupBy("range").cogroup(level.groupBy("range")).applyInArrow(_compose, "lang string, part string, f long")
+        own = own.groupBy("range").cogroup(level.drop("paths").groupBy("range")).applyInArrow(_compose, "lang string, part string, f long")
         counted = own if counted is None else counted.unionByName(own)
     counted = space.save(counted, "counted")
     f_of = lambda part, name: counted.select("lang", F.col("part").alias(part), F.col("f").alias(name))
