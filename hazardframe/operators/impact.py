@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardframe.functions import metrics as M
+from hazardframe.operators import ranks
+from hazardframe.operators.nearest import nearest
 from hazardframe.sources.tables import written
 
 #: Return periods of a portfolio loss curve.
@@ -17,30 +19,10 @@ SLACK = 1e-12
 def nearest_cell(points: DataFrame, cells: DataFrame, cell_degrees: float) -> DataFrame:
     """Adds cell_id: the cell of least squared degree distance, the least cell_id of equal ones.
 
-    Cells are bucketed on a grid of ``cell_degrees`` and points look in the buckets around theirs, an
-    equi-join. What is found counts if no cell outside those buckets can be nearer; the other points look
-    again in buckets twice as wide. Every row of points stays; cell_id is null without coordinates or cells.
+    Every row of points stays; cell_id is null without coordinates (null, NaN, infinite) or cells. Buckets of the search
+    begin at ``cell_degrees``.
     """
-    columns = points.columns
-    rows = written(points.withColumn("_row", F.monotonically_increasing_id()), "nearest")
-    left, size, done = rows.where("lat IS NOT NULL AND lon IS NOT NULL"), cell_degrees, None
-    keyed = cells.select("cell_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon")).where("c_lat IS NOT NULL AND c_lon IS NOT NULL")
-    empty = keyed.isEmpty()
-    around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    distance = F.pow(F.col("lat") - F.col("c_lat"), 2) + F.pow(F.col("lon") - F.col("c_lon"), 2)
-    while not empty and not left.isEmpty():
-        bucket = lambda c, size=size: F.floor(F.col(c) / size)
-        wide = left.select("_row", "lat", "lon", F.explode(around).alias("dy")).withColumn("dx", F.explode(around))
-        wide = wide.withColumn("by", bucket("lat") + F.col("dy")).withColumn("bx", bucket("lon") + F.col("dx"))
-        found = wide.join(keyed.withColumn("by", bucket("c_lat")).withColumn("bx", bucket("c_lon")), ["by", "bx"])
-        best = found.groupBy("_row").agg(F.min(F.struct(distance.alias("d2"), "cell_id")).alias("best"))
-        tried = written(left.select("_row", "lat", "lon").join(best, "_row", "left").withColumn("sure", F.coalesce(F.col("best.d2") <= size * size, F.lit(False))), "nearest")
-        sure = tried.where("sure").select("_row", F.col("best.cell_id").alias("cell_id"))
-        done = sure if done is None else done.union(sure)
-        left, size = tried.where("NOT sure").select("_row", "lat", "lon"), size * 2
-    if done is None:
-        return rows.select(*columns, F.lit(None).cast(cells.schema["cell_id"].dataType).alias("cell_id"))
-    return rows.join(done, "_row", "left").select(*columns, "cell_id")
+    return nearest(points, cells, "cell_id", "degrees", cell_degrees).drop("distance")
 
 
 def price(facilities: DataFrame, unit: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -117,34 +99,54 @@ def grouped_event_losses(losses: DataFrame, groups: list[str]) -> DataFrame:
     return summed.select(scope.alias("scope"), F.coalesce(*groups, F.lit("all")).alias("member"), "event_id", "frequency", "loss")
 
 
-def portfolio_curve(losses: DataFrame, points: DataFrame, keys: list[str], periods: tuple[float, ...] = RETURN_PERIODS) -> DataFrame:
+def with_zero_tail(losses: DataFrame, groups: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, event_id, frequency, loss): positive losses, and the events without one as at most two rows of loss 0.
+
+    A curve over every event of the hazard set needs of those without a loss only the first (by event_id) and the
+    frequency of the rest: between them it stays at 0. ``losses`` is sparse, ``groups`` lists all keys, ``events`` has each
+    event_id and frequency once. No group meets every event.
+    """
+    placed = ranks.positions(events, [], "event_id").select("event_id", (F.col("before") + 1).alias("_rank"))
+    ordered = written(events.join(placed, "event_id").select("event_id", "frequency", "_rank"), "events")
+    total, last = ordered.agg(F.coalesce(F.sum("frequency"), F.lit(0.0)), F.max("event_id")).first()
+    hits = written(losses.where("loss > 0").join(ordered.select("event_id", "_rank"), "event_id").select(*keys, "event_id", "frequency", "loss", "_rank"), "hits")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_rank"))
+    taken = hits.withColumn("_place", place).groupBy(*keys).agg(F.sum("frequency").alias("_hit"), F.count_if(F.col("_rank") == F.col("_place")).alias("_before"))
+    rows = groups.select(*keys).distinct().join(taken, keys, "left").withColumn("_rank", F.coalesce("_before", F.lit(0)) + 1)
+    rows = rows.join(ordered.withColumnRenamed("frequency", "_first"), "_rank")
+    rest = F.lit(total) - F.coalesce("_hit", F.lit(0.0)) - F.col("_first")
+    tail = F.array(F.struct(F.col("event_id"), F.col("_first").alias("frequency")), F.struct(F.lit(last).cast(events.schema["event_id"].dataType).alias("event_id"), rest.alias("frequency")))
+    # what is left of a sum of frequencies after all of them is no event
+    zeros = rows.select(*keys, F.inline(F.filter(tail, lambda x: x["frequency"] > total * SLACK))).withColumn("loss", F.lit(0.0))
+    return hits.drop("_rank").unionByName(zeros)
+
+
+def portfolio_curve(losses: DataFrame, points: DataFrame, keys: list[str], events: DataFrame, periods: tuple[float, ...] = RETURN_PERIODS) -> DataFrame:
     """The loss curve of each group beside the losses its points would have alone.
 
-    ``losses``: keys, facility_id, event_id, frequency, loss; ``points``: keys, facility_id, value, currency
-    (null is USD) of the priced points. One row a group and period: status, currency, points_priced,
-    priced_value, eal, loss, cell_status, sum_of_standalone_losses (null unless every point resolves the
-    period) and diversification_pct. A group of several currencies is MIXED_CURRENCY and has no period;
-    one without a loss row is NO_PRICED_POINTS.
+    ``losses``: keys, facility_id, event_id, frequency, loss, one row where an event hits a point; ``points``: keys,
+    facility_id, value, currency (null is USD) of the priced points, one row each; ``events``: event_id, frequency of the whole
+    hazard set, as curves run over all events. One row a group and period: status, currency, points_priced, priced_value, eal,
+    loss, cell_status, sum_of_standalone_losses (null unless every point resolves the period) and diversification_pct. A group
+    of several currencies is MIXED_CURRENCY and one without a loss row NO_PRICED_POINTS, each with one row without period. At
+    least one key is needed.
     """
-    key = [F.col(k) for k in keys]
     heads = points.groupBy(*keys).agg(
-        F.count_distinct("facility_id").alias("points_priced"), F.sum("value").alias("priced_value"), F.count_distinct(F.coalesce("currency", F.lit("USD"))).alias("units"),
+        F.count("*").alias("points_priced"), F.sum("value").alias("priced_value"), F.count_distinct(F.coalesce("currency", F.lit("USD"))).alias("units"),
         F.max(F.coalesce("currency", F.lit("USD"))).alias("currency"),
     )
-    whole = losses.groupBy(*keys, "event_id").agg(F.max("frequency").alias("frequency"), F.sum("loss").alias("loss"))
-    eal = whole.groupBy(*keys).agg(F.sum(F.col("frequency") * F.col("loss")).alias("eal"))
-    curve = loss_curve(whole, keys, periods).withColumnRenamed("status", "cell_status")
-    alone = loss_curve(losses, [*keys, "facility_id"], periods).groupBy(*keys, "return_period").agg(
-        F.when(F.count("loss") == F.count("*"), F.sum("loss")).alias("sum_of_standalone_losses")
-    )
-    on = keys or None
-    glue = lambda a, b, how: a.join(b, on, how) if on else a.crossJoin(b)  # noqa: E731  one row without keys
-    cells = curve.join(alone, [*keys, "return_period"], "left")
-    rows = glue(glue(heads, eal, "left"), cells.where(F.lit(True)), "left")
-    status = F.when(F.col("units") > 1, "MIXED_CURRENCY").when(F.col("eal").isNull(), "NO_PRICED_POINTS").otherwise("OK")
-    rows = rows.withColumn("status", status)
-    one = F.col("status") == "OK"
+    heads = heads.join(losses.select(*keys, F.lit(True).alias("_seen")).distinct(), keys, "left")
+    status = F.when(F.col("units") > 1, "MIXED_CURRENCY").when(F.col("_seen").isNull(), "NO_PRICED_POINTS").otherwise("OK")
+    heads = written(heads.withColumn("status", status).withColumn("currency", F.when(status == "OK", F.col("currency"))), "groups")
+    one = heads.where("status = 'OK'").select(*keys)
+    kept = written(losses.join(one, keys, "left_semi"), "losses")
+    whole = kept.groupBy(*keys, "event_id").agg(F.max("frequency").alias("frequency"), F.sum("loss").alias("loss"))
+    eal = one.join(whole.groupBy(*keys).agg(F.sum(F.col("frequency") * F.col("loss")).alias("_eal")), keys, "left").select(*keys, F.coalesce("_eal", F.lit(0.0)).alias("eal"))
+    curve = loss_curve(with_zero_tail(whole, one, events, keys), keys, periods).withColumnRenamed("status", "cell_status")
+    own = [*keys, "facility_id"]
+    alone = with_zero_tail(kept, points.join(one, keys, "left_semi"), events, own)
+    alone = loss_curve(alone, own, periods).groupBy(*keys, "return_period").agg(F.when(F.count("loss") == F.count("*"), F.sum("loss")).alias("sum_of_standalone_losses"))
+    cells = curve.join(alone, [*keys, "return_period"], "left").join(eal, keys)
     pct = F.when(F.col("sum_of_standalone_losses") > 0, (1 - F.col("loss") / F.col("sum_of_standalone_losses")) * 100)
-    money = {c: F.when(one, F.col(c)) for c in ("currency", "eal", "return_period", "loss", "cell_status", "sum_of_standalone_losses")}
-    rows = rows.withColumn("diversification_pct", F.when(one, pct)).withColumns(money)
-    return rows.select(*key, "status", "currency", "points_priced", "priced_value", "eal", "return_period", "loss", "cell_status", "sum_of_standalone_losses", "diversification_pct").distinct()
+    rows = heads.join(cells, keys, "left").withColumn("diversification_pct", pct)
+    return rows.select(*keys, "status", "currency", "points_priced", "priced_value", "eal", "return_period", "loss", "cell_status", "sum_of_standalone_losses", "diversification_pct")

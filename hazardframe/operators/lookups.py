@@ -7,31 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardframe.functions.geo import haversine_km
-
-#: Stations that a point is compared with at most: a published registry, sent as one row.
-MOST_STATIONS = 10_000
+from hazardframe.operators import ranks
+from hazardframe.operators.nearest import nearest
+from hazardframe.sources.tables import written
 
 
 def nearest_station(points: DataFrame, stations: DataFrame, metric: str = "great_circle") -> DataFrame:
-    """Adds station and distance: the nearest by great circle (km) or by degrees with scaled longitude; first name on ties.
+    """Adds station and distance: the nearest by great circle (km) or by squared degrees with scaled longitude; first name on ties.
 
-    ``stations``: station, lat, lon; those without coordinates are left out. More than ``MOST_STATIONS`` raise: such
-    tables go through ``impact.nearest_cell``. Without stations both columns are null.
+    ``stations``: station, lat, lon, as many as there are; those without coordinates are left out. Points without any, or
+    without stations, get nulls.
     """
-    placed = stations.where("lat IS NOT NULL AND lon IS NOT NULL")
-    if placed.count() > MOST_STATIONS:
-        raise ValueError("too many stations to compare with each point")
-    held = placed.agg(F.collect_list(F.struct("station", F.col("lat").alias("a"), F.col("lon").alias("o"))).alias("held"))
-
-    def distance(s: Column) -> Column:
-        if metric == "great_circle":
-            return haversine_km(F.col("lat"), F.col("lon"), s["a"], s["o"])
-        return F.pow(s["a"] - F.col("lat"), 2) + F.pow((s["o"] - F.col("lon")) * F.cos(F.radians("lat")), 2)
-
-    best = F.array_min(F.transform("held", lambda s: F.struct(distance(s).alias("d"), s["station"].alias("station"))))
-    rows = points.crossJoin(F.broadcast(held)).withColumn("best", best)  # one row, bounded above
-    return rows.select(*points.columns, F.col("best.station").alias("station"), F.col("best.d").alias("distance"))
+    return nearest(points, stations, "station", "great_circle" if metric == "great_circle" else "scaled")
 
 
 def crop(cells: DataFrame, assets: DataFrame, pad: float = 2.0) -> DataFrame:
@@ -68,10 +55,11 @@ def union_layers(layers: DataFrame) -> DataFrame:
 
 
 def grid_spacing(cells: DataFrame, column: str) -> DataFrame:
-    """One row: the median step between distinct values of a coordinate."""
-    values = cells.select(column).distinct()  # rows or columns of a grid
-    step = F.col(column) - F.lag(column).over(Window.orderBy(column))
-    return values.select(step.alias("step")).where("step IS NOT NULL").agg(F.percentile("step", F.lit(0.5)).alias("spacing"))
+    """One row: the median step between neighbouring distinct values of a coordinate; null for fewer than two."""
+    at = written(ranks.positions(cells.select(column).distinct(), [], column).select(column, "before"), "axis")
+    after = at.select(F.col(column).alias("_next"), (F.col("before") - 1).alias("before"))
+    steps = at.join(after, "before").select((F.col("_next") - F.col(column)).alias("step"))
+    return ranks.quantiles(steps, [], "step", [0.5], ["spacing"])
 
 
 def envelope(classes: DataFrame, keys: Sequence[str], periods: Sequence[float], value: str) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardframe.functions import perils as P
 from hazardframe.functions.curves import emanuel
+from hazardframe.operators import ranks
+from hazardframe.operators.simulate import uniform
+from hazardframe.sources.tables import written
 
 
 def resolve_assets(assets: DataFrame, sectors: DataFrame) -> DataFrame:
@@ -45,7 +48,7 @@ def resolve_flood_curve(assets: DataFrame, presets: DataFrame) -> DataFrame:
 def curve_set(curves: DataFrame, column: str = "curve") -> DataFrame:
     """(impf_id, curve): the distinct curves, rounded to 4 places, numbered from 1 in order; as many as there are classes or so."""
     rounded = curves.select(F.transform(column, lambda x: F.round(x, 4)).alias("curve")).distinct()
-    return rounded.select(F.row_number().over(Window.orderBy("curve")).alias("impf_id"), "curve")
+    return ranks.positions(rounded, [], "curve").select((F.col("before") + 1).cast("int").alias("impf_id"), "curve")
 
 
 def run_peril(assets: DataFrame, events: DataFrame, damage: Callable[[Column, Column], Column], kind: str = "monetary") -> DataFrame:
@@ -79,8 +82,9 @@ def warning_bands(assets: DataFrame, levels: int = 5) -> DataFrame:
     Equal thresholds are one band; an asset of intensity zero is in none.
     """
     cuts = [0.8 * k / (levels - 1) for k in range(levels)]
-    found = assets.where("intensity > 0").agg(F.percentile("intensity", F.array(*[F.lit(c) for c in cuts])).alias("cuts"))
-    ordered = found.select(F.array_sort(F.array_distinct("cuts")).alias("cuts")).where(F.size("cuts") > 0)
+    names = [f"q{k}" for k in range(levels)]
+    found = ranks.quantiles(assets.where("intensity > 0"), [], "intensity", cuts, names)
+    ordered = written(found.where("q0 IS NOT NULL").select(F.array_sort(F.array_distinct(F.array(*names))).alias("cuts")), "cuts")
     banded = assets.where("intensity > 0").crossJoin(F.broadcast(ordered)).select(F.size(F.filter("cuts", lambda c: c <= F.col("intensity"))).alias("level"))  # one row
     counts = banded.groupBy("level").agg(F.count("*").alias("assets"))
     bands = ordered.select(F.posexplode("cuts").alias("p", "threshold")).select((F.col("p") + 1).alias("level"), "threshold")
@@ -157,10 +161,11 @@ def climate_and_ageing(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def season_severity(seasons: DataFrame, periods: Sequence[float]) -> DataFrame:
     """(return_period, severity): the loss of the season that is exceeded once in so many, for periods the record supports."""
-    n = F.count("*").over(Window.partitionBy())
-    ranked = seasons.select("loss", F.row_number().over(Window.orderBy(F.desc("loss"))).alias("k"), n.alias("n"))  # one row a season
-    each = F.explode(F.array(*[F.lit(float(t)) for t in periods])).alias("return_period")
-    return ranked.select("*", each).where((F.col("return_period") <= F.col("n")) & (F.col("k") >= F.col("n") / F.col("return_period"))).groupBy("return_period").agg(F.max("loss").alias("severity"))
+    placed = written(ranks.positions(seasons.select("loss"), [], "loss"), "seasons")
+    n = placed.agg(F.sum("n")).first()[0] or 0
+    each = F.explode(F.array(*[F.lit(float(t)) for t in periods if t <= n] or [F.lit(None).cast("double")])).alias("return_period")
+    # the last of equal losses, from the largest down, stands at n - before
+    return placed.select("*", each).where(F.lit(n) - F.col("before") >= n / F.col("return_period")).groupBy("return_period").agg(F.max("loss").alias("severity"))
 
 
 def productivity_loss(days: DataFrame, keys: Sequence[str], threshold: float, per_degree: float, most: float) -> DataFrame:
@@ -186,7 +191,7 @@ def saltelli(ranges: Mapping[str, tuple[float, float]], samples: DataFrame) -> D
 
     ``samples``: sample ids; coordinates come from hashes of the id, so no sample depends on its partition.
     """
-    unit = lambda name, m: F.shiftrightunsigned(F.xxhash64("sample", F.lit(name), F.lit(m)), 11) / float(1 << 53)
+    unit = lambda name, m: uniform(0, "sample", F.lit(name), F.lit(m))
     scaled = lambda name, m: ranges[name][0] + (ranges[name][1] - ranges[name][0]) * unit(name, m)
     matrices = ["A", "B", *ranges]
     rows = F.array(*[F.struct(F.lit(m).alias("matrix"), *[scaled(n, "B" if m in ("B", n) else "A").alias(n) for n in ranges]) for m in matrices])

@@ -41,7 +41,8 @@ def assign_polygon(points: DataFrame, polygons: DataFrame, size: float, id_col:
     tiles = polygons.select(id_col, "ring", holes.alias("holes"), F.explode(span(lats)).alias("by"), span(lons).alias("bxs"))
     tiles = tiles.select(id_col, "ring", "holes", "by", F.explode("bxs").alias("bx"))
     rows = written(points.withColumn("_row", F.monotonically_increasing_id()), "points")
-    keyed = rows.select("_row", "lat", "lon", F.floor(F.col("lat") / size).alias("by"), F.floor(F.col("lon") / size).alias("bx"))
+    placed = rows.where("NOT isnan(CAST(lat AS DOUBLE)) AND NOT isnan(CAST(lon AS DOUBLE))")  # NaN is no place
+    keyed = placed.select("_row", "lat", "lon", F.floor(F.col("lat") / size).alias("by"), F.floor(F.col("lon") / size).alias("bx"))
     here = lambda ring: in_ring(F.col("lat"), F.col("lon"), ring)
     hit = here(F.col("ring")) & ~F.exists(F.coalesce("holes", F.array().cast("array<array<struct<lat:double,lon:double>>>")), here)
     found = keyed.join(tiles, ["by", "bx"]).where(hit).groupBy("_row").agg(F.min(id_col).alias(id_col))
@@ -57,14 +58,10 @@ def rate_per_100k(deaths: Column, people: Column) -> Column:
     return F.when(people > 0, deaths * 100_000 / people)
 
 
-def majority(value: str, order: str) -> Column:
-    """Aggregate: the most common known value, of equally common ones the first by ``order``."""
-    pairs = F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    distinct = F.array_distinct(F.transform(pairs, lambda p: p["v"]))
-    scored = F.transform(
-        distinct,
-        lambda v: F.struct(
-            (-F.size(F.filter(pairs, lambda p: p["v"] == v))).alias("n"), F.array_min(F.transform(F.filter(pairs, lambda p: p["v"] == v), lambda p: p["o"])).alias("o"), v.alias("v")
-        ),
-    )
-    return F.try_element_at(F.array_sort(scored), F.lit(1))["v"]
+def majority(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """(keys, value): the most common known value of each group, of equally common ones the first by ``order``.
+
+    Counted by value before it is chosen among the values, so a large group is no row of its own.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    return counts.groupBy(*keys).agg(F.min_by(value, F.struct((-F.col("_n")).alias("n"), "_first")).alias(value))

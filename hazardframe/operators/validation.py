@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def average_rank(column: str, keys: list[str]):
-    """Rank with equal values sharing their mean rank."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(column)) + (F.count("*").over(Window.partitionBy(*keys, column)) - 1) / 2
+from hazardframe.operators import ranks
+from hazardframe.sources.tables import written
 
 
 def spearman(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """(keys, n, rho); rho is null for fewer than 3 pairs or a constant side."""
-    known = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = known.withColumn("_a", average_rank(a, keys)).withColumn("_b", average_rank(b, keys))
+    """(keys, n, rho), equal values sharing their mean rank; rho is null for fewer than 3 pairs or a constant side."""
+    known = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y"))
+    known = written(known.where(~F.isnan("_x") & ~F.isnan("_y")), "pairs")
+    ranked = ranks.average_ranks(ranks.average_ranks(known, keys, "_x", "_a"), keys, "_y", "_b")
     rho = F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b"))
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, rho).alias("rho"))
 
@@ -65,8 +63,9 @@ def binned_stats(df: DataFrame, x: str, y: str, edges: list[float]) -> DataFrame
     for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
         inside = (F.col(x) >= lo) & ((F.col(x) <= hi) if k == len(edges) - 2 else (F.col(x) < hi))
         index = F.when(inside, k) if index is None else index.when(inside, k)
-    q = lambda p, name: F.percentile(y, F.lit(p)).alias(name)
-    return df.withColumn("bin", index).where("bin IS NOT NULL").groupBy("bin").agg(F.count(y).alias("n"), q(0.5, "median"), q(0.25, "p25"), q(0.75, "p75"))
+    binned = written(df.withColumn("bin", index).where("bin IS NOT NULL").select("bin", y), "bins")
+    found = ranks.quantiles(binned, ["bin"], y, [0.5, 0.25, 0.75], ["median", "p25", "p75"])
+    return binned.groupBy("bin").agg(F.count(y).alias("n")).join(found, "bin", "left")
 
 
 def compare_events(model: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:

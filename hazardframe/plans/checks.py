@@ -151,22 +151,33 @@ def ground_excess_fit(spark, sf):
     return Q.line_fit(rows, ["station"], "ghi", "excess", 20).select("station", "n", _r("slope", 9), _r("intercept", 9))
 
 
-def _tiers(spark):
-    return spark.sql("SELECT * FROM VALUES ('flood', 1, array('dem')), ('flood', 2, array('dem', 'rp_maps')), ('flood', 3, array('dem', 'gauge', 'rp_maps')), ('wind', 1, array('tracks')) AS t(peril, tier, inputs)")
+_SQL_TIERS = (
+    "t AS (SELECT r_name AS peril, n_nationkey % 3 + 1 AS tier, list_sort(list(n_name)) AS inputs FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2), "
+    "i AS (SELECT DISTINCT n_name AS input FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 3000), "
+    "m AS (SELECT peril, tier, list_filter(inputs, lambda x: NOT list_contains(known, x)) AS missing FROM t, (SELECT list(input) AS known FROM i))"
+)
+
+
+def _tiers(spark, sf):
+    """The nations of a region as the inputs of its tiers."""
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.groupBy(F.col("r_name").alias("peril"), (F.col("n_nationkey") % 3 + 1).alias("tier")).agg(F.sort_array(F.collect_list("n_name")).alias("inputs"))
 
 
 def _inputs(spark, sf):
-    return table(spark, sf, "region").select(F.element_at(F.array(F.lit("dem"), F.lit("rp_maps"), F.lit("other")), (F.col("r_regionkey") % 3 + 1).cast("int")).alias("input"))
+    s = table(spark, sf, "supplier").where("s_acctbal > 3000")
+    return s.join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("input")).distinct()
 
 
-@query("missing_inputs", "SELECT * FROM (VALUES ('flood', 1, ''), ('flood', 2, ''), ('flood', 3, 'gauge'), ('wind', 1, 'tracks')) AS t(peril, tier, missing)")
+@query("missing_inputs", f"WITH {_SQL_TIERS} SELECT peril, tier, array_to_string(missing, ',') AS missing FROM m")
 def missing_inputs(spark, sf):
-    return Q.missing_inputs(_tiers(spark), _inputs(spark, sf)).withColumn("missing", F.array_join("missing", ","))
+    found = Q.missing_inputs(_tiers(spark, sf), _inputs(spark, sf))
+    return found.withColumn("missing", F.array_join(F.sort_array("missing"), ","))
 
 
-@query("tier_resolution", "SELECT * FROM (VALUES ('flood', 2, true), ('wind', NULL, true)) AS t(peril, tier, fell_back)")
+@query("tier_resolution", f"WITH {_SQL_TIERS} SELECT peril, max(tier) FILTER (WHERE len(missing) = 0) AS tier, coalesce(max(tier) FILTER (WHERE len(missing) = 0), -1) < max(tier) AS fell_back FROM m GROUP BY 1")
 def tier_resolution(spark, sf):
-    return Q.resolve_tier(_tiers(spark), _inputs(spark, sf))
+    return Q.resolve_tier(_tiers(spark, sf), _inputs(spark, sf))
 
 
 def _sql_rho(a: str, b: str) -> str:
@@ -177,12 +188,11 @@ def _sql_rank(x: str, p: str) -> str:
     return f"rank() OVER (PARTITION BY {p} ORDER BY {x}) + (count(*) OVER (PARTITION BY {p}, {x}) - 1) / 2.0 AS r_{x}"
 
 
-_SQL_NATIONAL = f"{_SQL_DAILY}, nd AS (SELECT cell % 5 AS region, day, count(*) AS c, max(t) AS u, avg(t) AS t FROM dd WHERE year(day) = 1995 GROUP BY 1, 2)"
+_SQL_NATIONAL = f"{_SQL_DAILY}, nd AS (SELECT cell % 5 AS region, day, count(*) AS c, max(t) AS u, avg(t) AS t FROM dd GROUP BY 1, 2)"
 
 
 def _cases(spark, sf):
-    d = daily(spark, sf).where(F.year("day") == 1995)
-    return d.groupBy((F.col("cell") % 5).alias("region"), "day").agg(F.count("*").alias("c"), F.max("t").alias("u"), F.avg("t").alias("t"))
+    return daily(spark, sf).groupBy((F.col("cell") % 5).alias("region"), "day").agg(F.count("*").alias("c"), F.max("t").alias("u"), F.avg("t").alias("t"))
 
 
 @query("v1_national_daily", f"WITH {_SQL_NATIONAL}, n AS (SELECT day, sum(c) AS c, avg(u) AS u, avg(t) AS t FROM nd GROUP BY 1), r AS (SELECT {_sql_rank('c', '1')}, {_sql_rank('u', '1')}, {_sql_rank('t', '1')} FROM n) SELECT count(*) AS n, round({_sql_rho('c', 'u')}, 6) AS rho_u, round({_sql_rho('c', 't')}, 6) AS rho_t FROM r")
@@ -222,13 +232,23 @@ def v4_yearly(spark, sf):
     return Q.rank_checks(n.join(k, "y"), [], "c", ["u"]).select("n", _r("rho_u"))
 
 
-@query("preregistered_decision", "WITH n AS (SELECT r_regionkey AS k, 0.5 AS a, 0.5 + r_regionkey % 2 * 0.1 AS b, CASE WHEN r_regionkey < 4 THEN 0.4 END AS c, 0.41 AS d, 0.3 AS e, 0.4 AS f, 0.2 AS g FROM region) SELECT k, a >= 0.5 AND a >= b - 0.02 AS v1, coalesce(c >= d - 0.02, false) AS v2, e >= f - 0.1 AS v3, a >= 0.5 AND a >= b - 0.02 AND coalesce(c >= d - 0.02, false) AND e >= f - 0.1 AS switch FROM n")
+#: Correlations over the shipments of each region that stand for the measures of the decision.
+_MEASURES = {
+    "v1_u": ("l_quantity", "l_extendedprice"), "v1_t": ("l_quantity", "o_totalprice"), "v2_u": ("l_extendedprice", "o_totalprice"), "v2_t": ("l_linenumber", "o_totalprice"),
+    "v3_u": ("l_tax", "l_discount"), "v3_t95": ("l_tax", "l_linenumber"), "v3_h": ("l_discount", "l_linenumber"),
+}
+
+
+@query(
+    "preregistered_decision",
+    "WITH n AS (SELECT r_regionkey AS k, " + ", ".join(f"corr({a}, {b}) AS {name}" for name, (a, b) in _MEASURES.items()) + " FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1), "
+    "d AS (SELECT k, v1_u >= 0.5 AND v1_u >= v1_t - 0.02 AS v1, v2_u >= v2_t - 0.02 AS v2, v3_u >= greatest(v3_t95, v3_h) - 0.005 AS v3 FROM n) SELECT k, v1, v2, v3, v1 AND v2 AND v3 AS switch FROM d",
+)
 def preregistered_decision(spark, sf):
-    k = F.col("r_regionkey")
-    numbers = table(spark, sf, "region").select(
-        k.alias("k"), F.lit(0.5).alias("v1_u"), (0.5 + k % 2 * 0.1).alias("v1_t"), F.when(k < 4, 0.4).alias("v2_u"), F.lit(0.41).alias("v2_t"), F.lit(0.3).alias("v3_u"), F.lit(0.4).alias("v3_t95"), F.lit(0.2).alias("v3_h")
-    )
-    return Q.decide(numbers, {"v1_min_rho": 0.5, "v1_margin": 0.02, "v2_margin": 0.02, "v3_margin": 0.1}).select("k", "v1", "v2", "v3", "switch")
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    of = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("k"))
+    numbers = lines.join(of, F.col("s_suppkey") == F.col("l_suppkey")).groupBy("k").agg(*[F.corr(a, b).alias(name) for name, (a, b) in _MEASURES.items()])
+    return Q.decide(numbers, {"v1_min_rho": 0.5, "v1_margin": 0.02, "v2_margin": 0.02, "v3_margin": 0.005}).select("k", "v1", "v2", "v3", "switch")
 
 
 @query("observed_against_series", "WITH o AS (SELECT user_id, ts, value FROM events WHERE event_id % 7 = 0), s AS (SELECT user_id, ts, value FROM events WHERE event_id % 7 <> 0), j AS (SELECT o.user_id, o.ts, o.value, max(s.ts) AS st FROM o LEFT JOIN s ON s.user_id = o.user_id AND s.ts <= o.ts GROUP BY ALL) SELECT count(*) AS n, count(st) AS matched FROM j")

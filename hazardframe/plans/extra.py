@@ -41,9 +41,8 @@ def weighted_mean(spark, sf):
 
 @query("majority_segment", "WITH n AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY 1, 2) SELECT c_nationkey, c_mktsegment AS segment FROM n QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, first) = 1")
 def majority_segment(spark, sf):
-    counts = table(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
-    best = F.min_by("c_mktsegment", F.struct((-F.col("n")).alias("n"), "first"))
-    return counts.groupBy("c_nationkey").agg(best.alias("segment"))
+    found = A.majority(table(spark, sf, "customer"), ["c_nationkey"], "c_mktsegment", "c_custkey")
+    return found.withColumnRenamed("c_mktsegment", "segment")
 
 
 @query("running_median_spikes", f"WITH {_SQL_HOURS} SELECT event_type, epoch(ts)::BIGINT AS at, round(value - quantile_cont(value, 0.5) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS excess FROM h")

@@ -198,21 +198,56 @@ def price_ladder(spark, sf):
     return R.run_peril(peril_assets(spark, sf), events, P.flood_damage).join(layers.select(F.col("cell_id").alias("asset_id")).distinct(), "asset_id").select("asset_id", _r("eai", 9))
 
 
-@query("yearset_mean", f"WITH {_SQL_EVENTS} SELECT 2000::BIGINT AS n_years, true AS near, true AS ordered FROM ev LIMIT 1")
+def _sql_uniform(*keys: str) -> str:
+    return f"(('0x' || left(md5({" || '|' || ".join(keys)}), 13))::BIGINT + 0.5) / {simulate.SCALE}"
+
+
+_SQL_YEARS = (
+    f"{_SQL_EVENTS}, pois AS (SELECT f, k, sum(exp(-f + k * ln(f) - lgamma(k + 1))) OVER (PARTITION BY f ORDER BY k) AS cdf FROM (SELECT DISTINCT f FROM ev), (SELECT unnest(range(0, 30)) AS k)), "
+    f"draw AS (SELECT event_id, y, f, loss, {_sql_uniform("'1789'", 'event_id', 'y')} AS u FROM ev, (SELECT unnest(range(1, 101)) AS y)), "
+    "hits AS (SELECT y, loss * (SELECT count(*) FROM pois WHERE pois.f = draw.f AND u > cdf) AS loss FROM draw WHERE u > exp(-f)), "
+    "yr AS (SELECT y::INT AS year, coalesce(sum(loss), 0) AS loss FROM (SELECT unnest(range(1, 101)) AS y) LEFT JOIN hits USING (y) GROUP BY 1)"
+)
+
+
+@query("yearsets", f"WITH {_SQL_YEARS} SELECT year, round(loss, 2) AS loss FROM yr")
+def yearsets(spark, sf):
+    """A hundred sampled years of all orders as events."""
+    return simulate.yearsets(_loss_events(spark, sf), 100).withColumn("loss", F.round("loss", 2))
+
+
+@query("yearset_mean", f"WITH {_SQL_YEARS} SELECT count(*) AS n_years, round(avg(loss), 2) AS mean, {', '.join(f'round(quantile_cont(loss, {q / 100}), 2) AS p{q}' for q in (50, 90, 95, 99))}, round(max(loss), 2) AS max FROM yr")
 def yearset_mean(spark, sf):
-    """Sampled years: their mean lies within 10 % of the expected yearly loss, and percentiles are in order."""
-    events = _loss_events(spark, sf).where("event_id % 50 = 0")
-    total = events.agg(F.sum(F.col("frequency") * F.col("loss")).alias("aai"))
-    s = simulate.yearset_summary(simulate.yearsets(events, 2000)).crossJoin(total)
-    return s.select("n_years", (F.abs(F.col("mean") / F.col("aai") - 1) < 0.1).alias("near"), ((F.col("p50") <= F.col("p90")) & (F.col("p90") <= F.col("p99")) & (F.col("p99") <= F.col("max"))).alias("ordered"))
+    found = simulate.yearset_summary(simulate.yearsets(_loss_events(spark, sf), 100))
+    return found.select("n_years", *[_r(c, 2) for c in ("mean", "p50", "p90", "p95", "p99", "max")])
+
 
+#: Ranges of the factors of a loss model: the value's scale, the wind's scale, the speed of half damage.
+_FACTORS = {"value": (0.8, 1.2), "wind": (1.2, 1.6), "half": (60.0, 120.0)}
 
-@query("sobol_design", "SELECT * FROM (VALUES ('a', true, true), ('b', true, true), ('c', true, true)) AS t(input, near_first, near_total)")
+
+def _sql_factor(name: str, column: str) -> str:
+    lo, hi = _FACTORS[name]
+    draw = lambda m: _sql_uniform("'0'", "sample", f"'{name}'", f"'{m}'")
+    return f"{lo} + {hi - lo} * CASE WHEN m IN ('B', '{name}') THEN {draw('B')} ELSE {draw('A')} END AS {column}"
+
+
+@query(
+    "sobol_design",
+    f"WITH s AS (SELECT p_partkey AS sample FROM part), d AS (SELECT sample, m, {', '.join(_sql_factor(n, f'x_{n}') for n in _FACTORS)} FROM s, (SELECT unnest(['A', 'B', 'value', 'wind', 'half']) AS m)), "
+    "e AS (SELECT l_quantity AS q, sum(l_extendedprice) / 1e6 AS weight FROM lineitem GROUP BY 1), v AS (SELECT sample, m, x_value, weight, pow(greatest(q * x_wind - 25.7, 0) / (x_half - 25.7), 3) AS c FROM d, e), "
+    "y AS (SELECT sample, m, sum(x_value * weight * c / (1 + c)) AS y FROM v GROUP BY 1, 2), w AS (SELECT sample, max(y) FILTER (WHERE m = 'A') AS a, max(y) FILTER (WHERE m = 'B') AS b, max(y) FILTER (WHERE m = 'value') AS f1, max(y) FILTER (WHERE m = 'wind') AS f2, max(y) FILTER (WHERE m = 'half') AS f3 FROM y GROUP BY 1), "
+    "n AS (SELECT var_pop(a) AS v, " + ", ".join(f"avg(b * (f{k} - a)) AS s{k}, avg(pow(a - f{k}, 2) / 2) AS t{k}" for k in (1, 2, 3)) + " FROM w) " + " UNION ALL ".join(f"SELECT '{n}' AS input, round(s{k} / v, 6) AS first, round(t{k} / v, 6) AS total FROM n" for k, n in enumerate(_FACTORS, 1)),
+)
 def sobol_design(spark, sf):
-    """Indices of a + 2 b + 0 c on [0, 1]: first order 0.2, 0.8 and 0, and so the total ones, to 0.05."""
-    design = R.saltelli({"a": (0.0, 1.0), "b": (0.0, 1.0), "c": (0.0, 1.0)}, spark.range(20000).select(F.col("id").alias("sample")))
-    y = design.withColumn("y", F.col("a") + 2 * F.col("b"))
-    wide = y.groupBy("sample").agg(*[F.max(F.when(F.col("matrix") == m, F.col("y"))).alias(n) for m, n in (("A", "a"), ("B", "b"), ("a", "ab_a"), ("b", "ab_b"), ("c", "ab_c"))])
-    found = simulate.sobol_indices(wide, ["a", "b", "c"])
-    want = F.when(F.col("input") == "a", 0.2).when(F.col("input") == "b", 0.8).otherwise(0.0)
-    return found.select("input", (F.abs(F.col("first") - want) < 0.05).alias("near_first"), (F.abs(F.col("total") - want) < 0.05).alias("near_total"))
+    """Sensitivity of the loss of all shipments to three factors; each part is the id of a sample of the design."""
+    from hazardframe.functions.curves import emanuel
+
+    design = R.saltelli(_FACTORS, table(spark, sf, "part").select(F.col("p_partkey").alias("sample")))
+    exposed = table(spark, sf, "lineitem").groupBy(F.col("l_quantity").alias("q")).agg((F.sum("l_extendedprice") / 1e6).alias("weight"))
+    held = exposed.agg(F.collect_list(F.struct("q", "weight")).alias("exposed"))  # quantities are whole numbers up to 50
+    share = lambda e: e["weight"] * emanuel(e["q"] * F.col("wind"), F.col("half"))
+    y = design.crossJoin(F.broadcast(held)).select("sample", "matrix", (F.col("value") * F.aggregate("exposed", F.lit(0.0), lambda s, e: s + share(e))).alias("y"))
+    names = {"A": "a", "B": "b"} | {n: f"ab_{n}" for n in _FACTORS}
+    wide = y.groupBy("sample").agg(*[F.max(F.when(F.col("matrix") == m, F.col("y"))).alias(n) for m, n in names.items()])
+    return simulate.sobol_indices(wide, list(_FACTORS)).select("input", _r("first"), _r("total"))

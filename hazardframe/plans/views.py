@@ -180,11 +180,10 @@ _SQL_LONE = """{a} AS (SELECT {k} loss, 1 / sum(f) OVER (PARTITION BY {p} ORDER
 def diversification(spark, sf):
     f = facilities(spark, sf).where("value > 0 AND region IS NOT NULL")
     events = H.grid_to_events(grid(spark, sf))
-    years = events.select("event_id", "frequency").distinct()  # a few years
-    every = f.select("region", "facility_id", "cell_id", "value").crossJoin(F.broadcast(years)).join(events.select("event_id", "cell_id", "intensity"), ["event_id", "cell_id"], "left")
-    losses = every.select("region", "facility_id", "event_id", "frequency", F.coalesce(F.col("value") * damage(), F.lit(0.0)).alias("loss"))
+    hit = f.select("region", "facility_id", "cell_id", "value").join(events, "cell_id")
+    losses = hit.select("region", "facility_id", "event_id", "frequency", (F.col("value") * damage()).alias("loss"))
     points = f.select("region", "facility_id", "value", F.when((F.col("region") == "ASIA") & (F.col("facility_id") % 2 == 0), "KRW").alias("currency"))
-    found = I.portfolio_curve(losses, points, ["region"], (2.0, 3.0, 5.0, 100.0)).drop("currency")
+    found = I.portfolio_curve(losses, points, ["region"], events.select("event_id", "frequency").distinct(), (2.0, 3.0, 5.0, 100.0)).drop("currency")
     return found.withColumns({c: F.round(c, 4) for c in ("priced_value", "eal", "loss", "sum_of_standalone_losses")} | {"diversification_pct": F.round("diversification_pct", 6)})
 
 

@@ -29,22 +29,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes a table to the folder that all executors share and reads it back, which cuts its lineage.
-
-    The folder is spark.checkpoint.dir; where it is unset, one of our own in local mode and an error elsewhere.
-    """
-    spark = df.sparkSession
+def _written_folder(spark: SparkSession) -> str:
+    """Where this application's tables go: a folder of its own in spark.checkpoint.dir; where that is unset, in a
+    temporary folder in local mode, and an error elsewhere."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"{tempfile.gettempdir()}/checkpoints"
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/tables-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Writes a table to the folder that all executors share and reads it back, which cuts its lineage."""
+    spark = df.sparkSession
+    path = f"{_written_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Removes every table that this application has written so far: for when results are stored and no frame is in use."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_written_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_asset_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as trimmed strings, under their canonical names."""
     raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)

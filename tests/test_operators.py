@@ -199,7 +199,8 @@ def test_diversification_and_mixed_currency(spark):
     losses = [(g, f, e, 0.01, x) for g in ("a", "b") for f, xs in (("p", (100.0, 10.0, 0.0, 0.0)), ("q", (0.0, 70.0, 10.0, 0.0))) for e, x in enumerate(xs)]
     losses = spark.createDataFrame(losses, "g string, facility_id string, event_id long, frequency double, loss double")
     points = spark.createDataFrame([("a", "p", 1.0, None), ("a", "q", 2.0, "USD"), ("b", "p", 1.0, "USD"), ("b", "q", 1.0, "KRW"), ("c", "z", 1.0, None)], "g string, facility_id string, value double, currency string")
-    rows = {(r.g, r.return_period): r for r in I.portfolio_curve(losses, points, ["g"], (25.0, 50.0, 100.0, 200.0)).collect()}
+    events = spark.createDataFrame([(e, 0.01) for e in range(4)], "event_id long, frequency double")
+    rows = {(r.g, r.return_period): r for r in I.portfolio_curve(losses, points, ["g"], events, (25.0, 50.0, 100.0, 200.0)).collect()}
     assert {t: rows["a", t].loss for t in (25.0, 50.0, 100.0, 200.0)} == {25.0: 0.0, 50.0: 80.0, 100.0: 100.0, 200.0: None}
     assert rows["a", 100.0].sum_of_standalone_losses == 170 and rows["a", 100.0].diversification_pct == pytest.approx((1 - 100 / 170) * 100)
     assert rows["a", 50.0].eal == pytest.approx(1.9) and rows["a", 200.0].cell_status == "RETURN_PERIOD_NOT_RESOLVABLE"
