@@ -108,17 +108,13 @@ def test_sparse_losses_give_the_curves_of_all_events(spark):
     assert rows[25.0].eal == pytest.approx(2.3) and rows[25.0].priced_value == 3000
 
 
-def test_written_tables_can_be_dropped(spark, tmp_path):
+def test_written_tables_can_be_dropped(spark, tmp_path, monkeypatch):
     import os
 
     from hazardframe.sources import tables
 
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert tables.written(spark.range(3)).count() == 3
-        (folder,) = os.listdir(tmp_path)
-        assert os.listdir(tmp_path / folder)
-        tables.drop_written(spark)
-        assert os.listdir(tmp_path) == []
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(tables, "_written_folder", lambda _: str(tmp_path / "own"))
+    assert tables.written(spark.range(3)).count() == 3
+    assert os.listdir(tmp_path / "own")
+    tables.drop_written(spark)
+    assert os.listdir(tmp_path) == []
