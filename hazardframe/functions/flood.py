@@ -93,3 +93,9 @@ def nested_slot(rank: Column, n: Column) -> Column:
     middle, step = F.floor((n - 1) / 2), F.floor((rank + 1) / 2)
     turn = F.when(rank % 2 == 1, middle + step).otherwise(middle - step)
     return F.when(rank == 0, middle).otherwise(turn)
+
+
+def hyetograph(fractions: Sequence[float], total_mm: float, minutes: float) -> list[tuple[float, float]]:
+    """Breakpoints (seconds, cumulative mm) of a design storm: shares of its rain at equal steps of its length."""
+    step = minutes * 60.0 / (len(fractions) - 1)
+    return [(k * step, f * total_mm) for k, f in enumerate(fractions)]

@@ -14,10 +14,6 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(half, F.lit(1.0))))
 
 
-def squared_degrees(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    return (lat1 - lat2) * (lat1 - lat2) + (lon1 - lon2) * (lon1 - lon2)
-
-
 def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
     """Even-odd rule; ``ring`` is a closed array of structs (lat, lon)."""
     edges = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hazardframe.operators import ranks
 from hazardframe.operators import validation as V
+from hazardframe.sources.tables import written
 
 #: Spellings of currencies, and multipliers in the order they are looked for.
 CURRENCIES = {"krw": "KRW", "won": "KRW", "원": "KRW", "₩": "KRW", "usd": "USD", "us$": "USD", "$": "USD", "dollar": "USD", "dollars": "USD", "eur": "EUR", "€": "EUR", "euro": "EUR"}
@@ -275,3 +276,42 @@ def compare_events(pairs: DataFrame) -> DataFrame:
     d = F.col("modelled") - F.col("observed")
     whole = both.agg(F.count("*").alias("n"), F.avg(d).alias("bias"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.try_divide(F.sum("modelled"), F.sum("observed")).alias("total_ratio"))
     return whole.crossJoin(F.broadcast(median))  # one row each
+
+
+def heat_sub_check(assets: DataFrame, least_rank: float, most_km: float, least_assets: int, least_asset_rank: float) -> DataFrame:
+    """One row on two counts of heat days: how many assets fail each check, whether items agree, and a warning with reasons.
+
+    ``assets``: asset_id, stress_days (null: no data), heat_days, year_rank (rank correlation of the two over an asset's years),
+    station_km. C1: the yearly rank is at least ``least_rank``; C3: the station is within ``most_km``; a null is not checkable. The
+    rank over assets needs ``least_assets`` of them. Diagnostic only: no row changes.
+    """
+    known = assets.where(F.col("stress_days").isNotNull())
+    fails = {"c1": (F.col("year_rank") < least_rank, F.col("year_rank")), "c3": (F.col("station_km") > most_km, F.col("station_km"))}
+    counts = [x for k, (bad, of) in fails.items() for x in (F.count_if(bad).alias(f"{k}_fail"), F.count_if(of.isNull()).alias(f"{k}_unchecked"))]
+    any_bad = F.count_if(F.coalesce(fails["c1"][0], F.lit(False)) | F.coalesce(fails["c3"][0], F.lit(False)))
+    whole = assets.agg(F.count("*").alias("_all")).crossJoin(known.agg(F.count("*").alias("n_assets"), any_bad.alias("n_warn_any"), *counts))  # one row each
+    rank = V.spearman(known, [], "stress_days", "heat_days").select(F.col("rho").alias("_rho"))
+    rows = whole.crossJoin(rank).withColumn("asset_rank", F.when(F.col("n_assets") >= least_assets, F.col("_rho")))
+    checkable = {k: F.col("n_assets") > F.col(f"{k}_unchecked") for k in fails}
+    of = sum((F.when(c, 1).otherwise(0) for c in checkable.values()), F.lit(0))
+    agree = sum((F.when(c & (F.col(f"{k}_fail") == 0), 1).otherwise(0) for k, c in checkable.items()), F.lit(0))
+    reasons = F.array_compact(F.array(F.when(F.col("c1_fail") > 0, "year_rank"), F.when(F.col("c3_fail") > 0, "station_far"), F.when(F.col("asset_rank") < least_asset_rank, "asset_rank")))
+    return rows.select((F.col("_all") - F.col("n_assets")).alias("n_no_data"), "n_assets", "n_warn_any", *[f"{k}_{x}" for k in fails for x in ("fail", "unchecked")], "asset_rank", agree.alias("agree"), of.alias("checked"), reasons.alias("reasons"), (F.size(reasons) > 0).alias("warn"))
+
+
+def literature_rows(cells: DataFrame, high: float, low: float, edge: float) -> DataFrame:
+    """Two published claims that a hotter day alone cannot fulfil: (id, observed, model, ok, days).
+
+    ``cells``: day, mrt, sunlit, view (share of sky seen). svf_contrast: on every day the median of open cells (view >= high)
+    is above that of enclosed ones (view < low); sunlit_open: that of sunlit open cells is above ``edge`` degrees. The model
+    value is the least over the days, null where a day has no value; then the claim is not met.
+    """
+    group = F.array_compact(F.array(F.when(F.col("view") >= high, "open"), F.when(F.col("view") < low, "enclosed"), F.when((F.col("view") >= high) & F.col("sunlit"), "sunny")))
+    parted = written(cells.select("day", "mrt", F.explode(group).alias("part")), "parts")
+    medians = ranks.quantiles(parted, ["day", "part"], "mrt", [0.5], ["m"])
+    of = lambda part: F.max(F.when(F.col("part") == part, F.col("m")))
+    days = cells.select("day").distinct().join(medians, "day", "left").groupBy("day").agg((of("open") - of("enclosed")).alias("contrast"), of("sunny").alias("sunny"))
+    whole = lambda c: F.when(F.count(c) == F.count("*"), F.min(c))
+    one = days.agg(F.count("*").alias("days"), whole("contrast").alias("contrast"), whole("sunny").alias("sunny"))
+    row = lambda name, seen, value: F.struct(F.lit(name).alias("id"), F.lit(float(seen)).alias("observed"), value.alias("model"), F.coalesce(value > seen, F.lit(False)).alias("ok"), F.col("days"))
+    return one.select(F.inline(F.array(row("svf_contrast", 0.0, F.col("contrast")), row("sunlit_open", edge, F.col("sunny")))))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hazardframe.functions import perils as P
 from hazardframe.functions.curves import emanuel
 from hazardframe.operators import ranks
+from hazardframe.operators.nearest import nearest
 from hazardframe.operators.simulate import uniform
 from hazardframe.sources.tables import written
 
@@ -27,7 +28,7 @@ def resolve_half_speed(assets: DataFrame, calibrated: DataFrame, regional: DataF
 
     ``assets``: v_half_override, iso3, vulnerability; mode 'class' skips everything but overrides.
     """
-    default = P._per_class(F.col("vulnerability"), lambda c: F.lit(c[0]))
+    default = P._per_class(F.col("vulnerability"), lambda c: F.lit(c.half_speed))
     rows = assets.join(F.broadcast(calibrated.select("iso3", F.col("v_half").alias("_cal"))), "iso3", "left")  # one row a country
     rows = rows.join(F.broadcast(regional.select("iso3", F.col("v_half").alias("_reg"))), "iso3", "left")
     cal = F.col("_cal") if mode == "calibrated" else F.lit(None).cast("double")
@@ -39,7 +40,7 @@ def resolve_half_speed(assets: DataFrame, calibrated: DataFrame, regional: DataF
 def resolve_flood_curve(assets: DataFrame, presets: DataFrame) -> DataFrame:
     """Adds curve and curve_source: override, else the country's preset if its depths are the standard ones, else the class."""
     usable = presets.where(F.col("depths") == F.array(*[F.lit(x) for x in P.FLOOD_DEPTHS])).select("iso3", F.col("mdr").alias("_preset"))
-    default = P._per_class(F.col("vulnerability"), lambda c: F.array(*[F.lit(x) for x in c[2]]))
+    default = P._per_class(F.col("vulnerability"), lambda c: F.array(*[F.lit(x) for x in c.flood]))
     rows = assets.join(F.broadcast(usable), "iso3", "left")  # one row a country
     source = F.when(F.col("curve_override").isNotNull(), "override").when(F.col("_preset").isNotNull(), "preset").otherwise("class")
     return rows.withColumn("curve", F.coalesce("curve_override", "_preset", default)).withColumn("curve_source", source).drop("_preset")
@@ -196,3 +197,27 @@ def saltelli(ranges: Mapping[str, tuple[float, float]], samples: DataFrame) -> D
     matrices = ["A", "B", *ranges]
     rows = F.array(*[F.struct(F.lit(m).alias("matrix"), *[scaled(n, "B" if m in ("B", n) else "A").alias(n) for n in ranges]) for m in matrices])
     return samples.select("sample", F.inline(rows))
+
+
+def country_region(assets: DataFrame, regions: DataFrame) -> DataFrame:
+    """Adds region_id, region and region_name: the storm region of each asset's country, null for a country without one.
+
+    ``regions``: iso3, region_id, region, region_name; of a country's several regions the least id counts.
+    """
+    one = regions.groupBy(F.upper("iso3").alias("_iso")).agg(F.min(F.struct("region_id", "region", "region_name")).alias("_r"))
+    rows = assets.join(one, F.upper("iso3") == F.col("_iso"), "left")
+    return rows.select(*assets.columns, "_r.region_id", "_r.region", "_r.region_name")
+
+
+def share_over65(sites: DataFrame, countries: DataFrame, cities: DataFrame, most: float = 0.45) -> DataFrame:
+    """Adds share_over65 and its source: a site's own share (within 0 and ``most``), its country's, or the nearest city's.
+
+    ``sites``: lat, lon, iso3, share_override; ``countries``: iso3, share; ``cities``: city, lat, lon, share. A site without
+    coordinates and any other source has none.
+    """
+    country = countries.select(F.upper("iso3").alias("_iso"), F.col("share").alias("_country"))
+    near = nearest(sites, cities, "city", "great_circle").join(cities.select("city", F.col("share").alias("_city")), "city", "left")
+    rows = near.join(country, F.upper("iso3") == F.col("_iso"), "left")
+    own = F.when(F.col("share_override").isNotNull(), F.least(F.greatest(F.col("share_override"), F.lit(0.0)), F.lit(most)))
+    source = F.when(own.isNotNull(), "override").when(F.col("_country").isNotNull(), "country").when(F.col("_city").isNotNull(), "city")
+    return rows.select(*sites.columns, F.coalesce(own, "_country", "_city").alias("share_over65"), source.alias("share_source"))

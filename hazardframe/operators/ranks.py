@@ -20,14 +20,14 @@ def positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     if df.schema[value].dataType.simpleString() in ("double", "float"):
         known = known.where(~F.isnan(value))
     counts = known.groupBy(*keys, value).agg(F.count("*").alias("n")).repartitionByRange(*keys, value)
-    dealt = written(counts.withColumn("_part", F.spark_partition_id()), "ranks")
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"))  # one row a group and partition
-    offsets = offsets.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    same = F.col("_part") == F.col("_of")
+    dealt = written(counts.withColumn("_range_part", F.spark_partition_id()), "ranks")
+    earlier = Window.partitionBy(*keys).orderBy("_range_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*keys, "_range_part").agg(F.sum("n").alias("_n"))  # one row a group and partition
+    offsets = offsets.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_range_part").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    same = F.col("_range_part") == F.col("_of")
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    within = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    within = Window.partitionBy(*keys, "_range_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     rows = dealt.withColumn("_within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(offsets, same)
     return rows.select(*keys, value, "n", (F.col("_offset") + F.col("_within")).alias("before"))
 
@@ -42,8 +42,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[f
     if keys:
         same = F.lit(True)
         for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-        rows = placed.join(totals.withColumnsRenamed({k: f"_{k}" for k in keys}), same)
+            same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+        rows = placed.join(totals.withColumnsRenamed({k: f"_key_{k}" for k in keys}), same)
     else:
         rows = placed.withColumn("_total", F.lit(totals.first()[0]))  # one number
     at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(value)))
@@ -57,8 +57,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[f
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Adds the rank of each known value within its group, equal values sharing their mean rank; rows without one go."""
-    ranks = positions(df, keys, value).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(value).alias("_value"), (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+    ranks = positions(df, keys, value).select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col(value).alias("_value"), (F.col("before") + (F.col("n") + 1) / 2).alias(name))
     same = F.col(value) == F.col("_value")
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return df.join(ranks, same).drop("_value", *[f"_{k}" for k in keys])
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return df.join(ranks, same).drop("_value", *[f"_key_{k}" for k in keys])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardframe.operators import ranks
@@ -87,3 +87,8 @@ def class_medians_rise(df: DataFrame, cls: str, value: str, least: int) -> DataF
     listed = per.agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "m"))), lambda p: p["m"]).alias("m"))
     steps = F.zip_with(F.slice("m", F.lit(2), F.size("m")), F.slice("m", F.lit(1), F.size("m") - 1), lambda b, a: b >= a)
     return listed.select(F.size("m").alias("classes"), F.when(F.size("m") >= 3, F.forall(steps, lambda x: x)).alias("rising"))
+
+
+def flooded(depth: str, threshold: float) -> Column:
+    """Whether a modelled depth counts as flooded: strictly above the threshold; an unknown depth does not."""
+    return F.coalesce(F.nanvl(F.col(depth), F.lit(None)) > threshold, F.lit(False))

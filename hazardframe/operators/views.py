@@ -258,3 +258,15 @@ def ragged_union(frames: Sequence[DataFrame]) -> DataFrame:
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
     return out
+
+
+def hazard_coverage(registry: DataFrame, rows: DataFrame) -> DataFrame:
+    """(hazard, kind, n_models, models, n_rows, n_priced, coverage): what each registered hazard has been run with.
+
+    ``registry``: hazard, kind; ``rows``: result rows (hazard, model, status). Coverage is priced where a row carries money,
+    assessed where there are rows without, none else; a hazard that is not registered is left out.
+    """
+    found = rows.groupBy("hazard").agg(F.sort_array(F.collect_set("model")).alias("models"), F.count("*").alias("n_rows"), F.count_if(F.col("status") == "FULL").alias("n_priced"))
+    out = registry.join(found, "hazard", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_rows", "n_priced")})
+    coverage = F.when(F.col("n_priced") > 0, "priced").when(F.col("n_rows") > 0, "assessed").otherwise("none")
+    return out.select("hazard", "kind", F.coalesce(F.size("models"), F.lit(0)).alias("n_models"), F.coalesce("models", F.array().cast("array<string>")).alias("models"), "n_rows", "n_priced", coverage.alias("coverage"))

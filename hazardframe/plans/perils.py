@@ -66,7 +66,13 @@ surge = _peril("peril_surge", 0.12, -1.0, _BY_CLASS(_DEPTHS, _FLOOD), P.flood_da
 earthquake = _peril("peril_earthquake", 0.1, 4.5, _BY_CLASS(_MMI, _QUAKE), P.earthquake_damage, "monetary")
 cyclone = _peril("peril_cyclone", 1.4, 0.0, f"pow({_V}, 3) / (1 + pow({_V}, 3))", P.cyclone_damage, "monetary")
 wildfire = _peril("peril_wildfire", 2.0, 280.0, f"({_sql_class(_FIRE)}) / (1 + exp(-0.035 * ({{x}} - 325)))", P.wildfire_damage, "monetary")
-windstorm = _peril("peril_windstorm", 1.2, 0.0, "0.6 * pow(greatest({x} - 20, 0) / 25, 3) / (1 + pow(greatest({x} - 20, 0) / 25, 3))", lambda x, c: P.windstorm_damage(x), "monetary")
+def _sql_lerp(xs, ys) -> str:
+    between = " ".join(f"WHEN {{x}} <= {b} THEN {ya}::DOUBLE + ({{x}} - {a}) * ({yb} - {ya})::DOUBLE / ({b} - {a})" for a, b, ya, yb in zip(xs, xs[1:], ys, ys[1:]))
+    return f"(CASE WHEN {{x}} <= {xs[0]} THEN {ys[0]}::DOUBLE {between} ELSE {ys[-1]}::DOUBLE END)"
+
+
+_SQL_STORM = f"{_sql_lerp(P.WINDSTORM_GUST, P.WINDSTORM_DAMAGE)} * {_sql_lerp(P.WINDSTORM_GUST, P.WINDSTORM_AFFECTED)}"
+windstorm = _peril("peril_windstorm", 1.2, 0.0, _SQL_STORM, lambda x, c: P.windstorm_damage(x), "monetary")
 hail = _peril("peril_hail", 0.2, 0.0, f"({_sql_class(_LAST)}) * ({_sql_points('{x}', (0.0, 2.0, 4.0, 6.0, 8.0, 10.0), (0.0, 0.0, 0.1, 0.3, 0.6, 1.0))})", lambda x, c: P.catalog_damage("hail", x, c), "monetary")
 landslide = _peril("peril_landslide", 0.02, 0.0, f"({_sql_class(_LAST)}) * ({_sql_points('{x}', (0.0, 0.25, 0.5, 0.75, 1.0), (0.0, 0.1, 0.3, 0.6, 1.0))})", lambda x, c: P.catalog_damage("landslide", x, c), "monetary")
 rain = _peril("peril_rain", 7.0, 0.0, f"({_sql_class(_LAST)}) * ({_sql_points('{x}', (0.0, 50.0, 100.0, 200.0, 400.0), (0.0, 0.05, 0.2, 0.5, 0.9))})", lambda x, c: P.catalog_damage("tc_rain", x, c), "monetary")

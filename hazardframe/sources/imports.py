@@ -123,3 +123,36 @@ def check_sheet(documents: DataFrame, column: str) -> DataFrame:
         "layer_status": F.coalesce(F.forall("_s.layers", lambda x: x["status"].isin("measured", "assumed", "unknown")), F.lit(True)),
     }
     return rows.withColumn("errors", errors(checks)).drop("_s")
+
+
+CONFIG = "risk_bands array<struct<name: string, below: double>>, return_periods array<double>, protection map<string, double>, sectors map<string, string>"
+
+
+def parse_config(documents: DataFrame, column: str) -> DataFrame:
+    """The settings of JSON documents as columns, and their errors: bands must ascend and end open, periods ascend from above 0,
+    standards of protection be positive, and every sector have a class."""
+    rows = documents.select("*", F.from_json(column, CONFIG).alias("_c")).select(*documents.columns, "_c.*")
+    bounds = F.transform("risk_bands", lambda b: b["below"])
+    rising = lambda xs: F.forall(F.sequence(F.lit(1), F.greatest(F.size(xs) - 1, F.lit(1))), lambda i: F.coalesce(F.get(xs, i) > F.get(xs, i - 1), F.size(xs) < 2))
+    checks = {
+        "bands": (F.size("risk_bands") > 0) & F.get(bounds, F.size(bounds) - 1).isNull() & rising(F.filter(bounds, lambda x: x.isNotNull())) & (F.size(F.filter(bounds, lambda x: x.isNull())) == 1),
+        "periods": (F.size("return_periods") > 0) & (F.get("return_periods", F.lit(0)) > 0) & rising(F.col("return_periods")),
+        "protection": F.forall(F.map_values("protection"), lambda x: F.coalesce(x > 0, F.lit(False))),
+        "sectors": (F.size("sectors") > 0) & F.forall(F.map_values("sectors"), lambda x: F.coalesce(F.length(x) > 0, F.lit(False))),
+    }
+    return rows.withColumn("errors", errors(checks))
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """The settings of a JSON file (``parse_config``), one row; errors raise, as nothing can run on them."""
+    row = parse_config(spark.read.text(path, wholetext=True), "value").drop("value")
+    found = row.first()
+    if found is None or found.errors:
+        raise ValueError(f"bad settings in {path}: {', '.join(found.errors) if found else 'empty'}")
+    return row.drop("errors")
+
+
+def risk_band(value: Column, bands: Column) -> Column:
+    """The name of the first band that a value lies below, by a settings column; null for an unknown value."""
+    hit = F.filter(bands, lambda b: b["below"].isNull() | (value < b["below"]))
+    return F.when(value.isNotNull(), F.get(hit, F.lit(0))["name"])

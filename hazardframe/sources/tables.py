@@ -80,8 +80,12 @@ def errors(checks: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in sorted(checks.items())]), lambda x: x.isNotNull())
 
 
-def validate_assets(assets: DataFrame) -> DataFrame:
-    """Adds errors: coordinates and value out of bounds, a missing or repeated id. Rows are never dropped."""
+def validate_assets(assets: DataFrame, sectors: tuple[str, ...] = ()) -> DataFrame:
+    """Adds errors: coordinates and value out of bounds, a missing or repeated id. Rows are never dropped.
+
+    Where the columns are there: a currency must be three letters, a headcount a whole number from 0 on, and with
+    ``sectors`` a property type one of them (letter case and outer blanks aside); blanks in these are no error.
+    """
     number = lambda c: F.col(c).try_cast("double")
     repeated = assets.groupBy("facility_id").agg(F.count("*").alias("_n"))
     rows = assets.join(repeated, assets.facility_id.eqNullSafe(repeated.facility_id), "left").drop(repeated.facility_id)
@@ -92,6 +96,13 @@ def validate_assets(assets: DataFrame) -> DataFrame:
         "longitude": number("longitude").between(-180, 180),
         "value": number("asset_value_usd") >= 0,
     }
+    blank = lambda c: F.coalesce(F.length(F.trim(c)) == 0, F.lit(True))
+    if "asset_value_currency" in assets.columns:
+        checks["currency"] = blank("asset_value_currency") | F.upper(F.trim("asset_value_currency")).rlike("^[A-Z]{3}$")
+    if "headcount" in assets.columns:
+        checks["headcount"] = blank("headcount") | ((number("headcount") >= 0) & (number("headcount") == F.floor(number("headcount"))))
+    if sectors and "property_type" in assets.columns:
+        checks["sector"] = blank("property_type") | F.lower(F.trim("property_type")).isin(*sectors)
     return rows.withColumn("errors", errors(checks)).drop("_n")
 
 
