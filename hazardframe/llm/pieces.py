@@ -2,8 +2,12 @@
 
 Words are put in a trie, and a prefix that several words share is scored once: level by level, a
 node's forward score is the sum over the pieces that end there of the piece's probability times the
-score of the node where it begins. All nodes of a level are computed together in numpy. Long words are
-not put in the trie: each is scored by itself, whole, in logs, over the pieces that occur in it.
+score of the node where it begins. All nodes of a level are computed together in numpy. Expected counts
+go back up the same trie from its terminals, which hold how often their word occurs.
+
+Long words are cut where no piece of the vocabulary crosses: every segmentation breaks there, so the parts
+are scored by themselves, in a trie of their own, and nothing is lost. Parts that are still long, where
+pieces overlap without end, are scored each by itself over the pieces that occur in it.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ import base64
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -116,6 +120,10 @@ class Words:
     token_text: np.ndarray  # text of each token
     long: list[np.ndarray] = field(default_factory=list)  # bytes of words over WORD_BYTES
 
+    @cached_property
+    def trie(self) -> Trie:
+        return Trie(self)
+
     def __len__(self) -> int:
         return len(self.lengths) + len(self.long)
 
@@ -173,24 +181,37 @@ class Lattice:
     piece: np.ndarray
     word: np.ndarray  # which of the words each piece is in
 
-    def sums(self, weights: np.ndarray, backward: bool = False) -> np.ndarray:
-        """Log of the summed products of weights (logs) over the ways from its word's begin (or end) to each node."""
+    def sums(self, weights: np.ndarray, reach: int, backward: bool = False) -> np.ndarray:
+        """Log of the summed products of weights over the ways from its word's begin (or end) to each node.
+
+        ``reach`` is the longest piece: sums are scaled up, together with those within reach, before they underflow.
+        """
         source, target, top = self.source, self.target, int(self.last[-1])
         if backward:
             source, target = top - target, top - source
             order = np.argsort(target, kind="stable")
             source, target, weights = source[order], target[order], weights[order]
         ends = np.searchsorted(target, np.arange(top + 2)).tolist()
-        source, weights, out = source.tolist(), weights.tolist(), [0.0] * (top + 1)
+        source, weights = source.tolist(), weights.tolist()
+        out, scales, scale, now = [1.0] * (top + 1), [0] * (top + 1), 0, [1.0] * (top + 1)
         for e in range(top + 1):
             lo, hi = ends[e], ends[e + 1]
-            if hi - lo == 1:
-                out[e] = out[source[lo]] + weights[lo]
-            elif hi > lo:
-                ways = [out[source[i]] + weights[i] for i in range(lo, hi)]
-                most = max(ways)
-                out[e] = most + math.log(sum(math.exp(w - most) for w in ways)) if most > -math.inf else most
-        return np.array(out[::-1] if backward else out)
+            if lo == hi:  # where a word begins
+                scale = 0
+                continue
+            total = 0.0
+            for i in range(lo, hi):
+                total += now[source[i]] * weights[i]
+            out[e], scales[e] = total, scale
+            if total < 1e-150:
+                for j in range(max(0, e - reach), e):
+                    now[j] *= 1e150
+                total *= 1e150
+                scale += 1
+            now[e] = total
+        with np.errstate(divide="ignore"):
+            logs = np.log(np.array(out)) - np.array(scales) * math.log(1e150)
+        return logs[::-1] if backward else logs
 
     def tops(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Largest sum of weights to each node, and the fewest pieces of such a way."""
@@ -232,6 +253,27 @@ def lattices(long: list[np.ndarray], table: PieceTable) -> Iterator[Lattice]:
         at = to
 
 
+def segments(long: list[np.ndarray], table: PieceTable) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The different parts of long words between places that no piece crosses, and each part's number and word."""
+    spans, owner = [], []
+    for part in lattices(long, table):
+        n = int(part.last[-1]) + 1
+        over = np.cumsum(np.bincount(part.source + 1, minlength=n + 1)[:n] - np.bincount(part.target, minlength=n + 1)[:n])
+        cuts = np.flatnonzero(over == 0)  # a word's first and last place too
+        first = np.append(0, part.last[:-1] + 1)
+        word = np.searchsorted(part.last, cuts)
+        for k, (a, b) in enumerate(zip(np.searchsorted(word, np.arange(len(part.words))), np.searchsorted(word, np.arange(len(part.words)), "right"))):
+            at = cuts[a:b] - first[k]
+            spans.extend(long[part.words[k]][x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist()))
+            owner.append(np.full(b - a - 1, part.words[k]))
+    sizes = np.array([len(x) for x in spans], np.int64)
+    data = np.concatenate(spans)
+    ends = np.cumsum(sizes)
+    _, one, which = np.unique(tb.span_hashes(data, ends - sizes, ends, 5), return_index=True, return_inverse=True)
+    words, place = _words_at(data, (ends - sizes)[one], ends[one])
+    return words, place[which.ravel()], np.concatenate(owner)
+
+
 class Trie:
     """Levels of the trie of sorted words: per level the nodes' first words, parents, and the words' nodes."""
 
@@ -264,7 +306,7 @@ def forward(words: Words, table: PieceTable, probs: np.ndarray) -> np.ndarray:
     out = np.zeros((len(words.lengths), probs.shape[1]))
     hashes = np.zeros((1, 0), np.uint64)
     scores = np.ones((1, 1, probs.shape[1]))
-    for depth, (first, parent, node, ended) in enumerate(Trie(words).levels, 1):
+    for depth, (first, parent, node, ended) in enumerate(words.trie.levels, 1):
         byte = words.matrix[first, depth - 1].astype(np.uint64)
         hashes = np.concatenate([hashes[parent] * _BASE, np.zeros((len(first), 1), np.uint64)], 1) + byte[:, None]
         scores = scores[parent]
@@ -272,12 +314,22 @@ def forward(words: Words, table: PieceTable, probs: np.ndarray) -> np.ndarray:
         out[ended] = now[node[ended]]
         scores = np.concatenate([scores, now[:, None, :]], 1)
     with np.errstate(divide="ignore"):
-        out, logs = np.log(out), np.log(probs)
-    long = np.zeros((len(words.long), probs.shape[1]))
-    for part in lattices(words.long, table):
+        out = np.log(out)
+    return np.concatenate([out, _forward_long(words.long, table, probs)])
+
+
+def _forward_long(long: list[np.ndarray], table: PieceTable, probs: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(long), probs.shape[1]))
+    if not long:
+        return out
+    parts, which, owner = segments(long, table)
+    scores = np.concatenate([forward(Words(parts.matrix, parts.lengths, which[:0], which[:0]), table, probs), np.zeros((len(parts.long), probs.shape[1]))])
+    for part in lattices(parts.long, table):
         for k in range(probs.shape[1]):
-            long[part.words, k] = part.sums(logs[part.piece, k])[part.last]
-    return np.concatenate([out, long])
+            scores[len(parts.lengths) + part.words, k] = part.sums(probs[part.piece, k], max(table.sizes))[part.last]
+    for k in range(probs.shape[1]):
+        out[:, k] = np.bincount(owner, weights=scores[which, k], minlength=len(long))
+    return out
 
 
 def best(words: Words, table: PieceTable, log_probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,7 +337,7 @@ def best(words: Words, table: PieceTable, log_probs: np.ndarray) -> tuple[np.nda
     score, count = np.zeros(len(words.lengths)), np.zeros(len(words.lengths), np.int64)
     hashes, scores, counts = np.zeros((1, 0), np.uint64), np.zeros((1, 1)), np.zeros((1, 1), np.int64)
     logs = np.append(log_probs, -np.inf)
-    for depth, (first, parent, node, ended) in enumerate(Trie(words).levels, 1):
+    for depth, (first, parent, node, ended) in enumerate(words.trie.levels, 1):
         byte = words.matrix[first, depth - 1].astype(np.uint64)
         hashes = np.concatenate([hashes[parent] * _BASE, np.zeros((len(first), 1), np.uint64)], 1) + byte[:, None]
         scores, counts = scores[parent], counts[parent]
@@ -295,49 +347,56 @@ def best(words: Words, table: PieceTable, log_probs: np.ndarray) -> tuple[np.nda
         score[ended], count[ended] = top[node[ended]], fewest[node[ended]]
         scores, counts = np.concatenate([scores, top[:, None]], 1), np.concatenate([counts, fewest[:, None]], 1)
     long_score, long_count = np.zeros(len(words.long)), np.zeros(len(words.long), np.int64)
-    for part in lattices(words.long, table):
-        top, fewest = part.tops(log_probs[part.piece])
-        long_score[part.words], long_count[part.words] = top[part.last], fewest[part.last]
+    if words.long:
+        parts, which, owner = segments(words.long, table)
+        s, c = best(Words(parts.matrix, parts.lengths, which[:0], which[:0]), table, log_probs)
+        s, c = np.concatenate([s, np.zeros(len(parts.long))]), np.concatenate([c, np.zeros(len(parts.long), np.int64)])
+        for part in lattices(parts.long, table):
+            top, fewest = part.tops(log_probs[part.piece])
+            s[len(parts.lengths) + part.words], c[len(parts.lengths) + part.words] = top[part.last], fewest[part.last]
+        long_score = np.bincount(owner, weights=s[which], minlength=len(words.long))
+        long_count = np.bincount(owner, weights=c[which], minlength=len(words.long)).astype(np.int64)
     return np.concatenate([score, long_score]), np.concatenate([count, long_count])
 
 
 def expected_counts(words: Words, weights: np.ndarray, table: PieceTable, probs: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece (forward-backward) over words with weights, for one column of probabilities."""
-    out, at = np.zeros(len(table) + 1), 0
-    order = np.argsort(words.lengths, kind="stable")  # words of like length together, in parts of bounded size
-    while at < len(order):
-        width = int(words.lengths[order[at]]) + 3
-        step = max(1, 2_000_000 // (width * width))
-        part = order[at : at + step]
-        part = part[words.lengths[part] <= width]
-        out += _expected_counts(words.matrix[part, :width], words.lengths[part], weights[part], table, probs)
-        at += len(part)
-    with np.errstate(divide="ignore"):
-        logs = np.log(probs)
-    for part in lattices(words.long, table):
-        weight = logs[part.piece]
-        to, onward = part.sums(weight), part.sums(weight, backward=True)
-        use = np.exp(to[part.source] + weight + onward[part.target] - to[part.last][part.word])
-        out += np.bincount(part.piece, weights=use * weights[len(words.lengths) + part.words[part.word]], minlength=len(out))
-    return out
-
+    """Expected uses of each piece over words with weights, for one column of probabilities: forward and back on the trie.
 
-def _expected_counts(matrix: np.ndarray, lengths: np.ndarray, weights: np.ndarray, table: PieceTable, probs: np.ndarray) -> np.ndarray:
-    n, width = matrix.shape
-    piece = np.full((n, width, width), len(table), np.int32)
-    alpha, beta = np.zeros((n, width + 1)), np.zeros((n, width + 1))
-    alpha[:, 0] = 1
-    beta[np.arange(n), lengths] = 1
-    for s in range(width):
-        h = np.zeros(n, np.uint64)
-        for e in range(s, width):
-            h = h * _BASE + matrix[:, e]
-            piece[:, s, e] = np.where(lengths > e, table.find(h), len(table))
-    p = probs[piece]
-    for e in range(width):
-        alpha[:, e + 1] = (alpha[:, : e + 1] * p[:, : e + 1, e]).sum(1)
-    for s in range(width - 1, -1, -1):
-        beta[:, s] += (beta[:, s + 1 :] * p[:, s, s:]).sum(1)
-    use = alpha[:, :-1, None] * p * beta[:, None, 1:]
-    use *= (weights / np.maximum(alpha[np.arange(n), lengths], 1e-300))[:, None, None]
-    return np.bincount(piece.ravel(), weights=use.ravel(), minlength=len(table) + 1)
+    Down the trie each node has its forward score once, whatever the words below it. Terminals hold their word's weight,
+    over its score; what lies below a node is summed on the way back up, so a shared prefix is counted once too.
+    """
+    out = np.zeros(len(table) + 1)
+    levels, n_short = words.trie.levels, len(words.lengths)
+    n_nodes = 1 + sum(len(first) for first, *_ in levels)
+    alpha, below = np.zeros(n_nodes), np.zeros(n_nodes)
+    alpha[0] = 1.0
+    hashes, above = np.zeros((1, 0), np.uint64), np.zeros((1, 1), np.int64)  # of each node of a level: pieces to it, nodes above
+    steps, begin = [], 1
+    for depth, (first, parent, node, ended) in enumerate(levels, 1):
+        byte = words.matrix[first, depth - 1].astype(np.uint64)
+        hashes = np.concatenate([hashes[parent] * _BASE, np.zeros((len(first), 1), np.uint64)], 1) + byte[:, None]
+        above = above[parent]
+        piece = table.find(hashes)
+        row, column = np.nonzero(piece < len(table))
+        source, piece = above[row, column], piece[row, column]
+        share = probs[piece]
+        alpha[begin : begin + len(first)] = np.bincount(row, weights=alpha[source] * share, minlength=len(first))
+        steps.append((source, begin + row, piece, share))
+        terminal = begin + node[ended]
+        below[terminal] += weights[:n_short][ended] / np.maximum(alpha[terminal], 1e-300)
+        above = np.concatenate([above, np.arange(begin, begin + len(first))[:, None]], 1)
+        begin += len(first)
+    for source, target, piece, share in reversed(steps):
+        onward = share * below[target]
+        out += np.bincount(piece, weights=alpha[source] * onward, minlength=len(out))
+        np.add.at(below, source, onward)
+    if words.long:
+        parts, which, owner = segments(words.long, table)
+        own = np.bincount(which, weights=weights[n_short:][owner], minlength=len(parts))
+        out += expected_counts(Words(parts.matrix, parts.lengths, which[:0], which[:0]), own[: len(parts.lengths)], table, probs)
+        for part in lattices(parts.long, table):
+            weight = probs[part.piece]
+            to, onward = part.sums(weight, max(table.sizes)), part.sums(weight, max(table.sizes), backward=True)
+            use = np.exp(to[part.source] + np.log(weight) + onward[part.target] - to[part.last][part.word])
+            out += np.bincount(part.piece, weights=use * own[len(parts.lengths) + part.words[part.word]], minlength=len(out))
+    return out

@@ -2,12 +2,13 @@
 
 1. The corpus' distinct pre-tokens (runs without white space) and their counts make a lexicon, sorted
    and written to the shared folder; it grows with the corpus and is never sent to the driver.
-2. Tasks put parts of the lexicon in a trie whose terminals store the counts, and expectation
-   maximisation over them learns the probability of each piece of a fixed public vocabulary: the
-   first pass starts from the rank in the vocabulary. Only one number a piece reaches the driver.
+2. Tasks put parts of the sorted lexicon in tries whose terminals hold the counts, and expectation
+   maximisation over them learns the probability of each piece of a fixed public vocabulary: forward
+   scores once for each shared prefix on the way down, counts summed from the terminals on the way up.
+   The first pass starts from the rank in the vocabulary. Only one number a piece reaches the driver.
 3. The distinct pre-tokens of a slice of documents go into a trie; unigram forward scores are
-   computed once for each shared prefix, and terminals tell how often their pre-token stands in each
-   document.
+   computed once for each shared prefix, and terminals hold how often their pre-token stands in each
+   document of the slice.
 """
 
 from __future__ import annotations
@@ -89,12 +90,15 @@ def _count(vocabulary: str, probs):
             words = P.distinct_words(data, bounds, tb.NOT_SPACE)
             marginal = P.forward(words, table, np.append(p, 0.0)[:, None])[:, 0]
             top, used = P.best(words, table, np.log(p))
-            n, by_text = batch.num_rows, words.token_text
-            total = lambda per_word: np.bincount(by_text, weights=per_word[words.token_word], minlength=n)  # noqa: E731, B023
+            n = batch.num_rows
+            # the counts of each terminal by document
+            held, times = np.unique(words.token_word * n + words.token_text, return_counts=True)
+            terminal, text = held // n, held % n
+            total = lambda per_word: np.bincount(text, weights=times * per_word[terminal], minlength=n)  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array(np.bincount(by_text, minlength=n)),
+                    pa.array(total(np.ones(len(words))).astype(np.int64)),
                     pa.array(total(used).astype(np.int64)),
                     pa.array(np.round(total(marginal), 6)),
                     pa.array(np.round(total(top), 6)),
