@@ -1,8 +1,9 @@
 """Exact deduplication through an extendible-hash index on shared files.
 
 1. Each batch of documents is combined first: copies of a text within it become one entry with a
-   count and the largest doc_id, so a text that a third of all documents hold reaches its owner once
-   a batch.
+   count and the largest doc_id. Texts with at least one row in ``HOT`` (so at most ``HOT`` of them, by
+   key) are combined once more over all batches, spread by a salt, so that a text which a third of all
+   documents hold reaches its owner ``SALTS`` times, whatever the number of batches.
 2. Owner tasks each take a range of the 64-bit key space (its top bits). An owner's extendible hash
    has a directory of 2^depth references to buckets of bounded size; an overfull bucket splits in
    two by its next key bit, and the directory doubles when a bucket outgrows it. Entries of one key
@@ -34,6 +35,7 @@ from hazardframe.llm.store import Workspace, read_table, shuffle_width
 OWNER_BYTES = 24_000_000
 PROBE_ROWS = 1 << 17
 BUCKET_ENTRIES = 256
+HOT, SALTS = 10_000, 64
 #: A directory has at most 2^MAX_DEPTH slots; keys that agree in so many bits overflow their bucket.
 MAX_DEPTH = 18
 
@@ -185,10 +187,17 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_ENTRIES, probe_rows: in
     spark = docs.sparkSession
     space = Workspace(spark, "exact")
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    size = docs.agg(F.sum(F.octet_length(whole))).first()[0] or 0
-    bits = max(size // OWNER_BYTES, min(shuffle_width(spark), 64)).bit_length()
     keyed = docs.select(F.col("doc_id").cast("long"), whole.alias("text"), F.xxhash64(whole).alias("key"))
-    entries = keyed.mapInArrow(_combine(bits), _ENTRY).repartition("owner").sortWithinPartitions("owner")
+    keys = space.save(keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")), "keys")
+    total = keys.agg(F.sum("n").alias("n"), F.sum("size").alias("size")).first()
+    bits = max((total.size or 0) // OWNER_BYTES, min(shuffle_width(spark), 64)).bit_length()
+    # texts with one row in HOT: at most HOT keys, whose copies are combined by salt before they go to their owner
+    hot = F.broadcast(keys.where(F.col("n") * HOT >= (total.n or 0)).where("n > 1").select("key"))
+    often = keyed.join(hot, "key", "left_semi").select("doc_id", "text", "key").mapInArrow(_combine(bits), _ENTRY)
+    salt = F.pmod(F.xxhash64("max_id"), F.lit(SALTS)).alias("salt")
+    often = often.groupBy("owner", "key", "text", salt).agg(F.sum("n").alias("n"), F.max("max_id").alias("max_id")).drop("salt")
+    seldom = keyed.join(hot, "key", "left_anti").select("doc_id", "text", "key").mapInArrow(_combine(bits), _ENTRY)
+    entries = seldom.unionByName(often).repartition("owner").sortWithinPartitions("owner")
     index = space.save(entries.mapInArrow(_own(capacity), _INDEX), "index")
     parts = index.groupBy("owner").agg((1 + F.floor(F.sum("group_size") / probe_rows)).cast("int").alias("parts"))
     owner = F.shiftrightunsigned("key", 64 - bits).cast("int")  # the top bits, as owners have them

@@ -63,3 +63,15 @@ def test_same_key_different_text_is_told_apart(spark):
     entries = rows.mapInArrow(E._combine(2), E._ENTRY)
     index = entries.mapInArrow(E._own(4), E._INDEX).select(F.col("group_size"), "keep_id", "chain").collect()
     assert sorted((r.group_size, r.keep_id) for r in index) == [(1, 2), (2, 3)]
+
+
+def test_a_text_of_most_rows_over_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(E, "SALTS", 3)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 10 = 3 THEN concat('text ', id DIV 20) ELSE repeat('hot text ', 50) END AS text").repartition(40)
+    rows = {r.doc_id: r for r in E.exact_groups(docs).collect()}
+    hot = [i for i in range(3000) if i % 10 != 3]
+    assert len(rows) == 3000
+    assert all((rows[i].keep_id, rows[i].group_size, rows[i].kept) == (2999, len(hot), i == 2999) for i in hot)
+    for i in (3, 13, 2993):
+        same = [j for j in range(3000) if j % 10 == 3 and j // 20 == i // 20]
+        assert (rows[i].keep_id, rows[i].group_size) == (max(same), len(same))
