@@ -161,7 +161,9 @@ def _scan(index, gram: int, window: int):
                     total += hashes[around + j] * factors[j]
                 total = tb.mix(total)
                 ok = windows.holds(total)
-                found.append((around[ok], np.full(np.count_nonzero(ok), size, np.int32), total[ok], _bodies(low, starts, ends, around[ok], size)))
+                around, total = around[ok], total[ok]
+                fingerprint = tb.sliding_min(grams, size - k + 1)[around] if len(around) else total
+                found.append((around, np.full(len(around), size, np.int32), total, _bodies(low, starts, ends, around, size), fingerprint))
             at = np.concatenate([x[0] for x in found]) if found else np.empty(0, np.int64)
             order = np.argsort(owner[at], kind="stable")
             first = np.cumsum(n_words) - n_words
@@ -170,10 +172,11 @@ def _scan(index, gram: int, window: int):
                 pa.concat_arrays([pa.array(x[1]) for x in found]).take(pa.array(order)) if found else pa.array([], pa.int32()),
                 pa.concat_arrays([pa.array(tb.signed(x[2])) for x in found]).take(pa.array(order)) if found else pa.array([], pa.int64()),
                 pa.concat_arrays([x[3] for x in found]).take(pa.array(order)) if found else pa.array([], pa.binary()),
+                pa.concat_arrays([pa.array(tb.signed(x[4])) for x in found]).take(pa.array(order)) if found else pa.array([], pa.int64()),
             ]
             listed = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=n))]), pa.int32()),
-                pa.StructArray.from_arrays(fields, ["pos", "size", "h", "body"]),
+                pa.StructArray.from_arrays(fields, ["pos", "size", "h", "body", "print"]),
             )
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column("doc_id"), pa.array(n_words), listed], ["row", "doc_id", "n_words", "found"])
             row += n
@@ -181,7 +184,7 @@ def _scan(index, gram: int, window: int):
     return run
 
 
-_FOUND = "row long, doc_id long, n_words long, found array<struct<pos:long,size:int,h:long,body:binary>>"
+_FOUND = "row long, doc_id long, n_words long, found array<struct<pos:long,size:int,h:long,body:binary,print:long>>"
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -204,7 +207,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     scanned = space.save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(filters, gram, window), _FOUND), "scanned")
 
     asked = scanned.select("row", F.inline("found"))
-    hits = asked.join(index.drop("print").hint("merge"), ["size", "h", "body"]).select("row", "pos", (F.col("pos") + F.col("size")).alias("end"), "items")
+    hits = asked.join(index.hint("merge"), ["size", "print", "h", "body"]).select("row", "pos", (F.col("pos") + F.col("size")).alias("end"), "items")
     in_row = Window.partitionBy("row").orderBy("pos", "end")
     reach = F.max("end").over(in_row.rowsBetween(Window.unboundedPreceding, -1))
     runs = hits.select("row", "pos", "end", (F.col("pos") > F.coalesce(reach, F.lit(-1))).cast("int").alias("new"))
