@@ -159,7 +159,7 @@ def _build_shard(min_docs: int):
 
 
 def _probe(min_docs: int):
-    out = pa.schema({"doc_id": pa.int64(), "h1": pa.int64()})
+    out = pa.schema({"doc_id": pa.int64(), "h1": pa.int64(), "h2": pa.int64()})
 
     def probe(probes: pa.Table, index: pa.Table) -> pa.Table:
         if not probes.num_rows or not index.num_rows:
@@ -170,33 +170,37 @@ def _probe(min_docs: int):
         counts = np.frombuffer(row["counts"], np.uint8 if min_docs < 256 else np.uint32)
         known = (at >= 0) & (np.frombuffer(row["prints"], np.uint16)[at] == _fingerprint(h1, h2))
         hit = pa.array(known & (counts[at] >= min_docs))
-        return probes.select(["doc_id", "h1"]).filter(hit).cast(out)
+        return probes.select(["doc_id", "h1", "h2"]).filter(hit).cast(out)
 
     return probe
 
 
 def _rewrite(min_length: int, fields: list[str]):
-    """Drops lines whose first hash is among the document's hits."""
+    """Drops lines whose two hashes are among the document's hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches):
             data, bounds = tb.texts(batch.column("text"))
-            starts, ends, doc, h1, _, counted = _line_keys(data, bounds, min_length)
+            starts, ends, doc, h1, h2, counted = _line_keys(data, bounds, min_length)
             hits = batch.column("hits").fill_null([]) if batch.column("hits").null_count else batch.column("hits")
-            values = hits.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            first, second = (hits.flatten().field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("h1", "h2"))
             owners = np.repeat(np.arange(batch.num_rows), pc.list_value_length(hits).to_numpy(zero_copy_only=False))
-            # a line is dropped if (its document, its hash) is among the hits
+            # a line is dropped if (its document, its hashes) is among the hits: sorted together, it follows its hit
             known = np.zeros(len(h1), bool)
-            if len(values):
-                mark = np.sort(tb.mix(values + owners.astype(np.uint64) * tb.U64(0x9E3779B97F4A7C15)))
-                mine = tb.mix(h1 + doc.astype(np.uint64) * tb.U64(0x9E3779B97F4A7C15))
-                known = counted & (mark[np.minimum(np.searchsorted(mark, mine), len(mark) - 1)] == mine)
+            if len(first):
+                of = np.concatenate([owners, doc])
+                one, two = np.concatenate([first, h1]), np.concatenate([second, h2])
+                order = np.lexsort((np.arange(len(of)) >= len(owners), two, one, of))
+                new = np.append(True, (of[order][1:] != of[order][:-1]) | (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
+                hit = (order < len(owners))[np.flatnonzero(new)][np.cumsum(new) - 1]
+                known[order[hit & (order >= len(owners))] - len(owners)] = True
+                known &= counted
             n_lines = np.bincount(doc, minlength=batch.num_rows)
             n_dropped = np.bincount(doc[known], minlength=batch.num_rows)
             new = batch.column("text").to_pylist()
-            first = np.cumsum(n_lines) - n_lines
+            begin = np.cumsum(n_lines) - n_lines
             for i in np.flatnonzero(n_dropped):
-                rows = np.arange(first[i], first[i] + n_lines[i])
+                rows = np.arange(begin[i], begin[i] + n_lines[i])
                 rows = rows[~known[rows]]
                 new[i] = b"\n".join(data[starts[r] : ends[r]].tobytes() for r in rows).decode("utf-8", "surrogatepass")
             given = {"text": pa.array(new, pa.string()), "n_lines": pa.array(n_lines), "n_dropped": pa.array(n_dropped)}
@@ -227,8 +231,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1) -> Dat
     parts = index.select(F.col("shard").alias("of"), F.col("parts").alias("n_parts"))
     probes = keys.select("doc_id", "h1", "h2", shard).join(parts, F.col("shard") == F.col("of"))
     probes = probes.select("doc_id", "h1", "h2", "shard", F.pmod(F.hash("doc_id"), "n_parts").alias("part"))
-    hits = probes.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(_probe(min_docs), "doc_id long, h1 long")
-    hits = space.save(hits.groupBy("doc_id").agg(F.collect_list("h1").alias("hits")), "hits")
+    hits = probes.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(_probe(min_docs), "doc_id long, h1 long, h2 long")
+    hits = space.save(hits.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("hits")), "hits")
     fields = [*docs.columns, "n_lines", "n_dropped"]
     schema = docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
     # one plan at every size: hits grow with the documents, so they are never broadcast
