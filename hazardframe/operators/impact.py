@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardframe.functions import metrics as M
+from hazardframe.operators import hazard as H
 from hazardframe.operators import ranks
 from hazardframe.operators.nearest import nearest
 from hazardframe.sources.tables import written
@@ -44,6 +45,21 @@ def price(facilities: DataFrame, unit: DataFrame, keys: tuple[str, ...] = ()) ->
     return rows.withColumn("risk_level", M.risk_level("eal_percent")).drop("unit_eal", "unknown")
 
 
+def model_rows(facilities: DataFrame, seen: DataFrame, damage: Column, cases: DataFrame) -> DataFrame:
+    """Result rows of every facility under every case, in one plan keyed by hazard and model.
+
+    ``seen``: hazard, model, cell_id, year, intensity; ``cases``: hazard, model, one row for each run asked for. An event set's
+    frequency is one over the years with a valid intensity anywhere in it (as of ``hazard.grid_to_events``). Facilities in cells
+    that a case does not know stand with NO_HAZARD_DATA.
+    """
+    keys = ("hazard", "model")
+    known = written(seen.select(*keys, "cell_id", "year", F.nanvl(F.col("intensity").cast("double"), F.lit(None).cast("double")).alias("intensity")), "seen")
+    years = known.where("intensity IS NOT NULL").groupBy(*keys).agg((1 / F.count_distinct("year")).alias("frequency"))
+    unit = H.unit_loss(known.join(F.broadcast(years), list(keys)), damage, keys)  # a row a case
+    asked = facilities.crossJoin(F.broadcast(cases.select(*keys)))  # the cases of a run
+    return price(asked, unit, keys)
+
+
 def event_losses(facilities: DataFrame, events: DataFrame, damage: Column, keys: list[str]) -> DataFrame:
     """(keys, event_id, frequency, loss): losses summed over the priced facilities of each group."""
     priced = facilities.where("value > 0").groupBy("cell_id", *keys).agg(F.sum("value").alias("value"))

@@ -178,3 +178,12 @@ def layer_features(values: DataFrame, key: str) -> DataFrame:
     properties = F.struct("piece", "value", status.alias("status"))
     geometry = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
     return values.where(F.col("key") == key).select("piece", F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties")), {"ignoreNullFields": "false"}).alias("feature"))
+
+
+def region_summary(pieces: DataFrame, keys: Sequence[str], value: str, exposure: str) -> DataFrame:
+    """(keys, lowest, highest, pieces, n_unknown, exposure): a layer's range over each region, its pieces and its summed exposure.
+
+    A region all of whose values are unknown has a null range and keeps its pieces.
+    """
+    known = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    return pieces.groupBy(*keys).agg(F.min(known).alias("lowest"), F.max(known).alias("highest"), F.count("*").alias("pieces"), F.count_if(known.isNull()).alias("n_unknown"), F.sum(exposure).alias("exposure"))

@@ -122,6 +122,7 @@ def fit_half_speed(exposed: DataFrame, target: float, bounds: tuple[float, float
     pass evaluates a grid of candidates in one aggregation and narrows the bounds to the two around the target.
     """
     lo, hi = bounds
+    exposed = written(exposed.select("wind", "weight"), "exposed")  # each pass reads it again
     for _ in range(steps):
         grid = [lo + (hi - lo) * k / (points - 1) for k in range(points)]
         sums = exposed.agg(*[F.sum(F.col("weight") * emanuel(F.col("wind"), max(v, bounds[0] + 1e-6))).alias(f"v{k}") for k, v in enumerate(grid)]).first()

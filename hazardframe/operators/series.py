@@ -249,3 +249,20 @@ def power_law_fit(points: DataFrame, keys: list[str], x: str, y: str) -> DataFra
     both = points.where((F.col(x) > 0) & (F.col(y) > 0))
     fit = both.groupBy(*keys).agg(F.regr_slope(F.ln(y), F.ln(x)).alias("b"), F.regr_intercept(F.ln(y), F.ln(x)).alias("i"))
     return fit.select(*keys, F.exp("i").alias("a"), "b")
+
+
+def monthly_change(days: DataFrame, keys: list[str], value: str, day: str, early: Column, late: Column) -> DataFrame:
+    """(keys, month, delta): the mean of a calendar month over the late days less that over the early ones; null without both."""
+    means = [F.avg(F.when(of, F.col(value))) for of in (late, early)]
+    return days.groupBy(*keys, F.month(day).alias("month")).agg((means[0] - means[1]).alias("delta"))
+
+
+def dense_daily(events: DataFrame, ts: str, key: str) -> DataFrame:
+    """(day, key, n): events a day of each known key, 0 on days without any from the first to the last day of the table.
+
+    Counted before the calendar is laid out, so the calendar has a row for each day and key, whatever the events.
+    """
+    counts = events.where(F.col(ts).isNotNull() & F.col(key).isNotNull()).groupBy(F.to_date(ts).alias("day"), key).agg(F.count("*").alias("n"))
+    span = counts.agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
+    calendar = counts.select(key).distinct().crossJoin(F.broadcast(span)).select(key, F.explode(F.sequence("_first", "_last")).alias("day"))  # one row
+    return calendar.join(counts, ["day", key], "left").select("day", key, F.coalesce("n", F.lit(0)).alias("n"))

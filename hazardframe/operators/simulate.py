@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardframe.operators import ranks
@@ -21,18 +21,21 @@ def uniform(seed: int | str, *keys: Column | str) -> Column:
 def resamples(df: DataFrame, keys: list[str], value: str, replicates: int, seed: int) -> DataFrame:
     """(keys, replicate, x): each replicate draws as many rows of a key as it has values, with replacement.
 
-    Rows are numbered by value within their keys, so that equal values are drawn apart and draws do not
-    depend on partitions. Null values are left out.
+    Rows are numbered by value within their keys, over range partitions, so that equal values are drawn apart, draws do
+    not depend on partitions and no task takes a whole key. Null and NaN values are left out; zeros (quiet years) are
+    values like any other.
     """
-    w = Window.partitionBy(*keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x"))
-    rows = rows.withColumn("row", F.row_number().over(w.orderBy("x"))).withColumn("n", F.count("*").over(w))
-    draws = rows.select(*keys, "row", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    picked = F.least(F.floor(uniform(seed, *keys, "row", "replicate") * F.col("n")) + 1, F.col("n")).cast("int")
+    known = df.select(*keys, F.col(value).cast("double").alias("x"))
+    placed = written(ranks.positions(known, keys, "x"), "positions")
+    totals = placed.groupBy(*keys).agg(F.sum("n").alias("n"))
+    rows = placed.select(*keys, "x", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))).alias("row")).alias("r")
+    numbers = totals.select(*keys, "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("row"))
+    draws = numbers.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    picked = F.least(F.floor(uniform(seed, *keys, "row", "replicate") * F.col("n")) + 1, F.col("n"))
     same = F.lit(True)
     for k in [*keys, "row"]:
         same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"r.{k}"))
-    drawn = draws.select(*keys, picked.alias("row"), "replicate").alias("d").join(rows.alias("r"), same)
+    drawn = draws.select(*keys, picked.alias("row"), "replicate").alias("d").join(rows, same)
     return drawn.select(*[F.col(f"d.{k}") for k in keys], "replicate", "x")
 
 

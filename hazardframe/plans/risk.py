@@ -43,22 +43,17 @@ def facilities(spark: SparkSession, sf: str) -> DataFrame:
 CASES = [("all_years", "gross"), ("all_years", "net"), ("late_years", "gross"), ("late_years", "net")]
 
 
-def hazard_units(spark: SparkSession, sf: str) -> DataFrame:
-    """(hazard, model, cell_id, unit_eal, unknown) of the four cases, from one pass over the events."""
+def model_grids(spark: SparkSession, sf: str) -> DataFrame:
+    """(hazard, model, cell_id, year, intensity) of the four cases, from one pass over the shipments."""
     lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cell_id"), F.year("l_shipdate").alias("year"), "l_quantity", F.expr(NET).alias("net"))
     grid = lines.groupBy("cell_id", "year").agg(F.max("l_quantity").alias("gross"), F.max("net").alias("net"))
     late = F.col("year") >= 1999
     each = [F.struct(F.lit(h).alias("hazard"), F.lit(m).alias("model"), F.when(late | F.lit(h != "late_years"), F.col(m)).alias("intensity")) for h, m in CASES]
-    wide = grid.select("cell_id", "year", F.inline(F.array(*each))).where("intensity IS NOT NULL")
-    years = table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("year")).distinct()
-    years = years.select(F.explode(F.array(F.lit("all_years"), F.when(late, F.lit("late_years")))).alias("hazard")).where("hazard IS NOT NULL").groupBy("hazard").agg((1 / F.count("*")).alias("frequency"))
-    return H.unit_loss(wide.join(F.broadcast(years), "hazard"), damage(), ("hazard", "model"))  # two rows
+    return grid.select("cell_id", "year", F.inline(F.array(*each))).where("intensity IS NOT NULL")
 
 
 def result_rows(spark: SparkSession, sf: str) -> DataFrame:
-    cases = F.array(*[F.struct(F.lit(h).alias("hazard"), F.lit(m).alias("model")) for h, m in CASES])
-    asked = facilities(spark, sf).select("*", F.inline(cases))
-    rows = I.price(asked, hazard_units(spark, sf), ("hazard", "model"))
+    rows = I.model_rows(facilities(spark, sf), model_grids(spark, sf), damage(), spark.createDataFrame(CASES, "hazard string, model string"))
     return rows.select("hazard", "model", "facility_id", "nation", "region", "value", "eal", "eal_percent", "risk_level", "status")
 
 

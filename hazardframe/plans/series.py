@@ -8,9 +8,11 @@ from hazardframe.functions import climate as K
 from hazardframe.functions import finance as N
 from hazardframe.functions import geo as G
 from hazardframe.functions import metrics as M
+from hazardframe.functions import special as Z
 from hazardframe.functions.curves import lerp
 from hazardframe.operators import graph, simulate
 from hazardframe.operators import impact as I
+from hazardframe.operators import lookups as L
 from hazardframe.operators import series as S
 from hazardframe.operators import tables as T
 from hazardframe.operators import validation as V
@@ -42,8 +44,8 @@ def heat_days(spark, sf):
 
 @query("monthly_delta", f"WITH {_SQL_DAILY} SELECT cell, month(day)::INTEGER AS month, round(avg(t) FILTER (WHERE year(day) >= 1999) - avg(t) FILTER (WHERE year(day) <= 1997), 3) AS delta FROM dd GROUP BY 1, 2")
 def monthly_delta(spark, sf):
-    late, early = (F.avg(F.when(c, F.col("t"))) for c in (F.year("day") >= 1999, F.year("day") <= 1997))
-    return daily(spark, sf).groupBy("cell", F.month("day").alias("month")).agg(F.round(late - early, 3).alias("delta"))
+    found = S.monthly_change(daily(spark, sf), ["cell"], "t", "day", F.year("day") <= 1997, F.year("day") >= 1999)
+    return found.withColumn("delta", F.round("delta", 3))
 
 
 @query("degree_days", f"WITH {_SQL_DAILY} SELECT cell, year(day)::INTEGER AS year, round(sum(greatest(t - 30, 0)), 6) AS degree_days, round(sum(greatest(exp(0.1 * (t - 30)) - 1, 0)), 6) AS dose FROM dd GROUP BY 1, 2")
@@ -89,7 +91,29 @@ def gev_fit(spark, sf):
     return S.gev_fit(S.l_moments(monthly(spark, sf), ["cell"], "x")).where("shape IS NOT NULL").select("cell", _r("shape"), _r("alpha", 5), _r("xi", 5))
 
 
-@query("spei_gev")
+def _sql_horner(x: str, coefficients: tuple[float, ...]) -> str:
+    out = str(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c})"
+    return out
+
+
+def sql_normal_quantile(p: str) -> str:
+    tail = f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    outer = f"({_sql_horner(tail, Z._C)} / ({_sql_horner(tail, Z._D)} * {tail} + 1))"
+    r = f"(({p} - 0.5) * ({p} - 0.5))"
+    return f"CASE WHEN {p} <= 0 THEN -3 WHEN {p} >= 1 THEN 3 WHEN {p} < 0.02425 THEN {outer} WHEN {p} > 1 - 0.02425 THEN -{outer} ELSE {_sql_horner(r, Z._A)} * ({p} - 0.5) / ({_sql_horner(r, Z._B)} * {r} + 1) END"
+
+
+_SQL_GEV_INDEX = (
+    f"{_SQL_MONTHLY}, {_SQL_LMOM}, f AS (SELECT *, 7.8590 * (2 / (3 + l3 / l2) - ln(2.0) / ln(3.0)) + 2.9554 * pow(2 / (3 + l3 / l2) - ln(2.0) / ln(3.0), 2) AS k FROM lm WHERE n >= 4 AND l2 > 0), "
+    "a AS (SELECT *, l2 * k / ((1 - pow(2.0, -k)) * gamma(1 + k)) AS alpha FROM f), g AS (SELECT *, l1 - alpha * (1 - gamma(1 + k)) / k AS xi FROM a), "
+    "pr AS (SELECT cell, month, year, CASE WHEN 1 - k * (x - xi) / alpha <= 0 THEN CASE WHEN k > 0 THEN 1 ELSE 0 END ELSE exp(-pow(1 - k * (x - xi) / alpha, 1 / k)) END AS p FROM mo JOIN g USING (cell)), "
+    f"ix AS (SELECT *, greatest(least({sql_normal_quantile('p')}, 3), -3) AS z FROM pr)"
+)
+
+
+@query("spei_gev", f"WITH {_SQL_GEV_INDEX} SELECT cell, month::INT AS month, year::INT AS year, round(p, 6) AS probability, round(z, 6) AS index, (z <= -1)::INT + (z <= -1.5)::INT + (z <= -2)::INT AS stage FROM ix")
 def spei_gev(spark, sf):
     rows = S.standardized_index(monthly(spark, sf), ["cell"], "x")
     return rows.select("cell", "month", "year", _r("probability"), _r("index"), S.drought_stage(F.col("index"), [-1.0, -1.5, -2.0]).alias("stage"))
@@ -98,7 +122,8 @@ def spei_gev(spark, sf):
 @query("region_min_max", "SELECT n_regionkey AS region, min(s_acctbal) AS lowest, max(s_acctbal) AS highest, count(*) AS pieces, round(sum(s_acctbal), 4) AS exposure FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def region_min_max(spark, sf):
     s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return s.groupBy(F.col("n_regionkey").alias("region")).agg(F.min("s_acctbal").alias("lowest"), F.max("s_acctbal").alias("highest"), F.count("*").alias("pieces"), F.round(F.sum("s_acctbal"), 4).alias("exposure"))
+    found = L.region_summary(s.withColumnRenamed("n_regionkey", "region"), ["region"], "s_acctbal", "s_acctbal")
+    return found.select("region", "lowest", "highest", "pieces", F.round("exposure", 4).alias("exposure"))
 
 
 @query("change_values", f"WITH {_SQL_DAILY}, p AS (SELECT cell, sum(greatest(t - 35, 0)) FILTER (WHERE year(day) <= 1997) AS base, sum(greatest(t - 35, 0)) FILTER (WHERE year(day) >= 1999) AS now FROM dd GROUP BY 1) SELECT cell, CASE WHEN now IS NULL OR base IS NULL THEN 'null' WHEN now = 0 AND base = 0 THEN 'both_zero' WHEN base = 0 THEN 'base_zero' ELSE 'ratio' END AS status, round(CASE WHEN base <> 0 THEN now / base END, 6) AS ratio FROM p")
@@ -176,10 +201,7 @@ def first_state_at(spark, sf):
 
 @query("dense_daily_counts", "WITH d AS (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events), INTERVAL 1 DAY))::DATE AS day), t AS (SELECT DISTINCT event_type FROM events), n AS (SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT d.day, t.event_type, coalesce(n, 0) AS n FROM d CROSS JOIN t LEFT JOIN n ON n.day = d.day AND n.event_type = t.event_type")
 def dense_daily_counts(spark, sf):
-    counts = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
-    span = counts.agg(F.min("day").alias("a"), F.max("day").alias("b"), F.collect_set("event_type").alias("types"))
-    grid = span.select(F.explode(F.sequence("a", "b")).alias("day"), "types").select("day", F.explode("types").alias("event_type"))
-    return grid.join(counts, ["day", "event_type"], "left").select("day", "event_type", F.coalesce("n", F.lit(0)).alias("n"))
+    return S.dense_daily(table(spark, sf, "events"), "ts", "event_type")
 
 
 def _assets(spark, sf):
@@ -249,9 +271,18 @@ def drainage_outlets(spark, sf):
     return graph.outlets(cells)
 
 
-@query("bootstrap_quantiles")
+_SQL_BOOT = (
+    "v AS (SELECT s_nationkey AS k, s_acctbal AS x, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier), "
+    f"d AS (SELECT k, r, least(floor((('0x' || left(md5('42|' || k || '|' || i || '|' || r), 13))::BIGINT + 0.5) / {simulate.SCALE} * n) + 1, n)::BIGINT AS i FROM v, (SELECT unnest(range(1, 201)) AS r)), "
+    "s AS (SELECT d.k, r, x, row_number() OVER (PARTITION BY d.k, r ORDER BY x) - 1 AS j, count(*) OVER (PARTITION BY d.k, r) AS n FROM d JOIN v USING (k, i)), "
+    "b AS (SELECT k, r, avg(x) AS l1, 2 * avg(x * j / (n - 1)) - avg(x) AS l2 FROM s WHERE n >= 3 GROUP BY 1, 2), "
+    "l AS (SELECT k, t, l1 - 0.5772156649015329 * l2 / ln(2.0) - l2 / ln(2.0) * ln(-ln(1 - 1 / t)) AS level FROM b, (SELECT unnest([2.0, 10.0, 100.0])::DOUBLE AS t))"
+)
+
+
+@query("bootstrap_quantiles", f"WITH {_SQL_BOOT} SELECT k AS s_nationkey, t AS return_period, q AS quantile, round(CASE WHEN q < 0.5 THEN quantile_cont(level, 0.05) ELSE quantile_cont(level, 0.95) END, 4) AS level FROM l, (SELECT unnest([0.05, 0.95])::DOUBLE AS q) GROUP BY k, t, q")
 def bootstrap_quantiles(spark, sf):
-    return simulate.bootstrap_quantiles(table(spark, sf, "supplier"), ["s_nationkey"], "s_acctbal", [2.0, 10.0, 100.0])
+    return simulate.bootstrap_quantiles(table(spark, sf, "supplier"), ["s_nationkey"], "s_acctbal", [2.0, 10.0, 100.0]).withColumn("level", F.round("level", 4))
 
 
 @query("runoff", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity > 0.2 * (25400 / 80.0 - 254) THEN pow(l_quantity - 0.2 * (25400 / 80.0 - 254), 2) / (l_quantity + 0.8 * (25400 / 80.0 - 254)) ELSE 0 END, 9) AS runoff, round(6.112 * exp(17.62 * l_quantity / (243.12 + l_quantity)), 6) AS vapour FROM lineitem")
