@@ -190,3 +190,16 @@ def site_sheets(sites: DataFrame, half_km: float, step_km: float, ground: DataFr
         ((relief("_z") + relief("z_surface")) / 2).alias("relief"),
     )
     return sites.join(docs, "site")
+
+
+def drought_values(months: DataFrame, index: str, thresholds: Sequence[float]) -> DataFrame:
+    """Values (cell_id, key, value) of a drought index: the mean of its seasonal minima, and the share of years at each stage.
+
+    ``months``: cell_id, year and the index of the season's months; a year without a known index is left out. Key ``minimum``, and
+    ``stage_k`` for the share of years whose minimum is at or below k thresholds or more.
+    """
+    yearly = months.groupBy("cell_id", "year").agg(F.min(index).alias("_least")).where("_least IS NOT NULL")
+    stages = [F.avg((F.col("_least") <= t).cast("double")).alias(f"stage_{k}") for k, t in enumerate(thresholds, 1)]
+    means = yearly.groupBy("cell_id").agg(F.avg("_least").alias("minimum"), *stages)
+    names = ["minimum", *[f"stage_{k}" for k in range(1, len(thresholds) + 1)]]
+    return means.select("cell_id", F.inline(F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).alias("value")) for n in names])))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardframe.functions import perils as P
-from hazardframe.functions.curves import emanuel
+from hazardframe.functions.curves import emanuel, lerp_arrays
 from hazardframe.operators import ranks
 from hazardframe.operators.nearest import nearest
 from hazardframe.operators.simulate import uniform
@@ -222,3 +222,30 @@ def share_over65(sites: DataFrame, countries: DataFrame, cities: DataFrame, most
     own = F.when(F.col("share_override").isNotNull(), F.least(F.greatest(F.col("share_override"), F.lit(0.0)), F.lit(most)))
     source = F.when(own.isNotNull(), "override").when(F.col("_country").isNotNull(), "country").when(F.col("_city").isNotNull(), "city")
     return rows.select(*sites.columns, F.coalesce(own, "_country", "_city").alias("share_over65"), source.alias("share_source"))
+
+
+def curve_registry(spark) -> DataFrame:
+    """(peril, vulnerability, points): every published damage curve as a table of points (structs x, y), one row each."""
+    rows = []
+    for name, c in P.CLASSES.items():
+        rows += [("flood", name, list(zip(P.FLOOD_DEPTHS, c.flood))), ("earthquake", name, list(zip(P.SHAKING, c.shaking)))]
+        for peril, (xs, ys) in P.CATALOG.items():
+            top = 1.0 if peril in P.RESULT_KIND else c.flood[-1]
+            rows.append((peril, name, [(x, y * top) for x, y in zip(xs, ys)]))
+    return spark.createDataFrame(rows, "peril string, vulnerability string, points array<struct<x: double, y: double>>")
+
+
+def run_registered(assets: DataFrame, events: DataFrame, registry: DataFrame) -> DataFrame:
+    """(peril, asset_id, eai): frequency-weighted impact under every peril of the events, by curves held in a table.
+
+    ``events``: peril, event_id, cell_id, intensity, frequency; ``assets``: asset_id, cell_id, vulnerability (an unknown class takes
+    the first), amount. Events are aggregated for each cell and class before they meet the assets; without any, 0.
+    """
+    known = F.when(F.col("vulnerability").isin(*P.CLASSES), F.col("vulnerability")).otherwise(P.FIRST_CLASS)
+    assets = assets.withColumn("vulnerability", known)
+    classes = assets.select("vulnerability", "cell_id").distinct()
+    met = events.where("intensity IS NOT NULL").join(classes, "cell_id").join(F.broadcast(registry), ["peril", "vulnerability"])  # a row a curve
+    unit = met.groupBy("peril", "cell_id", "vulnerability").agg(F.sum(F.col("frequency") * lerp_arrays(F.col("intensity"), F.col("points"))).alias("unit"))
+    asked = assets.crossJoin(F.broadcast(events.select("peril").distinct()))  # a few perils
+    rows = asked.join(unit, ["peril", "cell_id", "vulnerability"], "left")
+    return rows.groupBy("peril", "asset_id").agg(F.sum(F.coalesce(F.col("amount") * F.col("unit"), F.lit(0.0))).alias("eai"))

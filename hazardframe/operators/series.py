@@ -266,3 +266,14 @@ def dense_daily(events: DataFrame, ts: str, key: str) -> DataFrame:
     span = counts.agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
     calendar = counts.select(key).distinct().crossJoin(F.broadcast(span)).select(key, F.explode(F.sequence("_first", "_last")).alias("day"))  # one row
     return calendar.join(counts, ["day", key], "left").select("day", key, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def onset_level(df: DataFrame, keys: list[str], at: str, value: str, level: float) -> DataFrame:
+    """(keys, onset): where a sweep first reaches the level, linear between its points; null if it never does.
+
+    A sweep that begins at or above the level has its first point. Points of unknown value are left out.
+    """
+    w = Window.partitionBy(*keys).orderBy(at)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(at).cast("double").alias("x1"), F.col(value).cast("double").alias("y1"), F.lag(F.col(at).cast("double")).over(w).alias("x0"), F.lag(F.col(value).cast("double")).over(w).alias("y0"))
+    reached = F.when(F.col("y0").isNull(), F.col("x1")).otherwise(F.col("x0") + (F.col("x1") - F.col("x0")) * F.try_divide(level - F.col("y0"), F.col("y1") - F.col("y0")))
+    return rows.groupBy(*keys).agg(F.min_by(F.when(F.col("y1") >= level, reached), F.when(F.col("y1") >= level, F.col("x1"))).alias("onset"))

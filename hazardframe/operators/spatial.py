@@ -58,6 +58,15 @@ def rate_per_100k(deaths: Column, people: Column) -> Column:
     return F.when(people > 0, deaths * 100_000 / people)
 
 
+def yearly_rate(counts: DataFrame, people: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rate, n_years): the mean over years of cases per 100,000 people; years without known people are left out.
+
+    ``counts``: keys, year, n; ``people``: keys, year, people.
+    """
+    per = counts.join(people, [*keys, "year"], "left").withColumn("_rate", rate_per_100k(F.col("n"), F.col("people")))
+    return per.groupBy(*keys).agg(F.avg("_rate").alias("rate"), F.count("_rate").alias("n_years"))
+
+
 def majority(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """(keys, value): the most common known value of each group, of equally common ones the first by ``order``.
 

@@ -54,10 +54,14 @@ def portfolio_totals(rows: DataFrame) -> DataFrame:
     return per.union(everything).withColumn("eal_percent", M.eal_percent("eal", "value"))
 
 
-def province_summary(rows: DataFrame, province: str) -> DataFrame:
-    """Counts by level and the highest level of each province; no money is summed here."""
+def province_summary(rows: DataFrame, province: str, indicator: str | None = None, heat: str = "heat") -> DataFrame:
+    """Counts by level and the highest level of each province; no money is summed here.
+
+    With ``indicator``, adds heat_max: the highest value read of it among the rows of the hazard ``heat``, null without any.
+    """
+    extra = [] if indicator is None else [F.max(F.when(F.col("hazard") == heat, F.nanvl(F.col(indicator).cast("double"), F.lit(None).cast("double")))).alias("heat_max")]
     counts = [F.count_if(F.col("risk_level") == x).alias(f"n_{x.lower()}") for x in LEVELS]
-    return rows.groupBy(province).agg(F.count_distinct("facility_id").alias("facilities"), *counts, highest_level().alias("highest"))
+    return rows.groupBy(province).agg(F.count_distinct("facility_id").alias("facilities"), *counts, highest_level().alias("highest"), *extra)
 
 
 def compare_models(rows: DataFrame, base: str, other: str) -> DataFrame:
@@ -115,3 +119,24 @@ def merge_assets(existing: DataFrame, incoming: DataFrame, key: str = "facility_
     known = existing.select(F.col(key), F.lit(True).alias("known"))
     put = incoming.join(known, key, "left").withColumn("action", F.when(F.col("known"), "replaced").otherwise("added")).drop("known")
     return kept.unionByName(put)
+
+
+def monetary_sum(rows: DataFrame, key: str = "facility_id") -> DataFrame:
+    """(key, eal): the summed loss of each asset over priced rows of monetary results; a row without a kind is monetary."""
+    money = F.expr(PRICED) & (F.coalesce(F.col("result_kind"), F.lit("monetary")) == "monetary")
+    return rows.where(money).groupBy(key).agg(F.sum("eal").alias("eal"))
+
+
+def baseline_runs(hazards: DataFrame, baseline: str, future: str, year: int, first_window: int, own_chain: tuple[str, ...] = ("RF",)) -> DataFrame:
+    """(scenario, year, hazards): the runs that make up a baseline, like for like.
+
+    A named scenario is one run of every hazard. The baseline 'present' takes, for the hazards of ``own_chain``, the future
+    scenario's own product at its first window, and for all others the historical set. ``hazards``: hazard, place.
+    """
+    if baseline != "present":
+        scenario, at = F.lit(baseline), F.lit(year)
+    else:
+        own = F.col("hazard").isin(*own_chain)
+        scenario, at = F.when(own, future).otherwise("historical"), F.when(own, first_window).otherwise(year)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "hazard"))), lambda x: x["hazard"])
+    return hazards.select("hazard", "place", scenario.alias("scenario"), at.alias("year")).groupBy("scenario", "year").agg(listed.alias("hazards"))

@@ -6,18 +6,23 @@ from pyspark.sql import functions as F
 
 from hazardframe.functions import flood as W
 from hazardframe.functions import palette as C
+from hazardframe.functions import perils as D
 from hazardframe.functions import polygons as P
 from hazardframe.functions.curves import lerp
 from hazardframe.functions.geo import EARTH_KM
 from hazardframe.operators import checks as Q
+from hazardframe.operators import hazard as H
 from hazardframe.operators import perils as R
 from hazardframe.operators import polygons as O
+from hazardframe.operators import series as S_
+from hazardframe.operators import spatial as A
+from hazardframe.operators import tables as T
 from hazardframe.operators import validation as V
 from hazardframe.operators import views
-from hazardframe.plans.perils import _sql_lerp
+from hazardframe.plans.perils import _SQL_ASSETS, _sql_lerp, peril_assets
 from hazardframe.plans.polygons import _SQL_INSIDE, _SQL_RECTS, rectangles
 from hazardframe.plans.registry import query
-from hazardframe.plans.risk import _r, result_rows
+from hazardframe.plans.risk import _SQL_STEP, _r, damage, grid, result_rows, sql_grid, sql_lerp
 from hazardframe.plans.series import _SQL_DAILY, _points, daily
 from hazardframe.plans.views import SQL_ROWS
 from hazardframe.sources import imports as I
@@ -83,7 +88,7 @@ _SQL_HEAT = (
     "k AS (SELECT cell, CASE WHEN min(ru) < max(ru) AND min(rh) < max(rh) THEN corr(ru, rh) END AS rho FROM r GROUP BY 1), m AS (SELECT cell, avg(u) AS u, avg(h) AS h FROM y GROUP BY 1), "
     "a AS (SELECT s_suppkey, CASE WHEN s_suppkey % 6 <> 0 THEN u END AS u, h, rho, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 40 END AS km FROM supplier LEFT JOIN m ON m.cell = s_nationkey LEFT JOIN k ON k.cell = s_nationkey), "
     "n AS (SELECT * FROM a WHERE u IS NOT NULL), rr AS (SELECT rank() OVER (ORDER BY u) + (count(*) OVER (PARTITION BY u) - 1) / 2.0 AS ru, rank() OVER (ORDER BY h) + (count(*) OVER (PARTITION BY h) - 1) / 2.0 AS rh FROM n), "
-    "c AS (SELECT (SELECT count(*) FROM a) - count(*) AS n_no_data, count(*) AS n_assets, count(*) FILTER (WHERE rho < 0.6 OR km > 30) AS n_warn_any, count(*) FILTER (WHERE rho < 0.6) AS c1_fail, count(*) FILTER (WHERE rho IS NULL) AS c1_unchecked, count(*) FILTER (WHERE km > 30) AS c3_fail, count(*) FILTER (WHERE km IS NULL) AS c3_unchecked, (SELECT corr(ru, rh) FROM rr) AS rank FROM n)"
+    "c AS (SELECT (SELECT count(*) FROM a) - count(*) AS n_no_data, count(*) AS n_assets, count(*) FILTER (WHERE rho < 0.6 OR km > 30) AS n_warn_any, count(*) FILTER (WHERE rho < 0.6) AS c1_fail, count(*) FILTER (WHERE rho IS NULL) AS c1_unchecked, count(*) FILTER (WHERE km > 30) AS c3_fail, count(*) FILTER (WHERE km IS NULL) AS c3_unchecked, CASE WHEN count(*) >= 10 THEN (SELECT corr(ru, rh) FROM rr) END AS rank FROM n)"
 )
 
 
@@ -160,3 +165,75 @@ def asset_rules(spark, sf):
     )
     checked = X.validate_assets(rows, ("automobile", "furniture", "household"))
     return checked.select("facility_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query("rain_onset", "WITH s AS (SELECT l_suppkey AS site, l_linenumber * 20.0 AS mm, max(l_quantity) / 10 AS depth FROM lineitem WHERE l_quantity < 10 + l_linenumber * 6 GROUP BY 1, 2), p AS (SELECT *, lag(mm) OVER w AS m0, lag(depth) OVER w AS d0 FROM s WINDOW w AS (PARTITION BY site ORDER BY mm)) SELECT site, round(arg_min(CASE WHEN d0 IS NULL THEN mm ELSE m0 + (mm - m0) * (2.6 - d0) / nullif(depth - d0, 0) END, mm) FILTER (WHERE depth >= 2.6), 6)::DOUBLE AS onset FROM p GROUP BY 1")
+def rain_onset(spark, sf):
+    sweep = table(spark, sf, "lineitem").where("l_quantity < 10 + l_linenumber * 6").groupBy(F.col("l_suppkey").alias("site"), (F.col("l_linenumber") * 20.0).alias("mm")).agg((F.max("l_quantity") / 10).alias("depth"))
+    return S_.onset_level(sweep, ["site"], "mm", "depth", 2.6).withColumn("onset", F.round("onset", 6))
+
+
+@query("yearly_rates", "WITH n AS (SELECT c_nationkey AS region, year(o_orderdate) AS year, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2), p AS (SELECT c_nationkey AS region, y AS year, count(*) * 1000 AS people FROM customer, (SELECT DISTINCT year(o_orderdate) AS y FROM orders) WHERE (c_nationkey + y) % 4 <> 0 GROUP BY 1, 2) SELECT region, round(avg(n * 100000.0 / people), 6) AS rate, count(people) AS n_years FROM n LEFT JOIN p USING (region, year) GROUP BY 1")
+def yearly_rates(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("region"))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("year"))
+    counts = o.join(c, "c_custkey").groupBy("region", "year").agg(F.count("*").alias("n"))
+    people = c.groupBy("region").agg((F.count("*") * 1000).alias("people")).crossJoin(F.broadcast(o.select("year").distinct()))  # a few years
+    return A.yearly_rate(counts, people.where((F.col("region") + F.col("year")) % 4 != 0), ["region"]).withColumn("rate", F.round("rate", 6))
+
+
+@query("province_heat", f"WITH {SQL_ROWS} SELECT nation, count(DISTINCT facility_id) AS facilities, count(*) FILTER (WHERE risk_level = 'High') AS n_high, round(max(pct) FILTER (WHERE hazard = 'late_years'), 6) AS heat_max FROM res GROUP BY 1")
+def province_heat(spark, sf):
+    return T.province_summary(result_rows(spark, sf), "nation", "eal_percent", "late_years").select("nation", "facilities", "n_high", _r("heat_max"))
+
+
+@query("monetary_sum", f"WITH {SQL_ROWS} SELECT facility_id, round(sum(eal), 4) AS eal FROM res WHERE status = 'FULL' AND NOT (hazard = 'late_years' AND facility_id % 2 = 0) GROUP BY 1")
+def monetary_sum(spark, sf):
+    other = (F.col("hazard") == "late_years") & (F.col("facility_id") % 2 == 0)
+    rows = result_rows(spark, sf).withColumn("result_kind", F.when(other, "mortality").when(F.col("facility_id") % 3 == 0, "monetary"))
+    return T.monetary_sum(rows).withColumn("eal", F.round("eal", 4))
+
+
+@query("baseline_runs", "SELECT CASE WHEN p_brand LIKE '%1' THEN 'rcp85' ELSE 'historical' END AS scenario, CASE WHEN p_brand LIKE '%1' THEN 2010 ELSE 2050 END AS year, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS hazards FROM part GROUP BY 1, 2")
+def baseline_runs(spark, sf):
+    """Brands as hazards: those that end in 1 have a model chain of their own."""
+    hazards = table(spark, sf, "part").select(F.col("p_brand").alias("hazard")).distinct().withColumn("place", F.col("hazard"))
+    own = tuple(r.hazard for r in hazards.where("hazard LIKE '%1'").collect())  # a few brands
+    return T.baseline_runs(hazards, "present", "rcp85", 2050, 2010, own).withColumn("hazards", F.array_join("hazards", ","))
+
+
+_SQL_LADDER = lambda xs, ys: _sql_lerp(xs, ys).format(x="x")
+_SQL_REGISTERED = " UNION ALL ".join(
+    f"SELECT '{peril}' AS peril, '{name}' AS vulnerability, cell_id, sum(f * {_SQL_LADDER(xs, ys)}) AS unit FROM ev WHERE peril = '{peril}' GROUP BY cell_id"
+    for name, c in D.CLASSES.items() for peril, xs, ys in (("flood", D.FLOOD_DEPTHS, c.flood), ("earthquake", D.SHAKING, c.shaking), ("drought", *D.CATALOG["drought"]), ("hail", D.CATALOG["hail"][0], tuple(y * c.flood[-1] for y in D.CATALOG["hail"][1])))
+)
+_FACTORS = {"flood": 0.1, "earthquake": 0.2, "drought": 0.08, "hail": 0.2}
+
+
+@query(
+    "registered_perils",
+    f"WITH {sql_grid()}, {_SQL_ASSETS}, ev AS (SELECT peril, cell_id, intensity * k AS x, 1.0 / (SELECT count(DISTINCT yr) FROM grid) AS f FROM grid, (VALUES {', '.join(f"('{p}', {k})" for p, k in _FACTORS.items())}) t(peril, k)), u AS ({_SQL_REGISTERED}) "
+    "SELECT t.peril, asset_id, round(coalesce(amount * unit, 0), 6) AS eai FROM ast CROSS JOIN (SELECT DISTINCT peril FROM ev) t LEFT JOIN u ON u.peril = t.peril AND u.cell_id = ast.cell_id AND u.vulnerability = ast.vulnerability",
+)
+def registered_perils(spark, sf):
+    """Four perils in one plan, their curves joined from the registry's table."""
+    events = H.grid_to_events(grid(spark, sf))
+    scaled = events.select("event_id", "cell_id", "frequency", F.inline(F.array(*[F.struct(F.lit(p).alias("peril"), (F.col("intensity") * k).alias("intensity")) for p, k in _FACTORS.items()])))
+    return R.run_registered(peril_assets(spark, sf), scaled, R.curve_registry(spark)).withColumn("eai", F.round("eai", 6))
+
+
+_SQL_UNIT = f"sum(({sql_lerp('i')}) / (SELECT count(DISTINCT yr) FROM grid))"
+
+
+@query(
+    "climate_comparison",
+    f"WITH {sql_grid()}, {_SQL_STEP}, th AS (SELECT cell_id, coalesce(max(intensity) FILTER (WHERE cum >= 0.5 * (1 - 1e-9)), 0) AS x FROM ranked GROUP BY 1), n AS (SELECT cell_id, {_SQL_UNIT} AS now FROM (SELECT g.cell_id, CASE WHEN intensity > x THEN intensity ELSE 0 END AS i FROM grid g JOIN th USING (cell_id)) GROUP BY 1), f AS (SELECT cell_id, {_SQL_UNIT} AS future FROM (SELECT g.cell_id, CASE WHEN intensity * 1.2 > x THEN intensity * 1.2 ELSE 0 END AS i FROM grid g JOIN th USING (cell_id)) GROUP BY 1) SELECT cell_id, round(now, 9) AS now, round(future, 9) AS future, round(future / nullif(now, 0), 6) AS ratio FROM n JOIN f USING (cell_id)",
+)
+def climate_comparison(spark, sf):
+    """Losses behind defences built for the present two-year event, now and under a hazard stronger by a fifth."""
+    events = H.grid_to_events(grid(spark, sf))
+    built = H.intensity_at_return_period(events, [2.0]).select(F.lit("rp2").alias("scenario"), "cell_id", F.col("intensity").alias("threshold"))
+    unit = lambda e: H.unit_loss(e, damage())
+    behind = lambda e, name: R.defence_scenarios(e, built, unit).where("scenario = 'rp2'").select("cell_id", F.col("unit_eal").alias(name))
+    both = behind(events, "now").join(behind(events.withColumn("intensity", F.col("intensity") * 1.2), "future"), "cell_id")
+    return both.select("cell_id", _r("now", 9), _r("future", 9), F.round(F.try_divide("future", "now"), 6).alias("ratio"))

@@ -14,7 +14,7 @@ from hazardframe.plans.lookups import _SQL_LOCAL
 from hazardframe.plans.polygons import _SQL_INSIDE, _SQL_PIXELS, _SQL_RECTS, ORIGIN, SQL_PIECES, STEP, pieces, pixels, rectangles
 from hazardframe.plans.registry import query
 from hazardframe.plans.risk import _r
-from hazardframe.plans.series import _SQL_DAILY, _points, daily
+from hazardframe.plans.series import _SQL_DAILY, _SQL_GEV_INDEX, _points, daily, monthly
 from hazardframe.sources.tables import table
 
 PERIODS = (1.0, 2.0, 5.0, 50.0)
@@ -127,3 +127,17 @@ def site_sheets(spark, sf):
     found = Y.site_sheets(sites, _HALF, _KM, bare, top, ORIGIN, STEP, maps.unionByName(often), [10.0, 100.0], 1.0)
     rows = found.select("site", "ground_source", _r("relief"), F.inline("section"))
     return rows.select("site", "ground_source", "relief", "km", *[_r(c) for c in ("lat", "lon", "z_ground", "z_surface")], "classes.rp10", "classes.rp100")
+
+
+@query(
+    "drought_layer",
+    f"WITH {_SQL_GEV_INDEX}, {SQL_PIECES}, yl AS (SELECT cell, year, min(z) AS least FROM ix WHERE month BETWEEN 4 AND 9 GROUP BY 1, 2), dv AS (SELECT cell, avg(least) AS minimum, avg((least <= -1)::INT) AS s1, avg((least <= -1.5)::INT) AS s2 FROM yl GROUP BY 1), "
+    "v AS (SELECT cell, 'minimum' AS key, minimum AS value FROM dv UNION ALL SELECT cell, 'stage_1', s1 FROM dv UNION ALL SELECT cell, 'stage_2', s2 FROM dv) SELECT p.cell_id, code, k.key, round(value, 4) AS value FROM pieces p CROSS JOIN (SELECT unnest(['minimum', 'stage_1', 'stage_2']) AS key) k LEFT JOIN v ON v.cell = p.cell_id % 27 AND v.key = k.key",
+)
+def drought_layer(spark, sf):
+    """The index of a cell is that of the nation by its number; two of 27 have none."""
+    index = S.standardized_index(monthly(spark, sf), ["cell"], "x").where(F.col("month").between(4, 9))
+    values = Y.drought_values(index.withColumnRenamed("cell", "cell_id"), "index", [-1.0, -1.5])
+    cells = pixels(spark, sf).select("cell_id", (F.col("cell_id") % 27).alias("nation"))
+    rows = Y.layer_pieces(pieces(spark, sf), cells.join(values.withColumnRenamed("cell_id", "nation"), "nation").drop("nation"))
+    return rows.select("cell_id", "code", F.explode("values").alias("key", "value"))

@@ -53,3 +53,37 @@ def test_resamples_draw_rows_of_a_hot_value(spark):
     assert len(per) == 40 and {n for (k, _), (n, _) in per.items() if k} == {1000} and {n for (k, _), (n, _) in per.items() if not k} == {3}
     share = sum(h for (k, _), (_, h) in per.items() if k) / 20_000
     assert abs(share - 0.901) < 0.01
+
+
+def test_onset_level(spark):
+    rows = [("a", 10.0, 0.0), ("a", 20.0, 1.0), ("a", 30.0, 0.5), ("a", 40.0, 3.0), ("b", 10.0, 2.0), ("b", 20.0, 3.0), ("c", 10.0, 0.1), ("d", 10.0, None), ("d", 20.0, 1.0)]
+    found = {r.k: r.onset for r in S.onset_level(spark.createDataFrame(rows, "k string, mm double, depth double"), ["k"], "mm", "depth", 0.8).collect()}
+    assert found == {"a": pytest.approx(18.0), "b": 10.0, "c": None, "d": 20.0}
+
+
+def test_baselines_and_monetary_sums(spark):
+    from hazardframe.operators import tables as T
+
+    hazards = spark.createDataFrame([("TC", 1), ("RF", 2), ("HW", 3)], "hazard string, place int")
+    runs = {(r.scenario, r.year): r.hazards for r in T.baseline_runs(hazards, "present", "rcp85", 2050, 2010).collect()}
+    assert runs == {("rcp85", 2010): ["RF"], ("historical", 2050): ["TC", "HW"]}
+    assert [tuple(r) for r in T.baseline_runs(hazards, "rcp26", "rcp85", 2050, 2010).collect()] == [("rcp26", 2050, ["TC", "RF", "HW"])]
+    rows = spark.createDataFrame([("a", "FULL", 1.0, None), ("a", "FULL", 2.0, "monetary"), ("a", "FULL", 9.0, "mortality"), ("b", "NO_HAZARD_DATA", None, None)], "facility_id string, status string, eal double, result_kind string")
+    assert [tuple(r) for r in T.monetary_sum(rows).collect()] == [("a", 3.0)]
+
+
+def test_yearly_rate_skips_years_without_people(spark):
+    from hazardframe.operators import spatial as A
+
+    counts = spark.createDataFrame([("r", 2001, 2), ("r", 2002, 4), ("r", 2003, 100), ("q", 2001, 1)], "region string, year int, n int")
+    people = spark.createDataFrame([("r", 2001, 1000.0), ("r", 2002, 4000.0), ("r", 2003, 0.0)], "region string, year int, people double")
+    found = {r.region: (r.rate, r.n_years) for r in A.yearly_rate(counts, people, ["region"]).collect()}
+    assert found == {"r": (pytest.approx(150.0), 2), "q": (None, 0)}
+
+
+def test_drought_values(spark):
+    from hazardframe.operators import layers as Y
+
+    rows = [(1, 2000, -1.2), (1, 2000, 0.3), (1, 2001, -2.5), (1, 2002, None), (2, 2000, None)]
+    found = {(r.cell_id, r.key): r.value for r in Y.drought_values(spark.createDataFrame(rows, "cell_id int, year int, z double"), "z", [-1.0, -2.0]).collect()}
+    assert found == {(1, "minimum"): pytest.approx(-1.85), (1, "stage_1"): 1.0, (1, "stage_2"): 0.5}
