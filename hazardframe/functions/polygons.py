@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ def edges(ring: Column) -> Column:
     return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
+def _named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def box_ring(south: Column, north: Column, west: Column, east: Column) -> Column:
     corner = lambda a, o: F.struct(a.cast("double").alias("lat"), o.cast("double").alias("lon"))
     return F.array(corner(south, west), corner(south, east), corner(north, east), corner(north, west), corner(south, west))
@@ -36,20 +42,23 @@ def clip_ring(ring: Column, south: Column, north: Column, west: Column, east: Co
         above = lambda v: F.when(side["lat"], v["lat"]).otherwise(v["lon"]) * side["sign"] - side["at"] * side["sign"]
 
         def emit(e: Column) -> Column:
-            da, db = above(e["a"]), above(e["b"])
+            da, db = e["a"]["d"], e["b"]["d"]
             t = da / (da - db)
             along = lambda c: e["a"][c] + (e["b"][c] - e["a"][c]) * t
             cross = F.struct(F.when(side["lat"], side["at"]).otherwise(along("lat")).alias("lat"), F.when(side["lat"], along("lon")).otherwise(side["at"]).alias("lon"))
+            end = F.struct(e["b"]["lat"].alias("lat"), e["b"]["lon"].alias("lon"))
             none = F.array().cast(RING)
             return (
-                F.when((da >= 0) & (db >= 0), F.array(e["b"]))
+                F.when((da >= 0) & (db >= 0), F.array(end))
                 .when((da >= 0) & (db < 0), F.array(cross))
-                .when((da < 0) & (db >= 0), F.array(cross, e["b"]))
+                .when((da < 0) & (db >= 0), F.array(cross, end))
                 .otherwise(none)
             )
 
-        kept = F.flatten(F.transform(edges(points), emit))
-        return F.concat(kept, F.slice(kept, 1, 1))
+        # each corner's side is worked out once, not again in every branch of an edge
+        placed = F.transform(points, lambda v: F.struct(v["lat"].alias("lat"), v["lon"].alias("lon"), above(v).alias("d")))
+        kept = _named(placed, lambda p: F.flatten(F.transform(edges(p), emit)))
+        return _named(kept, lambda k: F.concat(k, F.slice(k, 1, 1)))
 
     side = lambda lat, at, sign: F.struct(F.lit(lat).alias("lat"), at.cast("double").alias("at"), F.lit(sign).alias("sign"))
     sides = F.array(side(True, south, 1.0), side(True, north, -1.0), side(False, west, 1.0), side(False, east, -1.0))

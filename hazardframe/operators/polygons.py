@@ -30,17 +30,42 @@ def _span(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
+def _ends(ring: str, coordinate: str) -> tuple[Column, Column]:
+    """The least and the largest coordinate of a ring."""
+    all_of = F.transform(ring, lambda v: v[coordinate])
+    return F.array_min(all_of), F.array_max(all_of)
+
+
+def _once(rows: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
+    """The kept columns and new ones, which filters and columns built on them do not work out again."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _boxed(parts: DataFrame) -> DataFrame:
+    """Adds the box of each part's ring: _s, _n, _w, _e."""
+    (south, north), (west, east) = _ends("ring", "lat"), _ends("ring", "lon")
+    return _once(parts, parts.columns, _s=south, _n=north, _w=west, _e=east)
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Joins on tiles. Rows are few and small but each pair is work: they are dealt out by tile over all shuffle
+    partitions, where a broadcast or partitions joined by their bytes would leave the pairs to a task or two."""
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(n, *keys).join(right.repartition(n, *keys).hint("merge"), list(keys))
+
+
 def cut_to_tiles(polygons: DataFrame, size: float, columns: Sequence[str]) -> DataFrame:
     """(columns, by, bx, ring, holes): each polygon's part in each tile that it has area in."""
     lats, lons = F.transform("ring", lambda v: v["lat"]), F.transform("ring", lambda v: v["lon"])
     rows = _with_holes(polygons).where(F.size("ring") >= 4)
     rows = rows.select(*columns, "ring", "holes", F.explode(_span(F.array_min(lats), F.array_max(lats), size)).alias("by"), _span(F.array_min(lons), F.array_max(lons), size).alias("_bxs"))
     # one strip of tiles at a time: the strip's part is cut once, then along it
+    left = lambda cut: {"ring": cut(F.col("ring")), "holes": F.filter(F.transform("holes", cut), lambda h: F.size(h) >= 4)}
     in_row = lambda r: P.clip_ring(r, F.col("by") * size, (F.col("by") + 1) * size, F.lit(-1e9), F.lit(1e9))
-    strip = rows.select(*columns, "by", "_bxs", in_row(F.col("ring")).alias("ring"), F.filter(F.transform("holes", in_row), lambda h: F.size(h) >= 4).alias("holes")).where(F.size("ring") >= 4)
+    strip = _once(rows, [*columns, "by", "_bxs"], **left(in_row)).where(F.size("ring") >= 4)
     tiles = strip.select(*columns, "by", F.explode("_bxs").alias("bx"), "ring", "holes")
     in_tile = lambda r: P.clip_ring(r, F.lit(-1e9), F.lit(1e9), F.col("bx") * size, (F.col("bx") + 1) * size)
-    parts = tiles.select(*columns, "by", "bx", in_tile(F.col("ring")).alias("ring"), F.filter(F.transform("holes", in_tile), lambda h: F.size(h) >= 4).alias("holes"))
+    parts = _once(tiles, [*columns, "by", "bx"], **left(in_tile))
     return parts.where(F.size("ring") >= 4)
 
 
@@ -55,11 +80,15 @@ def clip_pieces(cells: DataFrame, regions: DataFrame, step: float, size: float)
     placed = cells.select("cell_id", known("lat").alias("lat"), known("lon").alias("lon")).where("lat IS NOT NULL AND lon IS NOT NULL")
     boxes = placed.select("cell_id", *[(F.col(c) + k * half).alias(n) for c, k, n in (("lat", -1, "s"), ("lat", 1, "n"), ("lon", -1, "w"), ("lon", 1, "e"))])
     boxes = boxes.withColumn("by", F.explode(_span(F.col("s"), F.col("n"), size))).withColumn("bx", F.explode(_span(F.col("w"), F.col("e"), size)))
-    met = boxes.join(cut_to_tiles(regions, size, ["code", "name"]), ["by", "bx"])
+    boxes = boxes.withColumn("row", F.floor(F.col("s") / step))
+    # parts are dealt over the rows of cells that they may touch, and meet only cells that their box overlaps
+    parts = _boxed(cut_to_tiles(regions, size, ["code", "name"]))
+    parts = parts.withColumn("row", F.explode(F.sequence(F.floor(F.col("_s") / step) - 1, F.floor(F.col("_n") / step))))
+    met = _meet(boxes, parts, ["by", "bx", "row"]).where("_s < n AND _n > s AND _w < e AND _e > w")
     part = lambda r: P.clip_ring(r, F.col("s"), F.col("n"), F.col("w"), F.col("e"))
-    met = met.select("cell_id", "code", "name", part(F.col("ring")).alias("ring"), F.filter(F.transform("holes", part), lambda h: F.size(h) >= 4).alias("holes"))
+    met = _once(met, ["cell_id", "code", "name"], ring=part(F.col("ring")), holes=F.filter(F.transform("holes", part), lambda h: F.size(h) >= 4))
     area = P.ring_area_km2(F.col("ring")) - F.aggregate("holes", F.lit(0.0), lambda s, h: s + P.ring_area_km2(h))
-    met = met.withColumn("area", area).where(F.col("area") > 1e-9)
+    met = _once(met, met.columns, area=area).where(F.col("area") > 1e-9)
     return met.groupBy("cell_id", "code").agg(F.min("name").alias("name"), F.sum("area").alias("area_km2"), F.collect_list(F.struct("ring", "holes")).alias("polygons"))
 
 
@@ -127,11 +156,13 @@ def near_polygons(points: DataFrame, polygons: DataFrame, reach: float, size: fl
     bucket = lambda c: F.floor(F.col(c) / size)
     placed = points.select(point, known("lat").alias("lat"), known("lon").alias("lon")).where("lat IS NOT NULL AND lon IS NOT NULL")
     keyed = placed.withColumn("by", bucket("lat")).withColumn("bx", bucket("lon"))
-    inside = keyed.join(cut_to_tiles(polygons, size, [id_col]), ["by", "bx"]).where(P.in_polygon(F.col("lat"), F.col("lon"), F.col("ring"), F.col("holes"))).select(point, id_col)
+    parts = _boxed(cut_to_tiles(polygons, size, [id_col]))
+    boxed = _meet(keyed, parts, ["by", "bx"]).where("lat BETWEEN _s AND _n AND lon BETWEEN _w AND _e")
+    inside = boxed.where(P.in_polygon(F.col("lat"), F.col("lon"), F.col("ring"), F.col("holes"))).select(point, id_col)
     if reach <= 0:
         return inside.distinct()
     border = _tiles_of_edges(polygon_edges(polygons, [id_col]), reach, size, metres)
-    close = keyed.join(border, ["by", "bx"]).where(P.segment_distance(F.col("lat"), F.col("lon"), F.col("a"), F.col("b"), metres) <= reach).select(point, id_col)
+    close = _meet(keyed, border, ["by", "bx"]).where(P.segment_distance(F.col("lat"), F.col("lon"), F.col("a"), F.col("b"), metres) <= reach).select(point, id_col)
     return inside.unionByName(close).distinct()
 
 
