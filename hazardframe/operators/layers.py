@@ -33,11 +33,18 @@ def layer_pieces(pieces: DataFrame, values: DataFrame, exposure: DataFrame | Non
     ``values`` as of ``piece_values``; empty statuses are left out. ``exposure``: cell_id, name, amount: amounts that can be
     summed, shared out over a cell's pieces by area (``area_km2``) and so kept in total.
     """
-    per = piece_values(pieces, values).groupBy("cell_id", "code").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", F.round("value", digits).alias("value"))))).alias("values"),
+    # a cell's values are one row before they meet its pieces
+    keys = values.agg(F.sort_array(F.collect_set("key")).alias("_keys"))
+    status = F.col("status") if "status" in values.columns else F.lit(None).cast("string")
+    held = values.select("cell_id", "key", F.round(O.known("value"), digits).alias("value"), status.alias("status")).groupBy("cell_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_values"),
         F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("status") != "", F.struct("key", "status"))))).alias("status"),
     )
-    rows = pieces.select("cell_id", "code", "name", "polygons", "area_km2").join(per, ["cell_id", "code"], "left")
+    rows = pieces.select("cell_id", "code", "name", "polygons", "area_km2").join(held, "cell_id", "left").crossJoin(F.broadcast(keys))  # one row
+    every = F.map_from_entries(F.transform("_keys", lambda k: F.struct(k.alias("key"), F.try_element_at("_values", k).alias("value"))))
+    some = F.size("_keys") > 0
+    none = F.create_map().cast("map<string,string>")
+    rows = rows.withColumn("values", F.when(some, every)).withColumn("status", F.when(some, F.coalesce("status", none))).drop("_keys", "_values")
     if exposure is None:
         return rows.drop("area_km2").withColumn("exposure", F.lit(None).cast("map<string,double>"))
     amounts = exposure.groupBy("cell_id").agg(F.collect_list(F.struct("name", "amount")).alias("_amounts"))
