@@ -178,11 +178,15 @@ def site_sheets(sites: DataFrame, half_km: float, step_km: float, ground: DataFr
     lon, z_ground, z_surface and its official class for every period ('' outside the maps). ``ground_source`` names the grid
     that the section's ground heights come from: bare, surface, mixed, or null for none; ``relief`` is the mean range of both profiles.
     """
-    line = written(cut_line(sites, half_km, step_km), "line")
+    # sites at one place with one bearing share their section; outlines that several maps have are tested once
+    lines = written(sites.select("lat", "lon", "bearing").distinct().withColumn("site", F.monotonically_increasing_id()), "lines")
+    line = written(cut_line(lines, half_km, step_km), "line")
     key = ["site", "k"]
     rows = bilinear(bilinear(line, key, ground, origin, step, "z", "z_bare"), key, surface, origin, step, "z", "z_surface")
     points = line.withColumn("point", F.struct("site", "k"))
-    met = O.near_polygons(points, classes, 0, size).join(classes.select("piece", "family", "return_period", "code"), "piece")
+    shapes, members = O.shapes(classes)
+    mapped = members.groupBy("shape", "family", "return_period").agg(F.max("code").alias("code"))
+    met = O.near_polygons(points, shapes, 0, size, id_col="shape").join(mapped, "shape")
     met = met.groupBy("point", "family", "return_period").agg(F.max("code").alias("code"))  # where maps of a period overlap
     known = L.envelope(met, ["point"], periods, "code").groupBy("point").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("rp"), F.col("return_period").cast("int").cast("string")), F.coalesce("code", F.lit(""))))).alias("_classes"))
     rows = rows.join(known.select("point.site", "point.k", "_classes"), key, "left")
@@ -196,7 +200,9 @@ def site_sheets(sites: DataFrame, half_km: float, step_km: float, ground: DataFr
         F.when(F.count_distinct(used) > 1, "mixed").otherwise(F.max(used)).alias("ground_source"),
         ((relief("_z") + relief("z_surface")) / 2).alias("relief"),
     )
-    return sites.join(docs, "site")
+    docs = docs.join(lines.withColumnsRenamed({"lat": "_lat", "lon": "_lon", "bearing": "_bearing"}), "site").drop("site")
+    same = sites["lat"].eqNullSafe(F.col("_lat")) & sites["lon"].eqNullSafe(F.col("_lon")) & sites["bearing"].eqNullSafe(F.col("_bearing"))
+    return sites.join(docs, same).drop("_lat", "_lon", "_bearing")
 
 
 def drought_values(months: DataFrame, index: str, thresholds: Sequence[float]) -> DataFrame:

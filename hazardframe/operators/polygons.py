@@ -147,6 +147,30 @@ def _tiles_of_edges(edges: DataFrame, reach: float, size: float, metres: bool) -
     return rows.withColumn("bx", F.explode(_span(F.array_min(lons) - pad, F.array_max(lons) + pad, size)))
 
 
+def shapes(polygons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct outlines (shape, ring, holes), and the polygons' other columns with their shape.
+
+    Copies of an outline, and points at one place, are worked out once: pairs grow with distinct places, not with rows.
+    Polygons without a ring have no shape.
+    """
+    rows = _with_holes(polygons).where("ring IS NOT NULL")
+    outlines = written(rows.select("ring", "holes").distinct().withColumn("shape", F.monotonically_increasing_id()), "shapes")
+    return outlines, rows.join(outlines, ["ring", "holes"]).drop("ring", "holes")
+
+
+def _places(points: DataFrame) -> DataFrame:
+    """(place, lat, lon): the distinct places of points, with the place itself as their id."""
+    placed = points.select(known("lat").alias("lat"), known("lon").alias("lon")).where("lat IS NOT NULL AND lon IS NOT NULL")
+    return placed.distinct().select(F.struct("lat", "lon").alias("place"), "lat", "lon")
+
+
+def _at_place(points: DataFrame, found: DataFrame) -> DataFrame:
+    """Points with what was found for their place; rows without a place, or at one without a find, have nulls."""
+    own = points.withColumns({"_lat": known("lat"), "_lon": known("lon")})
+    keyed = found.select(F.col("place.lat").alias("_lat"), F.col("place.lon").alias("_lon"), *[c for c in found.columns if c != "place"])
+    return own.join(keyed, ["_lat", "_lon"], "left").drop("_lat", "_lon")
+
+
 def near_polygons(points: DataFrame, polygons: DataFrame, reach: float, size: float, point: str = "point", id_col: str = "piece", metres: bool = True) -> DataFrame:
     """Distinct pairs (point, id) of points inside a polygon or at most ``reach`` from its border (metres, or degrees).
 
@@ -172,15 +196,17 @@ def observed_at_points(points: DataFrame, traces: DataFrame, reach: float, size:
     ``traces``: trace, year, depth (null or NaN: unknown), ring, holes. Points outside ``coverage`` (piece and polygons;
     None covers all) are not compared: no trace there is no evidence of no flood. Every point stands.
     """
+    places = written(_places(points), "places")
     if coverage is None:
-        asked = points.select("point", "lat", "lon", F.lit(True).alias("covered"))
+        covered, asked = places.select("place", F.lit(True).alias("_in")), points.select("point", F.lit(True).alias("covered"), "lat", "lon")
     else:
-        held = near_polygons(points, coverage, 0, size).select("point").distinct().withColumn("_in", F.lit(True))
-        asked = points.select("point", "lat", "lon").join(held, "point", "left").select("point", "lat", "lon", F.col("_in").isNotNull().alias("covered"))
-    met = near_polygons(asked.where("covered"), traces, reach, size, id_col="trace")
-    seen = met.join(traces.select("trace", "year", known("depth").alias("depth")), "trace").groupBy("point")
-    seen = seen.agg(F.sort_array(F.collect_set("year")).alias("years"), F.max("depth").alias("max_depth"), F.count("*").alias("n_traces"))
-    rows = asked.select("point", "covered").join(seen, "point", "left")
+        covered = near_polygons(places, coverage, 0, size, "place").select("place").distinct().withColumn("_in", F.lit(True))
+        asked = _at_place(points.select("point", "lat", "lon"), covered).select("point", F.col("_in").isNotNull().alias("covered"), "lat", "lon")
+    outlines, members = shapes(traces)
+    held = members.groupBy("shape", "year").agg(F.max(known("depth")).alias("depth"), F.count("*").alias("n"))
+    met = near_polygons(places.join(covered, "place", "left_semi"), outlines, reach, size, "place", "shape")
+    seen = met.join(held, "shape").groupBy("place").agg(F.sort_array(F.collect_set("year")).alias("years"), F.max("depth").alias("max_depth"), F.sum("n").alias("n_traces"))
+    rows = _at_place(asked, seen)
     none = F.array().cast(seen.schema["years"].dataType)
     return rows.select("point", "covered", F.coalesce("years", none).alias("years"), "max_depth", F.coalesce("n_traces", F.lit(0)).alias("n_traces"))
 
@@ -191,19 +217,23 @@ def trace_flags(buildings: DataFrame, traces: DataFrame, reach: float, size: flo
     Two polygons meet where edges cross or come within reach, or one holds a corner of the other. ``buildings``:
     building, ring; ``traces``: trace, ring, holes. A building within a trace's hole is not met by it.
     """
-    mine = polygon_edges(buildings, ["building"]).withColumnsRenamed({"a": "c", "b": "d"})
+    outlines, members = shapes(buildings)
+    outlines, everyone = outlines.withColumnRenamed("shape", "building"), buildings.select("building").distinct()
+    traces = shapes(traces)[0].withColumnRenamed("shape", "trace")
+    mine = polygon_edges(outlines, ["building"]).withColumnsRenamed({"a": "c", "b": "d"})
     theirs = _tiles_of_edges(polygon_edges(traces, ["trace"]), reach, size, True)
     lats, lons = F.array("c.lat", "d.lat"), F.array("c.lon", "d.lon")
     own = mine.withColumn("by", F.explode(_span(F.array_min(lats), F.array_max(lats), size))).withColumn("bx", F.explode(_span(F.array_min(lons), F.array_max(lons), size)))
     a, b, c, d = (F.col(x) for x in "abcd")
     gap = lambda p, q, r: P.segment_distance(p["lat"], p["lon"], q, r)
     close = P.segments_cross(a, b, c, d) | (F.least(gap(c, a, b), gap(d, a, b), gap(a, c, d), gap(b, c, d)) <= reach)
-    crossed = own.join(theirs, ["by", "bx"]).where(close).select("building")
+    crossed = _meet(own, theirs, ["by", "bx"]).where(close).select("building")
     first = lambda df, key: df.select(key, F.get("ring", F.lit(0)).alias("v")).select(key, "v.lat", "v.lon")
-    within = near_polygons(first(buildings, "building"), traces, 0, size, "building", "trace").select("building")
-    around = near_polygons(first(traces, "trace"), buildings, 0, size, "trace", "building").select("building")
-    met = crossed.unionByName(within).unionByName(around).distinct().withColumn("_met", F.lit(True))
-    return buildings.select("building").distinct().join(met, "building", "left").select("building", F.col("_met").isNotNull().alias("flooded"))
+    within = near_polygons(first(outlines, "building"), traces, 0, size, "building", "trace").select("building")
+    around = near_polygons(first(traces, "trace"), outlines, 0, size, "trace", "building").select("building")
+    met = crossed.unionByName(within).unionByName(around).distinct().withColumnRenamed("building", "shape")
+    met = members.join(met, "shape", "left_semi").select("building").distinct().withColumn("_met", F.lit(True))
+    return everyone.join(met, "building", "left").select("building", F.col("_met").isNotNull().alias("flooded"))
 
 
 def mask_to_country(events: DataFrame, cells: DataFrame, countries: DataFrame, iso3: str, reach: float, size: float) -> tuple[DataFrame, DataFrame]:
@@ -256,10 +286,15 @@ def edge_depths(points: DataFrame, polygons: DataFrame, grid: DataFrame, origin:
     ring, holes; ``grid``: y, x, z. Edge points and points meet in buckets; those with too few edge points around look again
     in buckets twice as wide, until the buckets hold ``least`` points for certain or the whole of their polygons.
     """
-    held = written(near_polygons(points, polygons, 0, size, id_col="trace"), "held")
-    heights = written(grid_lookup(edge_points(polygons, spacing, border=border), grid, origin, step), "edges")
-    ground = grid_lookup(points.select("point", known("lat").alias("lat"), known("lon").alias("lon")), grid, origin, step)
-    left = written(held.join(ground.where("lat IS NOT NULL"), "point").select("point", "trace", "lat", "lon"), "asked")
+    # equal outlines (all parts of a trace) are one, with a weight; so are points at one place
+    parts = _with_holes(polygons).groupBy("trace").agg(F.sort_array(F.collect_list(F.struct("ring", "holes"))).alias("parts"))
+    kinds = written(parts.groupBy("parts").agg(F.count("*").alias("weight")).withColumn("trace", F.monotonically_increasing_id()), "outlines")
+    polygons = kinds.select("trace", F.inline("parts"))
+    places = written(_places(points), "places").withColumnRenamed("place", "point")
+    held = written(near_polygons(places, polygons, 0, size, id_col="trace"), "held")
+    heights = written(grid_lookup(edge_points(polygons, spacing, border=border), grid, origin, step).join(kinds.select("trace", "weight"), "trace"), "edges")
+    ground = grid_lookup(places, grid, origin, step)
+    left = written(held.join(places, "point").select("point", "trace", "lat", "lon"), "asked")
     box = heights.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
     widest = 0.0 if box[0] is None else max(box[1] - box[0], box[3] - box[2]) * P.DEGREE_M
     around, reach, done = F.array(*[F.lit(k) for k in (-1, 0, 1)]), radius, None
@@ -270,10 +305,14 @@ def edge_depths(points: DataFrame, polygons: DataFrame, grid: DataFrame, origin:
         bx = lambda lat_band, lon: F.floor(lon / (degrees / F.greatest(F.cos(F.radians(F.abs(lat_band * degrees) + 2 * degrees)), F.lit(0.01))))
         wide = left.withColumn("by", F.explode(F.transform(around, lambda k: by + k)))
         wide = wide.withColumn("bx", F.explode(F.transform(around, lambda k: bx(F.col("by"), F.col("lon")) + k)))
-        edge = heights.select("trace", F.col("lat").alias("e_lat"), F.col("lon").alias("e_lon"), "z", by.alias("by")).withColumn("bx", bx(F.col("by"), F.col("e_lon")))
+        edge = heights.select("trace", F.col("lat").alias("e_lat"), F.col("lon").alias("e_lon"), "z", "weight", by.alias("by")).withColumn("bx", bx(F.col("by"), F.col("e_lon")))
         dy, dx = (F.col("e_lat") - F.col("lat")) * P.DEGREE_M, (F.col("e_lon") - F.col("lon")) * P.DEGREE_M * F.cos(F.radians("lat"))
-        met = wide.join(edge, ["trace", "by", "bx"]).select("point", F.sqrt(dx * dx + dy * dy).alias("d"), "z")
-        near = met.groupBy("point").agg(F.count_if(F.col("d") <= radius).alias("n"), F.count_if(F.col("d") <= reach).alias("m"), F.median(F.when(F.col("d") <= radius, F.col("z"))).alias("level"), F.slice(F.sort_array(F.collect_list(F.when(F.col("d") <= 3 * reach, F.struct("d", "z")))), 1, least).alias("nearest"))
+        met = wide.join(edge, ["trace", "by", "bx"]).select("point", F.sqrt(dx * dx + dy * dy).alias("d"), "z", "weight")
+        met = met.groupBy("point", "d", "z").agg(F.sum("weight").alias("weight"))
+        within = lambda r: F.sum(F.when(F.col("d") <= r, F.col("weight")))
+        near = met.groupBy("point").agg(within(radius).alias("n"), within(reach).alias("m"), F.percentile(F.when(F.col("d") <= radius, F.col("z")), F.lit(0.5), F.col("weight")).alias("level"), F.slice(F.sort_array(F.collect_list(F.when(F.col("d") <= 3 * reach, F.struct("d", "z", "weight")))), 1, least).alias("nearest"))
+        copies = F.flatten(F.transform("nearest", lambda x: F.array_repeat(F.struct(x["d"].alias("d"), x["z"].alias("z")), F.least(x["weight"], F.lit(least)).cast("int"))))
+        near = near.withColumn("nearest", F.slice(copies, 1, least))
         few = F.aggregate(F.filter(F.col("nearest"), lambda x: x["z"].isNotNull()), F.array().cast("array<double>"), lambda acc, x: F.array_append(acc, x["z"]))
         mid = F.sort_array(few)
         count = F.size(mid)
@@ -291,4 +330,6 @@ def edge_depths(points: DataFrame, polygons: DataFrame, grid: DataFrame, origin:
     inside = held.select("point").distinct().withColumn("_in", F.lit(True))
     rows = ground.join(inside, "point", "left").join(done, "point", "left")
     depth = F.when(F.col("_in").isNull(), F.lit(0.0)).when(F.col("z").isNotNull() & F.col("level").isNotNull(), F.greatest(F.lit(0.0), F.col("level") - F.col("z")))
-    return rows.select("point", F.col("_in").isNotNull().alias("inside"), depth.alias("depth"))
+    found = rows.select(F.col("point").alias("place"), F.col("_in").isNotNull().alias("inside"), depth.alias("depth"))
+    nowhere = known("lat").isNull() | known("lon").isNull()
+    return _at_place(points.select("point", "lat", "lon"), found).select("point", F.coalesce("inside", F.lit(False)).alias("inside"), F.when(nowhere, F.lit(0.0)).otherwise(F.col("depth")).alias("depth"))

@@ -35,3 +35,47 @@ def test_pieces_are_read_once_for_their_values(spark):
     got = {(r["cell_id"], r["code"]): (r["values"], r["status"]) for r in rows.collect()}
     one, none = ({"x": 1.2346, "y": None, "z": None}, {"x": "odd"}), ({"x": None, "y": None, "z": None}, {})
     assert got == {(1, "a"): one, (1, "b"): one, (2, "a"): none}
+
+
+def star_frame(spark, copies):
+    """Three overlapping outlines, one with a hole, each held by several traces."""
+    outlines = [(box(0.0, 0.4, 0.0, 0.4), [box(0.1, 0.3, 0.1, 0.3)]), (box(0.2, 0.7, 0.1, 0.5), None), (box(0.05, 0.25, 0.05, 0.45), [])]
+    rows = [(k, 2000 + k, float(k), *outlines[k % 3]) for k in range(3 * copies)]
+    return spark.createDataFrame(rows, f"trace int, year int, depth double, ring {P.RING}, holes array<{P.RING}>")
+
+
+def test_copies_of_outlines_and_places_are_worked_out_once(spark, monkeypatch):
+    traces = star_frame(spark, 4)
+    rows = [(k, 0.07 + 0.1 * (k % 4), 0.08 + 0.09 * (k % 3)) for k in range(36)] + [(90, None, 0.1), (91, float("nan"), 0.1)]
+    points = spark.createDataFrame(rows, "point int, lat double, lon double")
+    sizes, near = [], O.near_polygons
+
+    def counted(points, polygons, *args, **kwargs):
+        sizes.append((points.count(), polygons.count()))
+        return near(points, polygons, *args, **kwargs)
+
+    pairs = near(points, traces, 2000.0, 0.3, id_col="trace").collect()
+    monkeypatch.setattr(O, "near_polygons", counted)
+    seen = {r["point"]: (r["covered"], list(r["years"]), r["max_depth"], r["n_traces"]) for r in O.observed_at_points(points, traces, 2000.0, 0.3).collect()}
+    assert sizes == [(12, 3)]
+    want = {p: sorted(r["trace"] for r in pairs if r["point"] == p) for p, _, _ in rows}
+    assert any(want.values())
+    assert seen == {p: (True, [2000 + t for t in ts], float(max(ts)) if ts else None, len(ts)) for p, ts in want.items()}
+
+    sizes.clear()
+    buildings = spark.createDataFrame([(k, box(0.15 + 0.2 * (k % 4), 0.16 + 0.2 * (k % 4), 0.2, 0.21)) for k in range(20)] + [(99, None)], f"building int, ring {P.RING}")
+    flags = {r["building"]: r["flooded"] for r in O.trace_flags(buildings, traces, 50.0, 0.3).collect()}
+    assert sizes == [(4, 3), (3, 4)]
+    assert flags == {k: k % 4 < 3 for k in range(20)} | {99: False}
+
+
+def test_weights_stand_for_copies_of_an_outline(spark):
+    grid = spark.createDataFrame([(y, x, float((7 * y + 3 * x) % 11)) for y in range(9) for x in range(9)], "y int, x int, z double")
+    points = spark.createDataFrame([(k, 0.22 + 0.02 * (k % 2), 0.2) for k in range(6)] + [(8, None, 0.1), (9, 5.0, 5.0)], "point int, lat double, lon double")
+    traces = star_frame(spark, 3)
+    # outlines that differ by a hair are no copies; copies must give what they give
+    apart = traces.withColumn("ring", F.transform("ring", lambda v: F.struct((v["lat"] + F.col("trace") * 1e-12).alias("lat"), v["lon"].alias("lon"))))
+    for radius, least in ((4000.0, 5), (9000.0, 40)):
+        got, want = ({r["point"]: (r["inside"], r["depth"]) for r in O.edge_depths(points, t, grid, (0.0, 0.0), 0.1, 4000.0, radius, least, size=0.3).collect()} for t in (traces, apart))
+        assert got == want
+        assert got[8] == got[9] == (False, 0.0) and got[0][0]
