@@ -51,12 +51,17 @@ def irr(flows: Column, lo: float = -0.95, hi: float = 1.0, steps: int = 60) -> C
 
 def _halve(flows: Column, s: Column) -> Column:
     middle = (s["lo"] + s["hi"]) / 2
-    left = npv(flows, middle) * s["at_lo"] <= 0
-    return F.struct(
-        F.when(left, s["lo"]).otherwise(middle).alias("lo"),
-        F.when(left, middle).otherwise(s["hi"]).alias("hi"),
-        F.when(left, s["at_lo"]).otherwise(npv(flows, middle)).alias("at_lo"),
-    )
+
+    def keep(value: Column) -> Column:
+        left = value * s["at_lo"] <= 0
+        return F.struct(
+            F.when(left, s["lo"]).otherwise(middle).alias("lo"),
+            F.when(left, middle).otherwise(s["hi"]).alias("hi"),
+            F.when(left, s["at_lo"]).otherwise(value).alias("at_lo"),
+        )
+
+    # the value at the middle is worked out once a step
+    return F.get(F.transform(F.array(npv(flows, middle)), keep), F.lit(0))
 
 
 def rating(coverage: Column, bands: Sequence[tuple[str, float]] = RATING_METHODS[DEFAULT_METHOD]) -> Column:

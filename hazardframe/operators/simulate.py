@@ -80,7 +80,10 @@ def yearsets(events: DataFrame, years: int, seed: int = 1789) -> DataFrame:
     event has a loss of 0.
     """
     drawn = events.withColumn("year", F.explode(F.sequence(F.lit(1), F.lit(years))))
-    drawn = drawn.withColumn("times", poisson(uniform(seed, "event_id", "year"), F.col("frequency").cast("double"))).where("times > 0")
+    u, rate = uniform(seed, "event_id", "year"), F.col("frequency").cast("double")
+    # most draws are below the chance of no event; the others are hashed once, not again at every step of the quantile
+    drawn = drawn.where((rate > 0) & (u > F.exp(-rate))).withColumn("_u", F.explode(F.array(u)))
+    drawn = drawn.withColumn("times", F.explode(F.array(poisson(F.col("_u"), rate))))
     losses = drawn.groupBy("year").agg(F.sum(F.col("times") * F.col("loss")).alias("loss"))
     every = events.sparkSession.range(1, years + 1).select(F.col("id").cast("int").alias("year"))
     return every.join(losses, "year", "left").select("year", F.coalesce(F.col("loss").cast("double"), F.lit(0.0)).alias("loss"))

@@ -79,3 +79,19 @@ def test_weights_stand_for_copies_of_an_outline(spark):
         got, want = ({r["point"]: (r["inside"], r["depth"]) for r in O.edge_depths(points, t, grid, (0.0, 0.0), 0.1, 4000.0, radius, least, size=0.3).collect()} for t in (traces, apart))
         assert got == want
         assert got[8] == got[9] == (False, 0.0) and got[0][0]
+
+
+def test_a_draw_is_hashed_once_for_its_quantile(spark):
+    from hazardframe.operators import simulate
+
+    events = spark.createDataFrame([(k, f, 10.0) for k, f in enumerate([0.0, 0.2, 1.5, None])], "event_id int, frequency double, loss double")
+    # once to leave out the draws without an event, once for the quantile of the rest
+    assert plan_of(simulate.yearsets(events, 20)).count("md5(") == 2
+
+
+def test_a_step_of_the_bisection_values_the_flows_once(spark):
+    from hazardframe.functions import finance as N
+
+    plan = plan_of(spark.range(1).select(N.irr(F.array(F.lit(-100.0), F.col("id") + 60.0, F.col("id") + 60.0)).alias("irr")))
+    # at both ends (the lower one also starts the bisection), and once a step
+    assert plan.count("POWER(") == 4
