@@ -137,6 +137,8 @@ _SQL_IRR = "f AS (SELECT o_custkey AS asset_id, sum(o_totalprice) * 2 AS capex,
 @query("irr_projects", f"WITH RECURSIVE {_SQL_IRR} SELECT asset_id, round((lo + hi) / 2, 6) AS irr FROM b WHERE k = 60")
 def irr_projects(spark, sf):
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("asset_id")).agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("n"))
+    # sums are few bytes and much work: dealt out by number, or partitions joined by their bytes leave them to one task
+    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "asset_id")
     flows = F.concat(F.array(-F.col("total") * 2), F.array_repeat(F.col("total") / F.col("n"), 40))
     return o.select("asset_id", F.round(N.irr(flows), 6).alias("irr"))
 
