@@ -10,6 +10,8 @@ from hazardframe.operators import series as S
 from hazardframe.sources.tables import written
 
 SCALE = 1 << 52
+#: Rows of a key whose draws are dealt out together.
+BLOCK = 100
 
 
 def uniform(seed: int | str, *keys: Column | str) -> Column:
@@ -22,20 +24,23 @@ def resamples(df: DataFrame, keys: list[str], value: str, replicates: int, seed:
     """(keys, replicate, x): each replicate draws as many rows of a key as it has values, with replacement.
 
     Rows are numbered by value within their keys, over range partitions, so that equal values are drawn apart, draws do
-    not depend on partitions and no task takes a whole key. Null and NaN values are left out; zeros (quiet years) are
-    values like any other.
+    not depend on partitions and no task takes a whole key. Draws are made in blocks of ``BLOCK`` rows, dealt out over all
+    shuffle partitions, and meet the rows by a merge join: Spark takes them for no more than the totals they come from, and
+    would broadcast them. Null and NaN values are left out; zeros (quiet years) are values like any other.
     """
     known = df.select(*keys, F.col(value).cast("double").alias("x"))
     placed = written(ranks.positions(known, keys, "x"), "positions")
     totals = placed.groupBy(*keys).agg(F.sum("n").alias("n"))
     rows = placed.select(*keys, "x", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))).alias("row")).alias("r")
-    numbers = totals.select(*keys, "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("row"))
+    blocks = totals.select(*keys, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long"))).alias("start"))
+    blocks = blocks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "start")
+    numbers = blocks.select(*keys, "n", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + BLOCK, F.col("n")))).alias("row"))
     draws = numbers.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     picked = F.least(F.floor(uniform(seed, *keys, "row", "replicate") * F.col("n")) + 1, F.col("n"))
     same = F.lit(True)
     for k in [*keys, "row"]:
         same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"r.{k}"))
-    drawn = draws.select(*keys, picked.alias("row"), "replicate").alias("d").join(rows, same)
+    drawn = draws.select(*keys, picked.alias("row"), "replicate").alias("d").join(rows.hint("merge"), same)
     return drawn.select(*[F.col(f"d.{k}") for k in keys], "replicate", "x")
 
 

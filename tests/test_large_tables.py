@@ -95,3 +95,22 @@ def test_a_step_of_the_bisection_values_the_flows_once(spark):
     plan = plan_of(spark.range(1).select(N.irr(F.array(F.lit(-100.0), F.col("id") + 60.0, F.col("id") + 60.0)).alias("irr")))
     # at both ends (the lower one also starts the bisection), and once a step
     assert plan.count("POWER(") == 4
+
+
+def test_draws_are_dealt_out_and_never_broadcast(spark):
+    import hashlib
+
+    from hazardframe.operators import simulate
+
+    values = {"a": [float(k * k % 997) for k in range(250)], "b": [5.0] * 100, None: [2.0]}
+    drawn = simulate.resamples(spark.createDataFrame([(k, x) for k, xs in values.items() for x in xs], "k string, x double"), ["k"], "x", 3, 9)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert plan_of(drawn).count("RepartitionByExpression") == 1
+
+    def place(k, row, replicate, n):
+        u = (int(hashlib.md5(f"9|{k or 'null'}|{row}|{replicate}".encode()).hexdigest()[:13], 16) + 0.5) / simulate.SCALE
+        return min(int(u * n), n - 1)
+
+    want = sorted((k or "", r, sorted(xs)[place(k, i, r, len(xs))]) for k, xs in values.items() for i in range(1, len(xs) + 1) for r in (1, 2, 3))
+    assert sorted((r["k"] or "", r["replicate"], r["x"]) for r in drawn.collect()) == want
