@@ -114,3 +114,39 @@ def test_draws_are_dealt_out_and_never_broadcast(spark):
 
     want = sorted((k or "", r, sorted(xs)[place(k, i, r, len(xs))]) for k, xs in values.items() for i in range(1, len(xs) + 1) for r in (1, 2, 3))
     assert sorted((r["k"] or "", r["replicate"], r["x"]) for r in drawn.collect()) == want
+
+
+def test_rounds_of_components_broadcast_nothing_and_runs_are_nodes(spark, monkeypatch):
+    import random
+
+    from hazardframe.operators import graph
+
+    draw, plans, sizes, write, label = random.Random(3), [], [], graph.written, graph.components
+    # wider than two segments, on both sides of 0; solid rows, rows with gaps and a cell that comes twice
+    cells = [(x, y, draw.choice([0.0, 0.0, 2.0]) if y % 5 else 0.0, x == -70 and y % 4 == 0) for x in range(-70, 75) for y in range(14) if y % 7 != 5 or x == 60]
+    cells += [(-70, 0, 0.5, False), (-70, 0, 9.0, True), (None, 0, 0.0, True), (3, 0, None, False)]
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *args)
+
+    def counted(nodes, edges, keys):
+        sizes.append(nodes.count())
+        return label(nodes, edges, keys)
+
+    monkeypatch.setattr(graph, "written", seen)
+    monkeypatch.setattr(graph, "components", counted)
+    got = graph.flooded(spark.createDataFrame(cells, "x long, y long, z double, source boolean"), 1.0).collect()
+
+    low = {(x, y) for x, y, z, _ in cells if x is not None and z is not None and z <= 1}
+    wet = {(x, y) for x, y, z, source in cells if source and (x, y) in low and z <= 1}
+    edge = list(wet)
+    while edge:
+        x, y = edge.pop()
+        near = {(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & low - wet
+        wet |= near
+        edge += near
+    assert 100 < len(wet) < len(low)
+    assert sorted((r["x"], r["y"]) for r in got) == sorted(wet)
+    assert sizes[0] < len(low) / 2
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
