@@ -191,13 +191,16 @@ def defence_scenarios(events: DataFrame, thresholds: DataFrame, unit: Callable[[
 def saltelli(ranges: Mapping[str, tuple[float, float]], samples: DataFrame) -> DataFrame:
     """(sample, matrix, factors...): the N (D + 2) points of a Sobol design: A, B, and A with one column of B each.
 
-    ``samples``: sample ids; coordinates come from hashes of the id, so no sample depends on its partition.
+    ``samples``: sample ids; coordinates come from hashes of the id, so no sample depends on its partition. Samples are dealt
+    out over all shuffle partitions, as what is worked out for each is large for its few bytes, and each coordinate is hashed once.
     """
     unit = lambda name, m: uniform(0, "sample", F.lit(name), F.lit(m))
     scaled = lambda name, m: ranges[name][0] + (ranges[name][1] - ranges[name][0]) * unit(name, m)
+    dealt = samples.select("sample").repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sample")
+    drawn = dealt.select("sample", *[F.struct(*[scaled(n, m).alias(n) for n in ranges]).alias(m) for m in "AB"])
     matrices = ["A", "B", *ranges]
-    rows = F.array(*[F.struct(F.lit(m).alias("matrix"), *[scaled(n, "B" if m in ("B", n) else "A").alias(n) for n in ranges]) for m in matrices])
-    return samples.select("sample", F.inline(rows))
+    rows = F.array(*[F.struct(F.lit(m).alias("matrix"), *[F.col("B" if m in ("B", n) else "A")[n].alias(n) for n in ranges]) for m in matrices])
+    return drawn.select("sample", F.inline(rows))
 
 
 def country_region(assets: DataFrame, regions: DataFrame) -> DataFrame:

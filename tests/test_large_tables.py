@@ -150,3 +150,22 @@ def test_rounds_of_components_broadcast_nothing_and_runs_are_nodes(spark, monkey
     assert sorted((r["x"], r["y"]) for r in got) == sorted(wet)
     assert sizes[0] < len(low) / 2
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_samples_of_a_design_are_dealt_out_and_hashed_once(spark):
+    import hashlib
+
+    from hazardframe.operators import perils as R
+
+    ranges = {"u": (0.0, 1.0), "v": (2.0, 6.0)}
+    design = R.saltelli(ranges, spark.range(40).withColumnRenamed("id", "sample").coalesce(1))
+    plan = plan_of(design)
+    # a coordinate of A and one of B for each factor, over all shuffle partitions
+    assert plan.count("md5(") == 4 and plan.count("RepartitionByExpression") == 1
+    assert len([n for n in design.select("sample").rdd.glom().map(len).collect() if n]) == 4
+
+    def unit(sample, name, m):
+        return (int(hashlib.md5(f"0|{sample}|{name}|{m}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+
+    want = {(k, m): (unit(k, "u", "B" if m in "Bu" else "A"), 2 + 4 * unit(k, "v", "B" if m in "Bv" else "A")) for k in range(40) for m in "ABuv"}
+    assert {(r["sample"], r["matrix"]): (r["u"], r["v"]) for r in design.collect()} == want
